@@ -5,13 +5,17 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, mixing, packing, quality, secrets, tokencounts, toxicity
+from . import chat, mixing, packing, quality, secrets, substrings, tokencounts, toxicity
 from .common import n_words, table
 
 #: A public byte-level vocabulary; any path that the driver can read will do.
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 
 
+def op1_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substrings.digest(substrings.remove_repeats(table(spark, sf_dir, "documents").select("doc_id", "text")))
+
+
 def op2_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return packing.best_fit(docs, n_words("text"), ["doc_id"])
@@ -57,7 +61,7 @@ def op10_mixing_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.select("row.doc_id", "size", "source_size", "target", "taken")
 
 
-QUERIES = {f.__name__: f for f in (op2_best_fit_packing, op3_secret_scans, op4_chat_formatting, op5_quality_rules, op7_toxicity, op8_token_counts, op10_mixing_sources)}
+QUERIES = {f.__name__: f for f in (op1_suffix_dedup, op2_best_fit_packing, op3_secret_scans, op4_chat_formatting, op5_quality_rules, op7_toxicity, op8_token_counts, op10_mixing_sources)}
 
 _TURN = "coalesce(role, '') || chr(10) || coalesce(text, '') || chr(10)"
 ORACLES = {
