@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, mixing, packing, quality, secrets, substrings, tokencounts, toxicity
+from . import chat, jaccard, mixing, packing, quality, secrets, substrings, tokencounts, toxicity
 from .common import n_words, table
 
 #: A public byte-level vocabulary; any path that the driver can read will do.
@@ -55,13 +55,17 @@ def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokencounts.length_histogram(tokencounts.encoded(docs, VOCABULARY))
 
 
+def op9_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.jaccard_classes(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op10_mixing_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "source")
     mixed = mixing.mix(docs, n_words("text"), ["doc_id"])
     return mixed.select("row.doc_id", "size", "source_size", "target", "taken")
 
 
-QUERIES = {f.__name__: f for f in (op1_suffix_dedup, op2_best_fit_packing, op3_secret_scans, op4_chat_formatting, op5_quality_rules, op7_toxicity, op8_token_counts, op10_mixing_sources)}
+QUERIES = {f.__name__: f for f in (op1_suffix_dedup, op2_best_fit_packing, op3_secret_scans, op4_chat_formatting, op5_quality_rules, op7_toxicity, op8_token_counts, op9_jaccard_join, op10_mixing_sources)}
 
 _TURN = "coalesce(role, '') || chr(10) || coalesce(text, '') || chr(10)"
 ORACLES = {
