@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, jaccard, mixing, packing, quality, secrets, substrings, tokencounts, toxicity
+from . import chat, jaccard, mixing, neighbours, packing, quality, secrets, substrings, tokencounts, toxicity
 from .common import n_words, table
 
 #: A public byte-level vocabulary; any path that the driver can read will do.
@@ -43,6 +43,10 @@ def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return got.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "anomaly")
 
 
+def op6_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neighbours.search(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
+
+
 def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     lexicon = toxicity.fit(docs, table(spark, sf_dir, "labels"))
@@ -65,7 +69,7 @@ def op10_mixing_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.select("row.doc_id", "size", "source_size", "target", "taken")
 
 
-QUERIES = {f.__name__: f for f in (op1_suffix_dedup, op2_best_fit_packing, op3_secret_scans, op4_chat_formatting, op5_quality_rules, op7_toxicity, op8_token_counts, op9_jaccard_join, op10_mixing_sources)}
+QUERIES = {f.__name__: f for f in (op1_suffix_dedup, op2_best_fit_packing, op3_secret_scans, op4_chat_formatting, op5_quality_rules, op6_nearest_neighbours, op7_toxicity, op8_token_counts, op9_jaccard_join, op10_mixing_sources)}
 
 _TURN = "coalesce(role, '') || chr(10) || coalesce(text, '') || chr(10)"
 ORACLES = {
