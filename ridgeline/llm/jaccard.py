@@ -4,9 +4,10 @@ The distance 1 - J is a metric, and links are pairs within r = 1 - threshold. Te
 each other, so pivots that were drawn freely would tell nearly all documents nothing. Regions therefore begin as documents that
 share a key that any linked pair must share:
 
-- by the prefix of a set (its least-hashed share of r, and one more), for keys that few documents have; and,
-- for documents with a prefix key that many have, by parts: the universe of hashes is cut into one part more than linked sets of
-  that size can differ in, so linked sets agree on a whole part. A passage that many documents quote makes no such key.
+- by the prefix of a set, its first elements in one order of all hashes, a share of r of them and one more. Elements that many
+  documents have among their least-hashed ones come last in that order, so a passage that many quote makes no region; and,
+- for documents that still have a key in a large region, by parts: the universe of hashes is cut into more parts than linked sets
+  of that size can differ in, so linked sets agree on a whole part, which for other than near copies is most unlikely.
 
 Small regions are joined in themselves, after filters that lose nothing. In a large region pivots are taken, every member's
 distance to them is computed, members within r are linked, and what is left, members of other classes than the region's largest
@@ -22,11 +23,11 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import map_rows, text_bytes, written
+from .common import map_rows, remove, text_bytes, written
 from .shingles import mix, overlap, shingle_sets
 
 #: Members up to which a region is joined in itself, and pivots that one round takes of a larger one.
-FEW, PIVOTS = 32, 4
+FEW, PIVOTS = 64, 4
 
 
 def needed(n: int, percent: int) -> int:
@@ -42,6 +43,11 @@ def _bounds(percent: int) -> tuple[int, ...]:
     return tuple(out)
 
 
+def prefix(n: int, percent: int) -> int:
+    """The number of a set's first elements, in any one order of all, of which any linked set has one among its own."""
+    return n - needed(n, percent) + 1 if n else 0
+
+
 def part_keys(x: np.ndarray, percent: int) -> np.ndarray:
     """Keys of which linked, different sets share one at least: for the set's level of size and the next."""
     bounds = np.array(_bounds(percent))
@@ -49,15 +55,17 @@ def part_keys(x: np.ndarray, percent: int) -> np.ndarray:
     out = []
     for level in (own, own + 1):
         most = int(bounds[level + 1]) - 1
-        m = 2 * (100 - percent) * most // (100 + percent) + 1
-        if m < 2 or not len(x):
+        differ = 2 * (100 - percent) * most // (100 + percent)
+        if not differ or not len(x):
             continue  # only equal sets are linked
+        spare = 3 + differ // 32
+        m = differ + 1 + spare  # linked sets agree on spare + 1 parts at least
         tag = np.uint64((level + 1) * 0x9E3779B97F4A7C15 % 2**64)
         high, low = (x >> np.uint64(32)) * np.uint64(m) >> np.uint64(32), (x & np.uint64(0xFFFFFFFF)) * np.uint64(m) >> np.uint64(32)
         parts, sums = _sums(x, high)
         out.append(mix(mix(sums + tag) + parts))
         empty = np.setdiff1d(np.arange(m, dtype=np.uint64), parts, assume_unique=True)
-        if len(empty):  # an empty part says little: it counts together with each part of another cut
+        if len(empty) > spare:  # else one of the parts agreed on isn't empty; here an empty one counts with each part of another cut
             order = np.argsort(low, kind="stable")
             parts2, sums2 = _sums(x[order], low[order])
             all2 = np.zeros(m, np.uint64)
@@ -79,7 +87,8 @@ def _set_rows(shingle: int, percent: int):
             for x in shingle_sets(part["raw"], shingle):
                 n.append(len(x))
                 digest.append(hashlib.blake2b(x.tobytes(), digest_size=16).digest())
-                keys.append(x[: len(x) - needed(len(x), percent) + 1 if len(x) else 0].view(np.int64))
+                p = prefix(len(x), percent)
+                keys.append(x[: p + p // 2 + 8].view(np.int64))  # with some more, should hot ones fall out
             return {"id": part["id"], "n": n, "digest": digest, "keys": keys}
 
         return f
@@ -137,46 +146,60 @@ def jaccard_classes(docs: DataFrame, key: str = "doc_id", text: str = "text", sh
     spark = docs.sparkSession
     slim = docs.select(docs[key].alias("id"), text_bytes(docs[text]).alias("raw"))
     kind = slim.schema["id"].dataType.simpleString()
-    sets = written(map_rows(slim, _set_rows(shingle, percent), f"id {kind}, n bigint, digest binary, keys array<bigint>"), "sets")
-    classes = sets.where("n > 0").groupBy("digest").agg(F.min("id").alias("least"), F.first("n").alias("n"), F.first("keys").alias("keys"), F.min("id").alias("id"))
-    classes = written(classes.drop("id").withColumn("cid", F.monotonically_increasing_id()), "classes")
+    raw_sets = written(map_rows(slim, _set_rows(shingle, percent), f"id {kind}, n bigint, digest binary, keys array<bigint>"), "sets")
+    sets = written(raw_sets.select("id", "n", "digest"), "sets-slim")
+    classes = raw_sets.where("n > 0").groupBy("digest").agg(F.min("id").alias("least"), F.first("n").alias("n"), F.first("keys").alias("keys"))
+    classes = written(classes.withColumn("p", (F.col("n") - F.ceil(F.col("n") * percent / F.lit(100)) + 1).cast("int")).withColumn("cid", F.monotonically_increasing_id()), "classes")
+    remove(raw_sets)
+
+    # Keys that many documents have come last in the order. Documents without any such key among their first keep those.
+    firsts = classes.select("cid", "n", F.explode(F.slice("keys", F.lit(1), F.col("p"))).alias("k"))
+    hot = written(firsts.groupBy("k").agg(F.count("*").alias("times")).where(F.col("times") > FEW).select("k"), "hot-keys")
+    touched = written(firsts.join(hot, "k").select("cid").distinct(), "touched")
+    ordered = F.transform(F.sort_array(F.collect_list(F.struct("rank", "k"))), lambda x: x["k"])
+    others = classes.join(touched, "cid").select("cid", F.posexplode("keys").alias("rank", "k")).join(hot, "k", "left_anti")
+    others = others.groupBy("cid").agg(ordered.alias("cool"))
+    others = written(classes.join(touched, "cid").join(others, "cid", "left").select("cid", "n", "p", "digest", F.size("keys").alias("known"), F.coalesce("cool", F.array().cast("array<bigint>")).alias("cool")), "reordered")
+    done = (F.size("cool") >= F.col("p")) | (F.col("known") >= F.col("n"))
+    # Where the keys at hand don't suffice, the whole set is gone through.
+    short = _texts(slim, sets, others.where(~done).select("cid", "digest"), shingle)
+
+    def all_keys():
+        def f(part):
+            return {"cid": part["cid"], "keys": [x.view(np.int64) for x in shingle_sets(part["raw"], shingle)]}
+
+        return f
+
+    whole = map_rows(short, all_keys, "cid bigint, keys array<bigint>").select("cid", F.posexplode("keys").alias("rank", "k")).join(hot, "k", "left_anti")
+    whole = others.where(~done).select("cid", "n", "p").join(whole.groupBy("cid").agg(ordered.alias("cool")), "cid", "left").select("cid", "n", "p", F.coalesce("cool", F.array().cast("array<bigint>")).alias("cool"))
+    again = written(others.where(done).select("cid", "n", "p", "cool").unionByName(whole).select("cid", "n", "p", F.slice("cool", F.lit(1), F.col("p")).alias("keys")), "prefixes")
+    prefixes = classes.join(touched, "cid", "left_anti").select("cid", "n", "p", F.slice("keys", F.lit(1), F.col("p")).alias("keys")).unionByName(again)
 
-    # Regions by prefix keys. One row for each document and key that another document has too.
-    entries = classes.select("cid", "n", F.posexplode("keys").alias("rank", "k"))
+    # Regions by prefix keys: one row for each document and key that another document has too.
+    entries = prefixes.select("cid", "n", F.posexplode("keys").alias("rank", "k"))
     times = entries.groupBy("k").agg(F.count("*").alias("times")).where("times > 1")
     shared = written(entries.join(times, "k"), "shared-keys")
-    hot = written(shared.where(F.col("times") > FEW).groupBy("cid").agg(F.count("*").alias("hot")), "hot-docs")
-    cool = shared.where(F.col("times") <= FEW).join(hot, "cid", "left").select("k", "cid", "n", "rank", F.coalesce("hot", F.lit(0)).alias("hot"))
+    # Keys of large regions, and hot ones that a document's prefix would go on with, may be shared without being counted below.
+    unseen = shared.where(F.col("times") > FEW).select("cid", F.lit(1).alias("u")).unionByName(again.where(F.size("keys") < F.col("p")).select("cid", (F.col("p") - F.size("keys")).alias("u")))
+    crowded = written(unseen.groupBy("cid").agg(F.sum("u").alias("hot")), "crowded")
+    cool = shared.where(F.col("times") <= FEW).join(crowded, "cid", "left").select("k", "cid", "n", "rank", F.coalesce("hot", F.lit(0)).alias("hot"))
     x, y = (cool.select("k", *[F.col(c).alias(f"{c}_{s}") for c in ("cid", "n", "rank", "hot")]) for s in "xy")
     size_ok = (100 * F.col("n_x") >= percent * F.col("n_y")) & (100 * F.col("n_y") >= percent * F.col("n_x"))
     met = x.join(y, "k").where((F.col("cid_x") < F.col("cid_y")) & size_ok)
     met = met.groupBy(F.col("cid_x").alias("a"), F.col("cid_y").alias("b")).agg(
         F.count("*").alias("c"), *[F.max(v).alias(v) for v in ("rank_x", "rank_y")], *[F.first(v).alias(v) for v in ("n_x", "n_y", "hot_x", "hot_y")]
     )
-    # What is known to differ: the keys up to the last shared one, and the rest of the prefix that ends first. Keys that many
-    # documents have may be shared as well, at most as many as the fewer of both.
-    prefix = lambda n: n - F.ceil(n * percent / F.lit(100)) + 1
-    differ = F.col("rank_x") + F.col("rank_y") + 2 - 2 * F.col("c") + F.least(prefix(F.col("n_x")) - 1 - F.col("rank_x"), prefix(F.col("n_y")) - 1 - F.col("rank_y"))
+    # What is known to differ: the keys up to the last shared one, and the rest of the prefix that ends first.
+    length = lambda n: n - F.ceil(n * percent / F.lit(100)) + 1
+    differ = F.col("rank_x") + F.col("rank_y") + 2 - 2 * F.col("c") + F.least(length(F.col("n_x")) - 1 - F.col("rank_x"), length(F.col("n_y")) - 1 - F.col("rank_y"))
     may = (100 + percent) * (differ - 3 * F.least("hot_x", "hot_y")) <= (100 - percent) * (F.col("n_x") + F.col("n_y"))
     pairs = written(met.where(may).select("a", "b"), "pairs")
 
     # The texts of the documents that are still in question, one for each class.
-    ask = pairs.select(F.col("a").alias("cid")).union(pairs.select("b")).union(hot.select("cid")).distinct()
-    asked = classes.join(ask, "cid").select("cid", "digest")
-    one = sets.join(asked, "digest").groupBy("cid", "digest").agg(F.min_by(F.struct("id"), F.struct(F.col("id").isNull(), "id")).alias("o")).select("cid", "digest", F.col("o.id").alias("oid"))
-    docs_of = slim.join(one, slim["id"].eqNullSafe(one["oid"])).select("cid", "digest", "raw")
-
-    def same_set():
-        def f(part):
-            keep = [i for i, s in enumerate(shingle_sets(part["raw"], shingle)) if hashlib.blake2b(s.tobytes(), digest_size=16).digest() == part["digest"][i]]
-            return {"cid": [part["cid"][i] for i in keep], "raw": [part["raw"][i] for i in keep]}
-
-        return f
+    ask = pairs.select(F.col("a").alias("cid")).union(pairs.select("b")).union(crowded.select("cid")).distinct()
+    texts = _texts(slim, sets, classes.join(ask, "cid").select("cid", "digest"), shingle)
 
-    # A key may repeat with other texts, so the set decides which text is the class's.
-    texts = written(map_rows(docs_of, same_set, "cid bigint, raw binary").dropDuplicates(["cid"]), "texts")
-
-    # Regions by parts, for documents that have a key which many have.
+    # Regions by parts, for documents that have a key of a large region.
     def parts():
         def f(part):
             got = [part_keys(s, percent) for s in shingle_sets(part["raw"], shingle)]
@@ -184,8 +207,8 @@ def jaccard_classes(docs: DataFrame, key: str = "doc_id", text: str = "text", sh
 
         return f
 
-    of_hot = texts.join(hot.select("cid"), "cid").join(classes.select("cid", "n"), "cid")
-    region = map_rows(of_hot, parts, "cid bigint, n bigint, keys array<bigint>").select("cid", "n", F.explode("keys").alias("k"))
+    of_crowded = texts.join(crowded.select("cid"), "cid").join(classes.select("cid", "n"), "cid")
+    region = map_rows(of_crowded, parts, "cid bigint, n bigint, keys array<bigint>").select("cid", "n", F.explode("keys").alias("k"))
     region = written(region, "parts")
     again = region.groupBy("k").agg(F.count("*").alias("times")).where("times > 1")
     region = written(region.join(again, "k"), "regions")
@@ -204,6 +227,23 @@ def jaccard_classes(docs: DataFrame, key: str = "doc_id", text: str = "text", sh
     return out.select(F.col("id").alias(key), F.col("n").alias("n_shingles"), "component_id")
 
 
+def _texts(slim: DataFrame, sets: DataFrame, asked: DataFrame, shingle: int) -> DataFrame:
+    """cid, raw: for each class asked for (cid, digest), one document's text."""
+    one = sets.join(asked, "digest").groupBy("cid", "digest").agg(F.min_by(F.struct("id"), F.struct(F.col("id").isNull(), "id")).alias("o")).select("cid", "digest", F.col("o.id").alias("oid"))
+    one = written(one, "asked")  # so that its size is known when Spark picks the join
+    docs_of = slim.join(one, slim["id"].eqNullSafe(one["oid"])).select("cid", "digest", "raw")
+
+    def same_set():
+        def f(part):
+            keep = [i for i, s in enumerate(shingle_sets(part["raw"], shingle)) if hashlib.blake2b(s.tobytes(), digest_size=16).digest() == part["digest"][i]]
+            return {"cid": [part["cid"][i] for i in keep], "raw": [part["raw"][i] for i in keep]}
+
+        return f
+
+    # A key may repeat with other texts, so the set decides which text is the class's.
+    return written(map_rows(docs_of, same_set, "cid bigint, raw binary").dropDuplicates(["cid"]), "texts")
+
+
 def _large_regions(spark: SparkSession, region: DataFrame, texts: DataFrame, links: DataFrame, shingle: int, percent: int) -> DataFrame:
     """links and those that large regions (k, cid) add to their classes."""
     r = (100 - percent) / 100
