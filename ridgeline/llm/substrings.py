@@ -25,7 +25,7 @@ from .suffixes import permuted_common_prefixes, suffix_array
 #: Bytes of a removable string, and of an anchor gram.
 WINDOW, GRAM = 200, 64
 #: Bytes of text that are hashed at once, that a suffix array is built of at once, and contexts of a gram that go to one shard.
-PIECE, SHARD, TOGETHER = 1 << 20, 1 << 20, 128
+PIECE, SHARD, TOGETHER = 1 << 20, 1 << 20, 1024
 
 _rng = np.random.default_rng(20)
 _TABLE = _rng.integers(1, 2**63, 256, dtype=np.uint64)
@@ -153,11 +153,11 @@ def _repeated(rows: list[tuple[bytes, int, int, int, int, int]], window: int) ->
 
 def _shards(window: int):
     """Over rows sorted by key: suffix arrays of about SHARD bytes of whole keys."""
-    schema = arrow_schema("h bigint, d bigint, lo int, hi int")
+    schema = arrow_schema("id binary, lo int, hi int")
 
     def emit(rows: list[dict]) -> pa.RecordBatch:
         got = _repeated([(r["content"], r["off"], r["a"], r["b"], r["key"], r["n"]) for r in rows], window)
-        flat = [(r["h"], r["d"], lo, hi) for r, runs in zip(rows, got) for lo, hi in runs]
+        flat = [(r["id"], lo, hi) for r, runs in zip(rows, got) for lo, hi in runs]
         return pa.RecordBatch.from_arrays([pa.array([x[i] for x in flat], f.type) for i, f in enumerate(schema)], schema=schema)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -177,10 +177,14 @@ def _shards(window: int):
     return run
 
 
+def _bytes(c: str):
+    return F.unhex(F.lpad(F.hex(c), 16, "0"))
+
+
 def _halves(window: int, rows: list[tuple]) -> dict[str, list]:
     """Each context's range of window starts in two: the part of the context that a half reaches, its core, and its digest."""
-    out: dict[str, list] = {c: [] for c in ("key", "part", "h", "d", "n", "off", "content", "a", "b")}
-    for h, d, n, off, content, a, b in rows:
+    out: dict[str, list] = {c: [] for c in ("key", "part", "parent", "n", "off", "content", "a", "b")}
+    for parent, n, off, content, a, b in rows:
         mid = (a + b) // 2
         for lo, hi in ((a, mid), (mid, b)):
             first, last = max(lo, off + window - len(content)), min(hi, off + 1)
@@ -190,7 +194,7 @@ def _halves(window: int, rows: list[tuple]) -> dict[str, list]:
             begin = max(0, off - hi + 1)
             part = content[begin : off - lo + window]
             tag = b"%d %d " % (lo, hi)
-            for c, v in zip(out, (xxhash.xxh3_128_digest(tag + core), xxhash.xxh3_128_digest(b"%d " % (off - begin) + part), h, d, n, off - begin, part, lo, hi)):
+            for c, v in zip(out, (xxhash.xxh3_128_digest(tag + core), xxhash.xxh3_128_digest(b"%d " % (off - begin) + part), parent, n, off - begin, part, lo, hi)):
                 out[c].append(v)
     return out
 
@@ -237,32 +241,41 @@ def repeated_spans(docs: DataFrame, key: list[str], window: int = WINDOW, gram:
         return f
 
     contexts = map_rows(found, cut, "h bigint, d bigint, n bigint, off int, content binary", rows=64).dropDuplicates(["h", "d"])
-    items = contexts.select(F.unhex(F.lpad(F.hex("h"), 16, "0")).alias("key"), "h", "d", "n", "off", "content", F.lit(0).alias("a"), F.lit(reach + 1).alias("b"))
-    items = written(items, "contexts")
+    contexts = contexts.withColumn("id", F.concat(_bytes("h"), _bytes("d")))
+    items = written(contexts.select(_bytes("h").alias("key"), "id", "n", "off", "content", F.lit(0).alias("a"), F.lit(reach + 1).alias("b")), "contexts")
+    # members: which contexts (h, d) an item stands for.
+    members = items.select(F.col("id").alias("root"), "id")
     hits = []
     while True:
         sizes = items.groupBy("key").agg(F.count("*").alias("rows"))
-        large = written(sizes.where(F.col("rows") > TOGETHER), "large-grams")
+        large = written(sizes.where(F.col("rows") > TOGETHER).select("key"), "large-grams")
         few = items.join(large, "key", "left_anti")
-        few = few.repartition("key").sortWithinPartitions("key", "h", "d", "a")
-        hits.append(written(few.mapInArrow(_shards(window), "h bigint, d bigint, lo int, hi int"), "repeats"))
+        few = few.repartition("key").sortWithinPartitions("key", "id")
+        got = few.mapInArrow(_shards(window), "id binary, lo int, hi int")
+        hits.append(written(members.join(got, "id").select("root", "lo", "hi"), "repeats"))
         if large.isEmpty():
             break
-        many = items.join(large, "key", "left_semi").where("b - a > 1").select("h", "d", "n", "off", "content", "a", "b")
+        many = items.join(large, "key", "left_semi").select("id", "n", "off", "content", "a", "b")
 
         def halve():
-            return lambda part: _halves(window, list(zip(*(part[c] for c in ("h", "d", "n", "off", "content", "a", "b")))))
-
-        split = written(map_rows(many, halve, "key binary, part binary, h bigint, d bigint, n bigint, off int, content binary, a int, b int"), "halves")
-        told = split.groupBy("key").agg(F.sum("n").alias("total"), F.min("part").alias("p"), F.max("part").alias("q")).where("total > 1").select("key", (F.col("p") == F.col("q")).alias("equal"))
-        split = written(split.join(told, "key"), "halves-told")
+            return lambda part: _halves(window, list(zip(*(part[c] for c in ("id", "n", "off", "content", "a", "b")))))
+
+        split = written(map_rows(many, halve, "key binary, part binary, parent binary, n bigint, off int, content binary, a int, b int"), "halves")
+        members = written(members.join(split.select(F.col("parent").alias("id"), "key", "part"), "id").select("root", "key", F.concat("key", "part").alias("id")), "members")
+        # Equal parts of a context are one item from here on.
+        kinds = split.groupBy("key", "part").agg(F.sum("n").alias("n"), *[F.first(c).alias(c) for c in ("off", "content", "a", "b")])
+        told = split.groupBy("key").agg(F.sum("n").alias("total"), (F.min("part") == F.max("part")).alias("equal")).where("total > 1").select("key", "equal")
+        items = written(kinds.join(told, "key").select("key", F.concat("key", "part").alias("id"), "n", "off", "content", "a", "b", "equal"), "contexts")
         first, last = F.greatest("a", F.col("off") + window - F.length("content")), F.least(F.col("b"), F.col("off") + 1)
-        hits.append(split.where("equal").select("h", "d", (1 - last).alias("lo"), (-first).alias("hi")))
-        items = split.where("not equal").drop("part", "equal")
+        whole = items.where("equal").select("id", (1 - last).alias("lo"), (-first).alias("hi"))
+        hits.append(members.join(whole, "id").select("root", "lo", "hi"))
+        items = items.where("not equal").drop("equal")
+        members = members.drop("key")
     repeats = hits[0]
     for more in hits[1:]:
         repeats = repeats.unionByName(more)
-    spans.append(mixed.join(repeats, ["h", "d"]).select(*key, (F.col("pos") + F.col("lo")).alias("lo"), (F.col("pos") + F.col("hi") + window).alias("hi")))
+    mixed = mixed.withColumn("root", F.concat(_bytes("h"), _bytes("d")))
+    spans.append(mixed.join(repeats, "root").select(*key, (F.col("pos") + F.col("lo")).alias("lo"), (F.col("pos") + F.col("hi") + window).alias("hi")))
     return spans[0].unionByName(spans[1]).groupBy(*key).agg(F.collect_set(F.struct("lo", "hi")).alias("spans"))
 
 

@@ -53,7 +53,7 @@ def _types(t: np.ndarray) -> np.ndarray:
 def _place(out: np.ndarray, t: np.ndarray, items: np.ndarray, free: np.ndarray, step: int) -> None:
     """Puts items, in order, at the free ends of their buckets."""
     c = t[items]
-    order = np.argsort(c, kind="stable")
+    order = np.argsort(c.astype(np.uint16) if len(free) < 65536 else c, kind="stable")  # 16 bits are sorted by radix
     c = c[order]
     first = np.flatnonzero(np.concatenate([[True], c[1:] != c[:-1]]))
     size = np.diff(np.append(first, len(c)))
@@ -65,7 +65,8 @@ def _place(out: np.ndarray, t: np.ndarray, items: np.ndarray, free: np.ndarray,
 def _induce(t: np.ndarray, smaller: np.ndarray, lms: np.ndarray, heads: np.ndarray) -> np.ndarray:
     """The order of all suffixes from the leftmost-smaller ones in the order given: larger types rightwards, then smaller types leftwards."""
     n, sigma = len(t), len(heads) - 1
-    by_bucket = lms[np.argsort(t[lms], kind="stable")]
+    own = t[lms]
+    by_bucket = lms[np.argsort(own.astype(np.uint16) if sigma < 65536 else own, kind="stable")]
     cut = np.searchsorted(t[by_bucket], np.arange(sigma + 1))
     out = np.full(n, -1, np.int64)
     free = heads[:-1].copy()
@@ -127,7 +128,7 @@ def _named(t: np.ndarray, lms: np.ndarray, ordered: np.ndarray) -> tuple[np.ndar
 def _doubled(r: np.ndarray) -> np.ndarray:
     """Suffix order by doubling ranks; only suffixes that still tie are sorted again."""
     n = len(r)
-    order = np.argsort(r, kind="stable")
+    order = np.argsort(r)
     s = r[order]
     first = np.concatenate([[True], s[1:] != s[:-1]])
     rank = np.empty(n + 1, np.int64)
@@ -138,7 +139,7 @@ def _doubled(r: np.ndarray) -> np.ndarray:
     while len(tied):
         items = order[tied]
         own, then = rank[items], rank[np.minimum(items + k, n)]
-        key = np.lexsort((then, own))
+        key = np.argsort(own * (n + 2) + then + 1)
         items, own, then = items[key], own[key], then[key]
         order[tied] = items
         new_own = np.concatenate([[True], own[1:] != own[:-1]])
@@ -166,22 +167,21 @@ def permuted_common_prefixes(text: np.ndarray, order: np.ndarray) -> np.ndarray:
     start = np.flatnonzero(~reducible)
     value = np.zeros(len(start), np.int64)
     live = np.flatnonzero(phi[start] >= 0)
-    raw = np.ascontiguousarray(text, np.uint8) if text.dtype == np.uint8 else None
-    words = None
-    if raw is not None and n >= 8:
-        padded = np.concatenate([raw, np.zeros(8, np.uint8)])
-        words = np.lib.stride_tricks.as_strided(padded.view(), (n, 8), (1, 1))
     a, b = start[live], phi[start[live]]
-    if words is not None:
-        step = 8
+    if text.dtype == np.uint8:  # eight symbols at once, first symbol in the lowest byte
+        padded = np.concatenate([text, np.zeros(8, np.uint8)])
+        words = np.ndarray((n,), "<u8", padded, strides=(1,))
         while len(live):
-            ok = np.maximum(a, b) + step <= n
-            same = np.zeros(len(live), bool)
-            same[ok] = (words[a[ok]] == words[b[ok]]).all(1)
-            value[live[same]] += step
-            slow = live[~same]
-            _finish(text, start[slow], phi[start[slow]], value, slow)
-            live, a, b = live[same], a[same] + step, b[same] + step
+            apart = words[a] ^ words[b]
+            same = apart == 0
+            ends = ~same
+            lowest = apart[ends] & (~apart[ends] + np.uint64(1))
+            value[live[ends]] += np.log2(lowest.astype(np.float64)).astype(np.int64) >> 3
+            live, a, b = live[same], a[same] + 8, b[same] + 8
+            value[live] += 8
+            inside = np.maximum(a, b) < n
+            live, a, b = live[inside], a[inside], b[inside]
+        value = np.minimum(value, n - np.maximum(start, phi[start]))
     else:
         _finish(text, a, b, value, live)
     at = np.zeros(n, np.int64)
