@@ -88,6 +88,7 @@ def map_rows(df: DataFrame, make: Callable[[], Callable[[dict[str, list]], dict[
                 part = batch.slice(at, rows)
                 out = f({n: part.column(i).to_pylist() for i, n in enumerate(part.schema.names)})
                 yield pa.RecordBatch.from_arrays([pa.array(out[n], type=arrow.field(n).type) for n in names], schema=arrow)
+        pa.default_memory_pool().release_unused()  # the worker lives on
 
     arrow = arrow_schema(schema)
     return df.mapInArrow(run, schema)

@@ -9,9 +9,10 @@ share a key that any linked pair must share:
 - for documents that still have a key in a large region, by parts: the universe of hashes is cut into more parts than linked sets
   of that size can differ in, so linked sets agree on a whole part, which for other than near copies is most unlikely.
 
-Small regions are joined in themselves, after filters that lose nothing. In a large region pivots are taken, every member's
-distance to them is computed, members within r are linked, and what is left, members of other classes than the region's largest
-and whoever lies in their windows |d(x, p) - d(y, p)| <= r, makes up the next, smaller region: until none is left or few are.
+Small regions are joined in themselves, after filters that lose nothing. Larger ones that overlap make up one cell. In a cell
+pivots are taken, every member's distance to them is computed, members within r are linked, and what is left, members of other
+classes than the cell's largest and whoever lies in their windows |d(x, p) - d(y, p)| <= r, is gone through again. A cell of
+up to CELL members is one task's work; a larger one is worked region by region over all tasks, each round leaving smaller regions.
 """
 
 from __future__ import annotations
@@ -20,6 +21,7 @@ import hashlib
 from functools import lru_cache
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -27,7 +29,9 @@ from .common import map_rows, remove, text_bytes, written
 from .shingles import mix, overlap, shingle_sets
 
 #: Members up to which a region is joined in itself, and pivots that one round takes of a larger one.
-FEW, PIVOTS = 64, 4
+FEW, PIVOTS = 64, 16
+#: Members, and bytes of text, that a cell may have to be joined by one task.
+CELL, CELL_BYTES = 4096, 32 << 20
 
 
 def needed(n: int, percent: int) -> int:
@@ -215,7 +219,17 @@ def jaccard_classes(docs: DataFrame, key: str = "doc_id", text: str = "text", sh
     x, y = (region.where(F.col("times") <= FEW).select("k", F.col("cid").alias(f"cid_{s}"), F.col("n").alias(f"n_{s}")) for s in "xy")
     more = x.join(y, "k").where((F.col("cid_x") < F.col("cid_y")) & size_ok).select(F.col("cid_x").alias("a"), F.col("cid_y").alias("b"))
     links = written(_measured(pairs.union(more).distinct(), texts, shingle).where(_linked(percent)).select("a", "b"), "links")
-    links = _large_regions(spark, region.where(F.col("times") > FEW).select("k", "cid"), texts, links, shingle, percent)
+    crowds = written(region.where(F.col("times") > FEW).select("k", "cid"), "large-regions")
+    if not crowds.isEmpty():
+        lead = crowds.groupBy("k").agg(F.min("cid").alias("lead"))
+        cells = components(spark, crowds.join(lead, "k").select(F.col("cid").alias("a"), F.col("lead").alias("b")))
+        sizes = texts.select("cid", F.length("raw").alias("size")).join(cells.withColumnRenamed("v", "cid"), "cid").groupBy("label").agg(F.count("*").alias("members"), F.sum("size").alias("bytes"))
+        small = (F.col("members") <= CELL) & (F.col("bytes") <= CELL_BYTES)
+        cells = written(cells.join(sizes.select("label", small.alias("small")), "label").select(F.col("v").alias("cid"), "label", "small"), "cells")
+        at_once = texts.join(cells.where("small"), "cid").select("label", "cid", "raw").groupBy("label")
+        links = links.union(at_once.applyInPandas(lambda pdf: _cell_links(pdf, shingle, percent), "a bigint, b bigint"))
+        links = written(links, "links")
+        links = _large_regions(spark, crowds.join(cells.where("not small").select("cid"), "cid").select("k", "cid"), texts, links, shingle, percent)
 
     labels = components(spark, links)
     # The least key of every class and component; hot components come down to a row a task before they move.
@@ -244,6 +258,40 @@ def _texts(slim: DataFrame, sets: DataFrame, asked: DataFrame, shingle: int) ->
     return written(map_rows(docs_of, same_set, "cid bigint, raw binary").dropDuplicates(["cid"]), "texts")
 
 
+def _cell_links(pdf: pd.DataFrame, shingle: int, percent: int) -> pd.DataFrame:
+    """Links enough to connect what is connected in a cell: each pivot meets every member; a member that isn't of the largest class
+    becomes a pivot unless the windows of the pivots so far keep all members of other classes from it."""
+    pdf = pdf.sort_values("cid")
+    ids, sets, r = pdf["cid"].to_numpy(), list(shingle_sets([bytes(t) for t in pdf["raw"]], shingle)), (100 - percent) / 100
+    n, size = len(ids), np.array([len(s) for s in sets])
+    member, flat = np.repeat(np.arange(n), size), np.concatenate(sets)
+    label, links, away, met = np.arange(n), [], np.zeros((0, n)), np.zeros(n, bool)
+    while True:
+        count = np.bincount(label, minlength=n)
+        main = int(np.argmax(count))
+        open_ = np.flatnonzero(~met & (label != main))
+        pivot = -1
+        for x in open_[np.argsort(count[label[open_]], kind="stable")].tolist():
+            far = (np.abs(away - away[:, x : x + 1]) > r + 1e-9).any(0) if len(away) else np.zeros(n, bool)
+            if (~far & ~met & (label != label[x])).any():
+                pivot = x
+                break
+            met[x] = True  # whoever could link has met it, or can't link
+        if pivot < 0:
+            break
+        p = sets[pivot]
+        at = np.minimum(np.searchsorted(p, flat), len(p) - 1)
+        shared = np.bincount(member[p[at] == flat], minlength=n)
+        near = 100 * shared >= percent * (size + len(p) - shared)
+        for x in np.flatnonzero(near).tolist():
+            if label[x] != label[pivot]:
+                links.append((ids[pivot], ids[x]))
+                label[label == label[x]] = label[pivot]
+        away = np.vstack([away, 1 - shared / (size + len(p) - shared)])
+        met[pivot] = True
+    return pd.DataFrame(links, columns=["a", "b"], dtype=np.int64)
+
+
 def _large_regions(spark: SparkSession, region: DataFrame, texts: DataFrame, links: DataFrame, shingle: int, percent: int) -> DataFrame:
     """links and those that large regions (k, cid) add to their classes."""
     r = (100 - percent) / 100
