@@ -116,6 +116,52 @@ def _document_anchors(texts: list[bytes], window: int, gram: int) -> Iterator[tu
 def _repeated(rows: list[tuple[bytes, int, int, int, int, int]], window: int) -> list[list[tuple[int, int]]]:
     """For each context (bytes, anchor offset, least and greatest+1 bytes before the anchor, key, copies), the runs of window
     starts, relative to the anchor, whose window occurs in another context of the same key at the same place, or that have copies."""
+    out: list[list[tuple[int, int]]] = [[] for _ in rows]
+    at, whole = _trimmed(rows, window)
+    for i in whole:  # copies that share nothing with other contexts
+        text, off, least, most = rows[i][:4]
+        lo, hi = max(least, off + window - len(text)), min(most, off + 1)
+        if lo < hi:
+            out[i].append((1 - hi, -lo))
+    if at:
+        for (i, *_), found in zip(at, _by_suffixes([x[1:] for x in at], window)):
+            out[i] += found
+    return out
+
+
+def _trimmed(rows: list[tuple], window: int, pieces: int = 4) -> tuple[list[tuple], list[int]]:
+    """Contexts without the ends that only windows reach whose core, what a quarter of all window places have in common, occurs
+    once among the contexts of the key: such windows can't repeat. Gives (row, context ...) for those that are left, and the rows of
+    copies that aren't."""
+    off, least, most, key, copies = (np.array([r[i] for r in rows], np.int64) for i in (1, 2, 3, 4, 5))
+    size = np.array([len(r[0]) for r in rows])
+    begin = np.concatenate([[0], np.cumsum(size)[:-1]])
+    text = np.frombuffer(b"".join(r[0] for r in rows), np.uint8)
+    grow, shrink = _power(len(text) + 1)
+    upto = np.zeros(len(text) + 1, np.uint64)
+    np.cumsum(_TABLE[text] * grow[: len(text)], out=upto[1:])
+    first, last = np.full(len(rows), 1 << 30), np.full(len(rows), -1)
+    for q in range(pieces):
+        a, b = least + (most - least) * q // pieces, least + (most - least) * (q + 1) // pieces
+        lo, hi = np.maximum(a, off + window - size), np.minimum(b, off + 1)
+        some = np.flatnonzero(lo < hi)
+        if not len(some):
+            continue
+        s, e = (begin + off - a)[some], (begin + off - b + 1 + window)[some]
+        core = _mix((upto[e] - upto[s]) * shrink[s] + key[some].astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
+        _, which, times = np.unique(core, return_inverse=True, return_counts=True)
+        met = some[times[which] > 1]
+        first[met], last[met] = np.minimum(first[met], lo[met]), np.maximum(last[met], hi[met])
+    kept = []
+    for i in np.flatnonzero(last > first).tolist():
+        lo, hi = int(first[i]), int(last[i])
+        cut = int(off[i]) - hi + 1
+        kept.append((i, rows[i][0][cut : int(off[i]) - lo + window], int(off[i]) - cut, lo, hi, int(key[i]), int(copies[i])))
+    return kept, np.flatnonzero(copies > 1).tolist()
+
+
+def _by_suffixes(rows: list[tuple], window: int) -> list[list[tuple[int, int]]]:
+    """_repeated() by the suffix array of all contexts."""
     size = np.array([len(r[0]) for r in rows])
     begin = np.concatenate([[0], np.cumsum(size)[:-1]])
     text = np.frombuffer(b"".join(r[0] for r in rows), np.uint8)
@@ -131,10 +177,10 @@ def _repeated(rows: list[tuple[bytes, int, int, int, int, int]], window: int) ->
     x = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count) + lo[row]
     g = group[begin[row] + off[row] - x]
     span = int(x.max(initial=0)) + 1
-    same = np.unique(key, return_inverse=True)[1][row] * span + x
-    by = np.lexsort((same, g))
-    gs, ss = g[by], same[by]
-    new = np.concatenate([[True], (gs[1:] != gs[:-1]) | (ss[1:] != ss[:-1])]) if len(by) else np.zeros(0, bool)
+    kinds, number = np.unique(key, return_inverse=True)
+    place = (g * len(kinds) + number[row]) * span + x  # equal string, key and place
+    by = np.argsort(place)
+    new = np.concatenate([[True], place[by[1:]] != place[by[:-1]]]) if len(by) else np.zeros(0, bool)
     run = np.cumsum(new) - 1
     often = np.bincount(run)[run] > 1 if len(by) else new
     hit = np.zeros(len(x), bool)
@@ -155,24 +201,24 @@ def _shards(window: int):
     """Over rows sorted by key: suffix arrays of about SHARD bytes of whole keys."""
     schema = arrow_schema("id binary, lo int, hi int")
 
-    def emit(rows: list[dict]) -> pa.RecordBatch:
-        got = _repeated([(r["content"], r["off"], r["a"], r["b"], r["key"], r["n"]) for r in rows], window)
-        flat = [(r["id"], lo, hi) for r, runs in zip(rows, got) for lo, hi in runs]
+    def emit(names: list[bytes], rows: list[tuple]) -> pa.RecordBatch:
+        flat = [(i, lo, hi) for i, runs in zip(names, _repeated(rows, window)) for lo, hi in runs]
         return pa.RecordBatch.from_arrays([pa.array([x[i] for x in flat], f.type) for i, f in enumerate(schema)], schema=schema)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, size, last, ids = [], 0, None, {}
+        names, held, size, last, number = [], [], 0, None, 0
         for batch in batches:
-            for r in batch.to_pylist():
-                if r["key"] != last and size >= SHARD:
-                    yield emit(held)
-                    held, size, ids = [], 0, {}
-                last = r["key"]
-                r["key"] = ids.setdefault(last, len(ids))
-                held.append(r)
-                size += len(r["content"])
+            for key, i, n, off, content, a, b in zip(*(batch.column(c).to_pylist() for c in ("key", "id", "n", "off", "content", "a", "b"))):
+                if key != last:
+                    if size >= SHARD:
+                        yield emit(names, held)
+                        names, held, size = [], [], 0
+                    last, number = key, number + 1
+                names.append(i)
+                held.append((content, off, a, b, number, n))
+                size += len(content)
         if held:
-            yield emit(held)
+            yield emit(names, held)
 
     return run
 
