@@ -1,6 +1,8 @@
-"""Registry of the library's named queries; filled in by the plan modules."""
+"""Registry of the library's named queries."""
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLES: dict[str, str] = {}
+from . import fits, formulas, scoring
+
+QUERIES = {**formulas.QUERIES, **fits.QUERIES, **scoring.QUERIES}
+ORACLES: dict[str, str] = {**formulas.ORACLES, **fits.ORACLES, **scoring.ORACLES}
