@@ -30,6 +30,8 @@ from .shingles import mix, overlap, shingle_sets
 
 #: Members up to which a region is joined in itself, and pivots that one round takes of a larger one.
 FEW, PIVOTS = 64, 16
+#: Documents asked for, up to which their keys are broadcast; more are joined by shuffle.
+FEW_KEYS = 20_000
 #: Members, and bytes of text, that a cell may have to be joined by one task.
 CELL, CELL_BYTES = 4096, 32 << 20
 
@@ -244,7 +246,9 @@ def jaccard_classes(docs: DataFrame, key: str = "doc_id", text: str = "text", sh
 def _texts(slim: DataFrame, sets: DataFrame, asked: DataFrame, shingle: int) -> DataFrame:
     """cid, raw: for each class asked for (cid, digest), one document's text."""
     one = sets.join(asked, "digest").groupBy("cid", "digest").agg(F.min_by(F.struct("id"), F.struct(F.col("id").isNull(), "id")).alias("o")).select("cid", "digest", F.col("o.id").alias("oid"))
-    one = written(one, "asked")  # so that its size is known when Spark picks the join
+    one = written(one, "asked")
+    if one.count() <= FEW_KEYS:  # rows of fixed-size keys, so the documents needn't move
+        one = F.broadcast(one)
     docs_of = slim.join(one, slim["id"].eqNullSafe(one["oid"])).select("cid", "digest", "raw")
 
     def same_set():

@@ -129,8 +129,8 @@ def _repeated(rows: list[tuple[bytes, int, int, int, int, int]], window: int) ->
     return out
 
 
-def _trimmed(rows: list[tuple], window: int, pieces: int = 4) -> tuple[list[tuple], list[int]]:
-    """Contexts without the ends that only windows reach whose core, what a quarter of all window places have in common, occurs
+def _trimmed(rows: list[tuple], window: int, pieces: int = 8) -> tuple[list[tuple], list[int]]:
+    """Contexts without the ends that only windows reach whose core, what an eighth of all window places has in common, occurs
     once among the contexts of the key: such windows can't repeat. Gives (row, context ...) for those that are left, and the rows of
     copies that aren't."""
     off, least, most, key, copies = (np.array([r[i] for r in rows], np.int64) for i in (1, 2, 3, 4, 5))
