@@ -165,7 +165,7 @@ RE_SQL = """WITH g AS (SELECT o_orderpriority, count(*) AS n, avg(o_totalprice)
 
 def _glm(name: str, y, x: str):
     def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-        df = lines(spark, sf_dir).withColumn("y", y)
+        df = lines(spark, sf_dir).withColumn("y", y())
         m = fit_gam(df, "y", [Linear(x)], name)
         return spark.createDataFrame([(float(m.beta[0]), float(m.beta[1]))], "a double, b double").select(F.round("a", 5).alias("intercept"), F.round("b", 5).alias("slope"))
 
@@ -236,7 +236,7 @@ COVERAGE_SQL = """WITH r AS (SELECT l_extendedprice - l_quantity * 1500 AS r, ro
 def _fit(terms, fam, y=None, **options):
     def query(spark: SparkSession, sf_dir: str) -> DataFrame:
         df = lines(spark, sf_dir)
-        df = df.withColumn("y", y if y is not None else F.col("l_extendedprice") / 1000.0)
+        df = df.withColumn("y", y() if y is not None else F.col("l_extendedprice") / 1000.0)
         return _terms_frame(spark, fit_gam(df, "y", terms(), fam(), opt=Options(**options)))
 
     return query
@@ -252,19 +252,26 @@ def quantile_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return q.transform(df.select("l_quantity").distinct()).withColumn("sigma", F.lit(q.sigma))
 
 
-_lin = lambda: F.col("l_extendedprice") / 1000.0
+def LINE():  # noqa: N802
+    return F.col("l_linenumber").cast("double")
+
+
+def RETURNED():  # noqa: N802
+    return (F.col("l_returnflag") == "R").cast("double")
+
+
 QUERIES = {
     "cr_knots": cr_knots, "cr_basis": cr_basis, "bs_basis": bs_basis, "gram_small": gram_small, "gam_fixed_lambda_fit": gam_fixed_lambda_fit, "parametric_fit": parametric_fit, "re_shrinkage": re_shrinkage,
-    "poisson_pirls": _glm("poisson", F.col("l_linenumber").cast("double"), "l_discount"), "logit_pirls": _glm("binomial", (F.col("l_returnflag") == "R").cast("double"), "l_quantity"),
+    "poisson_pirls": _glm("poisson", LINE, "l_discount"), "logit_pirls": _glm("binomial", RETURNED, "l_quantity"),
     "bin_compress": bin_compress, "bin_gram": bin_gram, "k_index": k_index_query, "coverage_shift": coverage_query, "quantile_fit": quantile_fit,
     "gam_reml_fit": _fit(_smooths, lambda: family("gaussian")), "gam_gcv_fit": _fit(_smooths, lambda: family("gaussian"), method="GCV"), "gam_fellner_schall_fit": _fit(_smooths, lambda: family("gaussian"), algorithm="fellner-schall"),
     "gam_discrete_fit": _fit(lambda: [Cubic("l_quantity", 10), Cubic("l_tax", 5)], lambda: family("gaussian"), discrete=True),
-    "gam_binomial_fit": _fit(_smooths, lambda: family("binomial"), (F.col("l_returnflag") == "R").cast("double"), method="fREML"),
-    "gam_poisson_fit": _fit(_smooths, lambda: family("poisson"), F.col("l_linenumber").cast("double"), method="fREML"),
+    "gam_binomial_fit": _fit(_smooths, lambda: family("binomial"), RETURNED, method="fREML"),
+    "gam_poisson_fit": _fit(_smooths, lambda: family("poisson"), LINE, method="fREML"),
     "gam_gamma_fit": _fit(_smooths, lambda: family("gamma", "log"), method="fREML"), "gam_inverse_gaussian_fit": _fit(_smooths, lambda: family("inverse.gaussian"), method="fREML"),
-    "gam_negbin_fit": _fit(_smooths, lambda: family("negbin"), F.col("l_linenumber").cast("double"), method="fREML"),
+    "gam_negbin_fit": _fit(_smooths, lambda: family("negbin"), LINE, method="fREML"),
     "gam_tweedie_fit": _fit(_smooths, lambda: family("tweedie"), method="fREML"), "gam_scat_fit": _fit(_smooths, lambda: family("scat")),
-    "gam_ocat_fit": _fit(_smooths, lambda: family("ocat(3)"), (F.col("l_linenumber") % 3 + 1).cast("double"), method="fREML"),
+    "gam_ocat_fit": _fit(_smooths, lambda: family("ocat(3)"), lambda: (F.col("l_linenumber") % 3 + 1).cast("double"), method="fREML"),
     "gam_thin_plate_fit": _fit(lambda: [ThinPlate("l_quantity", 8)], lambda: family("gaussian")),
 }
 ORACLES = {

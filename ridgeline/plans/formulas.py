@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -28,21 +29,22 @@ def sql_of(values: dict[str, str], table: str = "lineitem", keys: list[str] = KE
     return f"SELECT {', '.join(keys)}, {', '.join(f'round({v}, {DIGITS}) AS {k}' for k, v in values.items())} FROM {table}"
 
 
+# Columns need a session, so they are made when a query is.
 # Inputs: a linear predictor, positive and unit-interval means, and responses, all from one row of lineitem.
-ETA, ETA_SQL = (F.col("l_quantity") - 25.5) / 5.0, "((l_quantity - 25.5) / 5.0)"
-MU, MU_SQL = F.col("l_extendedprice") / 5000.0 + 0.1, "(l_extendedprice / 5000.0 + 0.1)"
-UNIT, UNIT_SQL = F.col("l_tax") * 10.0 + 0.05, "(l_tax * 10.0 + 0.05)"
-Y, Y_SQL = F.col("l_quantity") / 4.0, "(l_quantity / 4.0)"
-COUNT, COUNT_SQL = (F.col("l_linenumber") - 1).cast("double"), "CAST(l_linenumber - 1 AS DOUBLE)"
-SHARE, SHARE_SQL = F.least(F.col("l_discount") * 10.0, F.lit(1.0)), "least(l_discount * 10.0, 1.0)"
+ETA, ETA_SQL = lambda: (F.col("l_quantity") - 25.5) / 5.0, "((l_quantity - 25.5) / 5.0)"
+MU, MU_SQL = lambda: F.col("l_extendedprice") / 5000.0 + 0.1, "(l_extendedprice / 5000.0 + 0.1)"
+UNIT, UNIT_SQL = lambda: F.col("l_tax") * 10.0 + 0.05, "(l_tax * 10.0 + 0.05)"
+Y, Y_SQL = lambda: F.col("l_quantity") / 4.0, "(l_quantity / 4.0)"
+COUNT, COUNT_SQL = lambda: (F.col("l_linenumber") - 1).cast("double"), "CAST(l_linenumber - 1 AS DOUBLE)"
+SHARE, SHARE_SQL = lambda: F.least(F.col("l_discount") * 10.0, F.lit(1.0)), "least(l_discount * 10.0, 1.0)"
 
 
 def links_all(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = {}
-    for name, mu in (("identity", MU), ("log", MU), ("logit", UNIT), ("inverse", MU)):
+    for name, mu in (("identity", MU()), ("log", MU()), ("logit", UNIT()), ("inverse", MU())):
         link = LINKS[name]
         second, third, fourth = link.derivatives(SP, mu)
-        out |= {f"{name}_link": link.link(SP, mu), f"{name}_inverse": link.inverse(SP, ETA), f"{name}_slope": link.slope(SP, ETA), f"{name}_g2": second, f"{name}_g3": third, f"{name}_g4": fourth}
+        out |= {f"{name}_link": link.link(SP, mu), f"{name}_inverse": link.inverse(SP, ETA()), f"{name}_slope": link.slope(SP, ETA()), f"{name}_g2": second, f"{name}_g3": third, f"{name}_g4": fourth}
     return rounded(lines(spark, sf_dir), out)
 
 
@@ -58,7 +60,7 @@ LINK_SQL = sql_of({
 })
 
 #: Family, mean and response by name, with SQL for the variance and its slope at m, and the deviance of y at m.
-CASES: dict[str, tuple[fm.Family, Column, str, Column, str, str, str, str]] = {
+CASES: dict[str, tuple[fm.Family, Callable[[], Column], str, Callable[[], Column], str, str, str, str]] = {
     "gaussian": (fm.Gaussian(), MU, MU_SQL, Y, Y_SQL, "1.0", "0.0", "pow(y - m, 2)"),
     "binomial": (fm.Binomial(), UNIT, UNIT_SQL, SHARE, SHARE_SQL, "m * (1 - m)", "1 - 2 * m", "2 * (CASE WHEN y > 0 THEN y * ln(y / m) ELSE 0 END + CASE WHEN y < 1 THEN (1 - y) * ln((1 - y) / (1 - m)) ELSE 0 END)"),
     "quasibinomial": (fm.QuasiBinomial(), UNIT, UNIT_SQL, SHARE, SHARE_SQL, "m * (1 - m)", "1 - 2 * m", "2 * (CASE WHEN y > 0 THEN y * ln(y / m) ELSE 0 END + CASE WHEN y < 1 THEN (1 - y) * ln((1 - y) / (1 - m)) ELSE 0 END)"),
@@ -78,7 +80,7 @@ _LINK_SLOPES = {"identity": ("e", "1.0", "0.0"), "log": ("exp(least(e, 20))", "e
 def variance_all(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = {}
     for name, (fam, mu, *_) in CASES.items():
-        out |= {f"{name}_v": fam.variance(SP, mu), f"{name}_dv": fam.variance_slopes(SP, mu)[0]}
+        out |= {f"{name}_v": fam.variance(SP, mu()), f"{name}_dv": fam.variance_slopes(SP, mu())[0]}
     return rounded(lines(spark, sf_dir), out)
 
 
@@ -95,7 +97,7 @@ def _deviance(name: str):
     fam, mu, _, y, *_ = CASES[name]
 
     def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-        return rounded(lines(spark, sf_dir), {"deviance": fam.deviance(SP, y, mu)})
+        return rounded(lines(spark, sf_dir), {"deviance": fam.deviance(SP, y(), mu())})
 
     return query
 
@@ -104,9 +106,9 @@ def _working(name: str):
     fam, _, _, y, *_ = CASES[name]
 
     def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-        w, g = fam.working(SP, y, ETA, newton=False)
-        n, _ = fam.working(SP, y, ETA, newton=True)
-        return rounded(lines(spark, sf_dir), {"fisher_w": w, "score": g, "newton_w": n, "z": ETA + g / w})
+        w, g = fam.working(SP, y(), ETA(), newton=False)
+        n, _ = fam.working(SP, y(), ETA(), newton=True)
+        return rounded(lines(spark, sf_dir), {"fisher_w": w, "score": g, "newton_w": n, "z": ETA() + g / w})
 
     return query
 
@@ -131,14 +133,14 @@ ELF_SQL = f"""WITH a AS (SELECT *, {Y_SQL} - {MU_SQL} AS r, ({Y_SQL} - {MU_SQL})
 
 
 def elf_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rounded(lines(spark, sf_dir), dict(zip(("d", "dmu", "dmu2", "dmu3", "dtheta"), ELF.parts(SP, Y, MU))))
+    return rounded(lines(spark, sf_dir), dict(zip(("d", "dmu", "dmu2", "dmu3", "dtheta"), ELF.parts(SP, Y(), MU()))))
 
 
 T5 = fm.StudentT(nu=5.0, sigma2=1.5)
 
 
 def t_weights(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rounded(lines(spark, sf_dir), {k: T5.weights(SP, Y - MU, k) for k in ("em", "newton", "fisher")})
+    return rounded(lines(spark, sf_dir), {k: T5.weights(SP, Y() - MU(), k) for k in ("em", "newton", "fisher")})
 
 
 OCAT = fm.OrderedCategorical(theta=(0.2, -0.3))
@@ -146,8 +148,8 @@ OCAT = fm.OrderedCategorical(theta=(0.2, -0.3))
 
 def ocat_proba(spark: SparkSession, sf_dir: str) -> DataFrame:
     y = F.col("l_linenumber") % 4 + 1
-    w, g = OCAT.working(SP, y.cast("double"), ETA)
-    return rounded(lines(spark, sf_dir), {f"p{r}": OCAT.probability(SP, ETA, r) for r in range(1, 5)} | {"deviance": OCAT.deviance(SP, y.cast("double"), ETA), "w": w, "score": g})
+    w, g = OCAT.working(SP, y.cast("double"), ETA())
+    return rounded(lines(spark, sf_dir), {f"p{r}": OCAT.probability(SP, ETA(), r) for r in range(1, 5)} | {"deviance": OCAT.deviance(SP, y.cast("double"), ETA()), "w": w, "score": g})
 
 
 def _ocat_sql() -> str:
@@ -167,7 +169,7 @@ def saturated_likelihood(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Saturated log likelihoods of counts by order priority's stand-in, the return flag."""
     from ..functions.special import lgamma
 
-    y, t = COUNT, 3.0
+    y, t = COUNT(), 3.0
     ylogy = F.when(y > 0, y * F.log(y)).otherwise(0.0)
     pois = ylogy - y - lgamma(SP, y + 1.0)
     nb = lgamma(SP, y + t) - math.lgamma(t) - lgamma(SP, y + 1.0) + t * math.log(t) + ylogy - (y + t) * F.log(y + t)
@@ -180,7 +182,7 @@ SATURATED_SQL = f"""WITH a AS (SELECT l_returnflag, {COUNT_SQL} AS y FROM lineit
 
 
 def pinball_loss(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return lines(spark, sf_dir).groupBy("l_returnflag").agg(*[F.round(F.avg(pinball(Y, MU, t)), 6).alias(f"loss_{int(t * 100)}") for t in (0.1, 0.5, 0.9)])
+    return lines(spark, sf_dir).groupBy("l_returnflag").agg(*[F.round(F.avg(pinball(Y(), MU(), t)), 6).alias(f"loss_{int(t * 100)}") for t in (0.1, 0.5, 0.9)])
 
 
 PINBALL_SQL = "SELECT l_returnflag, " + ", ".join(f"round(avg(greatest({t} * ({Y_SQL} - {MU_SQL}), ({t} - 1) * ({Y_SQL} - {MU_SQL}))), 6) AS loss_{int(t * 100)}" for t in (0.1, 0.5, 0.9)) + " FROM lineitem GROUP BY l_returnflag"
