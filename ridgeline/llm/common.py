@@ -15,6 +15,9 @@ from pyspark.sql import functions as F
 WORD = r"[^\x20\x09-\x0D]+"
 
 
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -32,7 +35,12 @@ def written(df: DataFrame, name: str) -> DataFrame:
     """Cuts lineage: writes df to the shared folder and reads it back. Lost executors cost nothing that was written."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/ridgeline-{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    before = spark.conf.get(CLEANUP, "false")
+    spark.conf.set(CLEANUP, "true")  # once the table is there, nothing reads the shuffle files that made it
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(CLEANUP, before)
     atexit.register(_remove, spark, path)
     return spark.read.schema(df.schema).parquet(path)
 

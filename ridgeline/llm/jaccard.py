@@ -185,6 +185,9 @@ def jaccard_classes(docs: DataFrame, key: str = "doc_id", text: str = "text", sh
     entries = prefixes.select("cid", "n", F.posexplode("keys").alias("rank", "k"))
     times = entries.groupBy("k").agg(F.count("*").alias("times")).where("times > 1")
     shared = written(entries.join(times, "k"), "shared-keys")
+    slim_classes = written(classes.select("cid", "n", "digest", "least"), "classes-slim")
+    remove(classes)
+    classes = slim_classes
     # Keys of large regions, and hot ones that a document's prefix would go on with, may be shared without being counted below.
     unseen = shared.where(F.col("times") > FEW).select("cid", F.lit(1).alias("u")).unionByName(again.where(F.size("keys") < F.col("p")).select("cid", (F.col("p") - F.size("keys")).alias("u")))
     crowded = written(unseen.groupBy("cid").agg(F.sum("u").alias("hot")), "crowded")
