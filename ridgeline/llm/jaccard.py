@@ -31,7 +31,7 @@ from .shingles import mix, overlap, shingle_sets
 #: Members up to which a region is joined in itself, and pivots that one round takes of a larger one.
 FEW, PIVOTS = 64, 16
 #: Documents asked for, up to which their keys are broadcast; more are joined by shuffle.
-FEW_KEYS = 20_000
+FEW_KEYS = 5_000
 #: Members, and bytes of text, that a cell may have to be joined by one task.
 CELL, CELL_BYTES = 4096, 32 << 20
 
@@ -184,7 +184,7 @@ def jaccard_classes(docs: DataFrame, key: str = "doc_id", text: str = "text", sh
     # Regions by prefix keys: one row for each document and key that another document has too.
     entries = prefixes.select("cid", "n", F.posexplode("keys").alias("rank", "k"))
     times = entries.groupBy("k").agg(F.count("*").alias("times")).where("times > 1")
-    shared = written(entries.join(times, "k"), "shared-keys")
+    shared = written(entries.join(times.hint("shuffle_hash"), "k"), "shared-keys")
     slim_classes = written(classes.select("cid", "n", "digest", "least"), "classes-slim")
     remove(classes)
     classes = slim_classes

@@ -23,9 +23,9 @@ from .common import arrow_schema, map_rows, remove, text_bytes, written
 from .suffixes import permuted_common_prefixes, suffix_array
 
 #: Bytes of a removable string, and of an anchor gram.
-WINDOW, GRAM = 200, 64
+WINDOW, GRAM = 200, 96
 #: Bytes of text that are hashed at once, that a suffix array is built of at once, and contexts of a gram that go to one shard.
-PIECE, SHARD, TOGETHER = 1 << 20, 1 << 20, 1024
+PIECE, SHARD, TOGETHER = 1 << 20, 1 << 19, 1024
 
 _rng = np.random.default_rng(20)
 _TABLE = _rng.integers(1, 2**63, 256, dtype=np.uint64)
@@ -246,8 +246,8 @@ def _halves(window: int, rows: list[tuple]) -> dict[str, list]:
 
 
 def repeated_spans(docs: DataFrame, key: list[str], window: int = WINDOW, gram: int = GRAM) -> DataFrame:
-    """The columns of key, and spans: array of start, end of bytes that windows occurring elsewhere cover, unmerged; no row for
-    documents without any. docs: the columns of key, and raw (binary, no nulls). Rows with equal keys must have equal raw."""
+    """The columns of key, and spans: array of anchor positions, each with runs of window starts from lo to hi bytes after it, whose
+    windows occur elsewhere; unmerged, and not yet cut to the document. No row for documents without any. docs: the columns of key, and raw (binary, no nulls). Rows with equal keys must have equal raw."""
     reach = window - gram
     types = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in docs.select(*key).schema)
     schema = f"{types}, pos int, h bigint, d bigint"
@@ -263,9 +263,9 @@ def repeated_spans(docs: DataFrame, key: list[str], window: int = WINDOW, gram:
 
     every = written(map_rows(docs.where(F.length("raw") >= window), make, schema), "anchors")
     grams = every.groupBy("h").agg(F.count("*").alias("n"), (F.min("d") != F.max("d")).alias("mixed")).where("n > 1").drop("n")
-    again = written(every.join(grams, "h"), "anchors-again")
+    again = written(every.join(grams.hint("shuffle_hash"), "h"), "anchors-again")
     remove(every)
-    spans = [again.where("not mixed").select(*key, (F.col("pos") - reach).alias("lo"), (F.col("pos") + window).alias("hi"))]
+    plain = again.where("not mixed").select(*key, "pos", F.array(F.struct(F.lit(-reach).alias("lo"), F.lit(0).alias("hi"))).alias("runs"))
 
     # The bytes of one context for each that differs.
     mixed = again.where("mixed")
@@ -321,14 +321,16 @@ def repeated_spans(docs: DataFrame, key: list[str], window: int = WINDOW, gram:
     for more in hits[1:]:
         repeats = repeats.unionByName(more)
     mixed = mixed.withColumn("root", F.concat(_bytes("h"), _bytes("d")))
-    spans.append(mixed.join(repeats, "root").select(*key, (F.col("pos") + F.col("lo")).alias("lo"), (F.col("pos") + F.col("hi") + window).alias("hi")))
-    return spans[0].unionByName(spans[1]).groupBy(*key).agg(F.collect_set(F.struct("lo", "hi")).alias("spans"))
+    # One row for each context, however many runs it has, before its occurrences come in.
+    runs = written(repeats.groupBy("root").agg(F.collect_set(F.struct("lo", "hi")).alias("runs")), "runs")
+    found = mixed.join(runs.hint("shuffle_hash"), "root").select(*key, "pos", "runs").unionByName(plain)
+    return found.groupBy(*key).agg(F.collect_set(F.struct("pos", "runs")).alias("spans"))
 
 
 def merged(spans: list, n: int, window: int) -> list[tuple[int, int]]:
     """Disjoint covered runs within n bytes. Spans of less than a window inside the document cover none."""
     out: list[list[int]] = []
-    for lo, hi in sorted((max(0, s["lo"]), min(n, s["hi"])) for s in spans or ()):
+    for lo, hi in sorted({(max(0, s["pos"] + r["lo"]), min(n, s["pos"] + r["hi"] + window)) for s in spans or () for r in s["runs"]}):
         if hi - lo < window:
             continue
         if out and lo <= out[-1][1]:

@@ -16,7 +16,7 @@ from .common import blank, map_rows
 LOOKALIKES = {
     "аàáâãäåāăąαɑ@4": "a", "ьβв8": "b", "сçćčϲ¢": "c", "ԁďđ": "d", "еèéêëēėęěєε3€": "e", "ɡģğ9": "g", "һĥ": "h",
     "іìíîïīįıιl1|ł": "i", "јĵ": "j", "κкķ": "k", "мμ": "m", "пñńňη": "n", "оòóôõöøōοσ0": "o", "рρ": "p", "ԛ": "q", "гŕř": "r",
-    "ѕśšşș5$": "s", "тťțτ7+": "t", "υùúûüūůų": "u", "ѵν": "v", "ѡω": "w", "хχ×": "x", "уýÿγ": "y", "žźżᴢ2": "z",
+    "ѕśŝšşș5$": "s", "тťțτ7+": "t", "υùúûüūůų": "u", "ѵν": "v", "ѡω": "w", "хχ×": "x", "уýÿγ": "y", "žźżᴢ2": "z",
 }
 FOLD = {ord(c): ord(to) for cs, to in LOOKALIKES.items() for c in cs} | {c: None for c in (0xAD, 0x200B, 0x200C, 0x200D, 0x2060, 0xFEFF)}
 FOLD |= {0xFF01 + i: chr(0x21 + i).lower().translate(FOLD) for i in range(94)}
