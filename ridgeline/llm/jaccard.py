@@ -29,9 +29,11 @@ from .common import map_rows, remove, text_bytes, written
 from .shingles import mix, overlap, shingle_sets
 
 #: Members up to which a region is joined in itself, and pivots that one round takes of a larger one.
-FEW, PIVOTS = 64, 16
+FEW, PIVOTS = 16, 16
 #: Documents asked for, up to which their keys are broadcast; more are joined by shuffle.
-FEW_KEYS = 5_000
+FEW_KEYS = 10_000
+#: Hot keys up to which they are broadcast; more are taken out by a join.
+HOT_KEYS = 200_000
 #: Members, and bytes of text, that a cell may have to be joined by one task.
 CELL, CELL_BYTES = 4096, 32 << 20
 
@@ -161,14 +163,11 @@ def jaccard_classes(docs: DataFrame, key: str = "doc_id", text: str = "text", sh
     # Keys that many documents have come last in the order. Documents without any such key among their first keep those.
     firsts = classes.select("cid", "n", F.explode(F.slice("keys", F.lit(1), F.col("p"))).alias("k"))
     hot = written(firsts.groupBy("k").agg(F.count("*").alias("times")).where(F.col("times") > FEW).select("k"), "hot-keys")
-    touched = written(firsts.join(hot, "k").select("cid").distinct(), "touched")
-    ordered = F.transform(F.sort_array(F.collect_list(F.struct("rank", "k"))), lambda x: x["k"])
-    others = classes.join(touched, "cid").select("cid", F.posexplode("keys").alias("rank", "k")).join(hot, "k", "left_anti")
-    others = others.groupBy("cid").agg(ordered.alias("cool"))
-    others = written(classes.join(touched, "cid").join(others, "cid", "left").select("cid", "n", "p", "digest", F.size("keys").alias("known"), F.coalesce("cool", F.array().cast("array<bigint>")).alias("cool")), "reordered")
-    done = (F.size("cool") >= F.col("p")) | (F.col("known") >= F.col("n"))
+    ordered = _reordered_here(classes, hot) if hot.count() <= HOT_KEYS else _reordered_by_join(classes, hot)
+    done = (F.size("keys") >= F.col("p")) | (F.col("known") >= F.col("n"))
+    ordered = written(ordered.withColumn("done", done), "reordered")
     # Where the keys at hand don't suffice, the whole set is gone through.
-    short = _texts(slim, sets, others.where(~done).select("cid", "digest"), shingle)
+    short = _texts(slim, sets, ordered.where("not done").select("cid", "digest"), shingle)
 
     def all_keys():
         def f(part):
@@ -177,9 +176,11 @@ def jaccard_classes(docs: DataFrame, key: str = "doc_id", text: str = "text", sh
         return f
 
     whole = map_rows(short, all_keys, "cid bigint, keys array<bigint>").select("cid", F.posexplode("keys").alias("rank", "k")).join(hot, "k", "left_anti")
-    whole = others.where(~done).select("cid", "n", "p").join(whole.groupBy("cid").agg(ordered.alias("cool")), "cid", "left").select("cid", "n", "p", F.coalesce("cool", F.array().cast("array<bigint>")).alias("cool"))
-    again = written(others.where(done).select("cid", "n", "p", "cool").unionByName(whole).select("cid", "n", "p", F.slice("cool", F.lit(1), F.col("p")).alias("keys")), "prefixes")
-    prefixes = classes.join(touched, "cid", "left_anti").select("cid", "n", "p", F.slice("keys", F.lit(1), F.col("p")).alias("keys")).unionByName(again)
+    whole = ordered.where("not done").select("cid", "n", "p").join(_lists(whole), "cid", "left").select("cid", "n", "p", F.coalesce("keys", F.array().cast("array<bigint>")).alias("keys"))
+    prefixes = ordered.where("done").select("cid", "n", "p", "keys").unionByName(whole.select("cid", "n", "p", F.slice("keys", F.lit(1), F.col("p")).alias("keys")))
+    if not ordered.where("not done").isEmpty():
+        prefixes = written(prefixes, "prefixes")
+        remove(ordered)
 
     # Regions by prefix keys: one row for each document and key that another document has too.
     entries = prefixes.select("cid", "n", F.posexplode("keys").alias("rank", "k"))
@@ -189,7 +190,7 @@ def jaccard_classes(docs: DataFrame, key: str = "doc_id", text: str = "text", sh
     remove(classes)
     classes = slim_classes
     # Keys of large regions, and hot ones that a document's prefix would go on with, may be shared without being counted below.
-    unseen = shared.where(F.col("times") > FEW).select("cid", F.lit(1).alias("u")).unionByName(again.where(F.size("keys") < F.col("p")).select("cid", (F.col("p") - F.size("keys")).alias("u")))
+    unseen = shared.where(F.col("times") > FEW).select("cid", F.lit(1).alias("u")).unionByName(prefixes.where(F.size("keys") < F.col("p")).select("cid", (F.col("p") - F.size("keys")).alias("u")))
     crowded = written(unseen.groupBy("cid").agg(F.sum("u").alias("hot")), "crowded")
     cool = shared.where(F.col("times") <= FEW).join(crowded, "cid", "left").select("k", "cid", "n", "rank", F.coalesce("hot", F.lit(0)).alias("hot"))
     x, y = (cool.select("k", *[F.col(c).alias(f"{c}_{s}") for c in ("cid", "n", "rank", "hot")]) for s in "xy")
@@ -246,6 +247,39 @@ def jaccard_classes(docs: DataFrame, key: str = "doc_id", text: str = "text", sh
     return out.select(F.col("id").alias(key), F.col("n").alias("n_shingles"), "component_id")
 
 
+def _lists(rows: DataFrame) -> DataFrame:
+    """cid, keys in order of rank, from rows of cid, rank and k."""
+    return rows.groupBy("cid").agg(F.transform(F.sort_array(F.collect_list(F.struct("rank", "k"))), lambda x: x["k"]).alias("keys"))
+
+
+def _reordered_here(classes: DataFrame, hot: DataFrame) -> DataFrame:
+    """cid, n, p, digest, known (keys at hand) and the first p of them that aren't hot; HOT_KEYS hot keys at most are broadcast."""
+    shipped = classes.sparkSession.sparkContext.broadcast(np.sort(np.array([r["k"] for r in hot.collect()], np.int64)))
+
+    def make():
+        bad = shipped.value
+
+        def f(part):
+            keys = []
+            for p, own in zip(part["p"], part["keys"]):
+                x = np.array(own, np.int64)
+                if len(bad):
+                    x = x[bad[np.minimum(np.searchsorted(bad, x), len(bad) - 1)] != x]
+                keys.append(x[:p])
+            return {"cid": part["cid"], "n": part["n"], "p": part["p"], "digest": part["digest"], "known": [len(k) for k in part["keys"]], "keys": keys}
+
+        return f
+
+    return map_rows(classes.select("cid", "n", "p", "digest", "keys"), make, "cid bigint, n bigint, p int, digest binary, known int, keys array<bigint>")
+
+
+def _reordered_by_join(classes: DataFrame, hot: DataFrame) -> DataFrame:
+    """The same for any number of hot keys."""
+    cool = _lists(classes.select("cid", F.posexplode("keys").alias("rank", "k")).join(hot, "k", "left_anti")).withColumnRenamed("keys", "cool")
+    keys = F.slice(F.coalesce("cool", F.array().cast("array<bigint>")), F.lit(1), F.col("p"))
+    return classes.join(cool, "cid", "left").select("cid", "n", "p", "digest", F.size("keys").alias("known"), keys.alias("keys"))
+
+
 def _texts(slim: DataFrame, sets: DataFrame, asked: DataFrame, shingle: int) -> DataFrame:
     """cid, raw: for each class asked for (cid, digest), one document's text."""
     one = sets.join(asked, "digest").groupBy("cid", "digest").agg(F.min_by(F.struct("id"), F.struct(F.col("id").isNull(), "id")).alias("o")).select("cid", "digest", F.col("o.id").alias("oid"))
