@@ -263,6 +263,7 @@ class Tweedie(_Positive):
     link_name: str = "log"
     p: float = 1.5
     links = ("log",)
+    TABLE = 1024
 
     def variance(self, o, mu):
         return o.power(mu, self.p)
@@ -277,23 +278,36 @@ class Tweedie(_Positive):
         return 2.0 * (first - y * o.power(mu, 1 - p) / (1 - p) + o.power(mu, 2 - p) / (2 - p))
 
     def log_density_at_y(self, y, phi):
-        """Saturated log density of each y: the compound Poisson-gamma series, summed about its largest term."""
+        """Saturated log density of each y. Over many distinct y, the series is summed at TABLE values of log y and interpolated
+        there: it is smooth in it."""
+        out, pos = np.zeros_like(y), y > 0
+        v = y[pos]
+        if not len(v):
+            return out
+        u, where = np.unique(v, return_inverse=True)
+        if len(u) > self.TABLE:
+            at = np.linspace(math.log(u[0]), math.log(u[-1]), self.TABLE)
+            out[pos] = np.interp(np.log(v), at, self._series(np.exp(at), phi))
+        else:
+            out[pos] = self._series(u, phi)[where]
+        return out
+
+    def _series(self, v, phi):
+        """The compound Poisson-gamma series, summed about its largest term."""
         p = self.p
         alpha = (2 - p) / (1 - p)
-        out = np.zeros_like(y)
-        pos = y > 0
-        v = y[pos]
-        if len(v):
-            logz = -alpha * np.log(v) + alpha * math.log(p - 1) - (1 - alpha) * math.log(phi) - math.log(2 - p)
-            top = np.maximum(1.0, np.round(v ** (2 - p) / ((2 - p) * phi)))
-            reach = int(np.ceil(6 * np.sqrt(top.max()) + 30))
-            j = np.maximum(1.0, top[:, None] + np.arange(-reach, reach + 1)[None, :])
-            low = top[:, None] + np.arange(-reach, reach + 1)[None, :] >= 1
-            terms = j * logz[:, None] - lgamma(NP, j + 1.0) - lgamma(NP, np.maximum(-alpha * j, 1e-12))
-            terms = np.where(low, terms, -np.inf)
+        logz = -alpha * np.log(v) + alpha * math.log(p - 1) - (1 - alpha) * math.log(phi) - math.log(2 - p)
+        top = np.maximum(1.0, np.round(v ** (2 - p) / ((2 - p) * phi)))
+        out, order = np.empty(len(v)), np.argsort(top)
+        for part in np.array_split(order, max(1, len(v) // 128)):  # rows of like width together
+            reach = int(np.ceil(6 * np.sqrt(top[part].max()) + 30))
+            j = top[part][:, None] + np.arange(-reach, reach + 1)[None, :]
+            inside = j >= 1
+            j = np.maximum(j, 1.0)
+            terms = np.where(inside, j * logz[part][:, None] - lgamma(NP, j + 1.0) - lgamma(NP, -alpha * j), -np.inf)
             m = terms.max(1)
-            out[pos] = m + np.log(np.exp(terms - m[:, None]).sum(1)) - np.log(v) + (v ** (2 - p) / (1 - p) - v ** (2 - p) / (2 - p)) / phi
-        return out
+            out[part] = m + np.log(np.exp(terms - m[:, None]).sum(1))
+        return out - np.log(v) + (v ** (2 - p) / (1 - p) - v ** (2 - p) / (2 - p)) / phi
 
     def likelihood_sums(self, y, w):
         # The series is tabulated over log phi and interpolated by saturated(): sums stay additive over rows.
