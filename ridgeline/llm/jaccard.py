@@ -18,6 +18,7 @@ up to CELL members is one task's work; a larger one is worked region by region o
 from __future__ import annotations
 
 import hashlib
+import math
 from functools import lru_cache
 
 import numpy as np
@@ -56,6 +57,16 @@ def prefix(n: int, percent: int) -> int:
     return n - needed(n, percent) + 1 if n else 0
 
 
+@lru_cache(maxsize=None)
+def _spare(differ: int, least: int) -> int:
+    """Parts beyond those that can differ, so that sets of `least` elements rarely leave more parts than these empty."""
+    spare = 3
+    for _ in range(8):
+        empty = (differ + 1 + spare) * math.exp(-least / (differ + 1 + spare))
+        spare = int(empty + 4 * math.sqrt(empty)) + 3
+    return spare
+
+
 def part_keys(x: np.ndarray, percent: int) -> np.ndarray:
     """Keys of which linked, different sets share one at least: for the set's level of size and the next."""
     bounds = np.array(_bounds(percent))
@@ -66,7 +77,7 @@ def part_keys(x: np.ndarray, percent: int) -> np.ndarray:
         differ = 2 * (100 - percent) * most // (100 + percent)
         if not differ or not len(x):
             continue  # only equal sets are linked
-        spare = 3 + differ // 32
+        spare = _spare(differ, int(bounds[max(level - 1, 0)]))
         m = differ + 1 + spare  # linked sets agree on spare + 1 parts at least
         tag = np.uint64((level + 1) * 0x9E3779B97F4A7C15 % 2**64)
         high, low = (x >> np.uint64(32)) * np.uint64(m) >> np.uint64(32), (x & np.uint64(0xFFFFFFFF)) * np.uint64(m) >> np.uint64(32)
