@@ -10,7 +10,7 @@ from dataclasses import replace
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .functions.families import Family, family as make_family
+from .functions.families import Family, Tweedie, family as make_family
 from .operators.diagnostics import k_index
 from .operators.fit import Options, fit_gam
 from .operators.model import GamModel
@@ -40,7 +40,7 @@ class Gam:
         r = params.pop("r", None)
         self.profile_shape = not any(p in params for p in ("nu", "theta", "p"))
         self.fam = family if isinstance(family, Family) else make_family(f"ocat({r})" if family == "ocat" and r else family, link or CANONICAL.get(family), **params)
-        self.options = replace(options or Options(), **{a: v for a, v in (("method", method), ("algorithm", algorithm)) if v is not None}, discrete=discrete or (options.discrete if options else False))
+        self.options = replace(options or Options(), **{a: v for a, v in (("method", method), ("algorithm", algorithm)) if v is not None}, discrete=discrete or (options.discrete if options else False), profile_p=isinstance(self.fam, Tweedie) and "p" not in params)
         self.auto_k, self.k_threshold, self.max_k = auto_k, k_threshold, max_k
         self.auto_k_trace: list[dict] = []
         self.model: GamModel | None = None

@@ -21,14 +21,17 @@ def bin_centre(index: Column, lo: float, hi: float, bins: int = BINS) -> Column:
     return F.lit(lo) + index * F.lit((hi - lo) / bins)
 
 
-def binned(data: DataFrame, terms: list, profile) -> DataFrame:
-    """data with every column of over BINS distinct values replaced by its cells' centres; others stay as they are."""
-    out = data
-    for t in terms:
-        if profile.unique[t.name] > BINS:
-            lo, hi = profile.lo[t.name], profile.hi[t.name]
-            out = out.withColumn(t.name, bin_centre(bin_index(F.col(t.name), lo, hi), lo, hi))
-    return out
+def binned_rows(rows, terms: list, profile):
+    """rows with every column of over BINS distinct values replaced by its cells' centres; others stay as they are."""
+    wide = [t.name for t in terms if profile.unique[t.name] > BINS]
+    if hasattr(rows, "columns"):
+        made = dict(rows.columns)
+        for c in wide:
+            lo, width = profile.lo[c], (profile.hi[c] - profile.lo[c]) / BINS
+            made[c] = lo + width * np.floor((np.asarray(made[c], np.float64) - lo) / width + 0.5)
+        return type(rows)(made)
+    centre = {c: bin_centre(bin_index(F.col(c), profile.lo[c], profile.hi[c]), profile.lo[c], profile.hi[c]) for c in wide}
+    return type(rows)(rows.df.withColumns(centre) if centre else rows.df, rows.names)
 
 
 def collapse(data: DataFrame, columns: list[str], y: str, w: str) -> DataFrame:

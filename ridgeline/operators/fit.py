@@ -37,6 +37,7 @@ class Options:
     tol: float = 1e-7
     local_rows: int = LOCAL_ROWS
     na_action: str = "fail"
+    profile_p: bool = False
 
 
 @dataclass
@@ -71,18 +72,17 @@ def prepared(df: DataFrame, target: str, terms: list[Term], weight: str | None,
     return out
 
 
-def profile(data: DataFrame, terms: list[Term], knots: str = "quantile") -> Profile:
-    """One aggregation for everything that preparing the terms needs: ranges, exact distinct counts, knots and validity."""
+#: Distinct values of a column up to which knots are exact quantiles of them; beyond, they are approximate.
+EXACT_DISTINCT, ACCURACY = 1_000_000, 100_000
+
+
+def profile(data: DataFrame, terms: list[Term]) -> Profile:
+    """One aggregation without distinct or sort: counts, ranges, means, validity."""
     numbers = [t for t in terms if t.kind != "re"]
     agg = [F.count("*").alias("n"), F.sum(WEIGHT).alias("w"), F.min(WEIGHT).alias("wmin"), F.max(WEIGHT).alias("wmax"), F.count(TARGET).alias("ny"),
            F.max(F.isnan(TARGET).cast("int")).alias("ynan"), F.avg(TARGET).alias("ymean"), F.var_samp(TARGET).alias("yvar"), F.min(TARGET).alias("ymin"), F.max(TARGET).alias("ymax"), F.sum(TARGET).alias("ysum")]
     for i, t in enumerate(numbers):
         agg += [F.min(t.name).alias(f"lo{i}"), F.max(t.name).alias(f"hi{i}"), F.avg(t.name).alias(f"m{i}"), F.count(t.name).alias(f"c{i}"), F.max(F.isnan(t.name).cast("int")).alias(f"nan{i}")]
-        if t.penalised:
-            agg.append(F.countDistinct(t.name).alias(f"u{i}"))
-            if knots == "quantile" and t.kind in ("cr", "tps"):
-                at = ", ".join(f"{j}D / {t.k - 1}D" for j in range(t.k))
-                agg.append(F.expr(f"percentile(DISTINCT `{t.name}`, array({at}))").alias(f"q{i}"))
     r = data.agg(*agg).first()
     if not r["n"]:
         raise ValueError("there are no rows to fit")
@@ -95,15 +95,37 @@ def profile(data: DataFrame, terms: list[Term], knots: str = "quantile") -> Prof
         if r[f"c{i}"] < r["n"] or r[f"nan{i}"]:
             raise ValueError(f"column {t.name} has nulls or NaN; use na_action='omit'")
         out.lo[t.name], out.hi[t.name], out.mean[t.name] = r[f"lo{i}"], r[f"hi{i}"], r[f"m{i}"]
-        out.unique[t.name] = r[f"u{i}"] if t.penalised else 0
-        if f"q{i}" in r.asDict():
-            out.knots[t.name] = np.array(r[f"q{i}"])
-    for t in terms:
-        if t.kind == "re":
-            out.levels[t.name] = sorted(x[0] for x in data.select(t.name).distinct().collect() if x[0] is not None)
     return out
 
 
+def distinct_values(rows, data: DataFrame, terms: list[Term], p: Profile, knots: str) -> None:
+    """Distinct counts, quantile knots and levels. In Spark a column's distinct values are found first, with partial sums on the
+    map side, and quantiles taken of them; over EXACT_DISTINCT they are approximate, to a rank of 1 in ACCURACY."""
+    for t in terms:
+        probs = [i / (t.k - 1) for i in range(t.k)] if t.kind in ("cr", "tps") and t.k > 1 and knots == "quantile" else None
+        if hasattr(rows, "columns"):
+            values = rows.columns[t.name]
+            if t.kind == "re":
+                p.levels[t.name] = sorted({v for v in values.tolist() if v is not None and v == v})
+            elif t.penalised:
+                u = np.unique(np.asarray(values, np.float64))
+                p.unique[t.name] = len(u)
+                if probs:
+                    p.knots[t.name] = np.quantile(u, probs)
+        elif t.kind == "re":
+            p.levels[t.name] = sorted(x[0] for x in data.select(t.name).distinct().collect() if x[0] is not None)
+        elif t.penalised:
+            u = data.select(F.col(t.name).alias("u")).distinct()
+            about = data.agg(F.approx_count_distinct(t.name)).first()[0]
+            if about <= EXACT_DISTINCT:
+                r = u.agg(F.count("u").alias("n"), *([F.percentile("u", F.array(*map(F.lit, probs))).alias("q")] if probs else [])).first()
+            else:
+                r = u.agg(F.count("u").alias("n"), *([F.percentile_approx("u", probs, ACCURACY).alias("q")] if probs else [])).first()
+            p.unique[t.name] = r["n"]
+            if probs:
+                p.knots[t.name] = np.array(r["q"], np.float64)
+
+
 def resolve_k(t: Term, unique: int) -> int:
     """k within [least, distinct values - 1]; a change is warned of."""
     least = LEAST_K[t.kind]
@@ -176,7 +198,7 @@ class Statistics:
     """Sums at a coefficient vector, one job each: G = X'WX, r = X'(w eta + g), deviance, z'Wz and validity."""
 
     def __init__(self, rows, design: Design, fam: Family):
-        self.rows, self.design, self.fam = rows, design, fam
+        self.rows, self.design, self.fam, self.profile_p = rows, design, fam, False
 
     def at(self, beta: np.ndarray | None, fam: Family | None = None, newton: bool = False, extra=None) -> dict:
         """beta None: from the starting values of the response. extra: further sums of (y, eta, w), by name."""
@@ -247,18 +269,20 @@ def fit_gam(df: DataFrame, target: str, terms: list[Term], fam: Family | str = "
     fam = make_family(fam) if isinstance(fam, str) else fam
     method = opt.method or ("fREML" if isinstance(fam, StudentT) else "REML")
     data = prepared(df, target, terms, weight, opt.na_action)
-    p = profile(data, terms, opt.knots)
+    p = profile(data, terms)
+    columns = [TARGET, WEIGHT, *dict.fromkeys(t.name for t in terms)]
+    rows = located(data, columns, p.n, opt.local_rows)
+    distinct_values(rows, getattr(rows, "df", data), terms, p, opt.knots)
     place(terms, p, opt.knots)
     _warn_rare(fam, p, terms)
-    columns = [TARGET, WEIGHT, *dict.fromkeys(t.name for t in terms)]
     if opt.discrete and p.n >= 2000:
-        from .binning import binned
+        from .binning import binned_rows
 
-        data = binned(data, [t for t in terms if t.kind not in ("re", "parametric")], p)
-    rows = located(data, columns, p.n, opt.local_rows)
+        rows = binned_rows(rows, [t for t in terms if t.kind not in ("re", "parametric")], p)
     constrain(rows, terms, p.n)
     design = Design(terms)
     stats = Statistics(rows, design, fam)
+    stats.profile_p = opt.profile_p
     pen = design.penalties
     algorithm = opt.algorithm or ("fellner-schall" if isinstance(fam, Quantile) else "newton")
     fixed = None if opt.lam is None else np.log(np.broadcast_to(np.asarray(opt.lam, np.float64), (len(pen.blocks),)).copy())
@@ -435,7 +459,7 @@ def _reshaped(stats, fam: Family, beta: np.ndarray, s: dict) -> Family:
             shift = 0.5 * (a - c) / (a - 2 * b + c) if a - 2 * b + c < 0 else 0.0
             theta = float(math.exp(math.log(grid[j]) + shift * (math.log(grid[1]) - math.log(grid[0]))))
         return fam if abs(math.log(theta / fam.theta)) < 1e-4 else replace(fam, theta=theta)
-    if isinstance(fam, Tweedie) and getattr(stats, "profile_p", False):
+    if isinstance(fam, Tweedie) and stats.profile_p:
         grid = np.linspace(1.05, 1.95, 19)
 
         def like(y, eta, w):

@@ -231,3 +231,24 @@ def test_frames(spark, tmp_path):
     df.write.parquet(f"{tmp_path}/a")
     assert read(spark, f"{tmp_path}/a", columns=["x0"]).columns == ["x0"]
     assert ranges(spark.createDataFrame([(1.0,), (float("nan"),), (None,), (3.0,)], "v double"), ["v"]) == {"v": (1.0, 3.0)}
+
+
+def test_distinct_values_in_spark_and_on_the_driver(data, monkeypatch):
+    from ridgeline.operators import fit as module
+
+    df, _ = data
+    near = fit_gam(df, "gauss", [Cubic("x", 7)], opt=Options(lam=[1.0]))
+    far = fit_gam(df, "gauss", [Cubic("x", 7)], opt=Options(lam=[1.0], local_rows=0))
+    assert np.allclose(near.terms[0].knots, far.terms[0].knots, atol=1e-12)
+    monkeypatch.setattr(module, "EXACT_DISTINCT", 10)
+    about = fit_gam(df, "gauss", [Cubic("x", 7)], opt=Options(lam=[1.0], local_rows=0))
+    assert np.allclose(near.terms[0].knots, about.terms[0].knots, atol=0.01)
+    monkeypatch.undo()
+    binned = [fit_gam(df.union(df), "gauss", [Cubic("x", 7)], opt=Options(lam=[1.0], discrete=True, local_rows=n)) for n in (0, 10**6)]
+    assert np.allclose(binned[0].beta, binned[1].beta, atol=1e-8)
+
+
+def test_tweedie_power_is_profiled(data):
+    df, _ = data
+    free = Gam(["x"], family="tweedie").fit(df, "tw").model.fam.p
+    assert free != 1.5 and Gam(["x"], family="tweedie", p=1.5).fit(df, "tw").model.fam.p == 1.5
