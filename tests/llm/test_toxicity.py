@@ -45,9 +45,9 @@ def test_disguises_and_exceptions(learned):
     score = learned[0].matcher()
     filler = "abc defg hij " * 3
     for bad in ("idiot", "IDIOT", "1d10t", "іdіоt", "ｉｄｉｏｔ", "id​iot", "$cum", "ŝcum!"):
-        assert score(filler + bad + " abc")[0] >= 0.5, bad
+        assert score(filler + bad + " abc")[0] >= 0.5, (bad, score(filler + bad), learned[0])
     for fine in ("", filler, "scum bucket", "idiotxyz" if "idio*" not in learned[0].weights else "abc", "subscum"):
-        assert score(fine)[0] < 0.5, fine
+        assert score(fine)[0] < 0.5, (fine, score(fine), learned[0].bias, learned[0].slope, score.match(fine))
 
 
 def test_held_out_labels_play_no_part(spark, learned):
