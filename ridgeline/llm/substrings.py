@@ -25,7 +25,7 @@ from .suffixes import permuted_common_prefixes, suffix_array
 #: Bytes of a removable string, and of an anchor gram.
 WINDOW, GRAM = 200, 96
 #: Bytes of text that are hashed at once, that a suffix array is built of at once, and contexts of a gram that go to one shard.
-PIECE, SHARD, TOGETHER = 1 << 20, 1 << 19, 1024
+PIECE, SHARD, TOGETHER = 1 << 20, 1 << 19, 256
 
 _rng = np.random.default_rng(20)
 _TABLE = _rng.integers(1, 2**63, 256, dtype=np.uint64)
@@ -246,8 +246,8 @@ def _halves(window: int, rows: list[tuple]) -> dict[str, list]:
 
 
 def repeated_spans(docs: DataFrame, key: list[str], window: int = WINDOW, gram: int = GRAM) -> DataFrame:
-    """The columns of key, and spans: array of anchor positions, each with runs of window starts from lo to hi bytes after it, whose
-    windows occur elsewhere; unmerged, and not yet cut to the document. No row for documents without any. docs: the columns of key, and raw (binary, no nulls). Rows with equal keys must have equal raw."""
+    """The columns of key, and spans: array of start << 32 | end of bytes that windows occurring elsewhere cover; unmerged, and not
+    yet cut to the document's end. No row for documents without any. docs: the columns of key, and raw (binary, no nulls). Rows with equal keys must have equal raw."""
     reach = window - gram
     types = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in docs.select(*key).schema)
     schema = f"{types}, pos int, h bigint, d bigint"
@@ -324,20 +324,28 @@ def repeated_spans(docs: DataFrame, key: list[str], window: int = WINDOW, gram:
     # One row for each context, however many runs it has, before its occurrences come in.
     runs = written(repeats.groupBy("root").agg(F.collect_set(F.struct("lo", "hi")).alias("runs")), "runs")
     found = mixed.join(runs.hint("shuffle_hash"), "root").select(*key, "pos", "runs").unionByName(plain)
-    return found.groupBy(*key).agg(F.collect_set(F.struct("pos", "runs")).alias("spans"))
-
-
-def merged(spans: list, n: int, window: int) -> list[tuple[int, int]]:
-    """Disjoint covered runs within n bytes. Spans of less than a window inside the document cover none."""
-    out: list[list[int]] = []
-    for lo, hi in sorted({(max(0, s["pos"] + r["lo"]), min(n, s["pos"] + r["hi"] + window)) for s in spans or () for r in s["runs"]}):
-        if hi - lo < window:
-            continue
-        if out and lo <= out[-1][1]:
-            out[-1][1] = max(out[-1][1], hi)
-        else:
-            out.append([lo, hi])
-    return [tuple(x) for x in out]
+    # Start and end of each span in one number, so that documents' spans move and are read as plain arrays.
+    spans = F.flatten(F.transform(F.collect_set(F.struct("pos", "runs")), lambda s: F.transform(s["runs"], lambda r: _packed(s["pos"] + r["lo"], s["pos"] + r["hi"] + window))))
+    return found.groupBy(*key).agg(spans.alias("spans"))
+
+
+def _packed(lo, hi):
+    return F.shiftleft(F.greatest(lo, F.lit(0)).cast("long"), 32).bitwiseOR(hi.cast("long"))
+
+
+def merged(spans: list[int] | None, n: int, window: int) -> list[tuple[int, int]]:
+    """Disjoint covered runs within n bytes, from packed spans. Spans of less than a window inside the document cover none."""
+    if not spans:
+        return []
+    x = np.unique(np.array(spans, np.int64))
+    lo, hi = x >> 32, np.minimum(x & 0xFFFFFFFF, n)
+    keep = hi - lo >= window
+    lo, hi = lo[keep], hi[keep]
+    if not len(lo):
+        return []
+    upto = np.maximum.accumulate(hi)
+    first = np.flatnonzero(np.concatenate([[True], lo[1:] > upto[:-1]]))
+    return list(zip(lo[first].tolist(), upto[np.append(first[1:], len(lo)) - 1].tolist()))
 
 
 def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", window: int = WINDOW, gram: int = GRAM) -> DataFrame:
