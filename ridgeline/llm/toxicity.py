@@ -109,12 +109,12 @@ def held_out(key: Column) -> Column:
     return F.crc32(F.coalesce(key.cast("string"), F.lit("")).cast("binary")) % 5 == 0
 
 
-def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-2) -> np.ndarray:
+def logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray, ridge: float = 1e-2) -> np.ndarray:
     beta = np.zeros(x.shape[1])
     for _ in range(50):
         p = 1 / (1 + np.exp(-np.clip(x @ beta, -40, 40)))
-        hess = x.T @ (x * (p * (1 - p))[:, None]) + ridge * np.eye(len(beta))
-        step = np.linalg.solve(hess, x.T @ (y - p) - ridge * beta)
+        hess = x.T @ (x * (weight * p * (1 - p))[:, None]) + ridge * np.eye(len(beta))
+        step = np.linalg.solve(hess, x.T @ (weight * (y - p)) - ridge * beta)
         beta += np.clip(step, -5, 5)
         if np.abs(step).max() < 1e-9:
             break
@@ -175,8 +175,9 @@ def learn(rows: DataFrame) -> Lexicon:
 
         return f
 
-    got = map_rows(rows.select("y", "text"), inputs, "y double, a double, b double").orderBy("y", "a", "b").toPandas()
-    beta = logistic(np.column_stack([np.ones(len(got)), got["a"], got["b"]]), got["y"].to_numpy())
+    # Most rows match nothing and are equal: one row with a count for each kind.
+    got = map_rows(rows.select("y", "text"), inputs, "y double, a double, b double").groupBy("y", "a", "b").count().toPandas().sort_values(["y", "a", "b"])
+    beta = logistic(np.column_stack([np.ones(len(got)), got["a"], got["b"]]), got["y"].to_numpy(), got["count"].to_numpy(np.float64))
     out.bias, out.slope = float(beta[0]), (float(beta[1]), float(beta[2]))
     return out
 
