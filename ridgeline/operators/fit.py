@@ -444,12 +444,13 @@ def _reshaped(stats, fam: Family, beta: np.ndarray, s: dict) -> Family:
         same = abs(nu - fam.nu) < 1e-9 and abs(sigma2 / fam.sigma2 - 1) < 1e-7
         return fam if same else replace(fam, nu=max(nu, 3.0) if fam.nu >= 3 else nu, sigma2=sigma2)
     if isinstance(fam, NegBin):
-        grid = np.exp(np.linspace(math.log(0.5), math.log(50.0), 60))
+        grid = np.exp(np.linspace(math.log(0.5), math.log(50.0), 16))
         fams = [replace(fam, theta=float(v)) for v in grid]
 
         def like(y, eta, w):
-            mu = fam.link.inverse(NP, eta)
-            return np.array([f.likelihood_sums(y, w)[0] - 0.5 * (w * f.deviance(NP, y, mu)).sum() for f in fams])
+            mu, (u, at) = fam.link.inverse(NP, eta), np.unique(y, return_inverse=True)
+            each = np.bincount(at, weights=w)  # counts repeat: the likelihood needs each once
+            return np.array([f.likelihood_sums(u, each)[0] - 0.5 * (w * f.deviance(NP, y, mu)).sum() for f in fams])
 
         e = stats.at(beta, fam, extra=like)["extra"]
         j = int(np.argmax(e))
