@@ -32,7 +32,7 @@ from .shingles import mix, overlap, shingle_sets
 #: Members up to which a region is joined in itself, and pivots that one round takes of a larger one.
 FEW, PIVOTS = 16, 16
 #: Documents asked for, up to which their keys are broadcast; more are joined by shuffle.
-FEW_KEYS = 10_000
+FEW_KEYS = 100_000
 #: Hot keys up to which they are broadcast; more are taken out by a join.
 HOT_KEYS = 200_000
 #: Members, and bytes of text, that a cell may have to be joined by one task.
@@ -239,7 +239,11 @@ def jaccard_classes(docs: DataFrame, key: str = "doc_id", text: str = "text", sh
     crowds = written(region.where(F.col("times") > FEW).select("k", "cid"), "large-regions")
     if not crowds.isEmpty():
         lead = crowds.groupBy("k").agg(F.min("cid").alias("lead"))
-        cells = components(spark, crowds.join(lead, "k").select(F.col("cid").alias("a"), F.col("lead").alias("b")))
+        led = written(crowds.join(lead, "k").select("cid", "lead").distinct(), "led")
+        # Each member goes to its least lead, and the leads of its regions go together: far fewer edges than members and regions.
+        least = led.groupBy("cid").agg(F.min("lead").alias("m"))
+        edges = least.select(F.col("cid").alias("a"), F.col("m").alias("b")).union(led.join(least, "cid").select("lead", "m").distinct())
+        cells = components(spark, edges)
         sizes = texts.select("cid", F.length("raw").alias("size")).join(cells.withColumnRenamed("v", "cid"), "cid").groupBy("label").agg(F.count("*").alias("members"), F.sum("size").alias("bytes"))
         small = (F.col("members") <= CELL) & (F.col("bytes") <= CELL_BYTES)
         cells = written(cells.join(sizes.select("label", small.alias("small")), "label").select(F.col("v").alias("cid"), "label", "small"), "cells")
