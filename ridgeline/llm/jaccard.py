@@ -320,7 +320,9 @@ def _cell_links(pdf: pd.DataFrame, shingle: int, percent: int) -> pd.DataFrame:
     pdf = pdf.sort_values("cid")
     ids, sets, r = pdf["cid"].to_numpy(), list(shingle_sets([bytes(t) for t in pdf["raw"]], shingle)), (100 - percent) / 100
     n, size = len(ids), np.array([len(s) for s in sets])
-    member, flat = np.repeat(np.arange(n), size), np.concatenate(sets)
+    begin = np.concatenate([[0], np.cumsum(size)[:-1]])  # no set is empty
+    kinds, flat = np.unique(np.concatenate(sets), return_inverse=True)
+    mark = np.zeros(len(kinds), bool)
     label, links, away, met = np.arange(n), [], np.zeros((0, n)), np.zeros(n, bool)
     while True:
         count = np.bincount(label, minlength=n)
@@ -335,9 +337,10 @@ def _cell_links(pdf: pd.DataFrame, shingle: int, percent: int) -> pd.DataFrame:
             met[x] = True  # whoever could link has met it, or can't link
         if pivot < 0:
             break
-        p = sets[pivot]
-        at = np.minimum(np.searchsorted(p, flat), len(p) - 1)
-        shared = np.bincount(member[p[at] == flat], minlength=n)
+        p = flat[begin[pivot] : begin[pivot] + size[pivot]]
+        mark[p] = True
+        shared = np.add.reduceat(mark[flat], begin, dtype=np.int64)
+        mark[p] = False
         near = 100 * shared >= percent * (size + len(p) - shared)
         for x in np.flatnonzero(near).tolist():
             if label[x] != label[pivot]:
