@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import atexit
+import contextlib
+import ctypes
 import tempfile
 import uuid
 from collections.abc import Callable, Iterable
@@ -15,7 +17,9 @@ from pyspark.sql import functions as F
 WORD = r"[^\x20\x09-\x0D]+"
 
 
-CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+CLEANUP, ARROW_ROWS = "spark.sql.classic.shuffleDependency.fileCleanup.enabled", "spark.sql.execution.arrow.maxRecordsPerBatch"
+#: Rows of an Arrow batch while a working table is written.
+MOST_ROWS = 2000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -35,12 +39,17 @@ def written(df: DataFrame, name: str) -> DataFrame:
     """Cuts lineage: writes df to the shared folder and reads it back. Lost executors cost nothing that was written."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/ridgeline-{name}-{uuid.uuid4().hex}"
-    before = spark.conf.get(CLEANUP, "false")
-    spark.conf.set(CLEANUP, "true")  # once the table is there, nothing reads the shuffle files that made it
+    # Once the table is there, nothing reads the shuffle files that made it; and rows here may be long texts.
+    rows = int(spark.conf.get(ARROW_ROWS))
+    own = {CLEANUP: "true", ARROW_ROWS: str(min(rows, MOST_ROWS) if rows > 0 else MOST_ROWS)}
+    before = {k: spark.conf.get(k) for k in own}
     try:
+        for k, v in own.items():
+            spark.conf.set(k, v)
         df.write.parquet(path)
     finally:
-        spark.conf.set(CLEANUP, before)
+        for k, v in before.items():
+            spark.conf.set(k, v)
     atexit.register(_remove, spark, path)
     return spark.read.schema(df.schema).parquet(path)
 
@@ -96,12 +105,19 @@ def map_rows(df: DataFrame, make: Callable[[], Callable[[dict[str, list]], dict[
                 part = batch.slice(at, rows)
                 out = f({n: part.column(i).to_pylist() for i, n in enumerate(part.schema.names)})
                 yield pa.RecordBatch.from_arrays([pa.array(out[n], type=arrow.field(n).type) for n in names], schema=arrow)
-        pa.default_memory_pool().release_unused()  # the worker lives on
+        release()
 
     arrow = arrow_schema(schema)
     return df.mapInArrow(run, schema)
 
 
+def release() -> None:
+    """Gives free memory back to the system: Spark keeps idle Python workers, and what they hold counts."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+
+
 def arrow_schema(schema: str) -> pa.Schema:
     from pyspark.sql.pandas.types import to_arrow_schema
     from pyspark.sql.types import _parse_datatype_string

@@ -26,7 +26,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import map_rows, remove, text_bytes, written
+from .common import map_rows, release, remove, text_bytes, written
 from .shingles import mix, overlap, shingle_sets
 
 #: Members up to which a region is joined in itself, and pivots that one round takes of a larger one.
@@ -322,6 +322,7 @@ def _cell_links(pdf: pd.DataFrame, shingle: int, percent: int) -> pd.DataFrame:
     n, size = len(ids), np.array([len(s) for s in sets])
     begin = np.concatenate([[0], np.cumsum(size)[:-1]])  # no set is empty
     kinds, flat = np.unique(np.concatenate(sets), return_inverse=True)
+    flat = flat.astype(np.int32)
     mark = np.zeros(len(kinds), bool)
     label, links, away, met = np.arange(n), [], np.zeros((0, n)), np.zeros(n, bool)
     while True:
@@ -348,6 +349,8 @@ def _cell_links(pdf: pd.DataFrame, shingle: int, percent: int) -> pd.DataFrame:
                 label[label == label[x]] = label[pivot]
         away = np.vstack([away, 1 - shared / (size + len(p) - shared)])
         met[pivot] = True
+    del flat, sets, away
+    release()
     return pd.DataFrame(links, columns=["a", "b"], dtype=np.int64)
 
 

@@ -7,7 +7,7 @@ from collections.abc import Iterator
 import numpy as np
 
 #: Bytes of text hashed at once.
-PIECE = 1 << 20
+PIECE = 1 << 19
 
 _rng = np.random.default_rng(9)
 _TABLE = _rng.integers(1, 2**63, 256, dtype=np.uint64)
