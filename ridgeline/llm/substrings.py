@@ -263,6 +263,7 @@ def repeated_spans(docs: DataFrame, key: list[str], window: int = WINDOW, gram:
 
     every = written(map_rows(docs.where(F.length("raw") >= window), make, schema), "anchors")
     grams = every.groupBy("h").agg(F.count("*").alias("n"), (F.min("d") != F.max("d")).alias("mixed")).where("n > 1").drop("n")
+    grams = written(grams, "grams")  # as a table of its own, so that Spark can split a hot gram's rows in the join
     again = written(every.join(grams.hint("shuffle_hash"), "h"), "anchors-again")
     remove(every)
     plain = again.where("not mixed").select(*key, "pos", F.array(F.struct(F.lit(-reach).alias("lo"), F.lit(0).alias("hi"))).alias("runs"))
