@@ -189,7 +189,8 @@ def jaccard_classes(docs: DataFrame, key: str = "doc_id", text: str = "text", sh
     whole = map_rows(short, all_keys, "cid bigint, keys array<bigint>").select("cid", F.posexplode("keys").alias("rank", "k")).join(hot, "k", "left_anti")
     whole = ordered.where("not done").select("cid", "n", "p").join(_lists(whole), "cid", "left").select("cid", "n", "p", F.coalesce("keys", F.array().cast("array<bigint>")).alias("keys"))
     prefixes = ordered.where("done").select("cid", "n", "p", "keys").unionByName(whole.select("cid", "n", "p", F.slice("keys", F.lit(1), F.col("p")).alias("keys")))
-    if not ordered.where("not done").isEmpty():
+    short_of = not ordered.where("not done").isEmpty()
+    if short_of:
         prefixes = written(prefixes, "prefixes")
         remove(ordered)
 
@@ -203,6 +204,7 @@ def jaccard_classes(docs: DataFrame, key: str = "doc_id", text: str = "text", sh
     # Keys of large regions, and hot ones that a document's prefix would go on with, may be shared without being counted below.
     unseen = shared.where(F.col("times") > FEW).select("cid", F.lit(1).alias("u")).unionByName(prefixes.where(F.size("keys") < F.col("p")).select("cid", (F.col("p") - F.size("keys")).alias("u")))
     crowded = written(unseen.groupBy("cid").agg(F.sum("u").alias("hot")), "crowded")
+    remove(prefixes if short_of else ordered)
     cool = shared.where(F.col("times") <= FEW).join(crowded, "cid", "left").select("k", "cid", "n", "rank", F.coalesce("hot", F.lit(0)).alias("hot"))
     x, y = (cool.select("k", *[F.col(c).alias(f"{c}_{s}") for c in ("cid", "n", "rank", "hot")]) for s in "xy")
     size_ok = (100 * F.col("n_x") >= percent * F.col("n_y")) & (100 * F.col("n_y") >= percent * F.col("n_x"))
@@ -215,6 +217,7 @@ def jaccard_classes(docs: DataFrame, key: str = "doc_id", text: str = "text", sh
     differ = F.col("rank_x") + F.col("rank_y") + 2 - 2 * F.col("c") + F.least(length(F.col("n_x")) - 1 - F.col("rank_x"), length(F.col("n_y")) - 1 - F.col("rank_y"))
     may = (100 + percent) * (differ - 3 * F.least("hot_x", "hot_y")) <= (100 - percent) * (F.col("n_x") + F.col("n_y"))
     pairs = written(met.where(may).select("a", "b"), "pairs")
+    remove(shared)
 
     # The texts of the documents that are still in question, one for each class.
     ask = pairs.select(F.col("a").alias("cid")).union(pairs.select("b")).union(crowded.select("cid")).distinct()
@@ -247,7 +250,8 @@ def jaccard_classes(docs: DataFrame, key: str = "doc_id", text: str = "text", sh
         sizes = texts.select("cid", F.length("raw").alias("size")).join(cells.withColumnRenamed("v", "cid"), "cid").groupBy("label").agg(F.count("*").alias("members"), F.sum("size").alias("bytes"))
         small = (F.col("members") <= CELL) & (F.col("bytes") <= CELL_BYTES)
         cells = written(cells.join(sizes.select("label", small.alias("small")), "label").select(F.col("v").alias("cid"), "label", "small"), "cells")
-        at_once = texts.join(cells.where("small"), "cid").select("label", "cid", "raw").groupBy("label")
+        of = crowds.groupBy("cid").agg(F.collect_set("k").alias("ks"))
+        at_once = texts.join(cells.where("small"), "cid").join(of, "cid").select("label", "cid", "raw", "ks").groupBy("label")
         links = links.union(at_once.applyInPandas(lambda pdf: _cell_links(pdf, shingle, percent), "a bigint, b bigint"))
         links = written(links, "links")
         links = _large_regions(spark, crowds.join(cells.where("not small").select("cid"), "cid").select("k", "cid"), texts, links, shingle, percent)
@@ -315,40 +319,45 @@ def _texts(slim: DataFrame, sets: DataFrame, asked: DataFrame, shingle: int) ->
 
 
 def _cell_links(pdf: pd.DataFrame, shingle: int, percent: int) -> pd.DataFrame:
-    """Links enough to connect what is connected in a cell: each pivot meets every member; a member that isn't of the largest class
-    becomes a pivot unless the windows of the pivots so far keep all members of other classes from it."""
+    """Links enough to connect what is connected in a cell. Members become pivots in turn, those of most regions first. A pivot
+    meets the members of its regions that are of another class and no pivots yet, but for those that the windows of the first
+    PIVOTS pivots keep from it."""
     pdf = pdf.sort_values("cid")
     ids, sets, r = pdf["cid"].to_numpy(), list(shingle_sets([bytes(t) for t in pdf["raw"]], shingle)), (100 - percent) / 100
     n, size = len(ids), np.array([len(s) for s in sets])
     begin = np.concatenate([[0], np.cumsum(size)[:-1]])  # no set is empty
     kinds, flat = np.unique(np.concatenate(sets), return_inverse=True)
-    flat = flat.astype(np.int32)
-    mark = np.zeros(len(kinds), bool)
-    label, links, away, met = np.arange(n), [], np.zeros((0, n)), np.zeros(n, bool)
-    while True:
-        count = np.bincount(label, minlength=n)
-        main = int(np.argmax(count))
-        open_ = np.flatnonzero(~met & (label != main))
-        pivot = -1
-        for x in open_[np.argsort(count[label[open_]], kind="stable")].tolist():
-            far = (np.abs(away - away[:, x : x + 1]) > r + 1e-9).any(0) if len(away) else np.zeros(n, bool)
-            if (~far & ~met & (label != label[x])).any():
-                pivot = x
-                break
-            met[x] = True  # whoever could link has met it, or can't link
-        if pivot < 0:
-            break
-        p = flat[begin[pivot] : begin[pivot] + size[pivot]]
+    flat, mark = flat.astype(np.int32), np.zeros(len(kinds), bool)
+    degree = np.array([len(k) for k in pdf["ks"]])
+    owner = np.repeat(np.arange(n), degree)
+    _, region = np.unique(np.concatenate([np.asarray(k, np.int64) for k in pdf["ks"]]), return_inverse=True)
+    by = np.argsort(region, kind="stable")
+    members = np.split(owner[by], np.flatnonzero(np.diff(region[by])) + 1)
+    own = np.split(region, np.cumsum(degree)[:-1])
+    label, links, met = np.arange(n), [], np.zeros(n, bool)
+    away, used = np.full((PIVOTS, n), np.nan), 0
+    for x in np.argsort(-degree, kind="stable").tolist():
+        met[x] = True
+        near = np.zeros(n, bool)
+        for k in own[x]:
+            near[members[k]] = True
+        others = np.flatnonzero(near & ~met & (label != label[x]))
+        others = others[~(np.abs(away[:used, others] - away[:used, x : x + 1]) > r + 1e-9).any(0)]
+        if not len(others):
+            continue
+        p = flat[begin[x] : begin[x] + size[x]]
         mark[p] = True
-        shared = np.add.reduceat(mark[flat], begin, dtype=np.int64)
+        hits = mark[np.concatenate([flat[begin[y] : begin[y] + size[y]] for y in others])]
         mark[p] = False
-        near = 100 * shared >= percent * (size + len(p) - shared)
-        for x in np.flatnonzero(near).tolist():
-            if label[x] != label[pivot]:
-                links.append((ids[pivot], ids[x]))
-                label[label == label[x]] = label[pivot]
-        away = np.vstack([away, 1 - shared / (size + len(p) - shared)])
-        met[pivot] = True
+        shared = np.add.reduceat(hits, np.concatenate([[0], np.cumsum(size[others])[:-1]]), dtype=np.int64)
+        union = size[others] + size[x] - shared
+        if used < PIVOTS:
+            away[used, others], away[used, x] = 1 - shared / union, 0.0
+            used += 1
+        for y in others[100 * shared >= percent * union].tolist():
+            if label[y] != label[x]:
+                links.append((ids[x], ids[y]))
+                label[label == label[y]] = label[x]
     del flat, sets, away
     release()
     return pd.DataFrame(links, columns=["a", "b"], dtype=np.int64)
