@@ -77,6 +77,17 @@ def test_repeated_and_null_ids(spark):
     assert sorted((r["doc_id"] is None, r["doc_id"] or 0) for r in got.collect()) == [(False, 1), (False, 2), (True, 0)]
 
 
+def test_groups_go_by_row_and_not_by_id(spark):
+    one, two = " ".join(f"w{i}" for i in range(40)), " ".join(f"v{i}" for i in range(40))
+    rows = [(5, "one clean text linked to nothing else here"), (5, two + " b"), (3, two), (None, one), (None, one + " more"), (None, "a lone text of its own and no one's copy"),
+            (7, "z " + one), (None, "p q r s t u v"), (None, "P q r s t u v"), (8, "k l m n o p"), (8, "K l m n o p"), (None, ""), (None, " ")]
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in rows], stages_schema()).repartition(4)
+    got = pipe.one_of_each_group(spark, docs, SF)
+    assert got.columns == docs.columns
+    want = [rows[0], rows[2], rows[5], rows[6], (None, "P q r s t u v"), (8, "K l m n o p"), (None, ""), (None, " ")]
+    assert sorted(map(str, want)) == sorted(str((r["doc_id"], r["text"])) for r in got.collect())
+
+
 def stages_schema():
     return "doc_id long, text string, lang string, source string, n_chars long"
 
