@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 import warnings
+from collections.abc import Callable
 from dataclasses import dataclass, field, replace
 
 import numpy as np
@@ -202,22 +203,31 @@ class Statistics:
 
     def at(self, beta: np.ndarray | None, fam: Family | None = None, newton: bool = False, extra=None) -> dict:
         """beta None: from the starting values of the response. extra: further sums of (y, eta, w), by name."""
-        fam, design, p = fam or self.fam, self.design, self.design.p
-        tri = np.triu_indices(p)
+        fam, design = fam or self.fam, self.design
+
+        def kernel(cols):
+            w0 = np.asarray(cols[WEIGHT], np.float64)
+            return _sums_at(design.matrix(cols), np.asarray(cols[TARGET], np.float64), w0, beta, fam, newton, extra), np.zeros(1)
+
+        return self._unpacked(self.rows.reduce(kernel)[0])
+
+    def at_each(self, betas: dict[int, np.ndarray], times: Callable[[dict[str, np.ndarray]], np.ndarray]) -> dict[int, dict]:
+        """For several weightings of the rows, each at a coefficient vector of its own, in one job. times: by row and weighting."""
+        fam, design, which = self.fam, self.design, sorted(betas)
 
         def kernel(cols):
-            y, w0 = np.asarray(cols[TARGET], np.float64), np.asarray(cols[WEIGHT], np.float64)
-            x = design.matrix(cols)
-            eta = fam.link.link(NP, fam.start(NP, y)) if beta is None else x @ beta
-            w, g = fam.working(NP, y, eta, newton)
-            w, g = w0 * w, w0 * g
-            z = eta + g / np.maximum(w, 1e-300)
-            dev = (w0 * fam.deviance_eta(NP, y, eta)).sum()
-            gram = x.T @ (w[:, None] * x)
-            more = extra(y, eta, w0) if extra else np.zeros(0)
-            return np.concatenate([gram[tri], x.T @ (w * eta + g), [dev, (w * z * z).sum(), float(len(y)), np.log(w0).sum()], more]), np.zeros(1)
-
-        s, _ = self.rows.reduce(kernel)
+            x, y, w0, m = design.matrix(cols), np.asarray(cols[TARGET], np.float64), np.asarray(cols[WEIGHT], np.float64), times(cols)
+            out = []
+            for i in which:
+                on = m[:, i] > 0
+                out.append(_sums_at(x[on], y[on], w0[on] * m[on, i], betas[i], fam))
+            return np.concatenate(out), np.zeros(1)
+
+        return {i: self._unpacked(s) for i, s in zip(which, np.split(self.rows.reduce(kernel)[0], len(which)))}
+
+    def _unpacked(self, s: np.ndarray) -> dict:
+        p = self.design.p
+        tri = np.triu_indices(p)
         m = len(tri[0])
         gram = np.zeros((p, p))
         gram[tri] = s[:m]
@@ -232,20 +242,55 @@ class Statistics:
         return self.rows.reduce(kernel)[0]
 
 
+def _sums_at(x, y, w0, beta, fam: Family, newton: bool = False, extra=None) -> np.ndarray:
+    eta = fam.link.link(NP, fam.start(NP, y)) if beta is None else x @ beta
+    w, g = fam.working(NP, y, eta, newton)
+    w, g = w0 * w, w0 * g
+    z = eta + g / np.maximum(w, 1e-300)
+    dev = (w0 * fam.deviance_eta(NP, y, eta)).sum()
+    gram = x.T @ (w[:, None] * x)
+    more = extra(y, eta, w0) if extra else np.zeros(0)
+    return np.concatenate([gram[np.triu_indices(x.shape[1])], x.T @ (w * eta + g), [dev, (w * z * z).sum(), float(len(y)), np.log(w0).sum()], more])
+
+
 def pirls(stats: Statistics, fam: Family, lam: np.ndarray, beta: np.ndarray | None, opt: Options) -> tuple[np.ndarray, dict, int]:
     """Penalised iteration at fixed smoothing parameters. A step that raises the penalised deviance is halved."""
-    pen = stats.design.penalties
-    s = stats.at(beta, fam)
+    run = _pirls_asks(stats.design.penalties, lam, beta, opt)
+    asked = next(run)
+    while True:
+        try:
+            asked = run.send(stats.at(asked, fam))
+        except StopIteration as end:
+            return end.value
+
+
+def pirls_each(stats: Statistics, lam: np.ndarray, beta: np.ndarray, opt: Options, times, n: int) -> list[np.ndarray]:
+    """Coefficients of the iteration under each of n weightings of the rows, side by side: a step of all is one job."""
+    runs = [_pirls_asks(stats.design.penalties, lam, beta, opt) for _ in range(n)]
+    asked, out = {i: next(run) for i, run in enumerate(runs)}, [beta] * n
+    while asked:
+        for i, s in stats.at_each(asked, times).items():
+            try:
+                asked[i] = runs[i].send(s)
+            except StopIteration as end:
+                out[i] = end.value[0]
+                del asked[i]
+    return out
+
+
+def _pirls_asks(pen: Penalties, lam: np.ndarray, beta: np.ndarray | None, opt: Options):
+    """The iteration itself: yields coefficients and is sent the statistics at them."""
+    s = yield beta
     total = pen.total(lam)
     old = math.inf if beta is None else s["dev"] + beta @ total @ beta
     for it in range(1, opt.most_iterations + 1):
         new = linalg.solve(select.ridged(s["g"]) + total, s["r"])
-        after = stats.at(new, fam)
+        after = yield new
         value = after["dev"] + new @ total @ new
         halvings = 0
         while beta is not None and not value <= old + 10 * (0.1 + abs(old)) * np.finfo(float).eps ** 0.5 and halvings < 30:
             new = 0.5 * (new + beta)
-            after = stats.at(new, fam)
+            after = yield new
             value, halvings = after["dev"] + new @ total @ new, halvings + 1
         done = beta is not None and (np.abs(new - beta).max() < 1e-9 * (1 + np.abs(new).max()) or abs(old - value) < 1e-12 * (abs(value) + 0.1))
         beta, s, old = new, after, value

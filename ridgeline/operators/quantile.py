@@ -15,9 +15,9 @@ from ..functions.ops import NP
 from ..functions.special import lgamma
 from . import linalg
 from .diagnostics import coverage_shift
-from .fit import TARGET, WEIGHT, Design, Options, Statistics, fit_gam, pirls, prepared
+from .fit import TARGET, WEIGHT, Design, Options, Statistics, fit_gam, pirls, pirls_each, prepared
 from .model import GamModel
-from .rows import located
+from .rows import SparkRows, located
 from .terms import Term
 
 
@@ -41,6 +41,41 @@ def folds(df: DataFrame, key: str, k: int) -> DataFrame:
     return df.withColumn("fold", F.pmod(F.xxhash64(key), F.lit(k)).cast("int"))
 
 
+#: Copies of a row up to which each takes its own bootstrap weight; beyond, their sum is drawn at once.
+COPIES = 64
+_POISSON = np.cumsum([math.exp(-1.0) / math.factorial(i) for i in range(19)])
+
+
+def _mix(x: np.ndarray) -> np.ndarray:
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(31))
+
+
+def poisson_times(hashes: np.ndarray, copies: np.ndarray, replicates: int, seed: int) -> np.ndarray:
+    """How often each bootstrap replicate takes a row, by row and replicate: sums of Poisson(1) over its copies, by hash."""
+    h, copies = np.asarray(hashes, np.int64).view(np.uint64), np.asarray(copies, np.int64)
+    out = np.zeros((len(h), replicates), np.int64)
+    few = np.flatnonzero(copies <= COPIES)
+    if len(few):
+        first = np.concatenate([[0], np.cumsum(copies[few])[:-1]])
+        nth = np.arange(copies[few].sum()) - np.repeat(first, copies[few])
+        own = _mix(np.repeat(h[few], copies[few]) + _mix(nth.astype(np.uint64) + np.uint64(seed << 32)))
+        for r in range(replicates):
+            u = (_mix(own + np.uint64((r + 1) * 0x9E3779B97F4A7C15 % 2**64)) >> np.uint64(11)).astype(np.float64) * 2.0**-53
+            out[few, r] = np.add.reduceat(np.searchsorted(_POISSON, u, "right"), first)
+    for i in np.flatnonzero(copies > COPIES).tolist():
+        out[i] = np.random.Generator(np.random.Philox(key=[int(h[i]), seed])).poisson(float(copies[i]), replicates)
+    return out
+
+
+def fold_counts(fold: np.ndarray, copies: np.ndarray, k: int) -> np.ndarray:
+    """Copies of each row that lie in each fold: they are dealt in turn, the first to the row's own fold."""
+    turn = (np.arange(k)[None, :] - np.asarray(fold, np.int64)[:, None]) % k
+    copies = np.asarray(copies, np.int64)[:, None]
+    return copies // k + (turn < copies % k)
+
+
 @dataclass
 class QuantileFit:
     model: GamModel
@@ -88,10 +123,16 @@ class Tuner:
         self.lam = lam_now
         return beta, s
 
+    def counted(self, k: int) -> SparkRows:
+        """Rows in Spark by value, with their copies, hash and fold, so that neither partitions nor tasks that run anew change them."""
+        if not hasattr(self, "by_value"):
+            names = self.rows.names
+            rows = self.rows.df.groupBy(*names).agg(F.count("*").alias("__copies")).withColumn("__hash", F.xxhash64(*names))
+            self.by_value = SparkRows(folds(rows, "__hash", k).persist(), [*names, "__copies", "__hash", "fold"])
+        return self.by_value
+
     def split(self, k: int):
         """Rows in and out of each fold, in memory; folds go by position modulo k after a seeded permutation."""
-        if not hasattr(self.rows, "columns"):
-            raise ValueError("cross-validation over rows in Spark goes by folds(); tune on a bounded sample and pass sigma")
         n = len(self.rows.columns[TARGET])
         order = np.random.default_rng(0).permutation(n)
         for i in range(k):
@@ -100,16 +141,39 @@ class Tuner:
             yield type(self.rows)({c: v[~test] for c, v in self.rows.columns.items()}), {c: v[test] for c, v in self.rows.columns.items()}
 
     def cv_loss(self, sigma: float, k: int = 5) -> float:
+        if isinstance(self.rows, SparkRows):
+            return self._cv_loss_in_spark(sigma, k)
         total = 0.0
         for train, test in self.split(k):
             beta, _ = self.fit(sigma, train, self.lam if hasattr(self, "lam") else None)
             total += pinball_loss(np.asarray(test[TARGET], float), self.design.matrix(test) @ beta, self.tau) / k
         return total
 
+    def _cv_loss_in_spark(self, sigma: float, k: int) -> float:
+        """The same by hash folds; all folds are fitted in the same jobs."""
+        rows, design, tau = self.counted(k), self.design, self.tau
+        if not hasattr(self, "lam"):
+            self.fit(sigma)
+
+        def inside(cols):
+            return np.asarray(cols["__copies"], np.int64)[:, None] - fold_counts(cols["fold"], cols["__copies"], k)
+
+        betas = np.array(pirls_each(Statistics(rows, design, self.family(sigma)), self.lam, self.pilot.beta, replace(self.opt, most_iterations=50), inside, k))
+
+        def held_out(cols):
+            r = np.asarray(cols[TARGET], np.float64)[:, None] - design.matrix(cols) @ betas.T
+            m = fold_counts(cols["fold"], cols["__copies"], k)
+            return np.concatenate([(m * np.maximum(tau * r, (tau - 1) * r)).sum(0), m.sum(0)]), np.zeros(1)
+
+        s = rows.reduce(held_out)[0]
+        return float((s[:k] / np.maximum(s[k:], 1)).mean())
+
     def kl(self, sigma: float, replicates: int = 20, seed: int = 1) -> float:
         """Calibration loss: Poisson bootstrap weights stand for resampling rows."""
         beta, s = self.fit(sigma)
         a = s["g"] + self.design.penalties.total(self.lam)
+        if isinstance(self.rows, SparkRows):
+            return self._kl_in_spark(sigma, beta, linalg.inverse(a), replicates, seed)
         x = self.design.matrix(self.rows.columns)
         sd, mu, rng = predictive_sd(x, linalg.inverse(a)), x @ beta, np.random.default_rng(seed)
         z = []
@@ -121,6 +185,26 @@ class Tuner:
             z.append((x @ b - mu) / sd)
         return calibration_loss(np.array(z))
 
+    def _kl_in_spark(self, sigma: float, beta: np.ndarray, vcov: np.ndarray, replicates: int, seed: int) -> float:
+        """The same with weights by hash; all replicates are fitted in the same jobs."""
+        rows, design = self.counted(5), self.design
+
+        def times(cols):
+            return poisson_times(cols["__hash"], cols["__copies"], replicates, seed)
+
+        opt = replace(self.opt, most_iterations=50)
+        off = np.array(pirls_each(Statistics(rows, design, self.family(sigma)), self.lam, beta, opt, times, replicates)) - beta
+
+        def calibration(cols):
+            x, copies = design.matrix(cols), np.asarray(cols["__copies"], np.float64)
+            z = x @ off.T / predictive_sd(x, vcov)[:, None]
+            v, m = z.var(1, ddof=1), z.mean(1)
+            each = np.sqrt(np.maximum(v + m * m - np.log(np.maximum(v, 1e-300)), 0))
+            return np.array([(copies * each).sum(), copies.sum()]), np.zeros(1)
+
+        total, n = rows.reduce(calibration)[0]
+        return float(total / n)
+
 
 def fit_quantile(df: DataFrame, target: str, terms: list[Term], tau: float, weight: str | None = None, preset: str = "fast_oos", sigma: float | None = None, opt: Options | None = None, calibrate: bool = True) -> QuantileFit:
     """A smooth quantile. fast_oos takes the automatic scale; quality_oos searches log sigma for the least held-out pinball loss

@@ -252,6 +252,15 @@ def quantile_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return q.transform(df.select("l_quantity").distinct()).withColumn("sigma", F.lit(q.sigma))
 
 
+def _tuned(preset: str):
+    def query(spark: SparkSession, sf_dir: str) -> DataFrame:
+        df = lines(spark, sf_dir).select("l_quantity", (F.col("l_extendedprice") / 1000.0).alias("y"))
+        q = fit_quantile(df, "y", [Cubic("l_quantity", 8)], 0.9, preset=preset)
+        return q.transform(df.select("l_quantity").distinct()).withColumn("sigma", F.lit(q.sigma))
+
+    return query
+
+
 def LINE():  # noqa: N802
     return F.col("l_linenumber").cast("double")
 
@@ -264,6 +273,7 @@ QUERIES = {
     "cr_knots": cr_knots, "cr_basis": cr_basis, "bs_basis": bs_basis, "gram_small": gram_small, "gam_fixed_lambda_fit": gam_fixed_lambda_fit, "parametric_fit": parametric_fit, "re_shrinkage": re_shrinkage,
     "poisson_pirls": _glm("poisson", LINE, "l_discount"), "logit_pirls": _glm("binomial", RETURNED, "l_quantity"),
     "bin_compress": bin_compress, "bin_gram": bin_gram, "k_index": k_index_query, "coverage_shift": coverage_query, "quantile_fit": quantile_fit,
+    "quantile_cv_fit": _tuned("quality_oos"), "quantile_kl_fit": _tuned("kl"),
     "gam_reml_fit": _fit(_smooths, lambda: family("gaussian")), "gam_gcv_fit": _fit(_smooths, lambda: family("gaussian"), method="GCV"), "gam_fellner_schall_fit": _fit(_smooths, lambda: family("gaussian"), algorithm="fellner-schall"),
     "gam_discrete_fit": _fit(lambda: [Cubic("l_quantity", 10), Cubic("l_tax", 5)], lambda: family("gaussian"), discrete=True),
     "gam_binomial_fit": _fit(_smooths, lambda: family("binomial"), RETURNED, method="fREML"),

@@ -3,10 +3,11 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from ridgeline.operators import binning
+from ridgeline.operators import binning, linalg
 from ridgeline.operators.diagnostics import coverage_shift, k_index, kl_loss, order_statistic
-from ridgeline.operators.fit import fit_gam
-from ridgeline.operators.quantile import calibration_loss, fit_location_scale, fit_quantile, folds, pinball_loss, shash_cdf, shash_fit, shash_quantile
+from ridgeline.operators.fit import Options, fit_gam
+from ridgeline.operators.quantile import Tuner, calibration_loss, fit_location_scale, fit_quantile, fold_counts, folds, pinball_loss, poisson_times, predictive_sd, shash_cdf, shash_fit, shash_quantile
+from ridgeline.operators.rows import LocalRows
 from ridgeline.operators.terms import Cubic
 from ridgeline.streaming.incremental import RunningFit
 
@@ -101,3 +102,52 @@ def test_running_fit_follows_batches(spark, noisy, tmp_path):
     other = RunningFit(fit_gam(first, "y", [Cubic("x", 8)]))
     other.follow(stream, f"{tmp_path}/ck").awaitTermination()
     assert np.allclose(other.model.beta, run.model.beta, atol=1e-6)
+
+
+def _rows_of(spark, n=1200):
+    rng = np.random.default_rng(3)
+    x = rng.uniform(0, 1, n).round(2)
+    rows = [(float(a), float(b)) for a, b in zip(x, (np.sin(6 * x) + rng.normal(0, 0.3, n)).round(2))]
+    return spark.createDataFrame(rows + [(0.5, 0.25)] * 400, "x double, y double")
+
+
+@pytest.mark.parametrize("preset", ["quality_oos", "kl"])
+def test_quantiles_are_tuned_over_rows_in_spark(spark, preset):
+    df = _rows_of(spark)
+    q = fit_quantile(df, "y", [Cubic("x", 5)], 0.8, preset=preset, opt=Options(local_rows=10))
+    assert len(q.trace) > 3 and min(v for _, v in q.trace) == dict(q.trace)[q.sigma]
+
+
+def test_losses_in_spark_equal_plain_refits(spark):
+    df = _rows_of(spark)
+    t = Tuner(df, "y", [Cubic("x", 5)], 0.8, opt=Options(local_rows=10))
+    cv, kl = t.cv_loss(0.1), t.kl(0.1, replicates=6)
+    assert Tuner(df.repartition(7), "y", [Cubic("x", 5)], 0.8, opt=Options(local_rows=10)).kl(0.1, replicates=6) == pytest.approx(kl, rel=1e-5)
+    pdf = t.counted(5).df.toPandas()
+    cols = {c: pdf[c].to_numpy() for c in pdf.columns}
+    x, copies = t.design.matrix(cols), cols["__copies"]
+    assert copies.sum() == 1600 and copies.max() >= 400
+    t2, want = Tuner(df, "y", [Cubic("x", 5)], 0.8, opt=Options(local_rows=10)), 0.0
+    t2.fit(0.1)
+    inside = fold_counts(cols["fold"], copies, 5)
+    assert (inside.sum(1) == copies).all() and inside[copies >= 400].min() >= 80
+    for i in range(5):
+        def taken(m):
+            return LocalRows({c: np.repeat(v, m) for c, v in cols.items()})
+
+        b, _ = t2.fit(0.1, taken(copies - inside[:, i]), t2.lam)
+        want += pinball_loss(np.repeat(cols["__y"], inside[:, i]), np.repeat(x @ b, inside[:, i]), 0.8) / 5
+    assert cv == pytest.approx(want, rel=1e-6)
+    b0, s = t2.fit(0.1)
+    sd = predictive_sd(x, linalg.inverse(s["g"] + t2.design.penalties.total(t2.lam)))
+    times = poisson_times(cols["__hash"], copies, 6, 1)
+    z = [(x @ t2.fit(0.1, taken(times[:, r]), t2.lam)[0] - x @ b0) / sd for r in range(6)]
+    assert kl == pytest.approx(calibration_loss(np.repeat(np.array(z), copies, axis=1)), rel=1e-4)
+
+
+def test_bootstrap_weights_are_poisson():
+    h = np.random.default_rng(1).integers(-(2**62), 2**62, 4000)
+    for copies in (1, 5, 500):
+        m = poisson_times(h, np.full(4000, copies), 4, 1)
+        assert abs(m.mean() / copies - 1) < 0.05 and abs(m.var() / copies - 1) < 0.1
+        assert abs(np.corrcoef(m.T)[0, 1]) < 0.06
