@@ -6,11 +6,13 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import MapType
 
 from .common import written
 
-#: Bits of the hash that a histogram level looks at, and levels: bucket, then boundary bucket's sub-bucket, and once more.
-BITS, LEVELS = 12, 3
+#: Bits of the hash that a histogram level looks at, and levels: bucket, then boundary bucket's sub-bucket, and so on. The key gives
+#: the first KEY_BITS, and the whole row the rest, so that a key with many rows can be split.
+BITS, LEVELS, KEY_BITS = 12, 5, 24
 
 
 def targets(sizes: DataFrame, weights: Sequence[float] = (5, 2, 1), most: float = 3.0, share: float = 1.0) -> DataFrame:
@@ -33,6 +35,13 @@ def targets(sizes: DataFrame, weights: Sequence[float] = (5, 2, 1), most: float
     return each.withColumn("target", F.least(F.col("cap"), F.coalesce(level, F.lit(float("inf"))) * F.col("weight"))).select("source", "source_size", "weight", "target")
 
 
+def _hash(docs: DataFrame, key: Sequence[str]) -> Column:
+    rest = [docs[f.name] for f in docs.schema if f.name not in key and not isinstance(f.dataType, MapType)]
+    low = 64 - KEY_BITS
+    whole = F.xxhash64(*[docs[c] for c in key], *rest).bitwiseAND(F.lit(2**low - 1))
+    return F.xxhash64(*[docs[c] for c in key]).bitwiseAND(F.lit(-(2**low))).bitwiseOR(whole)
+
+
 def _digit(h: Column, level: int) -> Column:
     return F.shiftrightunsigned(h, 64 - BITS * (level + 1)).bitwiseAND(F.lit(2**BITS - 1)).cast("int")
 
@@ -40,14 +49,14 @@ def _digit(h: Column, level: int) -> Column:
 def mix(docs: DataFrame, size: Column, key: Sequence[str], source: str = "source", weights: Sequence[float] = (5, 2, 1), most: float = 3.0, share: float = 1.0) -> DataFrame:
     """docs' columns in a struct `row`, with size, source_size, target, copies and taken = copies * size.
 
-    Each source takes every document floor(target / source_size) times, and once more those whose hash of `key` lies under
-    the source's threshold. The threshold comes from sums of sizes by source and leading hash bits (at most 4096 rows a
+    Each source takes every document floor(target / source_size) times, and once more those whose hash, of `key` first and
+    then of the whole row, lies under the source's threshold. The threshold comes from sums of sizes by source and leading hash bits (at most 4096 rows a
     source), the boundary bucket alone being refined by the next bits. Larger budgets take supersets. Nothing is sorted by
-    document, and results don't depend on partitions. Null sizes count 0; a source of size 0 has target 0; rows with equal
-    keys are taken alike; null sources form a source. No rows give no rows.
+    document, and results don't depend on partitions. Null sizes count 0; a source of size 0 has target 0; rows that are
+    equal in all columns are taken alike, while others under one key may part; null sources form a source. No rows give no rows.
     """
     size = F.coalesce(size, F.lit(0)).cast("long")
-    rows = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("row"), docs[source].alias("source"), size.alias("size"), F.xxhash64(*[docs[c] for c in key]).alias("h"))
+    rows = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("row"), docs[source].alias("source"), size.alias("size"), _hash(docs, key).alias("h"))
     slim = written(rows.select("source", "size", "h"), "mix")
     sizes = slim.groupBy("source").agg(F.sum("size").alias("source_size"))
     plan = targets(sizes, weights, most, share).withColumn("ratio", F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0))

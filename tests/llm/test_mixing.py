@@ -63,3 +63,12 @@ def test_edges(spark):
     assert [r["taken"] for r in empty.collect()] == [0, 0]
     same = mixing.mix(spark.createDataFrame([(None, "a b", "a", 0, 0, "")] * 9 + [(5, "x", "b", 0, 0, "")], SCHEMA), n_words("text"), ["doc_id"])
     assert len({r["copies"] for r in same.where(F.col("row.doc_id").isNull()).collect()}) == 1
+
+
+@pytest.mark.parametrize("key", [7, None])
+def test_a_key_with_most_rows_is_split(spark, key):
+    data = [(key, f"w{i} x y z", "a", 0, 0, "") for i in range(600)] + [(1000 + i, "u v", "b", 0, 0, "") for i in range(60)]
+    got = mixing.mix(spark.createDataFrame(data, SCHEMA).repartition(4), n_words("text"), ["doc_id"]).select("row.source", "target", "taken").collect()
+    for s in "ab":
+        own = [r for r in got if r["source"] == s]
+        assert abs(sum(r["taken"] for r in own) - own[0]["target"]) <= 4
