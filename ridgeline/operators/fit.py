@@ -469,6 +469,16 @@ def _first(stats, fam, p: Profile) -> np.ndarray:
     return beta
 
 
+def _vertex(grid: np.ndarray, e: np.ndarray) -> float:
+    """The best of an even grid, refined by the parabola through it and its neighbours."""
+    j = int(np.argmax(e))
+    if not 0 < j < len(grid) - 1:
+        return float(grid[j])
+    a, b, c = e[j - 1], e[j], e[j + 1]
+    shift = 0.5 * (a - c) / (a - 2 * b + c) if a - 2 * b + c < 0 else 0.0
+    return float(grid[j] + shift * (grid[1] - grid[0]))
+
+
 def _reshaped(stats, fam: Family, beta: np.ndarray, s: dict) -> Family:
     """The family with its shape parameters moved to their best values at the current fit; several values are scored in one job."""
     if isinstance(fam, StudentT):
@@ -485,8 +495,8 @@ def _reshaped(stats, fam: Family, beta: np.ndarray, s: dict) -> Family:
         e = stats.at(beta, fam, extra=tails)["extra"]
         total = stats.likelihood(fam)[0]
         like = [replace(fam, nu=float(v), sigma2=sigma2).saturated(1.0, 0, np.array([total])) - 0.5 * (v + 1) * x for v, x in zip(grid, e)]
-        nu = float(grid[int(np.argmax(like))])
-        same = abs(nu - fam.nu) < 1e-9 and abs(sigma2 / fam.sigma2 - 1) < 1e-7
+        nu = math.exp(_vertex(np.log(grid), np.array(like)))
+        same = abs(math.log(nu / fam.nu)) < 1e-5 and abs(sigma2 / fam.sigma2 - 1) < 1e-7
         return fam if same else replace(fam, nu=max(nu, 3.0) if fam.nu >= 3 else nu, sigma2=sigma2)
     if isinstance(fam, NegBin):
         grid = np.exp(np.linspace(math.log(0.5), math.log(50.0), 16))
@@ -498,28 +508,27 @@ def _reshaped(stats, fam: Family, beta: np.ndarray, s: dict) -> Family:
             return np.array([f.likelihood_sums(u, each)[0] - 0.5 * (w * f.deviance(NP, y, mu)).sum() for f in fams])
 
         e = stats.at(beta, fam, extra=like)["extra"]
-        j = int(np.argmax(e))
-        theta = float(grid[j])
-        if 0 < j < len(grid) - 1:  # the vertex of the parabola through the three best
-            a, b, c = e[j - 1], e[j], e[j + 1]
-            shift = 0.5 * (a - c) / (a - 2 * b + c) if a - 2 * b + c < 0 else 0.0
-            theta = float(math.exp(math.log(grid[j]) + shift * (math.log(grid[1]) - math.log(grid[0]))))
+        theta = math.exp(_vertex(np.log(grid), e))
         return fam if abs(math.log(theta / fam.theta)) < 1e-4 else replace(fam, theta=theta)
     if isinstance(fam, Tweedie) and stats.profile_p:
-        grid = np.linspace(1.05, 1.95, 19)
-
-        def like(y, eta, w):
-            mu = fam.link.inverse(NP, eta)
-            out = []
-            for q in grid:
-                f = replace(fam, p=float(q))
-                phi = max(float((w * (y - mu) ** 2 / f.variance(NP, mu)).sum() / max(len(y), 1)), 1e-8)
-                out.append(f.log_density_at_y(y, phi).sum() - 0.5 * (w * f.deviance(NP, y, mu)).sum() / phi)
-            return np.array(out)
-
-        e = stats.at(beta, fam, extra=like)["extra"]
-        q = float(grid[int(np.argmax(e))])
-        return fam if q == fam.p else replace(fam, p=q)
+        def score(grid):
+            def like(y, eta, w):
+                mu = fam.link.inverse(NP, eta)
+                out = []
+                for q in grid:
+                    f = replace(fam, p=float(q))
+                    phi = max(float((w * (y - mu) ** 2 / f.variance(NP, mu)).sum() / max(len(y), 1)), 1e-8)
+                    out.append(f.log_density_at_y(y, phi).sum() - 0.5 * (w * f.deviance(NP, y, mu)).sum() / phi)
+                return np.array(out)
+
+            return stats.at(beta, fam, extra=like)["extra"]
+
+        grid = np.concatenate([[1.001], np.linspace(1.05, 1.95, 19), [1.999]])
+        j = int(np.argmax(score(grid)))
+        # Between the neighbours of the best, a second grid in one job.
+        fine = np.linspace(grid[max(j - 1, 0)], grid[min(j + 1, len(grid) - 1)], 21)
+        q = _vertex(fine, score(fine))
+        return fam if abs(q - fam.p) < 1e-5 else replace(fam, p=q)
     if isinstance(fam, OrderedCategorical):
         theta, step = np.array(fam.theta), 1e-3
         probes = [theta + step * (i * e) for e in np.eye(len(theta)) for i in (-1, 0, 1)]

@@ -1,8 +1,10 @@
 import json
+import math
 import os
 import warnings
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -252,3 +254,22 @@ def test_tweedie_power_is_profiled(data):
     df, _ = data
     free = Gam(["x"], family="tweedie").fit(df, "tw").model.fam.p
     assert free != 1.5 and Gam(["x"], family="tweedie", p=1.5).fit(df, "tw").model.fam.p == 1.5
+
+
+def test_shapes_are_refined_between_grid_values(spark):
+    rng = np.random.default_rng(8)
+    pdf = pd.DataFrame({"x": rng.random(3000)})
+    pdf["y"] = pdf["x"] + 0.3 * rng.standard_t(5, 3000)
+    nu = fit_gam(spark.createDataFrame(pdf), "y", [Linear("x")], "scat").fam.nu
+    grid = np.exp(np.linspace(math.log(2.0), math.log(100.0), 33))
+    assert np.abs(grid / nu - 1).min() > 1e-4 and 4 < nu < 6.5
+
+
+def test_tweedie_power_lies_between_grid_values(spark):
+    rng = np.random.default_rng(9)
+    n, mu, phi, p = 2500, 3.0, 1.2, 1.62
+    counts = rng.poisson(mu ** (2 - p) / (phi * (2 - p)), n)
+    shape, scale = (2 - p) / (p - 1), phi * (p - 1) * mu ** (p - 1)
+    pdf = pd.DataFrame({"x": rng.random(n), "y": [rng.gamma(shape * c, scale) if c else 0.0 for c in counts]})
+    found = fit_gam(spark.createDataFrame(pdf), "y", [Linear("x")], "tweedie", opt=Options(profile_p=True)).fam.p
+    assert abs(found - p) < 0.06 and min(abs(found - q) for q in np.linspace(1.05, 1.95, 19)) > 1e-4
