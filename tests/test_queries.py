@@ -7,6 +7,7 @@ import numpy as np
 import pytest
 
 import __spark_entry__ as entry
+from ridgeline.operators.model import DRAWS
 from ridgeline.plans import catalog
 
 SF = "/root/testdata/sf0.001"
@@ -43,3 +44,8 @@ def test_query_has_rows(spark, name):
 def test_entry(spark):
     assert entry.entry(spark).count() > 0
     assert set(entry.oracle_sql()) <= set(entry.queries())
+
+
+def test_posterior_has_the_default_number_of_draws(spark):
+    got = catalog.QUERIES["posterior_samples"](spark, SF)
+    assert got.selectExpr("min(size(samples)) AS a", "max(size(samples)) AS b").first() == (DRAWS, DRAWS)
