@@ -5,24 +5,25 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+import xxhash
 
-#: Bytes of text hashed at once.
-PIECE = 1 << 19
+#: Words whose hashes one task keeps at hand.
+KNOWN = 1 << 19
 
-_rng = np.random.default_rng(9)
-_TABLE = _rng.integers(1, 2**63, 256, dtype=np.uint64)
-_BASE, _STEP = 0x9E3779B97F4A7C15, np.uint64(0xD6E8FEB86659FD93)
-_GAP = np.zeros(256, bool)
-_GAP[[32, 9, 10, 11, 12, 13]] = True
-_powers: list[np.ndarray] = []
+_STEP = np.uint64(0xD6E8FEB86659FD93)
 
 
-def _power(n: int) -> tuple[np.ndarray, np.ndarray]:
-    if not _powers or len(_powers[0]) < n:
-        grow, shrink = np.full(max(n, 2 * PIECE), np.uint64(_BASE)), np.full(max(n, 2 * PIECE), np.uint64(pow(_BASE, -1, 2**64)))
-        grow[0] = shrink[0] = 1
-        _powers[:] = [np.multiply.accumulate(grow), np.multiply.accumulate(shrink)]
-    return _powers[0], _powers[1]
+class _Hashes(dict):
+    """word -> its xxh3, which isn't linear in the letters, so that no two words are equal for their pattern's sake."""
+
+    def __missing__(self, word: bytes) -> int:
+        if len(self) >= KNOWN:
+            self.clear()
+        h = self[word] = xxhash.xxh3_64_intdigest(word, 9)
+        return h
+
+
+_hashes = _Hashes()
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -31,35 +32,12 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(33))
 
 
-def _words(raw: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Starts and hashes of the words of a buffer that begins and ends with a gap."""
-    gap = _GAP[raw]
-    turn = np.flatnonzero(gap[1:] != gap[:-1]) + 1
-    start, end = turn[::2], turn[1::2]
-    grow, shrink = _power(len(raw) + 1)
-    upto = np.zeros(len(raw) + 1, np.uint64)
-    np.cumsum(_TABLE[raw] * grow[: len(raw)], out=upto[1:])
-    return start, mix((upto[end] - upto[start]) * shrink[start] + (end - start).astype(np.uint64) * _STEP)
-
-
 def shingle_sets(texts: list[bytes], size: int) -> Iterator[np.ndarray]:
     """For each text, its distinct shingles of `size` words, A-Z lower-cased, ascending; a text with fewer words is one shingle,
-    and one without words has none."""
-    at = 0
-    while at < len(texts):
-        to, total = at, 0
-        while to < len(texts) and (to == at or total + len(texts[to]) <= PIECE):
-            total += len(texts[to]) + 1
-            to += 1
-        joined = (b" " + b" ".join(texts[at:to]) + b" ").lower()
-        start, word = _words(np.frombuffer(joined, np.uint8))
-        ends = np.cumsum([len(t) + 1 for t in texts[at:to]])
-        cut = np.searchsorted(start, ends + 1)
-        first = 0
-        for upto in cut.tolist():
-            yield _set(word[first:upto], size)
-            first = upto
-        at = to
+    and one without words has none. Words are what split() of bytes gives: runs of all but space and \\t\\n\\v\\f\\r."""
+    for t in texts:
+        words = t.lower().split()
+        yield _set(np.fromiter(map(_hashes.__getitem__, words), np.uint64, len(words)), size)
 
 
 def _set(words: np.ndarray, size: int) -> np.ndarray:
@@ -83,3 +61,20 @@ def overlap(a: np.ndarray, b: np.ndarray) -> int:
     at = np.searchsorted(b, a)
     at[at == len(b)] = 0
     return int((b[at] == a).sum())
+
+
+class Overlaps:
+    """Intersection sizes of one set with many at a time."""
+
+    def __init__(self, sets: list[np.ndarray]):
+        self.n = len(sets)
+        every = np.concatenate(sets) if sets else np.zeros(0, np.uint64)
+        owner = np.repeat(np.arange(self.n, dtype=np.int32), [len(s) for s in sets])
+        order = np.argsort(every, kind="stable")
+        self.keys, self.owner = every[order], owner[order]
+
+    def with_set(self, x: np.ndarray) -> np.ndarray:
+        lo, hi = np.searchsorted(self.keys, x, "left"), np.searchsorted(self.keys, x, "right")
+        count = hi - lo
+        at = np.arange(count.sum()) + np.repeat(lo - (np.cumsum(count) - count), count)
+        return np.bincount(self.owner[at], minlength=self.n)
