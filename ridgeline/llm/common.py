@@ -17,9 +17,9 @@ from pyspark.sql import functions as F
 WORD = r"[^\x20\x09-\x0D]+"
 
 
-CLEANUP, ARROW_ROWS = "spark.sql.classic.shuffleDependency.fileCleanup.enabled", "spark.sql.execution.arrow.maxRecordsPerBatch"
-#: Rows of an Arrow batch while a working table is written.
-MOST_ROWS = 2000
+CLEANUP, ARROW_ROWS, ARROW_BYTES = "spark.sql.classic.shuffleDependency.fileCleanup.enabled", "spark.sql.execution.arrow.maxRecordsPerBatch", "spark.sql.execution.arrow.maxBytesPerBatch"
+#: Rows and bytes of an Arrow batch while a working table is written.
+MOST_ROWS, MOST_BYTES = 2000, 4 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -41,7 +41,7 @@ def written(df: DataFrame, name: str) -> DataFrame:
     path = f"{shared_dir(spark)}/ridgeline-{name}-{uuid.uuid4().hex}"
     # Once the table is there, nothing reads the shuffle files that made it; and rows here may be long texts.
     rows = int(spark.conf.get(ARROW_ROWS))
-    own = {CLEANUP: "true", ARROW_ROWS: str(min(rows, MOST_ROWS) if rows > 0 else MOST_ROWS)}
+    own = {CLEANUP: "true", ARROW_ROWS: str(min(rows, MOST_ROWS) if rows > 0 else MOST_ROWS), ARROW_BYTES: str(MOST_BYTES)}
     before = {k: spark.conf.get(k) for k in own}
     try:
         for k, v in own.items():

@@ -19,7 +19,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_schema, map_rows, remove, text_bytes, written
+from .common import arrow_schema, map_rows, release, remove, text_bytes, written
 from .suffixes import permuted_common_prefixes, suffix_array
 
 #: Bytes of a removable string, and of an anchor gram.
@@ -69,7 +69,7 @@ def anchors(raw: np.ndarray, ends: np.ndarray, window: int = WINDOW, gram: int =
     upto = np.zeros(n + 1, np.uint64)
     np.cumsum(_TABLE[raw] * grow[:n], out=upto[1:])
     h = _mix((upto[gram:] - upto[:-gram]) * shrink[: n - gram + 1])
-    top = (h >> np.uint64(32)).astype(np.uint32)
+    top = np.maximum((h >> np.uint64(32)).astype(np.uint32), 1)  # 0 stands for no window
     least = _slide(top, reach + 1, np.minimum)  # for each window
     starts = np.concatenate([[0], ends[:-1]])
     for s, e in zip(starts.tolist(), ends.tolist()):
@@ -208,17 +208,22 @@ def _shards(window: int):
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names, held, size, last, number = [], [], 0, None, 0
         for batch in batches:
-            for key, i, n, off, content, a, b in zip(*(batch.column(c).to_pylist() for c in ("key", "id", "n", "off", "content", "a", "b"))):
-                if key != last:
-                    if size >= SHARD:
-                        yield emit(names, held)
-                        names, held, size = [], [], 0
-                    last, number = key, number + 1
-                names.append(i)
-                held.append((content, off, a, b, number, n))
-                size += len(content)
+            for at in range(0, batch.num_rows, 256):
+                part = batch.slice(at, 256)
+                for key, i, n, off, content, a, b in zip(*(part.column(c).to_pylist() for c in ("key", "id", "n", "off", "content", "a", "b"))):
+                    if key != last:
+                        if size >= SHARD:
+                            yield emit(names, held)
+                            names, held, size = [], [], 0
+                            release()  # a worker holds one shard at a time
+                        last, number = key, number + 1
+                    names.append(i)
+                    held.append((content, off, a, b, number, n))
+                    size += len(content)
         if held:
             yield emit(names, held)
+        names, held = [], []
+        release()
 
     return run
 

@@ -1,13 +1,15 @@
 """Suffix arrays by induced sorting over numpy arrays, and permuted common prefixes.
 
 The order of suffixes is induced bucket by bucket, so each step moves a whole batch of suffixes and work stays linear in the text.
+The leftmost-smaller suffixes are sorted by recursion on the string of their substrings' names. Where that string has too many
+symbols for buckets, its suffixes are placed by sorting what they hold up to the next leftmost-smaller one, whose rank decides.
 """
 
 from __future__ import annotations
 
 import numpy as np
 
-#: A reduced string goes on by induction while its alphabet is under a fraction of its length; else its ranks are doubled.
+#: A reduced string is induced by buckets while its alphabet is under this fraction of its length.
 SPARSE = 200
 
 
@@ -34,12 +36,62 @@ def _induced(t: np.ndarray, sigma: int) -> np.ndarray:
     if distinct == len(lms):
         return _induce(t, smaller, by_substring, heads)
     # Sort the leftmost-smaller suffixes as suffixes of the string of names.
-    reduced = names
-    if distinct * SPARSE < len(reduced):
-        rank = _induced(np.concatenate([reduced + 1, [0]]), distinct + 1)[1:]
+    return _induce(t, smaller, lms[_reduced(names, distinct)], heads)
+
+
+def _reduced(r: np.ndarray, sigma: int) -> np.ndarray:
+    """Suffix order of a string of names under sigma, by recursion on its own leftmost-smaller substrings."""
+    n = len(r)
+    if n < 2:
+        return np.arange(n)
+    t = np.concatenate([r + 1, [0]])
+    if sigma * SPARSE < n:
+        return _induced(t, sigma + 1)[1:]
+    smaller = _types(t)
+    lms = np.flatnonzero(smaller[1:] & ~smaller[:-1]) + 1
+    kind = 2 * t + smaller
+    names, distinct = _names(kind, lms)
+    if distinct < len(lms):
+        rank = np.empty(len(lms), np.int64)
+        rank[_reduced(names, distinct)] = np.arange(len(lms))
     else:
-        rank = _doubled(reduced)
-    return _induce(t, smaller, lms[rank], heads)
+        rank = names
+    # Larger types by what they hold up to the next leftmost-smaller suffix, whose rank ends a tie; then smaller types up to the
+    # next larger one. At equal symbols a larger type comes first, as its kind does.
+    ends = kind * (n + 2)
+    ends[lms] += rank + 1
+    others = np.setdiff1d(np.flatnonzero(smaller), lms, assume_unique=True)
+    ends[others] = ends.max() + 1 + np.arange(len(others))  # take no part yet
+    larger = _doubled(ends[:-1])
+    larger = larger[~smaller[larger]]
+    ends = kind * (n + 2)
+    ends[larger] += np.arange(len(larger))
+    return _doubled(ends[:-1])
+
+
+def _names(kind: np.ndarray, lms: np.ndarray) -> tuple[np.ndarray, int]:
+    """Ranks of the substrings from each leftmost-smaller position to the next, equal for equal ones, and their number. Only ties
+    are compared further; no substring is the beginning of another."""
+    length = np.diff(np.append(lms, len(kind) - 1)) + 1
+    _, rank = np.unique(kind[lms], return_inverse=True)
+    k = 1
+    live = np.flatnonzero((np.bincount(rank)[rank] > 1) & (length > 1))
+    rank = rank * (len(lms) + 1)  # room for the ranks within a tie
+    while len(live):
+        then = kind[lms[live] + k]
+        by = np.lexsort((then, rank[live]))
+        live, then = live[by], then[by]
+        own = rank[live]
+        first = np.concatenate([[True], own[1:] != own[:-1]])
+        step = first | np.concatenate([[True], then[1:] != then[:-1]])
+        start = np.flatnonzero(first)[np.cumsum(first) - 1]
+        at = np.flatnonzero(step)[np.cumsum(step) - 1]
+        rank[live] = own + (at - start)
+        alone = step & np.append(step[1:], True)
+        k += 1
+        live = live[~alone & (length[live] > k)]
+    kinds, rank = np.unique(rank, return_inverse=True)
+    return rank, len(kinds)
 
 
 def _types(t: np.ndarray) -> np.ndarray:
@@ -126,7 +178,7 @@ def _named(t: np.ndarray, lms: np.ndarray, ordered: np.ndarray) -> tuple[np.ndar
 
 
 def _doubled(r: np.ndarray) -> np.ndarray:
-    """Suffix order by doubling ranks; only suffixes that still tie are sorted again."""
+    """Suffix order by doubling ranks; only suffixes that still tie are sorted again, in as many rounds as the logarithm of a tie."""
     n = len(r)
     order = np.argsort(r)
     s = r[order]

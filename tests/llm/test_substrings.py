@@ -11,9 +11,9 @@ from ridgeline.llm import substrings, suffixes
 def test_suffix_arrays_against_sorting(monkeypatch):
     rng = np.random.default_rng(0)
     for trial in range(300):
-        monkeypatch.setattr(suffixes, "SPARSE", 1 if trial % 2 else 200)
+        monkeypatch.setattr(suffixes, "SPARSE", (1, 200, 10**9)[trial % 3])
         t = rng.integers(0, int(rng.integers(1, 5)), int(rng.integers(0, 60))).astype(np.uint8)
-        if trial % 3 == 0:
+        if trial % 4 == 0:
             t = np.tile(t[:7], 9)
         s = t.tolist()
         order = suffixes.suffix_array(t)
@@ -26,6 +26,18 @@ def test_suffix_arrays_against_sorting(monkeypatch):
             assert shared[b] == k
 
 
+def test_reduced_strings_recurse(monkeypatch):
+    """A long text's reduced string, over many names, is sorted by recursion down to distinct names."""
+    depth, whole = [], suffixes._reduced
+    monkeypatch.setattr(suffixes, "_reduced", lambda r, sigma: depth.append(len(r)) or whole(r, sigma))
+    rng = np.random.default_rng(8)
+    t = np.concatenate([rng.integers(97, 101, 4000), np.tile(rng.integers(97, 123, 300), 9)]).astype(np.uint8)
+    t = np.concatenate([t, t[100:3000]])
+    s = t.tobytes()
+    assert suffixes.suffix_array(t).tolist() == sorted(range(len(s)), key=lambda i: s[i:])
+    assert len(depth) >= 2 and depth == sorted(depth, reverse=True)
+
+
 def test_wide_alphabet():
     t = np.random.default_rng(1).integers(0, 100_000, 500)
     assert suffixes.suffix_array(t).tolist() == sorted(range(500), key=lambda i: t[i:].tolist())
@@ -89,5 +101,14 @@ def test_long_text_in_parts(monkeypatch):
     assert parts == whole
 
 
+def test_a_gram_whose_hash_is_least_of_all_is_an_anchor(spark, monkeypatch):
+    """Hashes with an empty upper half once meant that a window had no anchor."""
+    monkeypatch.setattr(substrings, "_mix", lambda x: x & np.uint64(0xFFFFFFFF))
+    rows = corpus()[:60] + [(9000, "z" + corpus()[0][1]), (9001, "y" + corpus()[3][1] * 3)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = substrings.digest(substrings.remove_repeats(df)).select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256").collect()
+    assert sorted(str(tuple(r)) for r in got) == by_hand(rows)
+
+
 def test_no_rows(spark):
     assert substrings.remove_repeats(spark.createDataFrame([], "doc_id long, text string")).count() == 0
