@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-from bisect import bisect_left, insort
-from collections.abc import Sequence
+from bisect import bisect_left, bisect_right, insort
+from collections.abc import Callable, Sequence
+from itertools import accumulate
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -13,22 +14,37 @@ from .common import written
 
 #: Permitted sequence lengths, and pieces that one group packs on its own.
 CAPACITIES, PER_GROUP = (512, 2048, 8192), 50_000
+#: Tokens that opening a bin costs, and the length at which a token's attention costs as much as all else that it costs.
+OVERHEAD, ATTENTION = 8.0, 32_768.0
 
 
-def pack(lengths: Sequence[int], capacities: Sequence[int], overhead: float = 8.0) -> list[tuple[int, int, int, int]]:
+def price(capacity: int, overhead: float = OVERHEAD, attention: float = ATTENTION) -> float:
+    """What a training sequence of this length costs, in tokens: its length, a fixed part, and attention, which is quadratic."""
+    return capacity + overhead + capacity * capacity / attention
+
+
+def pack(lengths: Sequence[int], capacities: Sequence[int], cost: Callable[[int], float] = price) -> list[tuple[int, int, int, int]]:
     """(bin, offset, capacity, load) for each of lengths, which descend and are between 1 and the largest capacity.
 
-    A piece goes to the bin with the least room that takes it. If none does, a bin opens with the permitted length whose cost
-    per token that can still be packed is least, a bin costing its length and a fixed overhead; ties open the longer one.
-    At the end each bin shrinks to the least permitted length that holds its contents.
+    A piece goes to the bin with the least room that takes it. If none does, a bin opens with the permitted length that costs least
+    for each token that it can be expected to hold: the piece, and of the pieces still to come those that fit beside it, as far as
+    there is room; ties open the longer one. Short lengths cost less attention, long ones suit pieces that leave short ones half
+    empty. All lengths are tried jointly, and so are the longer ones alone; the packing that costs least stays, ties the one of
+    more lengths. At the end each bin shrinks to the least permitted length that holds its contents.
     """
-    sizes, left = sorted(set(capacities)), sum(lengths)
+    sizes = sorted(set(capacities))
+    found = [_packed(lengths, sizes, sizes[i:], cost) for i in range(len(sizes))]
+    return min(found, key=lambda x: x[0])[1]
+
+
+def _packed(lengths: Sequence[int], sizes: list[int], opened: list[int], cost: Callable[[int], float]) -> tuple[float, list[tuple[int, int, int, int]]]:
     rooms: list[int] = []  # distinct rooms of open bins, ascending
     bins_with: dict[int, list[int]] = {}
     load: list[int] = []
     at: list[tuple[int, int]] = []
-    for n in lengths:
-        left -= n
+    rest = [0, *accumulate(reversed(lengths))]  # tokens of the shortest pieces
+    rising = lengths[::-1]
+    for j, n in enumerate(lengths):
         i = bisect_left(rooms, n)
         if i < len(rooms):
             room = rooms[i]
@@ -38,7 +54,8 @@ def pack(lengths: Sequence[int], capacities: Sequence[int], overhead: float = 8.
                 del bins_with[room]
                 rooms.pop(i)
         else:
-            room = min((c for c in sizes if c >= n), key=lambda c: ((c + overhead) / (n + min(c - n, left)), -c))
+            to_come = len(lengths) - j - 1
+            room = min((c for c in opened if c >= n), key=lambda c: (cost(c) / (n + min(c - n, rest[min(to_come, bisect_right(rising, c - n))])), -c))
             b = len(load)
             load.append(0)
         at.append((b, load[b]))
@@ -50,7 +67,7 @@ def pack(lengths: Sequence[int], capacities: Sequence[int], overhead: float = 8.
                 insort(rooms, room)
             bins_with[room].append(b)
     fit = [sizes[bisect_left(sizes, x)] for x in load]
-    return [(b, off, fit[b], load[b]) for b, off in at]
+    return sum(map(cost, fit)), [(b, off, fit[b], load[b]) for b, off in at]
 
 
 def best_fit(docs: DataFrame, length: Column, key: Sequence[str], capacities: Sequence[int] = CAPACITIES, per_group: int = PER_GROUP) -> DataFrame:
