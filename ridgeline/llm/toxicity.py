@@ -10,7 +10,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import blank, map_rows
+from .common import blank, map_rows, written
 
 #: Fixed folds: letters that look like Latin ones, and digits and signs that stand for letters. l, 1 and | all fold to i.
 LOOKALIKES = {
@@ -125,12 +125,13 @@ def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "te
     """Learns from labelled rows that aren't held out, LABELLED at most; of a key's several labels the largest counts."""
     told = labels.where(F.col(label).isNotNull() & F.col(key).isNotNull()).groupBy(F.col(key).alias("key")).agg(F.max(label).cast("int").alias("y"))
     told = told.where(~held_out(F.col("key"))).orderBy(F.xxhash64("key"), "key").limit(LABELLED)
-    # Keys and labels only, LABELLED at most, are broadcast; the texts stay on the executors.
-    return learn(docs.select(docs[key].alias("key"), blank(docs[text]).alias("text")).join(F.broadcast(told), "key").select("y", "text"))
+    # Keys and labels only, LABELLED at most, are broadcast; the texts stay on the executors, and are picked out once.
+    return learn(written(docs.select(docs[key].alias("key"), blank(docs[text]).alias("text")).join(F.broadcast(told), "key").select("y", "text"), "labelled"))
 
 
 def learn(rows: DataFrame) -> Lexicon:
-    """A lexicon from rows of y and text. Without toxic or without clean rows, or without telling words, nothing is toxic."""
+    """A lexicon from rows of y and text, which are gone through for words, phrases and the curve. Without toxic or without clean
+    rows, empty tables among them, or without telling words, nothing is toxic. Repeated rows count as often as they come."""
 
     def count():
         def f(part):
@@ -152,10 +153,12 @@ def learn(rows: DataFrame) -> Lexicon:
         return w in weights or any(f"{w[:k]}*" in weights for k in STEMS)
 
     def phrase():
+        match = Lexicon(weights).matcher().match
+
         def f(part):
             out = []
             for t in part["text"]:
-                words = tokens(t)
+                words = tokens(t) if match(t)[1] else []  # nearly all rows hold nothing of the lexicon
                 out.append(sorted({f"{a} {b}" for a, b in zip(words, words[1:]) if listed(a) or listed(b)}))
             return {"y": [int(y > 0) for y in part["y"]], "words": out}
 

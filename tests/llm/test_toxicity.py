@@ -1,3 +1,4 @@
+import math
 import os
 import random
 import zlib
@@ -41,6 +42,44 @@ def test_held_out_accuracy(spark, learned):
     assert all(got[i]["out"] == (zlib.crc32(str(i).encode()) % 5 == 0) for i, _, _ in rows) and all(0 <= r["score"] <= 1 for r in got.values())
 
 
+def match_by_hand(lexicon, text):
+    """Every entry tried at every place."""
+    low = toxicity.folded(text)
+    starts = [i for i in range(len(low)) if i == 0 or not low[i - 1].isalnum()]
+    whole = lambda i, w: low.startswith(w, i) and not low[i + len(w) : i + len(w) + 1].isalnum()
+    spared = [(i, i + len(w)) for i in starts for w in lexicon.exceptions if whole(i, w)]
+    heaviest = {}
+    for i in starts:
+        for w, x in lexicon.weights.items():
+            end = i + len(w.rstrip("*"))
+            if (low.startswith(w[:-1], i) if w.endswith("*") else whole(i, w)) and not any(a <= i and end <= b for a, b in spared):
+                heaviest[i] = max(x, heaviest.get(i, 0.0))
+    return sum(heaviest.values()), len(heaviest)
+
+
+def test_matches_against_trying_all(learned):
+    rng = random.Random(3)
+    for lexicon in (learned[0], toxicity.Lexicon({"ab": 1.0, "abc": 2.0, "abc*": 3.0, "abcd": 0.5, "b": 4.0, "cab*": 1.5}, frozenset({"ab b", "b abc", "abc abc"}))):
+        match, parts = lexicon.matcher().match, [*lexicon.weights, *lexicon.exceptions, "ab", "abc", "abcd", "b", "c", "x", "4bc", "а", "!", "'"]
+        for _ in range(300):
+            text = "".join(rng.choice(parts).rstrip("*") + rng.choice([" ", " ", "", "-", "\n", "\u00ad"]) for _ in range(rng.randint(0, 8)))
+            total, hits = match(text)
+            assert (pytest.approx(total), hits) == match_by_hand(lexicon, text), text
+
+
+def test_weights_against_counting(learned):
+    lexicon, _, _, rows = learned
+    told = [(y, toxicity.terms(toxicity.tokens(t))) for i, t, y in rows if zlib.crc32(str(i).encode()) % 5]
+    toxic, clean = ([w for y, w in told if y == k] for k in (1, 0))
+    want = {}
+    for w in set().union(*toxic):
+        a, b = sum(w in t for t in toxic), sum(w in t for t in clean)
+        odds = math.log((a + 0.1) / (len(toxic) + 0.2)) - math.log((b + 0.1) / (len(clean) + 0.2))
+        if a >= toxicity.LEAST and odds >= toxicity.WEIGHT:
+            want[w] = odds
+    assert lexicon.weights == pytest.approx(want)
+
+
 def test_disguises_and_exceptions(learned):
     score = learned[0].matcher()
     filler = "abc defg hij " * 3
