@@ -7,7 +7,7 @@ import base64
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import blank, map_rows
+from .common import blank, map_rows, written
 
 #: The pre-tokeniser of the public byte-level vocabulary: fixed pattern.
 PATTERN = r"""'(?:[sdmt]|ll|ve|re)| ?\p{L}++| ?\p{N}++| ?[^\s\p{L}\p{N}]++|\s++$|\s+(?!\S)|\s"""
@@ -18,6 +18,7 @@ BLOCK = 1024
 def encoded(docs: DataFrame, vocabulary: str, text: str = "text", keep: tuple[str, ...] = (), pattern: str = PATTERN) -> DataFrame:
     """keep and n_tokens (long) for each row: the number of ids that the byte-level vocabulary gives the whole text. Null is empty.
 
+    Texts of any length are whole; repeated rows are rows each; columns not in keep are ignored; no rows give no rows.
     vocabulary is the path of a rank file (base64 token, rank) that the driver can read; its ranks are broadcast."""
     with open(vocabulary, "rb") as f:
         ranks = {base64.b64decode(a): int(b) for a, b in (line.split() for line in f if line.strip())}
@@ -46,6 +47,7 @@ def length_histogram(lengths: DataFrame, n: str = "n_tokens") -> DataFrame:
     blocks' totals, so no task holds more than a block or a row a block. No rows give no rows."""
     size = F.coalesce(F.col(n), F.lit(0)).cast("long")
     bars = lengths.groupBy(size.alias("n_tokens")).agg(F.count("*").alias("docs")).withColumn("tokens", F.col("docs") * F.col("n_tokens")).withColumn("block", F.floor(F.col("n_tokens") / BLOCK))
+    bars = written(bars, "lengths")  # a row a length, so that texts are encoded once
     blocks = bars.groupBy("block").agg(F.sum("docs").alias("bd"), F.sum("tokens").alias("bt"))
     later = Window.orderBy(F.desc("block")).rowsBetween(Window.unboundedPreceding, -1)
     blocks = blocks.select("block", F.coalesce(F.sum("bd").over(later), F.lit(0)).alias("after_docs"), F.coalesce(F.sum("bt").over(later), F.lit(0)).alias("after_tokens"), F.sum("bd").over(Window.partitionBy()).alias("all_docs"), F.sum("bt").over(Window.partitionBy()).alias("all_tokens"))
