@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 OPEN, HEAD_END, JOIN, CLOSE = "<|", "|>\n", "<+>", "<.>\n"
 #: Turns of a conversation that one aggregation buffer gathers before the parts are put together.
 CHUNK = 512
+#: Pieces whose spans are added up one by one.
+BLOCK = 128
 
 
 def escape(c: Column) -> Column:
@@ -43,15 +45,29 @@ def format_chats(turns: DataFrame, conv: str = "conv_id", turn: str = "turn", ro
         return F.struct(F.concat(head, body, foot).alias("s"), F.length(head).alias("lead"), F.length(body).alias("n"), F.length(foot).alias("tail"), (t["role"] == learn).alias("learn"))
 
     whole = whole.withColumn("pieces", F.transform("turns", piece))
-    spans = F.aggregate(
-        "pieces",
+    # Spans of each BLOCK of pieces from 0, then the blocks' own places: an array that grows is copied whenever it does, so that one
+    # over all turns would cost their square.
+    blocks = F.transform(F.sequence(F.lit(0), F.greatest(F.size("pieces") - 1, F.lit(0)), F.lit(BLOCK)), lambda at: _spans(F.slice("pieces", at + 1, BLOCK)))
+    whole = whole.withColumn("blocks", blocks)
+    places = F.aggregate(
+        "blocks", F.struct(F.lit(0).cast("long").alias("at"), F.array().cast("array<bigint>").alias("begin")),
+        lambda acc, p: F.struct((acc["at"] + p["at"]).alias("at"), F.concat(acc["begin"], F.array(acc["at"])).alias("begin")),
+    )["begin"]
+    whole = whole.withColumn("places", places)
+    spans = F.flatten(F.transform("blocks", lambda p, i: F.transform(p["spans"], lambda s: F.struct((s["start"] + F.get(F.col("places"), i)).alias("start"), s["length"].alias("length")))))
+    return whole.select(F.col("conv").alias(conv), F.array_join(F.transform("pieces", lambda p: p["s"]), "").alias("formatted"), spans.alias("loss_spans"))
+
+
+def _spans(pieces: Column) -> Column:
+    """at, the length of all pieces, and spans, the learned ones among them."""
+    return F.aggregate(
+        pieces,
         F.struct(F.lit(0).cast("long").alias("at"), F.array().cast("array<struct<start:bigint,length:bigint>>").alias("spans")),
         lambda acc, p: F.struct(
             (acc["at"] + p["lead"] + p["n"] + p["tail"]).alias("at"),
             F.when(p["learn"], F.concat(acc["spans"], F.array(F.struct((acc["at"] + p["lead"]).alias("start"), p["n"].cast("long").alias("length"))))).otherwise(acc["spans"]).alias("spans"),
         ),
-    )["spans"]
-    return whole.select(F.col("conv").alias(conv), F.array_join(F.transform("pieces", lambda p: p["s"]), "").alias("formatted"), spans.alias("loss_spans"))
+    )
 
 
 def read_turns(formatted: Column) -> Column:

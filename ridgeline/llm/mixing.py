@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
@@ -88,7 +89,7 @@ def mix(docs: DataFrame, size: Column, key: Sequence[str], source: str = "source
     out = rows.withColumn("s", F.struct("source")).join(F.broadcast(plan) if _few(plan) else plan, "s")
     at = F.shiftrightunsigned("h", bits)
     more = (at < F.col("edge")) | ((at == F.col("edge")) & F.col("with_edge"))
-    copies = F.when(F.col("source_size") == 0, F.lit(0)).otherwise(F.least(F.lit(int(most)), F.col("base") + more.cast("int"))).cast("long")
+    copies = F.when(F.col("source_size") == 0, F.lit(0)).otherwise(F.least(F.lit(math.ceil(most)), F.col("base") + more.cast("int"))).cast("long")
     return out.select("row", "size", "source_size", "target", copies.alias("copies")).withColumn("taken", F.col("copies") * F.col("size"))
 
 

@@ -11,8 +11,9 @@ from pyspark.sql import functions as F
 
 from .common import written
 
-#: The index is fitted on this many vectors at most, those of least hash; every vector is indexed.
-SAMPLE = 16_384
+#: The index is fitted on this many vectors, or PER_LIST for each of its lists if those are more, and so on PER_LIST * MOST_LISTS at
+#: most, those of least hash; every vector is indexed.
+SAMPLE, PER_LIST, MOST_LISTS = 16_384, 16, 4_096
 #: Vectors of a list that are scanned together, and queries of a list that are answered together.
 CHUNK, BLOCK = 4_096, 1_024
 #: Candidates of a list chunk that are reranked exactly, for each asked neighbour.
@@ -28,8 +29,16 @@ class Index:
     probes: int
 
     def lists(self, x: np.ndarray, n: int) -> np.ndarray:
-        """The n nearest lists of each unit vector, nearest first, ties to the smaller list."""
-        return np.argsort(-(x @ self.coarse.T), axis=1, kind="stable")[:, :n]
+        """The n nearest lists of each unit vector, nearest first."""
+        near = x @ self.coarse.T
+        if n == 1:
+            return np.argmax(near, axis=1)[:, None]
+        if n < near.shape[1] // 4:
+            best = np.argpartition(-near, n - 1, axis=1)[:, :n]
+            best.sort(axis=1)
+            order = np.argsort(-np.take_along_axis(near, best, axis=1), axis=1, kind="stable")
+            return np.take_along_axis(best, order, axis=1)
+        return np.argsort(-near, axis=1, kind="stable")[:, :n]
 
     def codes(self, residual: np.ndarray) -> np.ndarray:
         m, k, w = self.books.shape
@@ -57,12 +66,16 @@ def _kmeans(x: np.ndarray, k: int, rounds: int, rng: np.random.Generator, unit:
     return centres
 
 
+def wanted_lists(rows: int) -> int:
+    return int(min(max(1, 2 * rows**0.5), MOST_LISTS))
+
+
 def fit(sample: np.ndarray, rows: int, neighbours: int = 5, slices: int = 16, codes: int = 256, recall: float = 0.98, seed: int = 6) -> Index:
     """An index for `rows` vectors from a sample of unit vectors. Lists follow the root of rows. A query probes as many lists as
     `recall` of the sample's own nearest neighbours need, and a quarter more."""
     rng, dim = np.random.default_rng(seed), sample.shape[1]
     slices = max(s for s in range(1, min(slices, dim) + 1) if dim % s == 0)
-    lists = int(min(max(1, 2 * rows**0.5), 4096, max(1, len(sample) // 16)))
+    lists = max(1, min(wanted_lists(rows), len(sample) // PER_LIST))
     coarse = _kmeans(sample, lists, 8, rng, unit=True)
     residual = sample - coarse[np.argmax(sample @ coarse.T, axis=1)]
     w = dim // slices
@@ -97,7 +110,8 @@ def search(vectors: DataFrame, is_query: Column, neighbours: int = 5, key: str =
         return empty
     dim, rows = dims["n"], dims["c"]
     good = vectors.where(usable(F.col(vector)) & (F.size(vector) == dim) & F.col(key).isNotNull()).select(F.col(key).alias("id"), F.col(vector).cast("array<double>").alias("v"), is_query.alias("asks"))
-    seen = good.select("v").distinct().orderBy(F.xxhash64("v"), "v").limit(sample).toPandas()  # distinct: a common vector is one
+    sample = max(sample, PER_LIST * wanted_lists(rows))
+    seen = _of_least_hash(good, sample, rows)
     if not len(seen):
         return empty
     index = fit(_unit(np.stack(seen["v"].to_numpy())), rows, neighbours)
@@ -167,6 +181,18 @@ def search(vectors: DataFrame, is_query: Column, neighbours: int = 5, key: str =
     return best.select("query_id", F.posexplode("b").alias("at", "x")).select("query_id", (F.col("at") + 1).cast("int").alias("rank"), F.col("x.vec_id").alias("vec_id"), (-F.col("x.s")).alias("score"))
 
 
+def _of_least_hash(good: DataFrame, sample: int, rows: int) -> pd.DataFrame:
+    """The distinct vectors of least hash, so that a common vector is one. Hashes beyond what a sample of distinct vectors would reach are
+    left where they are; only if too few are left, as where few vectors are distinct, all are looked at."""
+    h, share = F.xxhash64("v"), 4 * sample / max(rows, 1)
+    least = lambda df: df.select("v").distinct().orderBy(h, "v").limit(sample).toPandas()
+    if share < 1:
+        found = least(good.where(h < F.lit(int(-(2**63) + share * 2**64))))
+        if len(found) == sample:
+            return found
+    return least(good)
+
+
 def _unit(v: np.ndarray) -> np.ndarray:
     scale = np.abs(v).max(1, keepdims=True)  # before the norm, which may overflow
     v = v / scale

@@ -6,14 +6,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import chat, jaccard, mixing, neighbours, packing, quality, secrets, substrings, tokencounts, toxicity
-from .common import n_words, table
+from .common import n_words, table, written
 
 #: A public byte-level vocabulary; any path that the driver can read will do.
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 
 
 def op1_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return substrings.digest(substrings.remove_repeats(table(spark, sf_dir, "documents").select("doc_id", "text")))
+    # Written within, so that texts go to Python in small batches; the digest itself is a short row a document.
+    return written(substrings.digest(substrings.remove_repeats(table(spark, sf_dir, "documents").select("doc_id", "text"))), "digest")
 
 
 def op2_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -22,7 +23,8 @@ def op2_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "source", "lang")
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "source")
+    # A document stands for a repository, and its source for the owner.
     return secrets.digest(secrets.scan_secrets(docs, carry=["doc_id"]))
 
 

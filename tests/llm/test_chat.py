@@ -1,5 +1,6 @@
 import hashlib
 import random
+import time
 
 from ridgeline.llm import chat
 
@@ -38,6 +39,14 @@ def test_long_conversation_merges_over_chunks(spark):
     assert formatted.count(chat.OPEN) == 1 and formatted.count(chat.CLOSE) == 1  # one run of one role
 
 
+def test_many_turns_and_a_very_long_text(spark):
+    rng = random.Random(2)
+    rows = [(1, i, ["user", "assistant"][i % 2], f"turn {i} <{rng.random()}>", "x") for i in range(6000)] + [(2, 0, "user", "q", ""), (2, 1, "assistant", "<|é" * 200_000, "")]
+    began = time.perf_counter()
+    assert run(spark, rows) == expected(rows)
+    assert time.perf_counter() - began < 30
+
+
 def test_spans_lie_on_assistant_text(spark):
     r = chat.format_chats(spark.createDataFrame([(1, 0, "user", "q", ""), (1, 1, "assistant", "a<b", "")], SCHEMA)).first()
     (s,) = r["loss_spans"]

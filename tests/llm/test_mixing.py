@@ -56,6 +56,21 @@ def test_same_for_any_partitions_and_nested_in_budget(spark):
     assert all(less[k] <= whole[k] for k in whole)
 
 
+def test_a_broken_number_of_copies(spark):
+    got = mixing.mix(spark.createDataFrame(rows(2000), SCHEMA), n_words("text"), ["doc_id"], most=2.5).select("row.source", "size", "target", "source_size", "taken", "copies").collect()
+    want = targets_by_hand({r["source"]: r["source_size"] for r in got}, most=2.5)
+    for s in want:
+        own = [r for r in got if r["source"] == s]
+        assert own[0]["target"] == pytest.approx(want[s]) and abs(sum(r["taken"] for r in own) - want[s]) <= 40
+    assert max(r["copies"] for r in got) == 3
+
+
+def test_a_very_long_text(spark):
+    data = [(1, "w " * 300_000, "a", 0, 0, ""), (2, "w", "a", 0, 0, ""), (3, "w " * 1000, "b", 0, 0, "")]
+    got = {r["doc_id"]: r["size"] for r in mixing.mix(spark.createDataFrame(data, SCHEMA), n_words("text"), ["doc_id"]).select("row.doc_id", "size").collect()}
+    assert got == {1: 300_000, 2: 1, 3: 1000}
+
+
 def test_edges(spark):
     none = mixing.mix(spark.createDataFrame([], SCHEMA), n_words("text"), ["doc_id"])
     assert none.count() == 0
