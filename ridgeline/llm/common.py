@@ -51,9 +51,40 @@ def written(df: DataFrame, name: str) -> DataFrame:
         for k, v in before.items():
             spark.conf.set(k, v)
     atexit.register(_remove, spark, path)
+    if _open:
+        _open[-1].append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+_open: list[list[str]] = []
+
+
+@contextlib.contextmanager
+def working_tables(spark: SparkSession):
+    """Frees what written() wrote inside, but for the tables that the function it gives is called with."""
+    mine: list[str] = []
+    kept: set[str] = set()
+
+    def keep(df: DataFrame) -> DataFrame:
+        kept.update(_folders(df))
+        return df
+
+    _open.append(mine)
+    try:
+        yield keep
+    finally:
+        _open.pop()
+        for path in mine:
+            if path.rsplit("/", 1)[-1] not in kept:
+                _remove(spark, path)
+            elif _open:
+                _open[-1].append(path)
+
+
+def _folders(df: DataFrame) -> set[str]:
+    return {f.rsplit("/", 2)[-2] for f in df.inputFiles()}
+
+
 def remove(df: DataFrame) -> None:
     """Frees a table of written() that no later plan reads."""
     for path in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:

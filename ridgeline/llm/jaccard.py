@@ -1,75 +1,104 @@
-"""Exact Jaccard similarity join as a join in a metric space: Voronoi regions around pivots, windows by the triangle inequality.
-
-The distance d = 1 - J is a metric, and links are pairs within r = 1 - threshold. All sets have one order of their elements: by
-hash, those that many documents hold among their first after all others, so that a passage that many quote tells documents
-apart last. Prefixes in that order show which sets can be near each other: sets within a distance t share an element of both
-prefixes for t.
-
-1. Documents that share no element of their prefixes for r with another document, or whose shared ones are too few, have no
-   links and go. What remains is joined in rounds.
-2. Pivots: of each prefix element that active documents of several classes share, some members of least hash. Prefixes for
-   R = 2r show which pivots can be within R of a document; the distances to these are computed, and pivots within r are linked.
-3. Regions: a document within R - r of its nearest pivot p is at home in that pivot's Voronoi region, and is settled. Boundary
-   documents, those within r beyond the region's radius, are replicated to it. A settled document's links all lie in its
-   region: if d(x, y) <= r, then d(y, p) <= d(x, p) + r, which is at most R, so that y has met p.
-4. A region is joined in itself, in windows |d(x, p) - d(y, p)| <= r. Large regions are first cut into Voronoi regions of pivots of
-   their own, again and again.
-5. Documents farther from every pivot than R - r are active in the next round, with other pivots. Every pivot has met all its
-   links, so each round leaves fewer. Pairs that are of one class already are never compared.
+"""Exact Jaccard similarity join as a join in a metric space: regions around pivots, windows by the triangle inequality.
+
+The distance 1 - J is a metric, and links are pairs within r = 1 - threshold. Texts that share nothing lie at distance 1 from
+each other, so pivots that were drawn freely would tell nearly all documents nothing. Regions therefore begin as documents that
+share a key that any linked pair must share:
+
+- by the prefix of a set, its first elements in one order of all hashes, a share of r of them and one more. Elements that many
+  documents have among their least-hashed ones come last in that order, so a passage that many quote makes no region; and,
+- for documents that still have a key in a large region, by parts: the universe of hashes is cut into more parts than linked sets
+  of that size can differ in, so linked sets agree on a whole part, which for other than near copies is most unlikely.
+
+Small regions are joined in themselves, after filters that lose nothing. Larger ones that overlap make up one cell. In a cell
+pivots are taken, every member's distance to them is computed, members within r are linked, and what is left, members of other
+classes than the cell's largest and whoever lies in their windows |d(x, p) - d(y, p)| <= r, is gone through again. A cell of
+up to CELL members is one task's work; a larger one is worked region by region over all tasks, each round leaving smaller regions.
 """
 
 from __future__ import annotations
 
 import hashlib
+import math
+from functools import lru_cache
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import map_rows, remove, text_bytes, written
-from .shingles import Overlaps, overlap, shingle_sets
+from .common import map_rows, release, remove, text_bytes, working_tables, written
+from .shingles import mix, overlap, shingle_sets
 
-#: Documents up to which a shared element is looked at pair by pair when documents without links are told; others count as hot.
-FEW = 16
+#: Members up to which a region is joined in itself, and pivots that one round takes of a larger one.
+FEW, PIVOTS = 16, 16
 #: Documents asked for, up to which their keys are broadcast; more are joined by shuffle.
 FEW_KEYS = 100_000
-#: Hot elements up to which they are broadcast; more are put last by a join.
+#: Hot keys up to which they are broadcast; more are taken out by a join.
 HOT_KEYS = 200_000
-#: Settled members of a region that one task goes through, replicated ones that it holds, and pivots that a larger region gets.
-CORE, RING, PIVOTS = 4096, 256, 16
+#: Members, and bytes of text, that a cell may have to be joined by one task.
+CELL, CELL_BYTES = 4096, 32 << 20
 #: Documents of one pivot that one task measures, and sets that one task remembers to have seen.
 MEMBERS, SEEN = 4096, 1 << 18
 
 
 def needed(n: int, percent: int) -> int:
-    """The least overlap of a set of n elements with any set at least `percent` like it."""
+    """The least overlap of a set of n elements with any linked one."""
     return -(-percent * n // 100)
 
 
+@lru_cache(maxsize=None)
+def _bounds(percent: int) -> tuple[int, ...]:
+    out = [1]
+    while out[-1] < 2**40:
+        out.append(out[-1] * 100 // percent + 1)
+    return tuple(out)
+
+
 def prefix(n: int, percent: int) -> int:
-    """The number of a set's first elements, in any one order of all, of which any such set has one among its own."""
+    """The number of a set's first elements, in any one order of all, of which any linked set has one among its own."""
     return n - needed(n, percent) + 1 if n else 0
 
 
-def reach(percent: int) -> int:
-    """The similarity at R, the distance up to which documents meet pivots: twice r, or less where that leaves no prefix."""
-    return max(2 * percent - 100, percent // 2)
-
-
-def components(spark: SparkSession, links: DataFrame) -> DataFrame:
-    """v, label for every vertex of links (a, b): the least vertex reachable. Least labels go along links, and labels to their
-    own labels, so the rounds follow the logarithm of a chain's length; nothing but minima is gathered at a vertex."""
-    edges = written(links.select("a", "b").union(links.select(F.col("b"), F.col("a"))).distinct(), "edges")
-    labels = written(edges.groupBy(F.col("a").alias("v")).agg(F.min("b").alias("m")).select("v", F.least("v", "m").alias("label")), "labels")
-    while True:
-        near = edges.join(labels, edges["b"] == labels["v"]).groupBy("a").agg(F.min("label").alias("m"))
-        step = labels.join(near, labels["v"] == near["a"]).select("v", F.col("label").alias("was"), F.least("label", "m").alias("label"))
-        jump = labels.select(F.col("v").alias("label"), F.col("label").alias("further"))
-        step = written(step.join(jump, "label", "left").select("v", "was", F.least("label", F.coalesce("further", "label")).alias("label")), "labels")
-        done = step.where("label < was").isEmpty()
-        labels = step.select("v", "label")
-        if done:
-            return labels
+@lru_cache(maxsize=None)
+def _spare(differ: int, least: int) -> int:
+    """Parts beyond those that can differ, so that sets of `least` elements rarely leave more parts than these empty."""
+    spare = 3
+    for _ in range(8):
+        empty = (differ + 1 + spare) * math.exp(-least / (differ + 1 + spare))
+        spare = int(empty + 4 * math.sqrt(empty)) + 3
+    return spare
+
+
+def part_keys(x: np.ndarray, percent: int) -> np.ndarray:
+    """Keys of which linked, different sets share one at least: for the set's level of size and the next."""
+    bounds = np.array(_bounds(percent))
+    own = int(np.searchsorted(bounds, len(x), "right")) - 1
+    out = []
+    for level in (own, own + 1):
+        most = int(bounds[level + 1]) - 1
+        differ = 2 * (100 - percent) * most // (100 + percent)
+        if not differ or not len(x):
+            continue  # only equal sets are linked
+        spare = _spare(differ, int(bounds[max(level - 1, 0)]))
+        m = differ + 1 + spare  # linked sets agree on spare + 1 parts at least
+        tag = np.uint64((level + 1) * 0x9E3779B97F4A7C15 % 2**64)
+        high, low = (x >> np.uint64(32)) * np.uint64(m) >> np.uint64(32), (x & np.uint64(0xFFFFFFFF)) * np.uint64(m) >> np.uint64(32)
+        parts, sums = _sums(x, high)
+        out.append(mix(mix(sums + tag) + parts))
+        empty = np.setdiff1d(np.arange(m, dtype=np.uint64), parts, assume_unique=True)
+        if len(empty) > spare:  # else one of the parts agreed on isn't empty; here an empty one counts with each part of another cut
+            order = np.argsort(low, kind="stable")
+            parts2, sums2 = _sums(x[order], low[order])
+            all2 = np.zeros(m, np.uint64)
+            all2[parts2.astype(np.int64)] = sums2
+            second = mix(all2 + tag + np.arange(m, dtype=np.uint64) * np.uint64(0xD6E8FEB86659FD93))
+            out += [mix(second + mix(np.full(m, e + np.uint64(77)))) for e in empty]
+    return np.concatenate(out) if out else np.zeros(0, np.uint64)
+
+
+def _sums(x: np.ndarray, part: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    first = np.flatnonzero(np.concatenate([[True], part[1:] != part[:-1]]))
+    return part[first], np.add.reduceat(mix(x), first)
 
 
 def _set_rows(shingle: int, percent: int):
@@ -98,6 +127,26 @@ def _prefix_size(percent: int) -> Column:
     return (F.col("n") - F.ceil(F.col("n") * percent / F.lit(100)) + 1).cast("int")
 
 
+def _linked(percent: int) -> Column:
+    return 100 * F.col("shared") >= percent * (F.col("na") + F.col("nb") - F.col("shared"))
+
+
+def components(spark: SparkSession, links: DataFrame) -> DataFrame:
+    """v, label for every vertex of links (a, b): the least vertex reachable. Least labels go along links, and labels to their
+    own labels, so the rounds follow the logarithm of a chain's length; nothing but minima is gathered at a vertex."""
+    edges = written(links.select("a", "b").union(links.select(F.col("b"), F.col("a"))).distinct(), "edges")
+    labels = written(edges.groupBy(F.col("a").alias("v")).agg(F.min("b").alias("m")).select("v", F.least("v", "m").alias("label")), "labels")
+    while True:
+        near = edges.join(labels, edges["b"] == labels["v"]).groupBy("a").agg(F.min("label").alias("m"))
+        step = labels.join(near, labels["v"] == near["a"]).select("v", F.col("label").alias("was"), F.least("label", "m").alias("label"))
+        jump = labels.select(F.col("v").alias("label"), F.col("label").alias("further"))
+        step = written(step.join(jump, "label", "left").select("v", "was", F.least("label", F.coalesce("further", "label")).alias("label")), "labels")
+        done = step.where("label < was").isEmpty()
+        labels = step.select("v", "label")
+        if done:
+            return labels
+
+
 def jaccard_classes(docs: DataFrame, key: str = "doc_id", text: str = "text", shingle: int = 4, percent: int = 85) -> DataFrame:
     """key, n_shingles and component_id (the least key reachable by links), a row for each row of docs.
 
@@ -107,6 +156,11 @@ def jaccard_classes(docs: DataFrame, key: str = "doc_id", text: str = "text", sh
     keys are rows of their own; null keys belong to components, whose least key leaves them out; a component of null keys
     alone is null. Texts of any length are whole; other columns, whatever their names, are ignored. No rows give no rows.
     """
+    with working_tables(docs.sparkSession) as keep:
+        return keep(written(_classes(docs, key, text, shingle, percent), "jaccard"))
+
+
+def _classes(docs: DataFrame, key: str, text: str, shingle: int, percent: int) -> DataFrame:
     spark = docs.sparkSession
     slim = docs.select(docs[key].alias("id"), text_bytes(docs[text]).alias("raw"))
     kind = slim.schema["id"].dataType.simpleString()
@@ -115,11 +169,14 @@ def jaccard_classes(docs: DataFrame, key: str = "doc_id", text: str = "text", sh
     classes = sets.where("n > 0").groupBy("digest").agg(F.min("id").alias("least"), F.first("n").alias("n"), F.first("cid").alias("cid"))
     classes = written(classes.withColumn("vid", F.monotonically_increasing_id()), "classes")
 
-    asked, hot = _with_company(every, sets, slim, shingle, percent)
-    one = written(classes.join(asked, "cid").select("vid", "digest", "n"), "one-of-each")
-    texts = _texts(slim, sets, one.select("vid", "digest"), shingle, "vid")
-    keys = _ordered(texts, hot, shingle, percent)
-    links = _rounds(spark, written(keys.withColumn("label", F.col("vid")), "active"), texts, shingle, percent)
+    pairs, crowded = _with_company(every, sets, slim, shingle, percent)
+    named = classes.select("cid", "vid")
+    pairs = pairs.join(named.toDF("a", "va"), "a").join(named.toDF("b", "vb"), "b").select(F.col("va").alias("a"), F.col("vb").alias("b"))
+    pairs, crowded = written(pairs, "pairs"), written(crowded.join(named, "cid").select("vid"), "crowded")
+    # The texts of the documents that are still in question, one for each class.
+    ask = pairs.select(F.col("a").alias("vid")).union(pairs.select("b")).union(crowded).distinct()
+    texts = _texts(slim, sets, classes.join(ask, "vid").select("vid", "digest"), shingle, "vid")
+    links = _links(spark, pairs, crowded, classes, texts, shingle, percent)
     remove(texts)
 
     labels = components(spark, links)
@@ -134,7 +191,8 @@ def jaccard_classes(docs: DataFrame, key: str = "doc_id", text: str = "text", sh
 
 
 def _with_company(every: DataFrame, sets: DataFrame, slim: DataFrame, shingle: int, percent: int) -> tuple[DataFrame, DataFrame]:
-    """cid of every class that may have a link, and the hot elements, k. Removes `every`."""
+    """a, b: cids of classes that may be linked by elements that few share; and cid, hot: of classes with elements of their prefixes that
+    many share, and how many. Removes `every`."""
     rows = every.where(F.size("keys") > 0).withColumn("p", _prefix_size(percent))
     # Elements that many documents have among their first come last in the order.
     firsts = rows.select(F.explode(F.slice("keys", F.lit(1), F.col("p"))).alias("k"))
@@ -178,10 +236,9 @@ def _with_company(every: DataFrame, sets: DataFrame, slim: DataFrame, shingle: i
     length = lambda n: n - F.ceil(n * percent / F.lit(100)) + 1
     differ = F.col("rank_x") + F.col("rank_y") + 2 - 2 * F.col("c") + F.least(length(F.col("n_x")) - 1 - F.col("rank_x"), length(F.col("n_y")) - 1 - F.col("rank_y"))
     may = (100 + percent) * (differ - 3 * F.least("hot_x", "hot_y")) <= (100 - percent) * (F.col("n_x") + F.col("n_y"))
-    both = both.where(may).select(F.explode(F.array("a", "b")).alias("cid"))
-    asked = written(both.union(crowded.select("cid")).distinct(), "asked")
+    pairs = written(both.where(may).select("a", "b"), "pairs")
     remove(shared)
-    return asked, hot
+    return pairs, crowded
 
 
 def _lists(rows: DataFrame, by: str) -> DataFrame:
@@ -225,36 +282,6 @@ def _cool_by_join(rows: DataFrame, hot: DataFrame) -> DataFrame:
     return rows.join(cool, "digest", "left").select("cid", "digest", "n", "p", F.size("keys").alias("known"), keys.alias("keys"))
 
 
-def _ordered(texts: DataFrame, hot: DataFrame, shingle: int, percent: int) -> DataFrame:
-    """vid, n, p (the prefix for r) and keys: the prefix for R, hot elements last."""
-    far = reach(percent)
-    few = hot.count() <= HOT_KEYS
-    shipped = _shipped(hot) if few else _shipped(hot.limit(0))
-
-    def make():
-        bad = shipped.value
-
-        def f(part):
-            n, keys = [], []
-            for s in shingle_sets(part["raw"], shingle):
-                x = s.view(np.int64)
-                n.append(len(x))
-                if few:
-                    late = _held(x, bad)
-                    x = np.concatenate([x[~late], x[late]])[: prefix(len(x), far)]
-                keys.append(x)
-            return {"vid": part["vid"], "n": n, "keys": keys}
-
-        return f
-
-    rows = map_rows(texts, make, "vid bigint, n bigint, keys array<bigint>")
-    if not few:
-        told = rows.select("vid", F.posexplode("keys").alias("at", "k")).join(hot.withColumn("hot", F.lit(1)), "k", "left")
-        order = _lists(told.select("vid", F.struct(F.coalesce("hot", F.lit(0)).alias("hot"), "at").alias("rank"), "k"), "vid")
-        rows = rows.select("vid", "n").join(order, "vid").select("vid", "n", F.slice("keys", F.lit(1), F.col("n").cast("int") - F.ceil(F.col("n") * far / F.lit(100)).cast("int") + 1).alias("keys"))
-    return rows.select("vid", "n", _prefix_size(percent).alias("p"), "keys")
-
-
 def _texts(slim: DataFrame, sets: DataFrame, asked: DataFrame, shingle: int, name: str) -> DataFrame:
     """name, raw: for each class asked for (name, digest), one document's text."""
     one = sets.join(asked.withColumnRenamed(name, "ask"), "digest").groupBy("ask", "digest").agg(F.min_by(F.struct("id"), F.struct(F.col("id").isNull(), "id")).alias("o"))
@@ -274,78 +301,43 @@ def _texts(slim: DataFrame, sets: DataFrame, asked: DataFrame, shingle: int, nam
     return written(map_rows(docs_of, same_set, "ask bigint, raw binary").dropDuplicates(["ask"]).withColumnRenamed("ask", name), "texts")
 
 
-def _rounds(spark: SparkSession, active: DataFrame, texts: DataFrame, shingle: int, percent: int) -> DataFrame:
-    """a, b: links enough to connect what is connected among active documents (vid, n, p, keys, label)."""
-    far, r, per = reach(percent), (100 - percent) / 100, 1
-    links = spark.createDataFrame([], "a bigint, b bigint")
-    while True:
-        inner = active.select("vid", "label", F.explode(F.slice("keys", F.lit(1), F.col("p"))).alias("k"))
-        some = inner.groupBy("k", F.pmod(F.xxhash64("vid"), F.lit(per)).alias("salt")).agg(
-            F.min(F.struct(F.xxhash64("vid", F.lit(7)), "vid")).alias("m"), F.min("label").alias("lo"), F.max("label").alias("hi")
-        )
-        if per > 1:
-            mixed = some.groupBy("k").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi")).where("lo < hi").select("k")
-            some = some.join(mixed, "k")
-        else:
-            some = some.where("lo < hi")
-        pivots = written(some.select("m.vid").distinct(), "pivots")
-        if pivots.isEmpty():
-            return links
-
-        # Every pivot within R of a document shares an element of the prefixes for R, and so many in all that their overlap can suffice.
-        entries = active.select("vid", "label", "n", F.posexplode("keys").alias("rank", "k"))
-        heads = entries.join(pivots, "vid").select("k", F.col("vid").alias("b"), F.col("label").alias("lb"), F.col("n").alias("nb"), F.col("rank").alias("rb"))
-        size_ok = (100 * F.col("n") >= far * F.col("nb")) & (100 * F.col("nb") >= far * F.col("n"))
-        meet = entries.join(heads, "k").where((F.col("label") != F.col("lb")) & size_ok)
-        meet = meet.groupBy(F.col("vid").alias("a"), "b").agg(F.count("*").alias("c"), F.max("rank").alias("ra"), F.max("rb").alias("rb"), F.first("n").alias("n"), F.first("nb").alias("nb"))
-        most = F.col("c") + F.least(F.col("n") - 1 - F.col("ra"), F.col("nb") - 1 - F.col("rb"))
-        may = lambda at: (100 + at) * most >= at * (F.col("n") + F.col("nb"))
-        pairs = written(meet.where(may(far)).select("a", "b", may(percent).alias("near")), "pairs")
-        near = written(_measured(pairs.where("near").select("a", "b"), texts, shingle).withColumn("linked", _alike(percent)), "near")
-        links = links.union(near.where("linked").select("a", "b"))
-
-        # Voronoi regions: settled documents at their nearest pivot, and whoever the windows replicate to them.
-        fixed = _alike(100 - percent + far)
-        home = near.where("linked").join(pivots.select(F.col("vid").alias("a")), "a", "left_anti").groupBy("a").agg(F.min(F.struct("d", "b", fixed.alias("settled"))).alias("h"))
-        home = written(home.where("h.settled").select(F.col("h.b").alias("g"), F.col("a").alias("vid"), F.col("h.d").alias("d")), "home")
-        active = _relabelled(spark, active, near.where("linked"))
-        if not home.isEmpty():
-            label = active.select("vid", "label")
-            edge = pairs.join(home.select(F.col("g").alias("b")).distinct(), "b").join(pivots.select(F.col("vid").alias("a")), "a", "left_anti")
-            edge = edge.join(label.toDF("a", "la"), "a").join(label.toDF("b", "lb"), "b").where("la <> lb").select("a", "b", "near")
-            known = edge.where("near").join(near.select("a", "b", "d"), ["a", "b"]).select(F.col("b").alias("g"), F.col("a").alias("vid"), "d")
-            more = _measured(edge.where("not near").select("a", "b"), texts, shingle).where(_alike(far)).select(F.col("b").alias("g"), F.col("a").alias("vid"), "d")
-            inside = written(_region_links(_windowed(home, written(known.union(more), "edge"), r), texts, shingle, percent), "inside")
-            links = links.union(inside)
-            active = _relabelled(spark, active, inside)
-        active = active.join(home.select("vid"), "vid", "left_anti").join(pivots, "vid", "left_anti")
-        active = written(active, "active")
-        per *= 4
-
-
-def _relabelled(spark: SparkSession, active: DataFrame, links: DataFrame) -> DataFrame:
-    """active with the labels of classes that links join; only classes that are joined are gone through."""
-    label = active.select("vid", "label")
-    joined = links.join(label.toDF("a", "la"), "a").join(label.toDF("b", "lb"), "b").where("la <> lb").select(F.col("la").alias("a"), F.col("lb").alias("b")).distinct()
-    joined = written(joined, "joined")
-    if joined.isEmpty():
-        return active
-    now = components(spark, joined).toDF("label", "now")
-    return active.join(now, "label", "left").withColumn("label", F.coalesce("now", "label")).drop("now")
-
-
-def _windowed(core: DataFrame, ring: DataFrame, r: float) -> DataFrame:
-    """g, ring, vid, d: members of regions that can be linked across, from members at home (g, vid, d) and replicated ones. A member
-    at distance d from the pivot has links between d - r and d + r alone."""
-    radius = core.groupBy("g").agg(F.max("d").alias("radius"))
-    ring = ring.join(radius, "g").where(F.col("d") <= F.col("radius") + r + 1e-9).select("g", "vid", "d")
-    inmost = ring.groupBy("g").agg(F.min("d").alias("inmost"))
-    core = core.join(inmost, "g").where(F.col("d") >= F.col("inmost") - r - 1e-9).select("g", "vid", "d")
-    return core.withColumn("ring", F.lit(False)).unionByName(ring.withColumn("ring", F.lit(True)))
-
-
-def _alike(percent: int) -> Column:
-    return 100 * F.col("shared") >= percent * (F.col("na") + F.col("nb") - F.col("shared"))
+def _links(spark: SparkSession, pairs: DataFrame, crowded: DataFrame, classes: DataFrame, texts: DataFrame, shingle: int, percent: int) -> DataFrame:
+    """a, b: links enough to connect what is connected: pairs that are linked, and those that large regions add."""
+    # Regions by parts, for documents that have a key of a large region.
+    def parts():
+        def f(part):
+            got = [part_keys(s, percent) for s in shingle_sets(part["raw"], shingle)]
+            return {"vid": part["vid"], "keys": [g.view(np.int64) for g in got], "n": part["n"]}
+
+        return f
+
+    of_crowded = texts.join(crowded, "vid").join(classes.select("vid", "n"), "vid")
+    region = map_rows(of_crowded, parts, "vid bigint, n bigint, keys array<bigint>").select("vid", "n", F.explode("keys").alias("k"))
+    region = written(region, "parts")
+    again = region.groupBy("k").agg(F.count("*").alias("times")).where("times > 1")
+    region = written(region.join(again, "k"), "regions")
+    size_ok = (100 * F.col("n_x") >= percent * F.col("n_y")) & (100 * F.col("n_y") >= percent * F.col("n_x"))
+    x, y = (region.where(F.col("times") <= FEW).select("k", F.col("vid").alias(f"vid_{s}"), F.col("n").alias(f"n_{s}")) for s in "xy")
+    more = x.join(y, "k").where((F.col("vid_x") < F.col("vid_y")) & size_ok).select(F.col("vid_x").alias("a"), F.col("vid_y").alias("b"))
+    links = written(_measured(pairs.union(more).distinct(), texts, shingle).where(_linked(percent)).select("a", "b"), "links")
+    crowds = written(region.where(F.col("times") > FEW).select("k", "vid"), "large-regions")
+    if not crowds.isEmpty():
+        lead = crowds.groupBy("k").agg(F.min("vid").alias("lead"))
+        led = written(crowds.join(lead, "k").select("vid", "lead").distinct(), "led")
+        # Each member goes to its least lead, and the leads of its regions go together: far fewer edges than members and regions.
+        least = led.groupBy("vid").agg(F.min("lead").alias("m"))
+        edges = least.select(F.col("vid").alias("a"), F.col("m").alias("b")).union(led.join(least, "vid").select("lead", "m").distinct())
+        cells = components(spark, edges)
+        sizes = texts.select("vid", F.length("raw").alias("size")).join(cells.withColumnRenamed("v", "vid"), "vid").groupBy("label").agg(F.count("*").alias("members"), F.sum("size").alias("bytes"))
+        small = (F.col("members") <= CELL) & (F.col("bytes") <= CELL_BYTES)
+        cells = written(cells.join(sizes.select("label", small.alias("small")), "label").select(F.col("v").alias("vid"), "label", "small"), "cells")
+        of = crowds.groupBy("vid").agg(F.collect_set("k").alias("ks"))
+        at_once = texts.join(cells.where("small"), "vid").join(of, "vid").select("label", "vid", "raw", "ks").groupBy("label")
+        links = links.union(at_once.applyInPandas(lambda pdf: _cell_links(pdf, shingle, percent), "a bigint, b bigint"))
+        links = written(links, "links")
+        links = _large_regions(spark, crowds.join(cells.where("not small").select("vid"), "vid").select("k", "vid"), texts, links, shingle, percent)
+
+    return links
 
 
 def _measured(pairs: DataFrame, texts: DataFrame, shingle: int) -> DataFrame:
@@ -379,83 +371,84 @@ def _measured(pairs: DataFrame, texts: DataFrame, shingle: int) -> DataFrame:
     return map_rows(rows.select("a", "b", "side", "raw"), scan, "a bigint, b bigint, shared bigint, na bigint, nb bigint, d double", rows=128)
 
 
-def _region_links(regions: DataFrame, texts: DataFrame, shingle: int, percent: int) -> DataFrame:
-    """a, b: for every replicated member of each region (g, ring, vid, d) that is linked with members at home, one such link. Members
-    at home are of one class."""
+def _cell_links(pdf: pd.DataFrame, shingle: int, percent: int) -> pd.DataFrame:
+    """Links enough to connect what is connected in a cell. Members become pivots in turn, those of most regions first. A pivot
+    meets the members of its regions that are of another class and no pivots yet, but for those that the windows of the first
+    PIVOTS pivots keep from it."""
+    pdf = pdf.sort_values("vid")
+    ids, sets, r = pdf["vid"].to_numpy(), list(shingle_sets([bytes(t) for t in pdf["raw"]], shingle)), (100 - percent) / 100
+    n, size = len(ids), np.array([len(s) for s in sets])
+    begin = np.concatenate([[0], np.cumsum(size)[:-1]])  # no set is empty
+    kinds, flat = np.unique(np.concatenate(sets), return_inverse=True)
+    flat, mark = flat.astype(np.int32), np.zeros(len(kinds), bool)
+    degree = np.array([len(k) for k in pdf["ks"]])
+    owner = np.repeat(np.arange(n), degree)
+    _, region = np.unique(np.concatenate([np.asarray(k, np.int64) for k in pdf["ks"]]), return_inverse=True)
+    by = np.argsort(region, kind="stable")
+    members = np.split(owner[by], np.flatnonzero(np.diff(region[by])) + 1)
+    own = np.split(region, np.cumsum(degree)[:-1])
+    label, links, met = np.arange(n), [], np.zeros(n, bool)
+    away, used = np.full((PIVOTS, n), np.nan), 0
+    for x in np.argsort(-degree, kind="stable").tolist():
+        met[x] = True
+        near = np.zeros(n, bool)
+        for k in own[x]:
+            near[members[k]] = True
+        others = np.flatnonzero(near & ~met & (label != label[x]))
+        others = others[~(np.abs(away[:used, others] - away[:used, x : x + 1]) > r + 1e-9).any(0)]
+        if not len(others):
+            continue
+        p = flat[begin[x] : begin[x] + size[x]]
+        mark[p] = True
+        hits = mark[np.concatenate([flat[begin[y] : begin[y] + size[y]] for y in others])]
+        mark[p] = False
+        shared = np.add.reduceat(hits, np.concatenate([[0], np.cumsum(size[others])[:-1]]), dtype=np.int64)
+        union = size[others] + size[x] - shared
+        if used < PIVOTS:
+            away[used, others], away[used, x] = 1 - shared / union, 0.0
+            used += 1
+        for y in others[100 * shared >= percent * union].tolist():
+            if label[y] != label[x]:
+                links.append((ids[x], ids[y]))
+                label[label == label[y]] = label[x]
+    del flat, sets, away
+    release()
+    return pd.DataFrame(links, columns=["a", "b"], dtype=np.int64)
+
+
+def _large_regions(spark: SparkSession, region: DataFrame, texts: DataFrame, links: DataFrame, shingle: int, percent: int) -> DataFrame:
+    """links and those that large regions (k, vid) add to their classes."""
     r = (100 - percent) / 100
-    regions = written(regions.select(F.col("g").cast("string").alias("g"), "ring", "vid", "d", F.lit(2**40).alias("was")), "regions")
-    found = None
-    while True:
-        size = regions.groupBy("g").agg(F.sum((~F.col("ring")).cast("long")).alias("core"), F.sum(F.col("ring").cast("long")).alias("edge"), F.first("was").alias("was"))
-        # A region whose members at home the last cut did not part is dealt by hash instead.
-        size = written(size.withColumn("cut", (F.col("core") > CORE) & (4 * F.col("core") <= 3 * F.col("was"))), "sizes")
-        got = _within(regions.join(size.where("not cut").select("g", "core", "edge"), "g"), texts, shingle, percent)
-        found = got if found is None else found.union(got)
-        large = size.where("cut").select("g", "core")
-        if large.isEmpty():
-            return found
-        regions, more = _cut(regions.join(large, "g"), texts, shingle, percent, r)
-        found = found.union(more)
-
-
-def _cut(regions: DataFrame, texts: DataFrame, shingle: int, percent: int, r: float) -> tuple[DataFrame, DataFrame]:
-    """Voronoi regions, around pivots among their members at home, of large regions (g, ring, vid, d, core); and links with these pivots."""
-    core = regions.where("not ring")
-    pivots = core.groupBy("g", F.pmod(F.xxhash64("vid", F.col("g")), F.lit(PIVOTS))).agg(F.min(F.struct(F.xxhash64("vid", F.lit(3)), "vid")).alias("m"))
-    pivots = written(pivots.select("g", F.col("m.vid").alias("q")), "pivots")
-    met = regions.join(pivots, "g").where("vid <> q")
-    away = written(_measured(met.select(F.col("vid").alias("a"), F.col("q").alias("b")).distinct(), texts, shingle).withColumn("linked", _alike(percent)), "to-pivots")
-    met = met.select("g", "ring", "vid", "q", "core").join(away.select(F.col("a").alias("vid"), F.col("b").alias("q"), F.col("d"), "linked"), ["vid", "q"])
-    met = written(met, "met")
-    links = met.where("ring and linked").select(F.col("vid").alias("a"), F.col("q").alias("b"))
-    inside = F.concat_ws("/", "g", "q").alias("g")
-    home = met.where("not ring").join(pivots.withColumnRenamed("q", "vid"), ["g", "vid"], "left_anti")  # pivots have met everyone
-    home = home.groupBy("g", "vid").agg(F.min(F.struct("d", F.xxhash64("vid", "q"), "q", "core")).alias("h")).select("g", "vid", "h.d", "h.q", "h.core")
-    was = home.select(inside, F.col("core").alias("was")).distinct()
-    edge = met.where("ring").join(met.where("ring and linked").select("g", "vid").distinct(), ["g", "vid"], "left_anti")
-    parts = _windowed(home.select(inside, "vid", "d"), edge.select(inside, "vid", "d"), r)
-    return written(parts.join(was, "g").select("g", "ring", "vid", "d", "was"), "regions"), links
-
-
-def _within(regions: DataFrame, texts: DataFrame, shingle: int, percent: int) -> DataFrame:
-    """Links of replicated members with members at home, in blocks of RING by CORE members of a region (g, ring, vid, d, core, edge)."""
-    r = (100 - percent) / 100
-    cores, edges = F.greatest(F.ceil(F.col("core") / CORE), F.lit(1)).cast("int"), F.greatest(F.ceil(F.col("edge") / RING), F.lit(1)).cast("int")
-    own = lambda n: F.array(F.pmod(F.xxhash64("vid"), n).cast("int"))
-    each = lambda n: F.sequence(F.lit(0), n - 1)
-    rows = regions.withColumn("i", F.explode(F.when(F.col("ring"), each(cores)).otherwise(own(cores)))).withColumn("j", F.explode(F.when(F.col("ring"), own(edges)).otherwise(each(edges))))
-    rows = rows.join(texts, "vid").select("g", "i", "j", (~F.col("ring")).cast("int").alias("side"), "vid", "d", "raw")
-    rows = rows.repartition("g", "i", "j").sortWithinPartitions("g", "i", "j", "side")
-
-    def scan():
-        block, held, many = None, [], None
-
-        def f(part):
-            nonlocal block, held, many
-            out: dict[str, list] = {"a": [], "b": []}
-            for g, i, j, side, vid, d, raw in zip(*(part[c] for c in ("g", "i", "j", "side", "vid", "d", "raw"))):
-                if (g, i, j) != block:
-                    block, held, many = (g, i, j), [], None
-                if not side:
-                    held.append((vid, d, raw))
-                    continue
-                if not held:
-                    continue
-                if many is None:
-                    sets = list(shingle_sets([h[2] for h in held], shingle))
-                    many = Overlaps(sets), np.array([len(s) for s in sets]), np.array([h[1] for h in held]), np.ones(len(held), bool)
-                overlaps, n, away, open_ = many
-                near = open_ & (np.abs(away - d) <= r + 1e-9)
-                if not near.any():
-                    continue
-                x = next(shingle_sets([raw], shingle))
-                shared = overlaps.with_set(x)
-                hits = np.flatnonzero(near & (100 * shared >= percent * (n + len(x) - shared)))
-                open_[hits] = False
-                out["a"] += [held[h][0] for h in hits]
-                out["b"] += [vid] * len(hits)
-            return out
-
-        return f
+    region = written(region, "large-regions")
+    while not region.isEmpty():
+        # The least hashes of a region's members are its pivots; minima are taken before rows move.
+        picked = written(_pivots(region), "pivots")
+        met = region.join(picked, "k").where("vid <> p")
+        measured = written(_measured(met.select(F.col("vid").alias("a"), F.col("p").alias("b")).distinct(), texts, shingle), "to-pivots")
+        links = written(links.union(measured.where(_linked(percent)).select(F.least("a", "b"), F.greatest("a", "b"))).distinct(), "links")
+        labels = components(spark, links)
+        away = measured.select(F.col("a").alias("vid"), F.col("b").alias("p"), (1 - F.col("shared") / (F.col("na") + F.col("nb") - F.col("shared"))).alias("d"))
+        lead = picked.groupBy("k").agg(F.min("p").alias("p"))
+        member = region.join(labels.withColumnRenamed("v", "vid"), "vid", "left").select("k", "vid", F.coalesce("label", "vid").alias("label"))
+        member = member.join(picked.select("k", F.col("p").alias("vid")), ["k", "vid"], "left_anti")  # pivots have met everyone
+        member = written(member.join(lead, "k").join(away, ["vid", "p"]).select("k", "vid", "label", "d"), "members")
+        count = member.groupBy("k", "label").agg(F.count("*").alias("c"))
+        main = count.groupBy("k").agg(F.max_by("label", F.struct("c", "label")).alias("main"), F.count("*").alias("classes")).where("classes > 1")
+        member = member.join(main, "k")
+        window = member.where("label <> main").groupBy("k").agg(F.min("d").alias("lo"), F.max("d").alias("hi"))
+        member = written(member.join(window, "k").where((F.col("label") != F.col("main")) | F.col("d").between(F.col("lo") - r - 1e-9, F.col("hi") + r + 1e-9)).select("k", "vid", "label", "d"), "members")
+        times = member.groupBy("k").agg(F.count("*").alias("times"))
+        few = member.join(times.where(F.col("times") <= FEW), "k")
+        x, y = (few.select("k", *[F.col(c).alias(f"{c}_{s}") for c in ("vid", "label", "d")]) for s in "xy")
+        near = x.join(y, "k").where((F.col("vid_x") < F.col("vid_y")) & (F.col("label_x") != F.col("label_y")) & (F.abs(F.col("d_x") - F.col("d_y")) <= r + 1e-9))
+        near = near.select(F.col("vid_x").alias("a"), F.col("vid_y").alias("b")).distinct()
+        links = written(links.union(_measured(near, texts, shingle).where(_linked(percent)).select("a", "b")), "links")
+        region = written(member.join(times.where(F.col("times") > FEW), "k").select("k", "vid"), "large-regions")
+    return links
+
+
+def _pivots(region: DataFrame) -> DataFrame:
+    """k, p: members of least hash. Each of PIVOTS salts of the members gives one, by a minimum that is taken in parts."""
+    salted = region.groupBy("k", F.pmod(F.xxhash64("vid", F.lit(1)), F.lit(PIVOTS)).alias("salt")).agg(F.min_by("vid", F.xxhash64("vid")).alias("p"))
+    return salted.select("k", "p")
 
-    return written(map_rows(rows, scan, "a bigint, b bigint", rows=128), "inside")

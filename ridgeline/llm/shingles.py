@@ -62,19 +62,3 @@ def overlap(a: np.ndarray, b: np.ndarray) -> int:
     at[at == len(b)] = 0
     return int((b[at] == a).sum())
 
-
-class Overlaps:
-    """Intersection sizes of one set with many at a time."""
-
-    def __init__(self, sets: list[np.ndarray]):
-        self.n = len(sets)
-        every = np.concatenate(sets) if sets else np.zeros(0, np.uint64)
-        owner = np.repeat(np.arange(self.n, dtype=np.int32), [len(s) for s in sets])
-        order = np.argsort(every, kind="stable")
-        self.keys, self.owner = every[order], owner[order]
-
-    def with_set(self, x: np.ndarray) -> np.ndarray:
-        lo, hi = np.searchsorted(self.keys, x, "left"), np.searchsorted(self.keys, x, "right")
-        count = hi - lo
-        at = np.arange(count.sum()) + np.repeat(lo - (np.cumsum(count) - count), count)
-        return np.bincount(self.owner[at], minlength=self.n)

@@ -10,7 +10,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import blank, map_rows, written
+from .common import blank, map_rows, remove, written
 
 #: Fixed folds: letters that look like Latin ones, and digits and signs that stand for letters. l, 1 and | all fold to i.
 LOOKALIKES = {
@@ -126,7 +126,10 @@ def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "te
     told = labels.where(F.col(label).isNotNull() & F.col(key).isNotNull()).groupBy(F.col(key).alias("key")).agg(F.max(label).cast("int").alias("y"))
     told = told.where(~held_out(F.col("key"))).orderBy(F.xxhash64("key"), "key").limit(LABELLED)
     # Keys and labels only, LABELLED at most, are broadcast; the texts stay on the executors, and are picked out once.
-    return learn(written(docs.select(docs[key].alias("key"), blank(docs[text]).alias("text")).join(F.broadcast(told), "key").select("y", "text"), "labelled"))
+    rows = written(docs.select(docs[key].alias("key"), blank(docs[text]).alias("text")).join(F.broadcast(told), "key").select("y", "text"), "labelled")
+    lexicon = learn(rows)
+    remove(rows)
+    return lexicon
 
 
 def learn(rows: DataFrame) -> Lexicon:

@@ -5,7 +5,7 @@ import numpy as np
 import pytest
 
 from ridgeline.llm import jaccard
-from ridgeline.llm.shingles import Overlaps, overlap, shingle_sets
+from ridgeline.llm.shingles import overlap, shingle_sets
 
 
 def by_hand(rows, k=4, percent=85):
@@ -58,10 +58,10 @@ def corpus():
     return rows + [(4000, None), (4000, rows[0][1]), (4001, rows[1][1]), (4001, "other text for the same id altogether"), (None, rows[9][1]), (None, "alone and of no one else at all"), (4002, "\t\n "), (4003, "Solo"), (4004, "solo"), (4005, "SOLO x")]
 
 
-@pytest.mark.parametrize("few,core,ring,members,pivots", [(16, 4096, 256, 4096, 16), (8, 10, 3, 5, 2)])
-def test_classes_against_brute_force(spark, monkeypatch, few, core, ring, members, pivots):
-    for name, value in {"FEW": few, "CORE": core, "RING": ring, "MEMBERS": members, "PIVOTS": pivots}.items():
-        monkeypatch.setattr(jaccard, name, value)
+@pytest.mark.parametrize("few,cell", [(16, 4096), (8, 10)])
+def test_classes_against_brute_force(spark, monkeypatch, few, cell):
+    monkeypatch.setattr(jaccard, "FEW", few)
+    monkeypatch.setattr(jaccard, "CELL", cell)
     rows = corpus()
     df = spark.createDataFrame([(k, t, 1, "x") for k, t in rows], "doc_id long, text string, n int, digest string").repartition(5)
     assert sorted(str(tuple(r)) for r in jaccard.jaccard_classes(df).collect()) == by_hand(rows)
@@ -88,25 +88,16 @@ def near_copies(n, spread, seed):
     return out
 
 
-@pytest.mark.parametrize("core,ring", [(20, 8)])
-def test_links_across_regions(spark, monkeypatch, core, ring):
-    """Copies that lie around the threshold from each other: links run between a region's home and its boundary."""
-    monkeypatch.setattr(jaccard, "CORE", core)
-    monkeypatch.setattr(jaccard, "RING", ring)
-    rows = near_copies(300, 9, 3)
+@pytest.mark.parametrize("few,cell,members", [(16, 4096, 4096), (8, 20, 5)])
+def test_links_across_regions(spark, monkeypatch, few, cell, members):
+    """Copies that lie around the threshold from each other, in one crowded region."""
+    for name, value in {"FEW": few, "CELL": cell, "MEMBERS": members}.items():
+        monkeypatch.setattr(jaccard, name, value)
+    rows = near_copies(200, 9, 3)
     df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
     assert sorted(str(tuple(r)) for r in jaccard.jaccard_classes(df).collect()) == by_hand(rows)
 
 
-def test_regions_are_needed(spark, monkeypatch):
-    """Without the windows' replicas links are lost."""
-    rows = near_copies(300, 9, 3)
-    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
-    whole = jaccard._region_links
-    monkeypatch.setattr(jaccard, "_region_links", lambda *a: whole(*a).limit(0))
-    assert sorted(str(tuple(r)) for r in jaccard.jaccard_classes(df).collect()) != by_hand(rows)
-
-
 @pytest.mark.parametrize("percent", [30, 95])
 def test_other_thresholds(spark, percent):
     rows = near_copies(60, 12, 5) + corpus()[:200:4]
@@ -135,12 +126,17 @@ def test_a_very_long_text(spark):
     assert sorted(str(tuple(r)) for r in got.collect()) == by_hand(rows)
 
 
-def test_overlaps_with_many():
+def test_linked_sets_share_a_part_key():
     rng = np.random.default_rng(4)
-    sets = [np.unique(rng.integers(0, 50, int(rng.integers(0, 30)), dtype=np.uint64)) for _ in range(40)]
-    many = Overlaps(sets)
-    for x in sets:
-        assert many.with_set(x).tolist() == [overlap(x, y) for y in sets]
+    for _ in range(400):
+        n = int(rng.integers(2, 300))
+        x = rng.integers(0, 2**63, n, dtype=np.uint64) * np.uint64(2)
+        drop = int(rng.integers(0, max(1, n // 6)))
+        y = np.concatenate([x[drop:], rng.integers(0, 2**63, int(rng.integers(0, max(1, n // 12))), dtype=np.uint64)])
+        x, y = np.unique(x), np.unique(y)
+        c = overlap(x, y)
+        if 100 * c >= 85 * (len(x) + len(y) - c) and not np.array_equal(x, y):
+            assert set(jaccard.part_keys(x, 85).tolist()) & set(jaccard.part_keys(y, 85).tolist())
 
 
 def test_sets_of_words():
