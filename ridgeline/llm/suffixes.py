@@ -18,9 +18,13 @@ def suffix_array(text: np.ndarray) -> np.ndarray:
     n = len(text)
     if n < 2:
         return np.arange(n, dtype=np.int64)
-    symbols, t = np.unique(text, return_inverse=True)
-    t = np.concatenate([t.astype(np.int64) + 1, [0]])  # 0 ends the text
-    return _induced(t, len(symbols) + 1)[1:]
+    if text.dtype == np.uint8:
+        number = np.cumsum(np.bincount(text, minlength=256) > 0)
+        t, symbols = number[text], int(number[-1])
+    else:
+        kinds, t = np.unique(text, return_inverse=True)
+        t, symbols = t.astype(np.int64) + 1, len(kinds)
+    return _induced(np.concatenate([t, [0]]), symbols + 1)[1:]  # 0 ends the text
 
 
 def _induced(t: np.ndarray, sigma: int) -> np.ndarray:
@@ -98,7 +102,7 @@ def _types(t: np.ndarray) -> np.ndarray:
     """True where the suffix is smaller than the next one; the last, empty one is."""
     n = len(t)
     change = np.flatnonzero(t[:-1] != t[1:])  # never empty: the end differs from all
-    at = change[np.searchsorted(change, np.arange(n - 1))]
+    at = np.repeat(change, np.diff(change, prepend=-1))
     return np.concatenate([t[at] < t[at + 1], [True]])
 
 
