@@ -182,11 +182,14 @@ class GamModel:
         return self._arrow(df, bounds, "prediction double, se double, lower double, upper double")
 
     def diff(self, left: DataFrame, right: DataFrame, on: str | None = None, level: float = 0.95) -> DataFrame:
-        """prediction(left) - prediction(right) on the link scale with its interval: rows paired by `on`, or against right's only row."""
+        """prediction(left) - prediction(right) on the link scale with its interval: rows paired by `on`, or against right's only row;
+        without `on`, a right side of any other number of rows is refused."""
         self._check(left), self._check(right)
         names = list(dict.fromkeys(self.terms[i].name for i in self.active))
         other = right.select(*([on] if on else []), *[F.col(c).alias(f"__r_{c}") for c in names])
-        both = left.join(other, on) if on else left.join(F.broadcast(other.limit(1)))
+        if not on and (n := other.limit(2).count()) != 1:
+            raise ValueError(f"without `on` the right side needs one row, and has {'none' if not n else 'several'}")
+        both = left.join(other, on) if on else left.join(F.broadcast(other))
         z, model = norm_ppf(0.5 + level / 2), self
 
         def run(it):

@@ -33,7 +33,7 @@ class LocalRows:
 
 class SparkRows:
     def __init__(self, df: DataFrame, columns: list[str]):
-        self.df, self.names = df.select(*columns), columns
+        self.df, self.names, self.parts = df.select(*columns), columns, None
 
     def reduce(self, kernel: Kernel) -> tuple[np.ndarray, np.ndarray]:
         """One job: a row of partial statistics for each partition, added up in partition order."""
@@ -56,9 +56,10 @@ class SparkRows:
                 yield _row(found[0][0], _added([np.array(f[1]) for f in found]), np.max([f[2] for f in found], axis=0))
 
         out = self.df.mapInArrow(partial, "part int, sums array<double>, most array<double>")
-        parts = self.df.rdd.getNumPartitions()
-        if parts > DIRECT:
-            each = int(np.ceil(parts**0.5))
+        if self.parts is None:
+            self.parts = self.df.rdd.getNumPartitions()
+        if self.parts > DIRECT:
+            each = int(np.ceil(self.parts**0.5))
             out = out.repartition(each, F.floor(F.col("part") / each)).mapInArrow(merged, out.schema)
         found = sorted(((r["part"], r["sums"], r["most"]) for r in out.collect()), key=lambda r: r[0])
         if not found:

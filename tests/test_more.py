@@ -151,3 +151,14 @@ def test_bootstrap_weights_are_poisson():
         m = poisson_times(h, np.full(4000, copies), 4, 1)
         assert abs(m.mean() / copies - 1) < 0.05 and abs(m.var() / copies - 1) < 0.1
         assert abs(np.corrcoef(m.T)[0, 1]) < 0.06
+
+
+def test_diff_refuses_several_rows(spark):
+    from ridgeline.plans.scoring import given_model
+
+    left = spark.createDataFrame([(2.0, 0.1, "A"), (3.0, 0.0, "N")], "l_quantity double, l_discount double, l_returnflag string")
+    one = given_model().diff(left, left.limit(1)).collect()
+    assert len(one) == 2 and one[0]["diff"] == pytest.approx(0.0)
+    for right in (left, left.limit(0)):
+        with pytest.raises(ValueError, match="one row"):
+            given_model().diff(left, right)
