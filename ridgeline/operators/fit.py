@@ -16,7 +16,7 @@ from ..functions.families import NegBin, OrderedCategorical, Quantile, StudentT,
 from ..functions.ops import NP
 from . import linalg, select
 from .model import GamModel
-from .rows import LOCAL_ROWS, located
+from .rows import LOCAL_ROWS, SparkRows, located
 from .select import Penalties, Working
 from .terms import LEAST_K, BSpline, Cubic, Linear, RandomEffect, Term, ThinPlate
 
@@ -48,6 +48,7 @@ class Profile:
     lo: dict[str, float]
     hi: dict[str, float]
     unique: dict[str, int]
+    about: dict[str, int] = field(default_factory=dict)
     knots: dict[str, np.ndarray] = field(default_factory=dict)
     levels: dict[str, list] = field(default_factory=dict)
     mean: dict[str, float] = field(default_factory=dict)
@@ -73,7 +74,8 @@ def prepared(df: DataFrame, target: str, terms: list[Term], weight: str | None,
     return out
 
 
-#: Distinct values of a column up to which knots are exact quantiles of them; beyond, they are approximate.
+#: Distinct values of a column, about, up to which one task sorts them for their quantiles; beyond, each quantile is bracketed first,
+#: by ranks that are off by 1 in ACCURACY at most, and found among the values in its bracket.
 EXACT_DISTINCT, ACCURACY = 1_000_000, 100_000
 
 
@@ -83,6 +85,7 @@ def profile(data: DataFrame, terms: list[Term]) -> Profile:
     agg = [F.count("*").alias("n"), F.sum(WEIGHT).alias("w"), F.min(WEIGHT).alias("wmin"), F.max(WEIGHT).alias("wmax"), F.count(TARGET).alias("ny"),
            F.max(F.isnan(TARGET).cast("int")).alias("ynan"), F.avg(TARGET).alias("ymean"), F.var_samp(TARGET).alias("yvar"), F.min(TARGET).alias("ymin"), F.max(TARGET).alias("ymax"), F.sum(TARGET).alias("ysum")]
     for i, t in enumerate(numbers):
+        agg += [F.approx_count_distinct(t.name).alias(f"u{i}")] if t.penalised else []
         agg += [F.min(t.name).alias(f"lo{i}"), F.max(t.name).alias(f"hi{i}"), F.avg(t.name).alias(f"m{i}"), F.count(t.name).alias(f"c{i}"), F.max(F.isnan(t.name).cast("int")).alias(f"nan{i}")]
     r = data.agg(*agg).first()
     if not r["n"]:
@@ -95,13 +98,16 @@ def profile(data: DataFrame, terms: list[Term]) -> Profile:
     for i, t in enumerate(numbers):
         if r[f"c{i}"] < r["n"] or r[f"nan{i}"]:
             raise ValueError(f"column {t.name} has nulls or NaN; use na_action='omit'")
+        if t.penalised:
+            out.about[t.name] = r[f"u{i}"]
         out.lo[t.name], out.hi[t.name], out.mean[t.name] = r[f"lo{i}"], r[f"hi{i}"], r[f"m{i}"]
     return out
 
 
 def distinct_values(rows, data: DataFrame, terms: list[Term], p: Profile, knots: str) -> None:
     """Distinct counts, quantile knots and levels. In Spark a column's distinct values are found first, with partial sums on the
-    map side, and quantiles taken of them; over EXACT_DISTINCT they are approximate, to a rank of 1 in ACCURACY."""
+    map side, and quantiles taken of them; columns of up to EXACT_DISTINCT of them share one job."""
+    together = []
     for t in terms:
         probs = [i / (t.k - 1) for i in range(t.k)] if t.kind in ("cr", "tps") and t.k > 1 and knots == "quantile" else None
         if hasattr(rows, "columns"):
@@ -115,16 +121,51 @@ def distinct_values(rows, data: DataFrame, terms: list[Term], p: Profile, knots:
                     p.knots[t.name] = np.quantile(u, probs)
         elif t.kind == "re":
             p.levels[t.name] = sorted(x[0] for x in data.select(t.name).distinct().collect() if x[0] is not None)
+        elif t.penalised and p.about[t.name] <= EXACT_DISTINCT:
+            together.append((t.name, probs))
         elif t.penalised:
-            u = data.select(F.col(t.name).alias("u")).distinct()
-            about = data.agg(F.approx_count_distinct(t.name)).first()[0]
-            if about <= EXACT_DISTINCT:
-                r = u.agg(F.count("u").alias("n"), *([F.percentile("u", F.array(*map(F.lit, probs))).alias("q")] if probs else [])).first()
-            else:
-                r = u.agg(F.count("u").alias("n"), *([F.percentile_approx("u", probs, ACCURACY).alias("q")] if probs else [])).first()
-            p.unique[t.name] = r["n"]
+            p.unique[t.name], found = bracketed_quantiles(data, t.name, probs or [])
             if probs:
-                p.knots[t.name] = np.array(r["q"], np.float64)
+                p.knots[t.name] = found
+    if together:
+        alone = F.array(*[F.struct(F.lit(i).alias("i"), F.col(c).alias("u")) for i, c in enumerate(dict.fromkeys(c for c, _ in together))])
+        where = {c: i for i, c in enumerate(dict.fromkeys(c for c, _ in together))}
+        values = data.select(F.explode(alone).alias("s")).select("s.i", "s.u").distinct()
+        found = values.agg(*[e for j, (c, probs) in enumerate(together) for e in _counted(F.when(F.col("i") == where[c], F.col("u")), j, probs)]).first()
+        for j, (c, probs) in enumerate(together):
+            p.unique[c] = found[f"n{j}"]
+            if probs:
+                p.knots[c] = np.array(found[f"q{j}"], np.float64)
+
+
+def _counted(value, j: int, probs: list[float] | None) -> list:
+    return [F.count(value).alias(f"n{j}"), *([F.percentile(value, F.array(*map(F.lit, probs))).alias(f"q{j}")] if probs else [])]
+
+
+def bracketed_quantiles(data: DataFrame, name: str, probs: list[float]) -> tuple[int, np.ndarray]:
+    """The number of distinct values and their exact quantiles, interpolated between neighbours. No task holds more than the values
+    in a bracket around each, a few in ACCURACY of all; a bracket that misses its ranks is widened."""
+    u = data.select(F.col(name).alias("u")).where(F.col("u").isNotNull()).distinct()
+    if not probs:
+        return u.count(), np.zeros(0)
+    margin = 2 / ACCURACY
+    while True:
+        edges = [min(max(q + s * margin, 0.0), 1.0) for q in probs for s in (-1, 1)]
+        r = u.agg(F.count("u").alias("n"), F.percentile_approx("u", edges, ACCURACY).alias("q"), F.min("u").alias("lo"), F.max("u").alias("hi")).first()
+        n, brackets = r["n"], []
+        for i, q in enumerate(probs):
+            brackets.append((r["lo"] if q - margin <= 0 else r["q"][2 * i], r["hi"] if q + margin >= 1 else r["q"][2 * i + 1]))
+        agg = [e for i, (a, b) in enumerate(brackets) for e in (F.sum((F.col("u") < F.lit(a)).cast("long")).alias(f"below{i}"), F.collect_list(F.when(F.col("u").between(a, b), F.col("u"))).alias(f"in{i}"))]
+        got, out = u.agg(*agg).first(), []
+        for i, q in enumerate(probs):
+            at, inside = q * (n - 1), np.sort(np.array(got[f"in{i}"], np.float64))
+            first, last = math.floor(at) - got[f"below{i}"], math.ceil(at) - got[f"below{i}"]
+            if first < 0 or last >= len(inside):
+                break
+            out.append(inside[first] + (at - math.floor(at)) * (inside[last] - inside[first]))
+        if len(out) == len(probs):
+            return n, np.array(out)
+        margin *= 4
 
 
 def resolve_k(t: Term, unique: int) -> int:
@@ -184,7 +225,10 @@ def constrain(rows, terms: list[Term], n: int) -> None:
         b = [t.basis(np.asarray(cols[t.name], np.float64)) for t in raw]
         return np.concatenate([x.sum(0) for x in b]), np.array([np.abs(x).sum(1).max(initial=0) for x in b])
 
-    sums, most = rows.reduce(kernel) if raw else (np.zeros(0), np.zeros(0))
+    if not raw:
+        sums, most = np.zeros(0), np.zeros(0)
+    else:
+        sums, most = rows.column_sums(raw) if hasattr(rows, "column_sums") else rows.reduce(kernel)
     at = 0
     for t, norm in zip(raw, most):
         width = len(t.penalty())
@@ -320,11 +364,14 @@ def fit_gam(df: DataFrame, target: str, terms: list[Term], fam: Family | str = "
     distinct_values(rows, getattr(rows, "df", data), terms, p, opt.knots)
     place(terms, p, opt.knots)
     _warn_rare(fam, p, terms)
+    held, cells = rows, None
     if opt.discrete and p.n >= 2000:
-        from .binning import binned_rows
+        from .binning import Cells, binned_rows
 
         rows = binned_rows(rows, [t for t in terms if t.kind not in ("re", "parametric")], p)
-    constrain(rows, terms, p.n)
+        if fam.name == "gaussian" and isinstance(rows, SparkRows) and any(t.kind != "parametric" for t in terms):
+            cells = Cells(rows, terms, TARGET, WEIGHT)
+    constrain(cells or rows, terms, p.n)
     design = Design(terms)
     stats = Statistics(rows, design, fam)
     stats.profile_p = opt.profile_p
@@ -333,7 +380,7 @@ def fit_gam(df: DataFrame, target: str, terms: list[Term], fam: Family | str = "
     fixed = None if opt.lam is None else np.log(np.broadcast_to(np.asarray(opt.lam, np.float64), (len(pen.blocks),)).copy())
     fam = _seeded(fam, p, stats)
     if fam.name == "gaussian":
-        s = stats.at(None, fam)
+        s = cells.statistics(design) if cells else stats.at(None, fam)
         work = Working(s["g"], s["r"], s["zz"], s["n"])
         rho = fixed if fixed is not None else select.choose(work, pen, method, algorithm)
         beta = work.beta(pen, np.exp(rho))
@@ -348,6 +395,9 @@ def fit_gam(df: DataFrame, target: str, terms: list[Term], fam: Family | str = "
     a = select.ridged(work.g) + pen.total(lam)
     edf = np.diag(linalg.solve(a, work.g))
     scale = 1.0 if fam.known_scale else _reported_scale(fam, stats, beta, final, edf.sum())
+    for kept in (held, cells):
+        if hasattr(kept, "release"):
+            kept.release()
     kept = {"n": p.n, "mean": p.mean, "lo": p.lo, "hi": p.hi, "y_mean": p.y["mean"]}
     return GamModel(
         terms=terms, fam=fam, target=target, weight=weight, beta=beta, vcov=scale * linalg.inverse(a), lam=lam, edf=edf, scale=scale, deviance=final["dev"], score_value=score,

@@ -32,8 +32,13 @@ class LocalRows:
 
 
 class SparkRows:
-    def __init__(self, df: DataFrame, columns: list[str]):
-        self.df, self.names, self.parts = df.select(*columns), columns, None
+    def __init__(self, df: DataFrame, columns: list[str], kept: DataFrame | None = None):
+        self.df, self.names, self.parts, self.kept = df.select(*columns), columns, None, kept
+
+    def release(self) -> None:
+        """Gives back the cache that located() took; the rows can still be read."""
+        if self.kept is not None:
+            self.kept.unpersist()
 
     def reduce(self, kernel: Kernel) -> tuple[np.ndarray, np.ndarray]:
         """One job: a row of partial statistics for each partition, added up in partition order."""
@@ -89,4 +94,4 @@ def located(df: DataFrame, columns: list[str], n: int, local_rows: int = LOCAL_R
         pdf = df.select(*columns).toPandas()
         return LocalRows({c: pdf[c].to_numpy() for c in columns})
     kept = df.select(*columns).persist()
-    return SparkRows(kept, columns)
+    return SparkRows(kept, columns, kept)

@@ -6,6 +6,7 @@ import json
 from dataclasses import dataclass, field
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -217,12 +218,9 @@ class RandomEffect(Term):
     centred = False
 
     def basis(self, x):
-        at = {v: i for i, v in enumerate(self.levels)}
-        out = np.zeros((len(x), len(self.levels)))
-        for i, v in enumerate(x.tolist() if isinstance(x, np.ndarray) else x):
-            j = at.get(v)
-            if j is not None:
-                out[i, j] = 1.0
+        at = pd.Index(self.levels).get_indexer(pd.Index(x)) if len(self.levels) else np.full(len(x), -1)
+        out, known = np.zeros((len(x), len(self.levels))), np.flatnonzero(at >= 0)
+        out[known, at[known]] = 1.0
         return out
 
     def penalty(self):

@@ -9,8 +9,9 @@ from pyspark.sql import functions as F
 from ..functions.families import family
 from ..operators import binning
 from ..operators.diagnostics import coverage_shift, k_index
-from ..operators.fit import Options, fit_gam
+from ..operators.fit import TARGET, WEIGHT, Design, Options, Statistics, constrain, distinct_values, fit_gam, prepared, profile
 from ..operators.quantile import fit_quantile
+from ..operators.rows import SparkRows
 from ..operators.terms import BSpline, Cubic, Linear, RandomEffect, ThinPlate
 from .formulas import lines
 
@@ -32,11 +33,14 @@ def _terms_frame(spark: SparkSession, model, **more) -> DataFrame:
 
 
 def cr_knots(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Quantile knots of distinct values for several columns and k."""
-    q = lambda c, k: F.expr(f"percentile(DISTINCT {c}, array({', '.join(f'{i}D / {k - 1}D' for i in range(k))}))")
-    r = lines(spark, sf_dir).agg(q("l_extendedprice", 10).alias("price"), q("l_quantity", 6).alias("quantity"), q("l_discount", 5).alias("discount"))
-    long = r.select(F.explode(F.array(*[F.struct(F.lit(c).alias("name"), F.col(c).alias("k")) for c in ("price", "quantity", "discount")])).alias("s"))
-    return long.select("s.name", F.posexplode("s.k").alias("i", "knot")).select("name", "i", F.round("knot", 6).alias("knot"))
+    """Quantile knots of distinct values for several columns and k, as a fit places them."""
+    label = {"l_extendedprice": "price", "l_quantity": "quantity", "l_discount": "discount"}
+    terms = [Cubic("l_extendedprice", 10), Cubic("l_quantity", 6), Cubic("l_discount", 5)]
+    data = prepared(lines(spark, sf_dir), "l_tax", terms, None, "fail")
+    p = profile(data, terms)
+    distinct_values(SparkRows(data, data.columns), data, terms, p, "quantile")
+    rows = [(label[t.name], i, float(v)) for t in terms for i, v in enumerate(p.knots[t.name])]
+    return spark.createDataFrame(rows, "name string, i int, knot double").select("name", "i", F.round("knot", 6).alias("knot"))
 
 
 CR_KNOTS_SQL = " UNION ALL ".join(
@@ -55,10 +59,42 @@ def cr_basis(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _basis_frame(lines(spark, sf_dir), Cubic("l_quantity", 5, knots=QUANTITY_KNOTS), 5, F.col("l_quantity"))
 
 
+def _natural(t: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For SQL: second derivatives at the knots of the cubics that are 1 at one knot and 0 at the others, and the integrals of
+    their products, from the conditions on each interval's polynomial instead of the terms' band matrices."""
+    k = len(t)
+    rows, sides = [], []
+
+    def add(side, **parts):
+        row = np.zeros(4 * (k - 1))
+        for piece, (interval, u) in parts.items():
+            d, sign = int(piece[1]), -1.0 if piece[0] == "m" else 1.0
+            row[4 * interval : 4 * interval + 4] += sign * np.array([0.0 if q < d else np.prod(np.arange(q, q - d, -1.0)) * u ** (q - d) for q in range(4)])
+        rows.append(row)
+        sides.append(side)
+
+    one, none = np.eye(k), np.zeros(k)
+    for i in range(k - 1):
+        add(one[i], p0=(i, 0.0))
+        add(one[i + 1], p0=(i, t[i + 1] - t[i]))
+        for d in (1, 2):
+            if i < k - 2:
+                add(none, **{f"p{d}": (i, t[i + 1] - t[i]), f"m{d}": (i + 1, 0.0)})
+    add(none, p2=(0, 0.0))
+    add(none, p2=(k - 2, t[-1] - t[-2]))
+    c = np.linalg.solve(np.array(rows), np.array(sides))
+    second = np.vstack([2 * c[2::4], np.zeros((1, k))])
+    s = np.zeros((k, k))
+    for i in range(k - 1):
+        a, b = second[i], second[i + 1]
+        s += (t[i + 1] - t[i]) / 6 * (2 * np.outer(a, a) + np.outer(a, b) + np.outer(b, a) + 2 * np.outer(b, b))
+    return second, s
+
+
 def _cr_basis_sql() -> str:
     """The second-derivative form: values and curvatures at both ends of the interval, and tangents outside."""
     t = QUANTITY_KNOTS
-    f, h, k = Cubic("x", 5, knots=t)._curvature()[0], t[1] - t[0], len(t)
+    f, h, k = _natural(t)[0], t[1] - t[0], len(t)
     cols = []
     for j in range(k):
         e = np.eye(k)[j]
@@ -79,8 +115,9 @@ def bs_basis(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _bs_basis_sql() -> str:
-    knots = BSpline("x", 7, lo=1.0, hi=50.0).all_knots
-    t, h = knots[0], knots[1] - knots[0]
+    # Seven splines on four intervals over 1..50, a thousandth of the range wider at each end, and three knots beyond.
+    h = 49 * 1.002 / 4
+    t, knots = 1 - 0.049 - 3 * h, range(11)
     piece = {0: "pow(1 - u, 3)", 1: "3 * pow(u, 3) - 6 * u * u + 4", 2: "-3 * pow(u, 3) + 3 * u * u + 3 * u + 1", 3: "pow(u, 3)"}
     cols = [f"round(CASE {' '.join(f'WHEN j - 3 + {i} = {c} THEN ({p}) / 6' for i, p in piece.items())} ELSE 0 END, 6) AS b{c}" for c in range(7)]
     return f"""WITH a AS (SELECT *, greatest(3, least({len(knots) - 5}, CAST(floor((l_quantity - ({float(t)!r})) / {float(h)!r}) AS INTEGER))) AS j FROM lineitem),
@@ -91,12 +128,15 @@ def _bs_basis_sql() -> str:
 
 
 def gram_small(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """X'X and X'y of [1, quantity, discount, tax] as rows, by plain sums."""
-    x = {"one": F.lit(1.0), "quantity": F.col("l_quantity"), "discount": F.col("l_discount"), "tax": F.col("l_tax"), "y": F.col("l_extendedprice") / 1000.0}
-    names = list(x)
-    sums = lines(spark, sf_dir).agg(*[F.sum(x[a] * x[b]).alias(f"{a}|{b}") for i, a in enumerate(names) for b in names[: i + 1]])
-    parts = [F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), F.col(f"`{a}|{b}`").alias("v")) for i, a in enumerate(names) for b in names[: i + 1]]
-    return sums.select(F.explode(F.array(*parts)).alias("s")).select("s.a", "s.b", F.round("s.v", 3).alias("v"))
+    """X'X and X'y of [1, quantity, discount, tax] as rows, by the statistics of a fit."""
+    terms = [Linear("l_quantity"), Linear("l_discount"), Linear("l_tax")]
+    data = prepared(lines(spark, sf_dir).withColumn("y", F.col("l_extendedprice") / 1000.0), "y", terms, None, "fail")
+    rows = SparkRows(data, [TARGET, WEIGHT, *[t.name for t in terms]])
+    constrain(rows, terms, 1)
+    s = Statistics(rows, Design(terms), family("gaussian")).at(None)
+    names, full = ["one", "quantity", "discount", "tax", "y"], np.block([[s["g"], s["r"][:, None]], [s["r"][None, :], np.array([[s["zz"]]])]])
+    made = [(a, b, float(full[i, j])) for i, a in enumerate(names) for j, b in enumerate(names[: i + 1])]
+    return spark.createDataFrame(made, "a string, b string, v double").select("a", "b", F.round("v", 3).alias("v"))
 
 
 def _gram_sql() -> str:
@@ -112,12 +152,25 @@ def gam_fixed_lambda_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return m.transform(df.select("l_quantity").distinct()).select("l_quantity", F.round("prediction", 3).alias("prediction"))
 
 
-def _fixed_sql() -> str:
+def gam_discrete_fixed_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fitted quantity by price, in cells: one cubic smooth on even knots at a fixed smoothing parameter, from sums by cell alone."""
+    df = lines(spark, sf_dir)
+    m = fit_gam(df, "l_quantity", [Cubic("l_extendedprice", 4)], opt=Options(lam=[LAMBDA], knots="uniform", discrete=True, local_rows=0))
+    lo, hi = m.training["lo"]["l_extendedprice"], m.training["hi"]["l_extendedprice"]
+    cells = df.select(binning.bin_index(F.col("l_extendedprice"), lo, hi).alias("bin")).distinct()
+    centres = cells.select("bin", binning.bin_centre(F.col("bin"), lo, hi).alias("l_extendedprice"))
+    return m.transform(centres).select("bin", F.round("prediction", 4).alias("prediction"))
+
+
+#: Cells, and the place of a cell between four even knots.
+DISCRETE_ROWS = """c AS (SELECT l_quantity AS y, CAST(round((l_extendedprice - lo) / ((hi - lo) / 1000)) AS INTEGER) AS bin FROM lineitem, r),
+        v AS (SELECT bin, y, bin / 1000.0::DOUBLE * 3 AS v FROM c)"""
+
+
+def _fixed_sql(x: str = "l_quantity", key: str = "l_quantity", digits: int = 3, rows: str = "v AS (SELECT l_quantity, l_extendedprice AS y, (l_quantity - lo) / ((hi - lo) / 3.0) AS v FROM lineitem, r)") -> str:
     """The same fit by elimination: cubics at the knots sum to 1, so the intercept and the constraint fold into the values there."""
-    k, t = 4, None
-    lo, hi = "lo", "hi"
-    unit = Cubic("x", 4, knots=np.arange(4.0))  # on unit spacing; spacing h scales curvature by 1/h^2 and the penalty by 1/h^3
-    f, s = unit._curvature()[0], unit.penalty()
+    k = 4
+    f, s = _natural(np.arange(4.0))  # on unit spacing; spacing h scales curvature by 1/h^2 and the penalty by 1/h^3
     basis = []
     for j in range(k):
         e = np.eye(k)[j]
@@ -127,9 +180,8 @@ def _fixed_sql() -> str:
             case.append(f"WHEN v <= {i + 1} THEN {a} * {float(e[i])} + {b} * {float(e[i + 1])} + ((pow({a}, 3) - {a}) * ({float(f[i, j])!r}) + (pow({b}, 3) - {b}) * ({float(f[i + 1, j])!r})) / 6")
         basis.append(f"CASE {' '.join(case)} END AS b{j}")
     g = [f"sum(b{i} * b{j}) + {LAMBDA} * max(nx) * max(nx) / {float(np.abs(s).sum(1).max())!r} * ({float(s[i, j])!r}) AS a{i}{j}" for i in range(k) for j in range(k)]
-    sql = f"""WITH r AS (SELECT min(l_quantity) AS lo, max(l_quantity) AS hi FROM lineitem),
-        v AS (SELECT l_quantity, l_extendedprice AS y, (l_quantity - {lo}) / (({hi} - {lo}) / 3.0) AS v FROM lineitem, r),
-        b0 AS (SELECT l_quantity, y, {', '.join(basis)} FROM v), b AS (SELECT *, abs(b0) + abs(b1) + abs(b2) + abs(b3) AS nx FROM b0),
+    sql = f"""WITH r AS (SELECT min({x}) AS lo, max({x}) AS hi FROM lineitem), {rows},
+        b0 AS (SELECT {key}, y, {', '.join(basis)} FROM v), b AS (SELECT *, abs(b0) + abs(b1) + abs(b2) + abs(b3) AS nx FROM b0),
         e0 AS (SELECT {', '.join(g)}, {', '.join(f'sum(b{i} * y) AS r{i}' for i in range(k))} FROM b)"""
     for p in range(k):  # Gauss-Jordan
         cols = []
@@ -138,8 +190,7 @@ def _fixed_sql() -> str:
                 cols.append(f"a{i}{j} / a{p}{p} AS a{i}{j}" if i == p else f"a{i}{j} - a{i}{p} * a{p}{j} / a{p}{p} AS a{i}{j}")
             cols.append(f"r{i} / a{p}{p} AS r{i}" if i == p else f"r{i} - a{i}{p} * r{p} / a{p}{p} AS r{i}")
         sql += f", e{p + 1} AS (SELECT {', '.join(cols)} FROM e{p})"
-    del t
-    return sql + " SELECT DISTINCT l_quantity, round(b0 * r0 + b1 * r1 + b2 * r2 + b3 * r3, 3) AS prediction FROM b, e4"
+    return sql + f" SELECT DISTINCT {key}, round(b0 * r0 + b1 * r1 + b2 * r2 + b3 * r3, {digits}) AS prediction FROM b, e4"
 
 
 def parametric_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -270,7 +321,7 @@ def RETURNED():  # noqa: N802
 
 
 QUERIES = {
-    "cr_knots": cr_knots, "cr_basis": cr_basis, "bs_basis": bs_basis, "gram_small": gram_small, "gam_fixed_lambda_fit": gam_fixed_lambda_fit, "parametric_fit": parametric_fit, "re_shrinkage": re_shrinkage,
+    "cr_knots": cr_knots, "cr_basis": cr_basis, "bs_basis": bs_basis, "gram_small": gram_small, "gam_fixed_lambda_fit": gam_fixed_lambda_fit, "gam_discrete_fixed_fit": gam_discrete_fixed_fit, "parametric_fit": parametric_fit, "re_shrinkage": re_shrinkage,
     "poisson_pirls": _glm("poisson", LINE, "l_discount"), "logit_pirls": _glm("binomial", RETURNED, "l_quantity"),
     "bin_compress": bin_compress, "bin_gram": bin_gram, "k_index": k_index_query, "coverage_shift": coverage_query, "quantile_fit": quantile_fit,
     "quantile_cv_fit": _tuned("quality_oos"), "quantile_kl_fit": _tuned("kl"),
@@ -285,7 +336,7 @@ QUERIES = {
     "gam_thin_plate_fit": _fit(lambda: [ThinPlate("l_quantity", 8)], lambda: family("gaussian")),
 }
 ORACLES = {
-    "cr_knots": CR_KNOTS_SQL, "cr_basis": _cr_basis_sql(), "bs_basis": _bs_basis_sql(), "gram_small": _gram_sql(), "gam_fixed_lambda_fit": _fixed_sql(), "parametric_fit": PARAMETRIC_SQL, "re_shrinkage": RE_SQL,
+    "cr_knots": CR_KNOTS_SQL, "cr_basis": _cr_basis_sql(), "bs_basis": _bs_basis_sql(), "gram_small": _gram_sql(), "gam_fixed_lambda_fit": _fixed_sql(), "gam_discrete_fixed_fit": _fixed_sql("l_extendedprice", "bin", 4, DISCRETE_ROWS), "parametric_fit": PARAMETRIC_SQL, "re_shrinkage": RE_SQL,
     "poisson_pirls": _glm_sql("l_linenumber", "l_discount", "exp(a + b * x)", "m", "ln(avg(y))"),
     "logit_pirls": _glm_sql("CASE WHEN l_returnflag = 'R' THEN 1 ELSE 0 END", "l_quantity", "1 / (1 + exp(-(a + b * x)))", "m * (1 - m)", "ln(avg(y) / (1 - avg(y)))"),
     "bin_compress": BIN_SQL, "bin_gram": BIN_GRAM_SQL, "k_index": K_SQL, "coverage_shift": COVERAGE_SQL,
