@@ -37,6 +37,8 @@ FEW_KEYS = 100_000
 HOT_KEYS = 200_000
 #: Members, and bytes of text, that a cell may have to be joined by one task.
 CELL, CELL_BYTES = 4096, 32 << 20
+#: Percent below which linked sets can differ in so many parts that most stay empty; there regions come from prefixes alone.
+PARTS_FROM = 75
 #: Documents of one pivot that one task measures, and sets that one task remembers to have seen.
 MEMBERS, SEEN = 4096, 1 << 18
 
@@ -70,7 +72,10 @@ def _spare(differ: int, least: int) -> int:
 
 
 def part_keys(x: np.ndarray, percent: int) -> np.ndarray:
-    """Keys of which linked, different sets share one at least: for the set's level of size and the next."""
+    """Keys of which linked, different sets share one at least: for the set's level of size and the next. Below PARTS_FROM percent
+    they are the set's prefix, as parts would take a key for each empty part times each part."""
+    if percent < PARTS_FROM:
+        return mix(x[: prefix(len(x), percent)])
     bounds = np.array(_bounds(percent))
     own = int(np.searchsorted(bounds, len(x), "right")) - 1
     out = []
