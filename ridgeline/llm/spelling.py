@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_schema, release, text_bytes, working_tables, written
+from .common import release, text_bytes, working_tables, written
 
 #: Words of a shard beyond which it is cut, words that one automaton takes in, and words that a task counts before it hands them on.
 SHARD, TOGETHER, COUNTED = 20_000, 20_000, 200_000
@@ -153,7 +153,7 @@ def _paired(held: list[tuple[str, int, int, int]], back: bool) -> Iterator[pa.Re
     for at in range(0, len(pairs), 20_000):
         some = pairs[at : at + 20_000]
         turned = [tuple(x[::-1] for x in p) for p in some] if back else some
-        yield pa.RecordBatch.from_arrays([pa.array([p[0] for p in turned]), pa.array([p[1] for p in turned]), pa.array([count[p[1]] for p in some], pa.int64())], schema=arrow_schema("word string, near string, near_n bigint"))
+        yield pa.RecordBatch.from_arrays([pa.array([p[0] for p in turned]), pa.array([p[1] for p in turned]), pa.array([count[p[1]] for p in some], pa.int64())], names=["word", "near", "near_n"])
 
 
 def near_words(words: DataFrame) -> DataFrame:
