@@ -53,15 +53,24 @@ class Family:
         return self.link.inverse(o, eta)
 
     def working(self, o, y, eta, newton=False):
-        """Curvature and score; with newton, the observed curvature where it is positive and the expected one elsewhere."""
+        """Curvature and score; with newton, the observed curvature, which may fall below 0."""
         mu = self.link.safe_mu(o, self.link.inverse(o, eta))
         slope, v = self.link.slope(o, eta), self.variance(o, mu)
         w = slope * slope / v
         if newton:
             alpha = 1.0 + (y - mu) * (self.variance_slopes(o, mu)[0] / v + self.link.derivatives(o, mu)[0] * slope)
-            w = o.where(alpha > 0, w * alpha, w)
+            return w * alpha, (y - mu) * slope / v
         return o.greatest(w, 1e-10), (y - mu) * slope / v
 
+    def curvature_slope(self, o, y, eta):
+        """d/d eta of the observed curvature. With a = 1 + (y - mu) (V'/V + g''/g'), the curvature is a / (g'^2 V)."""
+        mu = self.link.safe_mu(o, self.link.inverse(o, eta))
+        slope, v, (v1, v2, _), (g2, g3, _) = self.link.slope(o, eta), self.variance(o, mu), self.variance_slopes(o, mu), self.link.derivatives(o, mu)
+        r1, g21, g31 = v1 / v, g2 * slope, g3 * slope
+        a = 1.0 + (y - mu) * (r1 + g21)
+        a1 = -(r1 + g21) + (y - mu) * (v2 / v - r1 * r1 + g31 - g21 * g21)
+        return slope * slope * slope / v * (a1 - a * (r1 + 2.0 * g21))
+
     def deviance_eta(self, o, y, eta):
         return self.deviance(o, y, self.link.safe_mu(o, self.link.inverse(o, eta)))
 
@@ -264,6 +273,11 @@ class Tweedie(_Positive):
     p: float = 1.5
     links = ("log",)
     TABLE = 1024
+    #: Least and largest log of the positive responses, once a fit knows them.
+    span: tuple[float, float] | None = None
+
+    def params(self):
+        return {"p": self.p}
 
     def variance(self, o, mu):
         return o.power(mu, self.p)
@@ -309,23 +323,50 @@ class Tweedie(_Positive):
             out[part] = m + np.log(np.exp(terms - m[:, None]).sum(1))
         return out - np.log(v) + (v ** (2 - p) / (1 - p) - v ** (2 - p) / (2 - p)) / phi
 
+    def _places(self):
+        lo, hi = self.span
+        return np.linspace(lo, hi, self.TABLE) if hi > lo else np.array([lo])
+
     def likelihood_sums(self, y, w):
-        # The series is tabulated over log phi and interpolated by saturated(): sums stay additive over rows.
-        return np.array([self.log_density_at_y(y, math.exp(t)).sum() for t in self._grid()])
+        """Rows by place: log density is smooth in log y, so a row counts with the two places beside it, and whatever the power
+        and the scale, the places' densities are summed afterwards. Without a span, sums of the density over a grid of scales."""
+        if self.span is None:
+            return np.array([self.log_density_at_y(y, math.exp(t)).sum() for t in self._grid()])
+        places, v = self._places(), np.log(y[y > 0])
+        if len(places) == 1:
+            return np.array([float(len(v))])
+        at = np.clip((v - places[0]) / (places[-1] - places[0]) * (len(places) - 1), 0, len(places) - 1)
+        low = np.minimum(at.astype(np.int64), len(places) - 2)
+        return np.bincount(low, 1 - (at - low), len(places)) + np.bincount(low + 1, at - low, len(places))
 
     @staticmethod
     def _grid():
         return np.linspace(-5.0, 5.0, 21)
 
+    def _by_scale(self, sums):
+        """The log density's sum at each scale of the grid."""
+        if self.span is None:
+            return sums
+        used = sums > 0
+        v = np.exp(self._places()[used])
+        key = (self.p, self.span, sums.tobytes())
+        if _SERIES.get("key") != key:
+            _SERIES.update(key=key, value=np.array([self._series(v, math.exp(t)) @ sums[used] if len(v) else 0.0 for t in self._grid()]))
+        return _SERIES["value"]
+
     def saturated(self, phi, n, sums):
-        return float(np.interp(math.log(phi), self._grid(), sums))
+        return float(np.interp(math.log(phi), self._grid(), self._by_scale(sums)))
 
     def scale(self, pdev, n, null, sums):
         grid = np.linspace(-5, 5, 2001)
-        value = -pdev / (2 * np.exp(grid)) + np.interp(grid, self._grid(), sums) + null / 2 * (LOG2PI + grid)
+        value = -pdev / (2 * np.exp(grid)) + np.interp(grid, self._grid(), self._by_scale(sums)) + null / 2 * (LOG2PI + grid)
         return float(math.exp(grid[int(np.argmax(value))]))
 
 
+#: The last sums by scale, as a search for smoothing parameters asks for the same ones again and again.
+_SERIES: dict = {}
+
+
 @dataclass(frozen=True)
 class StudentT(Family):
     name: str = "t-dist"
@@ -439,7 +480,11 @@ class OrderedCategorical(Family):
         lo, hi = self._ends(o, y, eta)
         a, b = sigmoid(o, hi), sigmoid(o, lo)
         w = sigmoid_slope(o, hi) + sigmoid_slope(o, lo)  # half the deviance's curvature
-        return o.greatest(w, 1e-10), a + b - 1.0  # (f(lo) - f(hi)) / (F(hi) - F(lo)), as f = F (1 - F)
+        return (w if newton else o.greatest(w, 1e-10)), a + b - 1.0  # (f(lo) - f(hi)) / (F(hi) - F(lo)), as f = F (1 - F)
+
+    def curvature_slope(self, o, y, eta):
+        lo, hi = self._ends(o, y, eta)
+        return -sigmoid_slope(o, hi) * (1.0 - 2.0 * sigmoid(o, hi)) - sigmoid_slope(o, lo) * (1.0 - 2.0 * sigmoid(o, lo))
 
     def likelihood_sums(self, y, w):
         return np.array([0.0])

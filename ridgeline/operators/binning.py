@@ -90,7 +90,8 @@ class Cells:
         self.sums = list(sums)
         sets = [[]] + [[c] for c in self.names] + [list(pair) for pair in combinations(self.names, 2)]
         made = df.groupingSets(sets, *self.names).agg(F.grouping_id(*self.names).cast("int").alias("__set"), *[e.alias(f"__s_{k}") for k, e in sums.items()])
-        self.rows = type(rows)(made.persist(), ["__set", *self.names, *[f"__s_{k}" for k in self.sums]])
+        made = made.persist()
+        self.rows = type(rows)(made, ["__set", *self.names, *[f"__s_{k}" for k in self.sums]], made)
 
     def _picker(self):
         """Takes a grouping's cells and sums out of a batch; the groupings' numbers have a bit set for every column not among them."""
@@ -160,4 +161,4 @@ class Cells:
         return {"g": g + np.triu(g, 1).T, "r": s[len(tri[0]) : -3], "zz": float(zz), "n": float(n), "log_weights": float(lw)}
 
     def release(self) -> None:
-        self.rows.df.unpersist()
+        self.rows.release()

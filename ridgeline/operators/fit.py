@@ -12,8 +12,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import NumericType
 
-from ..functions.families import NegBin, OrderedCategorical, Quantile, StudentT, Tweedie, Family, family as make_family
-from ..functions.ops import NP
+from ..functions.families import Binomial, Gamma, Gaussian, InverseGaussian, NegBin, OrderedCategorical, Poisson, Quantile, StudentT, Tweedie, Family, family as make_family
+from ..functions.ops import NP, SP
 from . import linalg, select
 from .model import GamModel
 from .rows import LOCAL_ROWS, SparkRows, located
@@ -21,6 +21,13 @@ from .select import Penalties, Working
 from .terms import LEAST_K, BSpline, Cubic, Linear, RandomEffect, Term, ThinPlate
 
 TARGET, WEIGHT = "__y", "__w"
+#: Beside them in rows that stand for several: how many, the sum of their log weights, and what their responses vary by among
+#: themselves, as a weighted sum of squares and as deviance.
+COUNT, LOG_WEIGHTS, SPREAD, WITHIN = GROUPED = "__n", "__lw", "__ss", "__within"
+#: Rows that a tuple of covariates must stand for, on average, for rows to be summed by tuple first.
+WORTH = 4
+#: Shares of a step at which the deviance is taken beside the sums at its end, so that a step too long is shortened at once.
+SHARES = (0.5, 0.25, 0.125, 2.0**-5, 2.0**-8, 2.0**-14)
 
 
 @dataclass
@@ -49,6 +56,7 @@ class Profile:
     hi: dict[str, float]
     unique: dict[str, int]
     about: dict[str, int] = field(default_factory=dict)
+    tuples: dict[str, int] = field(default_factory=dict)
     knots: dict[str, np.ndarray] = field(default_factory=dict)
     levels: dict[str, list] = field(default_factory=dict)
     mean: dict[str, float] = field(default_factory=dict)
@@ -83,7 +91,8 @@ def profile(data: DataFrame, terms: list[Term]) -> Profile:
     """One aggregation without distinct or sort: counts, ranges, means, validity."""
     numbers = [t for t in terms if t.kind != "re"]
     agg = [F.count("*").alias("n"), F.sum(WEIGHT).alias("w"), F.min(WEIGHT).alias("wmin"), F.max(WEIGHT).alias("wmax"), F.count(TARGET).alias("ny"),
-           F.max(F.isnan(TARGET).cast("int")).alias("ynan"), F.avg(TARGET).alias("ymean"), F.var_samp(TARGET).alias("yvar"), F.min(TARGET).alias("ymin"), F.max(TARGET).alias("ymax"), F.sum(TARGET).alias("ysum")]
+           F.max(F.isnan(TARGET).cast("int")).alias("ynan"), F.avg(TARGET).alias("ymean"), F.var_samp(TARGET).alias("yvar"), F.min(TARGET).alias("ymin"), F.max(TARGET).alias("ymax"), F.sum(TARGET).alias("ysum"), F.min(F.when(F.col(TARGET) > 0, F.col(TARGET))).alias("ypos")]
+    agg += [e.alias(k) for k, e in _tuples(terms).items()]
     for i, t in enumerate(numbers):
         agg += [F.approx_count_distinct(t.name).alias(f"u{i}")] if t.penalised else []
         agg += [F.min(t.name).alias(f"lo{i}"), F.max(t.name).alias(f"hi{i}"), F.avg(t.name).alias(f"m{i}"), F.count(t.name).alias(f"c{i}"), F.max(F.isnan(t.name).cast("int")).alias(f"nan{i}")]
@@ -94,7 +103,7 @@ def profile(data: DataFrame, terms: list[Term]) -> Profile:
         raise ValueError("the response has nulls or NaN; use na_action='omit'")
     if r["wmin"] is None or not r["wmin"] > 0 or not math.isfinite(r["wmax"]):
         raise ValueError("weights must be finite and positive")
-    out = Profile(r["n"], r["w"], {}, {}, {}, y={"mean": r["ymean"], "var": r["yvar"] or 0.0, "min": r["ymin"], "max": r["ymax"], "sum": r["ysum"]})
+    out = Profile(r["n"], r["w"], {}, {}, {}, y={"mean": r["ymean"], "var": r["yvar"] or 0.0, "min": r["ymin"], "max": r["ymax"], "sum": r["ysum"], "positive": r["ypos"]}, tuples={k: r[k] for k in _tuples(terms)})
     for i, t in enumerate(numbers):
         if r[f"c{i}"] < r["n"] or r[f"nan{i}"]:
             raise ValueError(f"column {t.name} has nulls or NaN; use na_action='omit'")
@@ -104,6 +113,38 @@ def profile(data: DataFrame, terms: list[Term]) -> Profile:
     return out
 
 
+def _tuples(terms: list[Term]) -> dict[str, F.Column]:
+    """About how many tuples of covariates there are, and of covariates and response."""
+    names = list(dict.fromkeys(t.name for t in terms))
+    return {"moments": F.approx_count_distinct(F.xxhash64(*names)), "values": F.approx_count_distinct(F.xxhash64(*names, TARGET))} if names else {}
+
+
+def grouping(fam: Family, profile_p: bool) -> str | None:
+    """How rows of equal covariates may be summed without changing a fit. Where score and curvature are linear in the response, and
+    the deviance is but for what the linear predictor doesn't touch, their mean, weight and spread stand for them (moments); families
+    that are not, or whose shape is looked for, need rows of equal responses (values)."""
+    if isinstance(fam, (Gaussian, Binomial, Poisson, Gamma, InverseGaussian)) or (isinstance(fam, Tweedie) and not profile_p):
+        return "moments"
+    return "values" if isinstance(fam, (NegBin, StudentT, OrderedCategorical)) else None
+
+
+def summed(data: DataFrame, keys: list[str], fam: Family, how: str, mean: float) -> DataFrame:
+    """A row for each tuple of keys (and response, by values): mean response, weight and GROUPED. Partial sums come before the
+    shuffle, so a tuple with most rows is no burden."""
+    y, w = F.col(TARGET), F.col(WEIGHT)
+    shared = {COUNT: F.count("*").cast("double"), LOG_WEIGHTS: F.sum(F.log(w)), WEIGHT: F.sum(w)}
+    if how == "values":
+        out = data.groupBy(*keys, TARGET).agg(*[e.alias(k) for k, e in shared.items()]).withColumns({SPREAD: F.lit(0.0), WITHIN: F.lit(0.0)})
+    else:
+        # About a middle value, so that little is lost to rounding.
+        middle = float(fam.start(NP, mean))
+        d, m = y - middle, F.lit(middle)
+        sums = shared | {"__d": F.sum(w * d), "__dd": F.sum(w * d * d), "__dev": F.sum(w * fam.deviance(SP, y, m))}
+        out = data.groupBy(*keys).agg(*[e.alias(k) for k, e in sums.items()]).withColumn(TARGET, middle + F.col("__d") / w)
+        out = out.withColumn(SPREAD, F.greatest(F.col("__dd") - F.col("__d") * F.col("__d") / w, F.lit(0.0))).withColumn(WITHIN, F.col("__dev") - w * fam.deviance(SP, y, m))
+    return out.select(TARGET, WEIGHT, *keys, *GROUPED)
+
+
 def distinct_values(rows, data: DataFrame, terms: list[Term], p: Profile, knots: str) -> None:
     """Distinct counts, quantile knots and levels. In Spark a column's distinct values are found first, with partial sums on the
     map side, and quantiles taken of them; columns of up to EXACT_DISTINCT of them share one job."""
@@ -213,17 +254,26 @@ class Design:
         out = np.empty((n, self.p))
         out[:, 0] = 1.0
         for t, at in zip(self.terms, self.slices):
-            out[:, at] = t.block(np.asarray(cols[t.name]))
+            out[:, at] = _looked_up(t.block, np.asarray(cols[t.name])) if t.kind not in ("re", "parametric") else t.block(np.asarray(cols[t.name]))
         return out
 
 
+def _looked_up(f, x: np.ndarray) -> np.ndarray:
+    """f by row, worked out once for each distinct value where these are few, as in cells."""
+    if len(x) < 256:
+        return f(x)
+    u, at = np.unique(x, return_inverse=True)
+    return f(u)[at] if 2 * len(u) < len(x) else f(x)
+
+
 def constrain(rows, terms: list[Term], n: int) -> None:
     """Column sums and the largest row norm of every raw basis, in one job; then each term's constraint."""
     raw = [t for t in terms if t.kind not in ("re", "parametric")]
 
     def kernel(cols):
-        b = [t.basis(np.asarray(cols[t.name], np.float64)) for t in raw]
-        return np.concatenate([x.sum(0) for x in b]), np.array([np.abs(x).sum(1).max(initial=0) for x in b])
+        b = [_looked_up(t.basis, np.asarray(cols[t.name], np.float64)) for t in raw]
+        times = np.asarray(cols[COUNT]) if COUNT in cols else None
+        return np.concatenate([x.sum(0) if times is None else times @ x for x in b]), np.array([np.abs(x).sum(1).max(initial=0) for x in b])
 
     if not raw:
         sums, most = np.zeros(0), np.zeros(0)
@@ -242,21 +292,23 @@ def constrain(rows, terms: list[Term], n: int) -> None:
 class Statistics:
     """Sums at a coefficient vector, one job each: G = X'WX, r = X'(w eta + g), deviance, z'Wz and validity."""
 
-    def __init__(self, rows, design: Design, fam: Family):
-        self.rows, self.design, self.fam, self.profile_p = rows, design, fam, False
+    def __init__(self, rows, design: Design, fam: Family, single=None):
+        """single: the rows before they were summed by tuple, for what a tuple's mean doesn't tell."""
+        self.rows, self.design, self.fam, self.profile_p, self.single = rows, design, fam, False, single or rows
 
-    def at(self, beta: np.ndarray | None, fam: Family | None = None, newton: bool = False, extra=None) -> dict:
-        """beta None: from the starting values of the response. extra: further sums of (y, eta, w), by name."""
+    def at(self, beta: np.ndarray | None, fam: Family | None = None, newton: bool = False, extra=None, old: np.ndarray | None = None) -> dict:
+        """beta None: from the starting values of the response. extra: further sums of (y, eta, w), by name. old: coefficients that
+        the step to beta began at; the deviance at SHARES of it comes as line."""
         fam, design = fam or self.fam, self.design
 
         def kernel(cols):
             w0 = np.asarray(cols[WEIGHT], np.float64)
-            return _sums_at(design.matrix(cols), np.asarray(cols[TARGET], np.float64), w0, beta, fam, newton, extra), np.zeros(1)
+            return _sums_at(design.matrix(cols), np.asarray(cols[TARGET], np.float64), w0, beta, fam, newton, extra, _grouped(cols), old), np.zeros(1)
 
-        return self._unpacked(self.rows.reduce(kernel)[0])
+        return self._unpacked(self.rows.reduce(kernel)[0], old is not None)
 
-    def at_each(self, betas: dict[int, np.ndarray], times: Callable[[dict[str, np.ndarray]], np.ndarray]) -> dict[int, dict]:
-        """For several weightings of the rows, each at a coefficient vector of its own, in one job. times: by row and weighting."""
+    def at_each(self, betas: dict[int, tuple[np.ndarray, np.ndarray | None]], times: Callable[[dict[str, np.ndarray]], np.ndarray]) -> dict[int, dict]:
+        """For several weightings of the rows, each at coefficients (and old ones) of its own, in one job. times: by row and weighting."""
         fam, design, which = self.fam, self.design, sorted(betas)
 
         def kernel(cols):
@@ -264,12 +316,14 @@ class Statistics:
             out = []
             for i in which:
                 on = m[:, i] > 0
-                out.append(_sums_at(x[on], y[on], w0[on] * m[on, i], betas[i], fam))
+                out.append(_sums_at(x[on], y[on], w0[on] * m[on, i], betas[i][0], fam, old=betas[i][1]))
             return np.concatenate(out), np.zeros(1)
 
-        return {i: self._unpacked(s) for i, s in zip(which, np.split(self.rows.reduce(kernel)[0], len(which)))}
+        total, size = self.rows.reduce(kernel)[0], design.p * (design.p + 1) // 2 + design.p + 4
+        ends = np.cumsum([size + (len(SHARES) if betas[i][1] is not None else 0) for i in which])[:-1]
+        return {i: self._unpacked(s, betas[i][1] is not None) for i, s in zip(which, np.split(total, ends))}
 
-    def _unpacked(self, s: np.ndarray) -> dict:
+    def _unpacked(self, s: np.ndarray, line: bool = False) -> dict:
         p = self.design.p
         tri = np.triu_indices(p)
         m = len(tri[0])
@@ -277,33 +331,75 @@ class Statistics:
         gram[tri] = s[:m]
         gram = gram + np.triu(gram, 1).T
         d, zz, n, lw = s[m + p : m + p + 4]
-        return {"g": gram, "r": s[m : m + p], "dev": float(d), "zz": float(zz), "n": float(n), "log_weights": float(lw), "extra": s[m + p + 4 :]}
+        end = m + p + 4 + (len(SHARES) if line else 0)
+        return {"g": gram, "r": s[m : m + p], "dev": float(d), "zz": float(zz), "n": float(n), "log_weights": float(lw), "line": s[m + p + 4 : end], "extra": s[end:]}
+
+    def leverage_slope(self, beta: np.ndarray, fam: Family, inverse: np.ndarray) -> np.ndarray:
+        """Sum over rows of x (x' inverse x) dw/d eta: what the log determinant of X'WX + S gains as coefficients move."""
+        design = self.design
+
+        def kernel(cols):
+            x, y, w0 = design.matrix(cols), np.asarray(cols[TARGET], np.float64), np.asarray(cols[WEIGHT], np.float64)
+            slope = w0 * fam.curvature_slope(NP, y, x @ beta)
+            return x.T @ (slope * np.einsum("ij,ij->i", x @ inverse, x)), np.zeros(1)
+
+        return self.rows.reduce(kernel)[0]
 
     def likelihood(self, fam: Family) -> np.ndarray:
         def kernel(cols):
             return fam.likelihood_sums(np.asarray(cols[TARGET], np.float64), np.asarray(cols[WEIGHT], np.float64)), np.zeros(1)
 
-        return self.rows.reduce(kernel)[0]
+        # Linear in the weight at each response: rows that are summed by value will do.
+        rows = self.rows if isinstance(fam, (NegBin, StudentT)) else self.single
+        return rows.reduce(kernel)[0]
+
+    def pearson(self, beta: np.ndarray, fam: Family) -> float:
+        """Pearson's statistic."""
+        design = self.design
+
+        def kernel(cols):
+            y, w, more = np.asarray(cols[TARGET], np.float64), np.asarray(cols[WEIGHT], np.float64), _grouped(cols)
+            mu = fam.link.safe_mu(NP, fam.link.inverse(NP, design.matrix(cols) @ beta))
+            off = w * (y - mu) ** 2 + (more[SPREAD] if more else 0.0)
+            return np.array([(off / fam.variance(NP, mu)).sum()]), np.zeros(1)
+
+        return float(self.rows.reduce(kernel)[0][0])
 
 
-def _sums_at(x, y, w0, beta, fam: Family, newton: bool = False, extra=None) -> np.ndarray:
+def _grouped(cols: dict) -> dict[str, np.ndarray] | None:
+    return {k: np.asarray(cols[k], np.float64) for k in GROUPED} if COUNT in cols else None
+
+
+def _sums_at(x, y, w0, beta, fam: Family, newton: bool = False, extra=None, grouped: dict | None = None, old: np.ndarray | None = None) -> np.ndarray:
     eta = fam.link.link(NP, fam.start(NP, y)) if beta is None else x @ beta
-    w, g = fam.working(NP, y, eta, newton)
-    w, g = w0 * w, w0 * g
-    z = eta + g / np.maximum(w, 1e-300)
-    dev = (w0 * fam.deviance_eta(NP, y, eta)).sum()
+    one, g = fam.working(NP, y, eta, newton)
+    w, g = w0 * one, w0 * g
+    z = eta + g / np.where(np.abs(w) < 1e-10 * w0, 1e-10 * w0, w)
+    dev, zz, n, log_weights = (w0 * fam.deviance_eta(NP, y, eta)).sum(), (w * z * z).sum(), float(len(y)), 0.0
+    if grouped is None:
+        log_weights = np.log(w0).sum()
+    else:
+        dev, n, log_weights = dev + grouped[WITHIN].sum(), grouped[COUNT].sum(), grouped[LOG_WEIGHTS].sum()
+        if grouped[SPREAD].any():  # the score is linear in the response
+            per_unit = fam.working(NP, y + 1.0, eta, False)[1] - fam.working(NP, y, eta, False)[1]
+            zz += (grouped[SPREAD] * per_unit**2 / one).sum()
+    line = np.zeros(0)
+    if old is not None:
+        begin, within = x @ old, grouped[WITHIN].sum() if grouped else 0.0
+        line = np.array([(w0 * fam.deviance_eta(NP, y, begin + a * (eta - begin))).sum() + within for a in SHARES])
     gram = x.T @ (w[:, None] * x)
     more = extra(y, eta, w0) if extra else np.zeros(0)
-    return np.concatenate([gram[np.triu_indices(x.shape[1])], x.T @ (w * eta + g), [dev, (w * z * z).sum(), float(len(y)), np.log(w0).sum()], more])
+    return np.concatenate([gram[np.triu_indices(x.shape[1])], x.T @ (w * eta + g), [dev, zz, n, log_weights], line, more])
 
 
 def pirls(stats: Statistics, fam: Family, lam: np.ndarray, beta: np.ndarray | None, opt: Options) -> tuple[np.ndarray, dict, int]:
-    """Penalised iteration at fixed smoothing parameters. A step that raises the penalised deviance is halved."""
+    """Penalised iteration at fixed smoothing parameters, one job a step; a step that raises the penalised deviance takes a second
+    job, at the largest of SHARES that doesn't."""
     run = _pirls_asks(stats.design.penalties, lam, beta, opt)
     asked = next(run)
     while True:
         try:
-            asked = run.send(stats.at(asked, fam))
+            asked = run.send(stats.at(asked[0], fam, old=asked[1]))
         except StopIteration as end:
             return end.value
 
@@ -323,19 +419,18 @@ def pirls_each(stats: Statistics, lam: np.ndarray, beta: np.ndarray, opt: Option
 
 
 def _pirls_asks(pen: Penalties, lam: np.ndarray, beta: np.ndarray | None, opt: Options):
-    """The iteration itself: yields coefficients and is sent the statistics at them."""
-    s = yield beta
+    """The iteration itself: yields coefficients and those the step began at, and is sent the statistics there."""
+    s = yield beta, None
     total = pen.total(lam)
     old = math.inf if beta is None else s["dev"] + beta @ total @ beta
     for it in range(1, opt.most_iterations + 1):
         new = linalg.solve(select.ridged(s["g"]) + total, s["r"])
-        after = yield new
+        after = yield new, beta
         value = after["dev"] + new @ total @ new
-        halvings = 0
-        while beta is not None and not value <= old + 10 * (0.1 + abs(old)) * np.finfo(float).eps ** 0.5 and halvings < 30:
-            new = 0.5 * (new + beta)
-            after = yield new
-            value, halvings = after["dev"] + new @ total @ new, halvings + 1
+        if beta is not None and not value <= old + 10 * (0.1 + abs(old)) * np.finfo(float).eps ** 0.5:
+            new = _shortened(beta, new, after["line"], lambda b: b @ total @ b, old)
+            after = yield new, None
+            value = after["dev"] + new @ total @ new
         done = beta is not None and (np.abs(new - beta).max() < 1e-9 * (1 + np.abs(new).max()) or abs(old - value) < 1e-12 * (abs(value) + 0.1))
         beta, s, old = new, after, value
         if done:
@@ -343,6 +438,15 @@ def _pirls_asks(pen: Penalties, lam: np.ndarray, beta: np.ndarray | None, opt: O
     return beta, s, it
 
 
+def _shortened(beta: np.ndarray, new: np.ndarray, line: np.ndarray, penalty, before: float) -> np.ndarray:
+    """The largest share of a step that doesn't raise the penalised deviance; the smallest, if all do."""
+    for a, dev in zip(SHARES, line):
+        at = beta + a * (new - beta)
+        if dev + penalty(at) <= before + 1e-8 * (abs(before) + 1):
+            break
+    return at
+
+
 def laplace(fam: Family, pen: Penalties, rho: np.ndarray, beta: np.ndarray, s: dict, sums: np.ndarray, curvature: np.ndarray) -> tuple[float, float]:
     """Laplace restricted likelihood score at a converged fit, and the scale."""
     lam = np.exp(rho)
@@ -353,27 +457,46 @@ def laplace(fam: Family, pen: Penalties, rho: np.ndarray, beta: np.ndarray, s: d
 
 
 def fit_gam(df: DataFrame, target: str, terms: list[Term], fam: Family | str = "gaussian", weight: str | None = None, opt: Options | None = None, profile_shape: bool = True) -> GamModel:
-    """A fitted model. Gaussian fits take two jobs whatever the search for smoothing parameters; others one job a step."""
+    """A fitted model. Gaussian fits take two jobs whatever the search for smoothing parameters; others one job a step. Where
+    covariates repeat, rows are summed by tuple first (see grouping()), and all steps read those sums alone."""
     opt = opt or Options()
     fam = make_family(fam) if isinstance(fam, str) else fam
     method = opt.method or ("fREML" if isinstance(fam, StudentT) else "REML")
     data = prepared(df, target, terms, weight, opt.na_action)
     p = profile(data, terms)
     columns = [TARGET, WEIGHT, *dict.fromkeys(t.name for t in terms)]
-    rows = located(data, columns, p.n, opt.local_rows)
+    rounded, how = opt.discrete and p.n >= 2000, grouping(fam, opt.profile_p)
+    single = None
+
+    def by_tuple(df: DataFrame, tuples: int):
+        """Rows summed by tuple, if that leaves few."""
+        if how and tuples * WORTH <= p.n:
+            return located(summed(df, columns[2:], fam, how, p.y["mean"]), [*columns, *GROUPED], tuples, opt.local_rows)
+
+    rows = None if rounded or not p.tuples else by_tuple(data, p.tuples[how] if how else 0)
+    if rows is not None:
+        single = SparkRows(data, columns)
+    else:
+        rows = located(data, columns, p.n, opt.local_rows)
     distinct_values(rows, getattr(rows, "df", data), terms, p, opt.knots)
     place(terms, p, opt.knots)
     _warn_rare(fam, p, terms)
-    held, cells = rows, None
-    if opt.discrete and p.n >= 2000:
+    held, cells = [rows], None
+    if rounded:
         from .binning import Cells, binned_rows
 
         rows = binned_rows(rows, [t for t in terms if t.kind not in ("re", "parametric")], p)
         if fam.name == "gaussian" and isinstance(rows, SparkRows) and any(t.kind != "parametric" for t in terms):
             cells = Cells(rows, terms, TARGET, WEIGHT)
+            held.append(cells)
+        elif isinstance(rows, SparkRows) and terms and how:
+            few = by_tuple(rows.df, rows.df.agg(_tuples(terms)[how]).first()[0])
+            if few is not None:
+                single, rows = rows, few
+                held.append(few)
     constrain(cells or rows, terms, p.n)
     design = Design(terms)
-    stats = Statistics(rows, design, fam)
+    stats = Statistics(rows, design, fam, single)
     stats.profile_p = opt.profile_p
     pen = design.penalties
     algorithm = opt.algorithm or ("fellner-schall" if isinstance(fam, Quantile) else "newton")
@@ -395,9 +518,9 @@ def fit_gam(df: DataFrame, target: str, terms: list[Term], fam: Family | str = "
     a = select.ridged(work.g) + pen.total(lam)
     edf = np.diag(linalg.solve(a, work.g))
     scale = 1.0 if fam.known_scale else _reported_scale(fam, stats, beta, final, edf.sum())
-    for kept in (held, cells):
-        if hasattr(kept, "release"):
-            kept.release()
+    for part in reversed(held):  # what was made of others first
+        if hasattr(part, "release"):
+            part.release()
     kept = {"n": p.n, "mean": p.mean, "lo": p.lo, "hi": p.hi, "y_mean": p.y["mean"]}
     return GamModel(
         terms=terms, fam=fam, target=target, weight=weight, beta=beta, vcov=scale * linalg.inverse(a), lam=lam, edf=edf, scale=scale, deviance=final["dev"], score_value=score,
@@ -409,12 +532,7 @@ def _reported_scale(fam: Family, stats: Statistics, beta: np.ndarray, s: dict, e
     """Gaussian: RSS over residual degrees; other families: Pearson's statistic over them."""
     if fam.name == "gaussian":
         return s["dev"] / max(s["n"] - edf, 1e-8)
-
-    def pearson(y, eta, w):
-        mu = fam.link.safe_mu(NP, fam.link.inverse(NP, eta))
-        return np.array([(w * (y - mu) ** 2 / fam.variance(NP, mu)).sum()])
-
-    return float(stats.at(beta, fam, extra=pearson)["extra"][0]) / max(s["n"] - edf, 1e-8)
+    return stats.pearson(beta, fam) / max(s["n"] - edf, 1e-8)
 
 
 def _warn_rare(fam: Family, p: Profile, terms: list[Term]) -> None:
@@ -431,12 +549,15 @@ def _seeded(fam: Family, p: Profile, stats: Statistics) -> Family:
         s2, t = max(p.y["var"], 1e-12), fam.tau
         sigma = 0.05 * math.sqrt(2 * math.pi * s2) / (2 * math.log(2)) * max(1.0, 1 / (4 * t * (1 - t)))
         return replace(fam, sigma=sigma, co=sigma)
+    if isinstance(fam, Tweedie) and p.y["positive"]:
+        return replace(fam, span=(math.log(p.y["positive"]), math.log(p.y["max"])))
     if isinstance(fam, OrderedCategorical):
         r = fam.classes
 
         def counts(cols):
             y = np.rint(np.asarray(cols[TARGET], np.float64))
-            return np.array([(y == i).sum() for i in range(1, r + 1)], np.float64), np.zeros(1)
+            times = _grouped(cols)[COUNT] if COUNT in cols else np.ones(len(y))
+            return np.array([times[y == i].sum() for i in range(1, r + 1)], np.float64), np.zeros(1)
 
         c = stats.rows.reduce(counts)[0]
         if c.sum() < p.n:
@@ -456,24 +577,29 @@ def _iterate(stats, fam, pen, method, algorithm, fixed, opt, p: Profile, profile
     score is then optimised from there if asked for."""
     sums = stats.likelihood(fam)
     s, beta, rho, phi = stats.at(None if not isinstance(fam, (StudentT, Quantile, OrderedCategorical)) else _first(stats, fam, p), fam), None, fixed, 1.0
-    old, it = math.inf, 0
+    old, it, log_phi = math.inf, 0, None
+    joint = method == "fREML" and algorithm == "newton" and len(pen.blocks) > 0
     for it in range(1, opt.most_iterations + 1):
         work = Working(s["g"], s["r"], s["zz"], s["n"])
-        if fixed is None:
-            scale = 1.0 if fam.known_scale else None
-            new_rho = select.choose(work, pen, method, algorithm, rho, scale)
-        else:
+        if fixed is not None:
             new_rho = fixed
+        elif joint:  # one step in smoothing parameters and scale for each step in the coefficients
+            begin = select.start(work, pen) if rho is None else rho
+            if not fam.known_scale and log_phi is None:
+                log_phi = work.best_log_phi(pen, begin)
+            new_rho, log_phi = work.freml_step(pen, begin, None if fam.known_scale else log_phi)
+        else:
+            new_rho = select.choose(work, pen, method, algorithm, rho, 1.0 if fam.known_scale else None)
         lam = np.exp(new_rho)
         new = work.beta(pen, lam)
-        after = stats.at(new, fam)
-        halvings = 0
-        value = after["dev"] + lam @ pen.quadratic(new)
-        base = math.inf if beta is None else s["dev"] + lam @ pen.quadratic(beta)
-        while beta is not None and not value <= base + 1e-6 * (abs(base) + 1) and halvings < 30:
-            new = 0.5 * (new + beta)
+        after = stats.at(new, fam, old=beta)
+        rough = lambda b: lam @ pen.quadratic(b)
+        value = after["dev"] + rough(new)
+        base = math.inf if beta is None else s["dev"] + rough(beta)
+        if beta is not None and not value <= base + 1e-6 * (abs(base) + 1):
+            new = _shortened(beta, new, after["line"], rough, base)
             after = stats.at(new, fam)
-            value, halvings = after["dev"] + lam @ pen.quadratic(new), halvings + 1
+            value = after["dev"] + rough(new)
         moved = math.inf if beta is None else np.abs(new - beta).max() / (1e-8 + np.abs(new).max())
         drift = math.inf if rho is None else np.abs(new_rho - rho).max(initial=0)
         beta, rho, s = new, new_rho, after
@@ -489,19 +615,50 @@ def _iterate(stats, fam, pen, method, algorithm, fixed, opt, p: Profile, profile
     score, phi = laplace(fam, pen, rho, beta, s, sums, s["g"])
     simple = not isinstance(fam, (StudentT, Quantile))
     if fixed is None and opt.exact and method == "REML" and algorithm == "newton" and simple and len(rho):
-        state = {"beta": beta, "s": s}
+        search = ExactScore(stats, fam, pen, sums, opt, beta)
+        work = Working(s["g"], s["r"], s["zz"], s["n"])
+        e, v = np.linalg.eigh(work.reml_curvature(pen, rho, phi))
+        first = (v / np.maximum(np.abs(e), 0.05)) @ v.T
+        rho, score = linalg.bfgs(search.score, rho, search.slope, tol=1e-7, most=50, first=first)
+        rho = np.clip(rho, select.RHO_MIN, select.RHO_MAX)
+        search.score(rho)
+        beta, s, score, phi = search.beta, search.s, search.value, search.phi
+    return beta, rho, s, fam, score, phi, it
+
 
-        def exact(r):
-            r = np.clip(r, select.RHO_MIN, select.RHO_MAX)
-            b, at, _ = pirls(stats, fam, np.exp(r), state["beta"], opt)
-            state["beta"], state["s"] = b, at
-            return laplace(fam, pen, r, b, at, sums, stats.at(b, fam, newton=True)["g"])[0]
+class ExactScore:
+    """The Laplace score as a function of log lambda, and its slope. Coefficients are implicit in log lambda,
+    d beta / d rho_j = -H^-1 lambda_j S_j beta for the penalised observed curvature H; log |H| follows it directly, by S_j, and through
+    the rows' curvatures, by leverage times their slope in eta, one sum of p numbers. No iteration is run for a difference, and each
+    new point begins at the coefficients that the slope foretells."""
 
-        rho, score = linalg.bfgs(exact, rho, tol=1e-5, step=1e-3, most=20)
+    def __init__(self, stats: Statistics, fam: Family, pen: Penalties, sums: np.ndarray, opt: Options, beta: np.ndarray):
+        self.stats, self.fam, self.pen, self.sums, self.opt, self.beta = stats, fam, pen, sums, opt, beta
+        self.rho = self.moves = None
+
+    def score(self, rho: np.ndarray) -> float:
         rho = np.clip(rho, select.RHO_MIN, select.RHO_MAX)
-        beta, s, _ = pirls(stats, fam, np.exp(rho), state["beta"], opt)
-        score, phi = laplace(fam, pen, rho, beta, s, sums, stats.at(beta, fam, newton=True)["g"])
-    return beta, rho, s, fam, score, phi, it
+        if self.rho is None or not np.array_equal(rho, self.rho):
+            begin = self.beta if self.moves is None else self.beta + (rho - self.rho) @ self.moves
+            if self.moves is not None and not np.abs(begin - self.beta).max() < 1 + np.abs(self.beta).max():
+                begin = self.beta  # foretold too far
+            self.rho, self.moves = rho, None
+            self.beta, self.s, _ = pirls(self.stats, self.fam, np.exp(rho), begin, self.opt)
+            self.curvature = self.stats.at(self.beta, self.fam, newton=True)["g"]
+            self.value, self.phi = laplace(self.fam, self.pen, rho, self.beta, self.s, self.sums, self.curvature)
+        return self.value
+
+    def slope(self, rho: np.ndarray) -> np.ndarray:
+        self.score(rho)
+        lam = np.exp(self.rho)
+        inverse = linalg.inverse(select.ridged(self.curvature) + self.pen.total(lam))
+        through = self.stats.leverage_slope(self.beta, self.fam, inverse)
+        self.moves = np.zeros((len(lam), len(self.beta)))
+        trace = np.zeros(len(lam))
+        for j, ((at, s), v) in enumerate(zip(self.pen.blocks, lam)):
+            self.moves[j] = -inverse[:, at] @ (v * s @ self.beta[at])
+            trace[j] = v * np.sum(inverse[at, at] * s)
+        return lam * self.pen.quadratic(self.beta) / (2 * self.phi) + 0.5 * (trace + self.moves @ through) - 0.5 * np.array(self.pen.ranks)
 
 
 def _first(stats, fam, p: Profile) -> np.ndarray:

@@ -99,15 +99,16 @@ def brent(f, lo: float, hi: float, tol: float = 1e-8, most: int = 100) -> tuple[
     return x, fx
 
 
-def bfgs(f, x0: np.ndarray, grad=None, tol: float = 1e-6, most: int = 200, step: float = 1e-4, cap: float = 5.0) -> tuple[np.ndarray, float]:
-    """Minimum of f by quasi-Newton steps with halving; the gradient is taken by central differences if none is given."""
+def bfgs(f, x0: np.ndarray, grad=None, tol: float = 1e-6, most: int = 200, step: float = 1e-4, cap: float = 5.0, first: np.ndarray | None = None) -> tuple[np.ndarray, float]:
+    """Minimum of f by quasi-Newton steps with halving; the gradient is taken by central differences if none is given. first: an
+    inverse curvature to begin with."""
     def slope(x):
         if grad is not None:
             return grad(x)
         return np.array([(f(x + step * e) - f(x - step * e)) / (2 * step) for e in np.eye(len(x))])
 
     x, fx = np.array(x0, np.float64), f(x0)
-    g, h = slope(x), np.eye(len(x0))
+    g, h = slope(x), np.eye(len(x0)) if first is None else first
     for _ in range(most):
         if np.abs(g).max(initial=0) < tol * (abs(fx) + 1):
             break

@@ -77,10 +77,64 @@ class Working:
         trace = np.array([np.sum(inv[at, at] * s) for at, s in pen.blocks])
         return lam * quad / (2 * scale) + 0.5 * lam * trace - 0.5 * np.array(pen.ranks)
 
-    def reml_curvature(self, pen: Penalties, rho: np.ndarray, phi: float | None = None, step: float = 1e-4) -> np.ndarray:
+    def joint(self, pen: Penalties, rho: np.ndarray, log_phi: float) -> tuple[float, np.ndarray, np.ndarray]:
+        """The restricted likelihood score at (log lambda, log scale), its slope and its curvature, from one factorisation of the
+        penalised system. Coefficients follow log lambda: d beta / d rho_j = -A^-1 lambda_j S_j beta."""
+        lam, m, phi = np.exp(rho), len(rho), math.exp(log_phi)
+        a = ridged(self.g) + pen.total(lam)
+        inv = linalg.inverse(a)
+        beta = inv @ self.r
+        own = np.zeros((m, self.g.shape[0]))  # lambda_j S_j beta
+        spread = []  # A^-1 lambda_j S_j, where it isn't 0
+        for j, ((at, s), v) in enumerate(zip(pen.blocks, lam)):
+            own[j, at] = v * (s @ beta[at])
+            spread.append(v * inv[:, at] @ s)
+        rough = own @ beta
+        trace = np.array([np.trace(x[at]) for x, (at, _) in zip(spread, pen.blocks)])
+        pdev = self.rss(beta) + rough.sum()
+        free = self.n - pen.null
+        score = pdev / (2 * phi) + free / 2 * (LOG2PI + log_phi) + 0.5 * (linalg.logdet(a) - pen.logdet(lam))
+        slope = np.append(rough / (2 * phi) + 0.5 * trace - 0.5 * np.array(pen.ranks), free / 2 - pdev / (2 * phi))
+        curve = np.zeros((m + 1, m + 1))
+        curve[:m, :m] = np.diag(rough / (2 * phi) + 0.5 * trace) - own @ inv @ own.T / phi
+        for i, (at_i, _) in enumerate(pen.blocks):
+            for j, (at_j, _) in enumerate(pen.blocks[: i + 1]):
+                both = 0.5 * np.sum(spread[i][at_j] * spread[j][at_i].T)
+                curve[i, j] -= both
+                curve[j, i] -= both if i != j else 0.0
+        curve[:m, m] = curve[m, :m] = -rough / (2 * phi)
+        curve[m, m] = pdev / (2 * phi)
+        return score, slope, curve
+
+    def best_log_phi(self, pen: Penalties, rho: np.ndarray) -> float:
+        lam = np.exp(rho)
+        beta = self.beta(pen, lam)
+        return math.log(max((self.rss(beta) + lam @ pen.quadratic(beta)) / (self.n - pen.null), 1e-300))
+
+    def freml_step(self, pen: Penalties, rho: np.ndarray, log_phi: float | None) -> tuple[np.ndarray, float | None]:
+        """One Newton step of the score in log lambda and log scale together (log_phi None: a scale of 1, and no step in it). Curvature
+        counts by size, and a step that raises the score is halved; no rows are needed for either."""
+        known, m = log_phi is None, len(rho)
+        x = rho if known else np.append(rho, log_phi)
+        at = lambda v: self.joint(pen, v[:m], 0.0 if known else v[m])
+        f, g, h = at(x)
+        g, h = (g[:m], h[:m, :m]) if known else (g, h)
+        live = (np.abs(g) > 1e-9 * (abs(f) + 1)) | (np.abs(np.diag(h)) > 1e-8)
+        move = np.zeros(len(x))
+        if live.any():
+            move[live] = downhill(g[live], h[np.ix_(live, live)])
+        for a in 0.5 ** np.arange(20):
+            new = x + a * move
+            new[:m] = np.clip(new[:m], RHO_MIN, RHO_MAX)
+            if np.isfinite(fn := at(new)[0]) and fn <= f + 1e-12 * (abs(f) + 1):
+                return new[:m], None if known else float(new[m])
+        return rho, log_phi
+
+    def reml_curvature(self, pen: Penalties, rho: np.ndarray, phi: float | None = None) -> np.ndarray:
+        """Second derivatives of reml(): with the scale given, or following log lambda at its best."""
         m = len(rho)
-        h = np.array([(self.reml_slope(pen, rho + step * e, phi) - self.reml_slope(pen, rho - step * e, phi)) / (2 * step) for e in np.eye(m)])
-        return (h + h.T) / 2
+        h = self.joint(pen, rho, math.log(phi) if phi is not None else self.best_log_phi(pen, rho))[2]
+        return h[:m, :m] if phi is not None else h[:m, :m] - np.outer(h[:m, m], h[m, :m]) / max(h[m, m], 1e-300)
 
     def gcv(self, pen: Penalties, rho: np.ndarray) -> float:
         lam = np.exp(rho)
@@ -98,6 +152,14 @@ class Working:
 RHO_MIN, RHO_MAX = math.log(1e-9), math.log(1e7) + 6
 
 
+def downhill(g: np.ndarray, h: np.ndarray, cap: float = 5.0) -> np.ndarray:
+    """A Newton step of at most `cap`, with eigenvalues by size and kept off 0."""
+    e, v = np.linalg.eigh(h)
+    e = np.maximum(np.abs(e), max(np.abs(e).max(initial=0), 1e-300) * np.finfo(float).eps ** 0.7)
+    move = -(v / e) @ (v.T @ g)
+    return move * min(1.0, cap / max(np.linalg.norm(move), 1e-300))
+
+
 def newton(score, slope, curvature, rho: np.ndarray, tol: float = 5e-7, most: int = 200) -> np.ndarray:
     """Newton's method on log lambda: eigenvalues taken by size and kept off 0, steps of at most 5, halved until the score falls;
     parameters whose slope and curvature have both run out stay where they are."""
@@ -107,11 +169,8 @@ def newton(score, slope, curvature, rho: np.ndarray, tol: float = 5e-7, most: in
         if np.abs(g).max(initial=0) < tol * (abs(f) + 1):
             break
         live = (np.abs(g) > 0.1 * tol * (abs(f) + 1)) | (np.abs(np.diag(h)) > 1e-8)
-        e, v = np.linalg.eigh(h[np.ix_(live, live)])
-        e = np.maximum(np.abs(e), max(np.abs(e).max(initial=0), 1e-300) * np.finfo(float).eps ** 0.7)
         move = np.zeros(len(rho))
-        move[live] = -(v / e) @ (v.T @ g[live])
-        move *= min(1.0, 5 / max(np.linalg.norm(move), 1e-300))
+        move[live] = downhill(g[live], h[np.ix_(live, live)])
         a, better = 1.0, False
         while a > 1e-6:
             new = np.clip(rho + a * move, RHO_MIN, RHO_MAX)
@@ -142,6 +201,15 @@ def choose(w: Working, pen: Penalties, method: str = "REML", algorithm: str = "n
     if method.upper() == "GCV":
         best = min((np.clip(rho + d, RHO_MIN, RHO_MAX) for d in (-6, -3, 0, 3, 6)), key=lambda x: w.gcv(pen, x))
         return linalg.bfgs(lambda x: math.log(w.gcv(pen, np.clip(x, RHO_MIN, RHO_MAX)) + 1e-300), best)[0].clip(RHO_MIN, RHO_MAX)
+    if method.upper() == "FREML" and algorithm == "newton":
+        log_phi = w.best_log_phi(pen, rho) if phi is None else None
+        for _ in range(200):
+            new, log_phi = w.freml_step(pen, rho, log_phi)
+            done = np.abs(new - rho).max() < 1e-7
+            rho = new
+            if done:
+                break
+        return rho
     if algorithm == "fellner-schall":
         lam = np.exp(rho)
         for _ in range(200):
