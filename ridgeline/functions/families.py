@@ -373,6 +373,7 @@ class StudentT(Family):
     nu: float = 5.0
     sigma2: float = 1.0
     known_scale = True
+    LEAST_NU = 3.0
 
     def variance(self, o, mu):
         return mu * 0.0 + self.sigma2
@@ -394,6 +395,33 @@ class StudentT(Family):
         w = self.weights(o, y - eta)
         return w, w * (y - eta)
 
+    def shape_sums(self, y, eta, w):
+        """What slope and curvature of the likelihood in log sigma2 and log nu need of the rows."""
+        u = (y - eta) ** 2 / (self.nu * self.sigma2)
+        share = u / (1.0 + u)
+        return np.array([w.sum(), (w * np.log1p(u)).sum(), (w * share).sum(), (w * share / (1.0 + u)).sum()])
+
+    def shape_step(self, sums) -> "StudentT":
+        """One Newton step in log sigma2 and log nu together, of at most 1, with nu within LEAST_NU and 100; itself once it is small."""
+        n, logs, share, bend = sums
+        v = self.nu
+        half = 0.5 * float(digamma((v + 1) / 2) - digamma(v / 2))
+        turn = 0.25 * float(trigamma((v + 1) / 2) - trigamma(v / 2))
+        g = np.array([-0.5 * n + (v + 1) / 2 * share, n * (v * half - 0.5) - v / 2 * logs + (v + 1) / 2 * share])
+        both = v / 2 * share - (v + 1) / 2 * bend
+        h = np.array([[-(v + 1) / 2 * bend, both], [both, n * v * (half + v * turn) - v / 2 * logs + v / 2 * share + both]])
+        held = (v <= self.LEAST_NU * 1.000001 and g[1] < 0) or (v >= 99.9999 and g[1] > 0)
+        if held:
+            move = np.array([g[0] / max(abs(h[0, 0]), 1e-300), 0.0])
+        else:
+            e, q = np.linalg.eigh(h)
+            move = (q / np.maximum(np.abs(e), 1e-8 * n)) @ (q.T @ g)
+        move *= min(1.0, 1.0 / max(np.abs(move).max(), 1e-300))
+        nu = min(max(v * math.exp(move[1]), self.LEAST_NU), 100.0)
+        if abs(math.log(nu / v)) < 1e-6 and abs(move[0]) < 1e-8:
+            return self
+        return replace(self, nu=nu, sigma2=max(self.sigma2 * math.exp(move[0]), 1e-12))
+
     def likelihood_sums(self, y, w):
         return np.array([w.sum()])
 

@@ -26,8 +26,9 @@ TARGET, WEIGHT = "__y", "__w"
 COUNT, LOG_WEIGHTS, SPREAD, WITHIN = GROUPED = "__n", "__lw", "__ss", "__within"
 #: Rows that a tuple of covariates must stand for, on average, for rows to be summed by tuple first.
 WORTH = 4
-#: Shares of a step at which the deviance is taken beside the sums at its end, so that a step too long is shortened at once.
-SHARES = (0.5, 0.25, 0.125, 2.0**-5, 2.0**-8, 2.0**-14)
+#: Shares of a step at which the deviance is taken beside the sums at its end, so that a step too long is shortened at once; the
+#: first is where the step began.
+SHARES = (0.0, 0.5, 0.25, 0.125, 2.0**-5, 2.0**-8, 2.0**-14)
 
 
 @dataclass
@@ -63,8 +64,8 @@ class Profile:
     y: dict[str, float] = field(default_factory=dict)
 
 
-def prepared(df: DataFrame, target: str, terms: list[Term], weight: str | None, na_action: str) -> DataFrame:
-    """The columns of a fit, numbers as doubles; columns missing from df are named."""
+def prepared(df: DataFrame, target: str, terms: list[Term], weight: str | None, na_action: str, keep: dict | None = None) -> DataFrame:
+    """The columns of a fit, numbers as doubles, and further ones to keep; columns missing from df are named."""
     missing = [c for c in [target, *[t.name for t in terms], *([weight] if weight else [])] if c not in df.columns]
     if missing:
         raise ValueError(f"columns not found: {', '.join(missing)}")
@@ -74,14 +75,17 @@ def prepared(df: DataFrame, target: str, terms: list[Term], weight: str | None,
         if t.name not in seen:
             seen.add(t.name)
             cols.append(F.col(t.name) if t.kind == "re" and not isinstance(df.schema[t.name].dataType, NumericType) else F.col(t.name).cast("double").alias(t.name))
-    out = df.select(*cols)
+    out = df.select(*cols, *[e.alias(c) for c, e in (keep or {}).items()])
     if na_action == "omit":
-        out = out.dropna()
+        needed = [c for c in out.columns if c not in (keep or {})]
+        out = out.dropna(subset=needed)
         for c, kind in out.dtypes:
-            out = out.where(~F.isnan(c)) if kind == "double" else out
+            out = out.where(~F.isnan(c)) if kind == "double" and c in needed else out
     return out
 
 
+#: Levels of a random effect that a dense block may have; mixed.fit_mixed takes any number.
+MOST_LEVELS = 2000
 #: Distinct values of a column, about, up to which one task sorts them for their quantiles; beyond, each quantile is bracketed first,
 #: by ranks that are off by 1 in ACCURACY at most, and found among the values in its bracket.
 EXACT_DISTINCT, ACCURACY = 1_000_000, 100_000
@@ -161,7 +165,7 @@ def distinct_values(rows, data: DataFrame, terms: list[Term], p: Profile, knots:
                 if probs:
                     p.knots[t.name] = np.quantile(u, probs)
         elif t.kind == "re":
-            p.levels[t.name] = sorted(x[0] for x in data.select(t.name).distinct().collect() if x[0] is not None)
+            p.levels[t.name] = sorted(x[0] for x in data.select(t.name).distinct().limit(MOST_LEVELS + 2).collect() if x[0] is not None)
         elif t.penalised and p.about[t.name] <= EXACT_DISTINCT:
             together.append((t.name, probs))
         elif t.penalised:
@@ -440,7 +444,7 @@ def _pirls_asks(pen: Penalties, lam: np.ndarray, beta: np.ndarray | None, opt: O
 
 def _shortened(beta: np.ndarray, new: np.ndarray, line: np.ndarray, penalty, before: float) -> np.ndarray:
     """The largest share of a step that doesn't raise the penalised deviance; the smallest, if all do."""
-    for a, dev in zip(SHARES, line):
+    for a, dev in zip(SHARES[1:], line[1:]):
         at = beta + a * (new - beta)
         if dev + penalty(at) <= before + 1e-8 * (abs(before) + 1):
             break
@@ -479,6 +483,9 @@ def fit_gam(df: DataFrame, target: str, terms: list[Term], fam: Family | str = "
     else:
         rows = located(data, columns, p.n, opt.local_rows)
     distinct_values(rows, getattr(rows, "df", data), terms, p, opt.knots)
+    for t in terms:
+        if len(p.levels.get(t.name, ())) > MOST_LEVELS:
+            raise ValueError(f"{t.name} has over {MOST_LEVELS} levels: use operators.mixed.fit_mixed")
     place(terms, p, opt.knots)
     _warn_rare(fam, p, terms)
     held, cells = [rows], None
@@ -568,9 +575,6 @@ def _seeded(fam: Family, p: Profile, stats: Statistics) -> Family:
     return fam
 
 
-def _shape_bounds(fam: Family) -> tuple[float, float] | None:
-    return {NegBin: (math.log(0.5), math.log(50.0)), Tweedie: (1.001, 1.999)}.get(type(fam))
-
 
 def _iterate(stats, fam, pen, method, algorithm, fixed, opt, p: Profile, profile_shape):
     """Non-Gaussian fits. Each step solves the working problem, and lets smoothing parameters, scale and shape follow it; the exact
@@ -592,26 +596,30 @@ def _iterate(stats, fam, pen, method, algorithm, fixed, opt, p: Profile, profile
             new_rho = select.choose(work, pen, method, algorithm, rho, 1.0 if fam.known_scale else None)
         lam = np.exp(new_rho)
         new = work.beta(pen, lam)
-        after = stats.at(new, fam, old=beta)
+        extra = _shape_sums(fam) if profile_shape else None
+        after = stats.at(new, fam, extra=extra, old=beta)
         rough = lambda b: lam @ pen.quadratic(b)
         value = after["dev"] + rough(new)
-        base = math.inf if beta is None else s["dev"] + rough(beta)
+        base = math.inf if beta is None else after["line"][0] + rough(beta)
         if beta is not None and not value <= base + 1e-6 * (abs(base) + 1):
             new = _shortened(beta, new, after["line"], rough, base)
-            after = stats.at(new, fam)
+            after = stats.at(new, fam, extra=extra)
             value = after["dev"] + rough(new)
         moved = math.inf if beta is None else np.abs(new - beta).max() / (1e-8 + np.abs(new).max())
         drift = math.inf if rho is None else np.abs(new_rho - rho).max(initial=0)
         beta, rho, s = new, new_rho, after
-        if profile_shape:
-            shaped = _reshaped(stats, fam, beta, s)
-            if shaped is not fam:
-                fam = shaped
-                sums = stats.likelihood(fam)
-                s = stats.at(beta, fam)
-        if moved < 1e-7 and (drift < 1e-5 or abs(old - value) < opt.tol * (abs(value) + 0.1)) or abs(old - value) < 1e-11 * (abs(value) + 0.1):
+        # Shape parameters follow from sums of the same job; the next step's weights are theirs.
+        shaped = fam
+        if extra is not None:
+            shaped = _shape_moved(fam, s["extra"])
+        elif profile_shape and isinstance(fam, Tweedie) and stats.profile_p:
+            shaped = _power_moved(stats, fam, beta)
+        still, fam = shaped is fam, shaped
+        if still and (moved < 1e-7 and (drift < 1e-5 or abs(old - value) < opt.tol * (abs(value) + 0.1)) or abs(old - value) < 1e-11 * (abs(value) + 0.1)):
             break
-        old = value
+        old = value if still else math.inf
+    if profile_shape:
+        sums, s = stats.likelihood(fam), s if still else stats.at(beta, fam)
     score, phi = laplace(fam, pen, rho, beta, s, sums, s["g"])
     simple = not isinstance(fam, (StudentT, Quantile))
     if fixed is None and opt.exact and method == "REML" and algorithm == "newton" and simple and len(rho):
@@ -686,70 +694,67 @@ def _vertex(grid: np.ndarray, e: np.ndarray) -> float:
     return float(grid[j] + shift * (grid[1] - grid[0]))
 
 
-def _reshaped(stats, fam: Family, beta: np.ndarray, s: dict) -> Family:
-    """The family with its shape parameters moved to their best values at the current fit; several values are scored in one job."""
+def _shape_sums(fam: Family):
+    """Sums of (y, eta, w) that a family's shape parameters follow from, for the same job as all else; None if it has none."""
     if isinstance(fam, StudentT):
-        def residual(y, eta, w):
-            return np.array([(w * (y - eta) ** 2 * fam.sigma2 * (fam.nu + 1) / (fam.nu * fam.sigma2 + (y - eta) ** 2)).sum(), w.sum()])
-
-        e = stats.at(beta, fam, extra=residual)["extra"]
-        sigma2 = max(float(e[0] / e[1]), 1e-12)
-        grid = np.exp(np.linspace(math.log(2.0), math.log(100.0), 33))
-
-        def tails(y, eta, w):
-            return np.array([(w * np.log1p((y - eta) ** 2 / (v * sigma2))).sum() for v in grid])
-
-        e = stats.at(beta, fam, extra=tails)["extra"]
-        total = stats.likelihood(fam)[0]
-        like = [replace(fam, nu=float(v), sigma2=sigma2).saturated(1.0, 0, np.array([total])) - 0.5 * (v + 1) * x for v, x in zip(grid, e)]
-        nu = math.exp(_vertex(np.log(grid), np.array(like)))
-        same = abs(math.log(nu / fam.nu)) < 1e-5 and abs(sigma2 / fam.sigma2 - 1) < 1e-7
-        return fam if same else replace(fam, nu=max(nu, 3.0) if fam.nu >= 3 else nu, sigma2=sigma2)
+        return fam.shape_sums
     if isinstance(fam, NegBin):
-        grid = np.exp(np.linspace(math.log(0.5), math.log(50.0), 16))
-        fams = [replace(fam, theta=float(v)) for v in grid]
+        fams = [replace(fam, theta=float(v)) for v in THETAS]
 
         def like(y, eta, w):
             mu, (u, at) = fam.link.inverse(NP, eta), np.unique(y, return_inverse=True)
             each = np.bincount(at, weights=w)  # counts repeat: the likelihood needs each once
             return np.array([f.likelihood_sums(u, each)[0] - 0.5 * (w * f.deviance(NP, y, mu)).sum() for f in fams])
 
-        e = stats.at(beta, fam, extra=like)["extra"]
-        theta = math.exp(_vertex(np.log(grid), e))
+        return like
+    if isinstance(fam, OrderedCategorical) and fam.theta:
+        probes = _probes(fam)
+        return lambda y, eta, w: np.array([(w * f.deviance(NP, y, eta)).sum() for f in probes])
+    return None
+
+
+#: Shapes of the negative binomial that are scored side by side, and the distance of thresholds that slopes are taken over.
+THETAS, PROBE = np.exp(np.linspace(math.log(0.5), math.log(50.0), 16)), 1e-3
+
+
+def _probes(fam: OrderedCategorical) -> list[OrderedCategorical]:
+    theta = np.array(fam.theta)
+    return [replace(fam, theta=tuple(theta + PROBE * i * e)) for e in np.eye(len(theta)) for i in (-1, 0, 1)]
+
+
+def _shape_moved(fam: Family, e: np.ndarray) -> Family:
+    """The family with its shape parameters moved by the sums of _shape_sums(); itself where they stay."""
+    if isinstance(fam, StudentT):
+        return fam.shape_step(e)
+    if isinstance(fam, NegBin):
+        theta = math.exp(_vertex(np.log(THETAS), e))
         return fam if abs(math.log(theta / fam.theta)) < 1e-4 else replace(fam, theta=theta)
-    if isinstance(fam, Tweedie) and stats.profile_p:
-        def score(grid):
-            def like(y, eta, w):
-                mu = fam.link.inverse(NP, eta)
-                out = []
-                for q in grid:
-                    f = replace(fam, p=float(q))
-                    phi = max(float((w * (y - mu) ** 2 / f.variance(NP, mu)).sum() / max(len(y), 1)), 1e-8)
-                    out.append(f.log_density_at_y(y, phi).sum() - 0.5 * (w * f.deviance(NP, y, mu)).sum() / phi)
-                return np.array(out)
-
-            return stats.at(beta, fam, extra=like)["extra"]
-
-        grid = np.concatenate([[1.001], np.linspace(1.05, 1.95, 19), [1.999]])
-        j = int(np.argmax(score(grid)))
-        # Between the neighbours of the best, a second grid in one job.
-        fine = np.linspace(grid[max(j - 1, 0)], grid[min(j + 1, len(grid) - 1)], 21)
-        q = _vertex(fine, score(fine))
-        return fam if abs(q - fam.p) < 1e-5 else replace(fam, p=q)
-    if isinstance(fam, OrderedCategorical):
-        theta, step = np.array(fam.theta), 1e-3
-        probes = [theta + step * (i * e) for e in np.eye(len(theta)) for i in (-1, 0, 1)]
+    theta, e = np.array(fam.theta), e.reshape(-1, 3)
+    g, h = (e[:, 2] - e[:, 0]) / (2 * PROBE), (e[:, 2] - 2 * e[:, 1] + e[:, 0]) / PROBE**2
+    move = np.clip(-g / np.maximum(np.abs(h), 1e-6), -0.5, 0.5)
+    return fam if np.abs(move).max() < 1e-5 else replace(fam, theta=tuple((theta + move).tolist()))
+
 
+def _power_moved(stats, fam: Tweedie, beta: np.ndarray) -> Family:
+    """The Tweedie power of the best likelihood at the current fit: a grid in one job, and a finer one between its best neighbours."""
+
+    def score(grid):
         def like(y, eta, w):
-            return np.array([(w * replace(fam, theta=tuple(v)).deviance(NP, y, eta)).sum() for v in probes])
-
-        if not len(theta):
-            return fam
-        e = stats.at(beta, fam, extra=like)["extra"].reshape(-1, 3)
-        g, h = (e[:, 2] - e[:, 0]) / (2 * step), (e[:, 2] - 2 * e[:, 1] + e[:, 0]) / step**2
-        move = np.clip(-g / np.maximum(np.abs(h), 1e-6), -0.5, 0.5)
-        return fam if np.abs(move).max() < 1e-5 else replace(fam, theta=tuple((theta + move).tolist()))
-    return fam
+            mu = fam.link.inverse(NP, eta)
+            out = []
+            for q in grid:
+                f = replace(fam, p=float(q))
+                phi = max(float((w * (y - mu) ** 2 / f.variance(NP, mu)).sum() / max(len(y), 1)), 1e-8)
+                out.append(f.log_density_at_y(y, phi).sum() - 0.5 * (w * f.deviance(NP, y, mu)).sum() / phi)
+            return np.array(out)
+
+        return stats.at(beta, fam, extra=like)["extra"]
+
+    grid = np.concatenate([[1.001], np.linspace(1.05, 1.95, 19), [1.999]])
+    j = int(np.argmax(score(grid)))
+    fine = np.linspace(grid[max(j - 1, 0)], grid[min(j + 1, len(grid) - 1)], 21)
+    q = _vertex(fine, score(fine))
+    return fam if abs(q - fam.p) < 1e-5 else replace(fam, p=q)
 
 
 def reml_at(model: GamModel, lam) -> float:

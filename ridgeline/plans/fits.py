@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 from ..functions.families import family
 from ..operators import binning
 from ..operators.diagnostics import coverage_shift, k_index
-from ..operators.fit import TARGET, WEIGHT, Design, Options, Statistics, constrain, distinct_values, fit_gam, prepared, profile
+from ..operators.fit import TARGET, WEIGHT, Design, Options, Statistics, constrain, distinct_values, fit_gam, prepared, profile, reml_at
+from ..operators.mixed import fit_mixed
 from ..operators.quantile import fit_quantile
 from ..operators.rows import SparkRows
 from ..operators.terms import BSpline, Cubic, Linear, RandomEffect, ThinPlate
@@ -278,6 +279,57 @@ RE_SQL = """WITH g AS (SELECT o_orderpriority, count(*) AS n, avg(o_totalprice)
     SELECT o_orderpriority, round(b0, 3) AS intercept, round(n * (m - b0) / (n + 50.0), 3) AS effect FROM g, b"""
 
 
+def re_many_levels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Price by quantity with a random intercept of every part, at a fixed smoothing parameter: levels stay a table."""
+    m = fit_mixed(lines(spark, sf_dir), "l_extendedprice", "l_partkey", [Linear("l_quantity")], opt=Options(lam=[20.0]))
+    return m.effects.select(F.col("level").alias("l_partkey"), F.round("effect", 3).alias("effect"), F.col("weight").cast("long").alias("n"), F.lit(round(float(m.fixed.beta[1]), 4)).alias("slope"))
+
+
+RE_MANY_SQL = """WITH l AS (SELECT l_partkey, count(*)::DOUBLE AS n, sum(l_quantity)::DOUBLE AS sx, sum(l_extendedprice)::DOUBLE AS sy FROM lineitem GROUP BY 1),
+    t AS (SELECT count(*)::DOUBLE AS n, sum(l_quantity)::DOUBLE AS sx, sum(l_quantity * l_quantity)::DOUBLE AS sxx, sum(l_extendedprice)::DOUBLE AS sy, sum(l_quantity * l_extendedprice)::DOUBLE AS sxy FROM lineitem),
+    o AS (SELECT sum(n * n / (n + 20)) AS n, sum(n * sx / (n + 20)) AS sx, sum(sx * sx / (n + 20)) AS sxx, sum(n * sy / (n + 20)) AS sy, sum(sx * sy / (n + 20)) AS sxy FROM l),
+    a AS (SELECT t.n - o.n AS n, t.sx - o.sx AS sx, t.sxx - o.sxx AS sxx, t.sy - o.sy AS sy, t.sxy - o.sxy AS sxy FROM t, o),
+    b AS (SELECT (sxx * sy - sx * sxy) / (n * sxx - sx * sx) AS b0, (n * sxy - sx * sy) / (n * sxx - sx * sx) AS b1 FROM a)
+    SELECT l_partkey, round((sy - b0 * n - b1 * sx) / (n + 20), 3) AS effect, n::BIGINT AS n, round(b1, 4) AS slope FROM l, b"""
+
+LAMBDAS = [10.0**e for e in range(-3, 7)]
+
+
+def reml_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The restricted likelihood score of one smooth over smoothing parameters, less its value at 1."""
+    df = lines(spark, sf_dir).withColumn("y", F.col("l_extendedprice") / 1000.0)
+    m = fit_gam(df, "y", [Cubic("l_quantity", 4)], opt=Options(lam=[LAMBDA], knots="uniform", local_rows=0))
+    rows = [(v, float(reml_at(m, [v]) - reml_at(m, [1.0]))) for v in LAMBDAS]
+    return spark.createDataFrame(rows, "lambda double, score double").select("lambda", F.round("score", 4).alias("score"))
+
+
+def _reml_profile_sql() -> str:
+    """By elimination at each smoothing parameter: pivots give the determinant, and what isn't explained the scale. Determinants of
+    the change of basis and of the penalty itself are the same for all, and leave the difference."""
+    k = 4
+    f, s = _natural(np.arange(4.0))
+    basis = []
+    for j in range(k):
+        e = np.eye(k)[j]
+        case = [f"WHEN v <= {i + 1} THEN ({i + 1} - v) * {float(e[i])} + (v - {i}) * {float(e[i + 1])} + ((pow({i + 1} - v, 3) - ({i + 1} - v)) * ({float(f[i, j])!r}) + (pow(v - {i}, 3) - (v - {i})) * ({float(f[i + 1, j])!r})) / 6" for i in range(k - 1)]
+        basis.append(f"CASE {' '.join(case)} END AS b{j}")
+    size = float(np.abs(s).sum(1).max())
+    g = [f"sum(b{i} * b{j}) AS g{i}{j}" for i in range(k) for j in range(k)]
+    sql = f"""WITH r AS (SELECT min(l_quantity) AS lo, max(l_quantity) AS hi FROM lineitem), v AS (SELECT (l_quantity - lo) / ((hi - lo) / 3.0) AS v, l_extendedprice / 1000.0 AS y FROM lineitem, r),
+        b AS (SELECT y, {', '.join(basis)} FROM v), t AS (SELECT count(*)::DOUBLE AS n, sum(y * y) AS yy, max(abs(b0) + abs(b1) + abs(b2) + abs(b3)) AS nx, {', '.join(g)}, {', '.join(f'sum(b{i} * y) AS q{i}' for i in range(k))} FROM b),
+        l AS (SELECT unnest([{', '.join(repr(v) for v in LAMBDAS)}]::DOUBLE[]) AS lam),
+        e0 AS (SELECT lam, n, yy, 0.0::DOUBLE AS ld, {', '.join(f'g{i}{j} + lam * nx * nx / {size!r} * ({float(s[i, j])!r}) AS a{i}{j}' for i in range(k) for j in range(k))}, {', '.join(f'q{i} AS r{i}, q{i}' for i in range(k))} FROM t, l)"""
+    for p in range(k):
+        cols = []
+        for i in range(k):
+            for j in range(k):
+                cols.append(f"a{i}{j} / a{p}{p} AS a{i}{j}" if i == p else f"a{i}{j} - a{i}{p} * a{p}{j} / a{p}{p} AS a{i}{j}")
+            cols.append(f"r{i} / a{p}{p} AS r{i}" if i == p else f"r{i} - a{i}{p} * r{p} / a{p}{p} AS r{i}")
+        sql += f", e{p + 1} AS (SELECT lam, n, yy, ld + ln(a{p}{p}) AS ld, {', '.join(f'q{i}' for i in range(k))}, {', '.join(cols)} FROM e{p})"
+    sql += ", z AS (SELECT lam, (n - 2) / 2 * ln(yy - q0 * r0 - q1 * r1 - q2 * r2 - q3 * r3) + ld / 2 - ln(lam) AS score FROM e4)"  # two of the penalty's four are curved
+    return sql + ' SELECT z.lam AS "lambda", round(z.score - o.score, 4) AS score FROM z, z o WHERE o.lam = 1'
+
+
 def _glm(name: str, y, x: str):
     def query(spark: SparkSession, sf_dir: str) -> DataFrame:
         df = lines(spark, sf_dir).withColumn("y", y())
@@ -385,7 +437,7 @@ def RETURNED():  # noqa: N802
 
 
 QUERIES = {
-    "cr_knots": cr_knots, "cr_basis": cr_basis, "bs_basis": bs_basis, "gram_small": gram_small, "gam_fixed_lambda_fit": gam_fixed_lambda_fit, "gam_discrete_fixed_fit": gam_discrete_fixed_fit, "parametric_fit": parametric_fit, "re_shrinkage": re_shrinkage,
+    "cr_knots": cr_knots, "cr_basis": cr_basis, "bs_basis": bs_basis, "gram_small": gram_small, "gam_fixed_lambda_fit": gam_fixed_lambda_fit, "gam_discrete_fixed_fit": gam_discrete_fixed_fit, "parametric_fit": parametric_fit, "re_shrinkage": re_shrinkage, "re_many_levels": re_many_levels, "reml_profile": reml_profile,
     "poisson_pirls": _glm("poisson", LINE, "l_discount"), "logit_pirls": _glm("binomial", RETURNED, "l_quantity"),
     **{f"gam_{k.replace('.', '_')}_fixed_fit": _fixed(k) for k in _LAWS}, **{f"gam_{k}_discrete_fixed_fit": _fixed(k, True) for k in ("poisson", "binomial", "gamma")},
     "bin_compress": bin_compress, "bin_gram": bin_gram, "k_index": k_index_query, "coverage_shift": coverage_query, "quantile_fit": quantile_fit,
@@ -405,5 +457,5 @@ ORACLES = {
     "poisson_pirls": _glm_sql("l_linenumber", "l_discount", "exp(a + b * x)", "m", "ln(avg(y))"),
     "logit_pirls": _glm_sql("CASE WHEN l_returnflag = 'R' THEN 1 ELSE 0 END", "l_quantity", "1 / (1 + exp(-(a + b * x)))", "m * (1 - m)", "ln(avg(y) / (1 - avg(y)))"),
     **{f"gam_{k.replace('.', '_')}_fixed_fit": _fixed_law_sql(k) for k in _LAWS}, **{f"gam_{k}_discrete_fixed_fit": _fixed_law_sql(k, True) for k in ("poisson", "binomial", "gamma")},
-    "bin_compress": BIN_SQL, "bin_gram": BIN_GRAM_SQL, "k_index": K_SQL, "coverage_shift": COVERAGE_SQL,
+    "re_many_levels": RE_MANY_SQL, "reml_profile": _reml_profile_sql(), "bin_compress": BIN_SQL, "bin_gram": BIN_GRAM_SQL, "k_index": K_SQL, "coverage_shift": COVERAGE_SQL,
 }

@@ -329,7 +329,7 @@ def test_rows_summed_by_tuple_give_the_same_fit(coarse, monkeypatch, name, targe
     summed = [fit_gam(coarse, target, terms(), family(name, link), weight="w", opt=opt(local_rows=n)) for n in (10**6, 0)]
     monkeypatch.setattr(fitting, "WORTH", 10**9)
     plain = fit_gam(coarse, target, terms(), family(name, link), weight="w", opt=opt())
-    slow = 200 if name == "inverse.gaussian" else 1  # expected curvature is far from the observed there: the last steps are short
+    slow = 200 if name in ("inverse.gaussian", "tweedie") else 1  # expected curvature is far from the observed there: the last steps are short
     for m in summed:
         assert np.allclose(m.beta, plain.beta, atol=2e-8 * slow) and np.allclose(m.edf, plain.edf, atol=1e-6 * slow)
         assert m.deviance == pytest.approx(plain.deviance, rel=1e-9) and m.scale == pytest.approx(plain.scale, rel=1e-8 * slow)
