@@ -53,15 +53,22 @@ class Family:
         return self.link.inverse(o, eta)
 
     def working(self, o, y, eta, newton=False):
-        """Curvature and score; with newton, the observed curvature, which may fall below 0."""
+        """Curvature and score; with newton, the observed curvature where it is positive and the expected one elsewhere."""
         mu = self.link.safe_mu(o, self.link.inverse(o, eta))
         slope, v = self.link.slope(o, eta), self.variance(o, mu)
         w = slope * slope / v
         if newton:
             alpha = 1.0 + (y - mu) * (self.variance_slopes(o, mu)[0] / v + self.link.derivatives(o, mu)[0] * slope)
-            return w * alpha, (y - mu) * slope / v
+            w = o.where(alpha > 0, w * alpha, w)
         return o.greatest(w, 1e-10), (y - mu) * slope / v
 
+    def observed(self, o, y, eta):
+        """The observed curvature, which may fall below 0."""
+        mu = self.link.safe_mu(o, self.link.inverse(o, eta))
+        slope, v = self.link.slope(o, eta), self.variance(o, mu)
+        alpha = 1.0 + (y - mu) * (self.variance_slopes(o, mu)[0] / v + self.link.derivatives(o, mu)[0] * slope)
+        return slope * slope / v * alpha
+
     def curvature_slope(self, o, y, eta):
         """d/d eta of the observed curvature. With a = 1 + (y - mu) (V'/V + g''/g'), the curvature is a / (g'^2 V)."""
         mu = self.link.safe_mu(o, self.link.inverse(o, eta))
@@ -508,7 +515,11 @@ class OrderedCategorical(Family):
         lo, hi = self._ends(o, y, eta)
         a, b = sigmoid(o, hi), sigmoid(o, lo)
         w = sigmoid_slope(o, hi) + sigmoid_slope(o, lo)  # half the deviance's curvature
-        return (w if newton else o.greatest(w, 1e-10)), a + b - 1.0  # (f(lo) - f(hi)) / (F(hi) - F(lo)), as f = F (1 - F)
+        return o.greatest(w, 1e-10), a + b - 1.0  # (f(lo) - f(hi)) / (F(hi) - F(lo)), as f = F (1 - F)
+
+    def observed(self, o, y, eta):
+        lo, hi = self._ends(o, y, eta)
+        return sigmoid_slope(o, hi) + sigmoid_slope(o, lo)
 
     def curvature_slope(self, o, y, eta):
         lo, hi = self._ends(o, y, eta)

@@ -301,7 +301,7 @@ class Statistics:
         self.rows, self.design, self.fam, self.profile_p, self.single = rows, design, fam, False, single or rows
 
     def at(self, beta: np.ndarray | None, fam: Family | None = None, newton: bool = False, extra=None, old: np.ndarray | None = None) -> dict:
-        """beta None: from the starting values of the response. extra: further sums of (y, eta, w), by name. old: coefficients that
+        """beta None: from the starting values of the response. newton: with the observed curvature, which may fall below 0. extra: further sums of (y, eta, w). old: coefficients that
         the step to beta began at; the deviance at SHARES of it comes as line."""
         fam, design = fam or self.fam, self.design
 
@@ -376,7 +376,8 @@ def _grouped(cols: dict) -> dict[str, np.ndarray] | None:
 
 def _sums_at(x, y, w0, beta, fam: Family, newton: bool = False, extra=None, grouped: dict | None = None, old: np.ndarray | None = None) -> np.ndarray:
     eta = fam.link.link(NP, fam.start(NP, y)) if beta is None else x @ beta
-    one, g = fam.working(NP, y, eta, newton)
+    one, g = fam.working(NP, y, eta)
+    one = fam.observed(NP, y, eta) if newton else one
     w, g = w0 * one, w0 * g
     z = eta + g / np.where(np.abs(w) < 1e-10 * w0, 1e-10 * w0, w)
     dev, zz, n, log_weights = (w0 * fam.deviance_eta(NP, y, eta)).sum(), (w * z * z).sum(), float(len(y)), 0.0

@@ -129,7 +129,8 @@ def _bs_basis_sql() -> str:
 
 
 def gram_small(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """X'X and X'y of [1, quantity, discount, tax] as rows, by the statistics of a fit."""
+    """X'X and X'y of [1, quantity, discount, tax] as rows, by the statistics of a fit. Squares of hundredths end in the fourth decimal,
+    so a third would be a matter of ties."""
     terms = [Linear("l_quantity"), Linear("l_discount"), Linear("l_tax")]
     data = prepared(lines(spark, sf_dir).withColumn("y", F.col("l_extendedprice") / 1000.0), "y", terms, None, "fail")
     rows = SparkRows(data, [TARGET, WEIGHT, *[t.name for t in terms]])
@@ -137,13 +138,13 @@ def gram_small(spark: SparkSession, sf_dir: str) -> DataFrame:
     s = Statistics(rows, Design(terms), family("gaussian")).at(None)
     names, full = ["one", "quantity", "discount", "tax", "y"], np.block([[s["g"], s["r"][:, None]], [s["r"][None, :], np.array([[s["zz"]]])]])
     made = [(a, b, float(full[i, j])) for i, a in enumerate(names) for j, b in enumerate(names[: i + 1])]
-    return spark.createDataFrame(made, "a string, b string, v double").select("a", "b", F.round("v", 3).alias("v"))
+    return spark.createDataFrame(made, "a string, b string, v double").select("a", "b", F.round("v", 2).alias("v"))
 
 
 def _gram_sql() -> str:
     x = {"one": "1.0", "quantity": "l_quantity", "discount": "l_discount", "tax": "l_tax", "y": "l_extendedprice / 1000.0"}
     n = list(x)
-    return " UNION ALL ".join(f"SELECT '{a}' AS a, '{b}' AS b, round(sum(({x[a]})::DOUBLE * ({x[b]})::DOUBLE), 3) AS v FROM lineitem" for i, a in enumerate(n) for b in n[: i + 1])
+    return " UNION ALL ".join(f"SELECT '{a}' AS a, '{b}' AS b, round(sum(({x[a]})::DOUBLE * ({x[b]})::DOUBLE), 2) AS v FROM lineitem" for i, a in enumerate(n) for b in n[: i + 1])
 
 
 def gam_fixed_lambda_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
