@@ -34,7 +34,8 @@ SHARES = (0.0, 0.5, 0.25, 0.125, 2.0**-5, 2.0**-8, 2.0**-14)
 @dataclass
 class Options:
     """method: REML, fREML or GCV. algorithm: newton or fellner-schall. lam fixes the smoothing parameters.
-    exact: optimise the Laplace score itself; else smoothing parameters follow the working problem of each step."""
+    exact: optimise the Laplace score itself; else smoothing parameters follow the working problem of each step.
+    qr: steps come from a triangular factor of the rows, merged over partitions, instead of X'WX."""
 
     method: str | None = None
     algorithm: str | None = None
@@ -47,6 +48,7 @@ class Options:
     local_rows: int = LOCAL_ROWS
     na_action: str = "fail"
     profile_p: bool = False
+    qr: bool = False
 
 
 @dataclass
@@ -296,31 +298,38 @@ def constrain(rows, terms: list[Term], n: int) -> None:
 class Statistics:
     """Sums at a coefficient vector, one job each: G = X'WX, r = X'(w eta + g), deviance, z'Wz and validity."""
 
-    def __init__(self, rows, design: Design, fam: Family, single=None):
-        """single: the rows before they were summed by tuple, for what a tuple's mean doesn't tell."""
+    def __init__(self, rows, design: Design, fam: Family, single=None, qr: bool = False):
+        """single: the rows before they were summed by tuple, for what a tuple's mean doesn't tell. qr: steps have the triangular factor of
+        [sqrt W X, sqrt W z] too, from the same job."""
+        self.qr = qr
         self.rows, self.design, self.fam, self.profile_p, self.single = rows, design, fam, False, single or rows
 
     def at(self, beta: np.ndarray | None, fam: Family | None = None, newton: bool = False, extra=None, old: np.ndarray | None = None) -> dict:
         """beta None: from the starting values of the response. newton: with the observed curvature, which may fall below 0. extra: further sums of (y, eta, w). old: coefficients that
         the step to beta began at; the deviance at SHARES of it comes as line."""
-        fam, design = fam or self.fam, self.design
+        fam, design, qr = fam or self.fam, self.design, self.qr and not newton
 
         def kernel(cols):
             w0 = np.asarray(cols[WEIGHT], np.float64)
-            return _sums_at(design.matrix(cols), np.asarray(cols[TARGET], np.float64), w0, beta, fam, newton, extra, _grouped(cols), old), np.zeros(1)
+            return _sums_at(design.matrix(cols), np.asarray(cols[TARGET], np.float64), w0, beta, fam, newton, extra, _grouped(cols), old, qr), np.zeros(1)
 
-        return self._unpacked(self.rows.reduce(kernel)[0], old is not None)
+        if not qr:
+            return self._unpacked(self.rows.reduce(kernel)[0], old is not None)
+        side = design.p + 1
+        sums, factor = np.split(self.rows.reduce(kernel, _merged_factors(side))[0], [-side * side])
+        return {**self._unpacked(sums, old is not None), "factor": factor.reshape(side, side)}
 
-    def at_each(self, betas: dict[int, tuple[np.ndarray, np.ndarray | None]], times: Callable[[dict[str, np.ndarray]], np.ndarray]) -> dict[int, dict]:
-        """For several weightings of the rows, each at coefficients (and old ones) of its own, in one job. times: by row and weighting."""
-        fam, design, which = self.fam, self.design, sorted(betas)
+    def at_each(self, betas: dict[int, tuple[np.ndarray, np.ndarray | None]], times: Callable[[dict[str, np.ndarray]], np.ndarray], fams: list[Family] | None = None) -> dict[int, dict]:
+        """For several weightings of the rows, each at coefficients (and old ones, and a family) of its own, in one job. times: by row and weighting."""
+        design, which = self.design, sorted(betas)
+        fams = {i: fams[i] if fams else self.fam for i in which}
 
         def kernel(cols):
             x, y, w0, m = design.matrix(cols), np.asarray(cols[TARGET], np.float64), np.asarray(cols[WEIGHT], np.float64), times(cols)
             out = []
             for i in which:
                 on = m[:, i] > 0
-                out.append(_sums_at(x[on], y[on], w0[on] * m[on, i], betas[i][0], fam, old=betas[i][1]))
+                out.append(_sums_at(x[on], y[on], w0[on] * m[on, i], betas[i][0], fams[i], old=betas[i][1]))
             return np.concatenate(out), np.zeros(1)
 
         total, size = self.rows.reduce(kernel)[0], design.p * (design.p + 1) // 2 + design.p + 4
@@ -374,7 +383,7 @@ def _grouped(cols: dict) -> dict[str, np.ndarray] | None:
     return {k: np.asarray(cols[k], np.float64) for k in GROUPED} if COUNT in cols else None
 
 
-def _sums_at(x, y, w0, beta, fam: Family, newton: bool = False, extra=None, grouped: dict | None = None, old: np.ndarray | None = None) -> np.ndarray:
+def _sums_at(x, y, w0, beta, fam: Family, newton: bool = False, extra=None, grouped: dict | None = None, old: np.ndarray | None = None, qr: bool = False) -> np.ndarray:
     eta = fam.link.link(NP, fam.start(NP, y)) if beta is None else x @ beta
     one, g = fam.working(NP, y, eta)
     one = fam.observed(NP, y, eta) if newton else one
@@ -394,7 +403,17 @@ def _sums_at(x, y, w0, beta, fam: Family, newton: bool = False, extra=None, grou
         line = np.array([(w0 * fam.deviance_eta(NP, y, begin + a * (eta - begin))).sum() + within for a in SHARES])
     gram = x.T @ (w[:, None] * x)
     more = extra(y, eta, w0) if extra else np.zeros(0)
-    return np.concatenate([gram[np.triu_indices(x.shape[1])], x.T @ (w * eta + g), [dev, zz, n, log_weights], line, more])
+    factor = linalg.stacked_r([np.sqrt(np.maximum(w, 0))[:, None] * np.column_stack([x, z])]).ravel() if qr else np.zeros(0)
+    return np.concatenate([gram[np.triu_indices(x.shape[1])], x.T @ (w * eta + g), [dev, zz, n, log_weights], line, more, factor])
+
+
+def _merged_factors(side: int) -> Callable[[np.ndarray, np.ndarray], np.ndarray]:
+    """Adds statistics up, but for the triangular factor at their end: that of both factors' rows."""
+    def merge(a, b):
+        at = len(a) - side * side
+        return np.concatenate([a[:at] + b[:at], linalg.stacked_r([a[at:].reshape(side, side), b[at:].reshape(side, side)]).ravel()])
+
+    return merge
 
 
 def pirls(stats: Statistics, fam: Family, lam: np.ndarray, beta: np.ndarray | None, opt: Options) -> tuple[np.ndarray, dict, int]:
@@ -409,12 +428,12 @@ def pirls(stats: Statistics, fam: Family, lam: np.ndarray, beta: np.ndarray | No
             return end.value
 
 
-def pirls_each(stats: Statistics, lam: np.ndarray, beta: np.ndarray, opt: Options, times, n: int) -> list[np.ndarray]:
-    """Coefficients of the iteration under each of n weightings of the rows, side by side: a step of all is one job."""
+def pirls_each(stats: Statistics, lam: np.ndarray, beta: np.ndarray, opt: Options, times, n: int, fams: list[Family] | None = None) -> list[np.ndarray]:
+    """Coefficients of the iteration under each of n weightings of the rows (and families, if given), side by side: a step of all is one job."""
     runs = [_pirls_asks(stats.design.penalties, lam, beta, opt) for _ in range(n)]
     asked, out = {i: next(run) for i, run in enumerate(runs)}, [beta] * n
     while asked:
-        for i, s in stats.at_each(asked, times).items():
+        for i, s in stats.at_each(asked, times, fams).items():
             try:
                 asked[i] = runs[i].send(s)
             except StopIteration as end:
@@ -429,7 +448,7 @@ def _pirls_asks(pen: Penalties, lam: np.ndarray, beta: np.ndarray | None, opt: O
     total = pen.total(lam)
     old = math.inf if beta is None else s["dev"] + beta @ total @ beta
     for it in range(1, opt.most_iterations + 1):
-        new = linalg.solve(select.ridged(s["g"]) + total, s["r"])
+        new = select.working(s).beta(pen, lam)
         after = yield new, beta
         value = after["dev"] + new @ total @ new
         if beta is not None and not value <= old + 10 * (0.1 + abs(old)) * np.finfo(float).eps ** 0.5:
@@ -470,7 +489,7 @@ def fit_gam(df: DataFrame, target: str, terms: list[Term], fam: Family | str = "
     data = prepared(df, target, terms, weight, opt.na_action)
     p = profile(data, terms)
     columns = [TARGET, WEIGHT, *dict.fromkeys(t.name for t in terms)]
-    rounded, how = opt.discrete and p.n >= 2000, grouping(fam, opt.profile_p)
+    rounded, how = opt.discrete and p.n >= 2000, None if opt.qr else grouping(fam, opt.profile_p)
     single = None
 
     def by_tuple(df: DataFrame, tuples: int):
@@ -494,7 +513,7 @@ def fit_gam(df: DataFrame, target: str, terms: list[Term], fam: Family | str = "
         from .binning import Cells, binned_rows
 
         rows = binned_rows(rows, [t for t in terms if t.kind not in ("re", "parametric")], p)
-        if fam.name == "gaussian" and isinstance(rows, SparkRows) and any(t.kind != "parametric" for t in terms):
+        if fam.name == "gaussian" and not opt.qr and isinstance(rows, SparkRows) and any(t.kind != "parametric" for t in terms):
             cells = Cells(rows, terms, TARGET, WEIGHT)
             held.append(cells)
         elif isinstance(rows, SparkRows) and terms and how:
@@ -504,7 +523,7 @@ def fit_gam(df: DataFrame, target: str, terms: list[Term], fam: Family | str = "
                 held.append(few)
     constrain(cells or rows, terms, p.n)
     design = Design(terms)
-    stats = Statistics(rows, design, fam, single)
+    stats = Statistics(rows, design, fam, single, opt.qr)
     stats.profile_p = opt.profile_p
     pen = design.penalties
     algorithm = opt.algorithm or ("fellner-schall" if isinstance(fam, Quantile) else "newton")
@@ -512,7 +531,7 @@ def fit_gam(df: DataFrame, target: str, terms: list[Term], fam: Family | str = "
     fam = _seeded(fam, p, stats)
     if fam.name == "gaussian":
         s = cells.statistics(design) if cells else stats.at(None, fam)
-        work = Working(s["g"], s["r"], s["zz"], s["n"])
+        work = select.working(s)
         rho = fixed if fixed is not None else select.choose(work, pen, method, algorithm)
         beta = work.beta(pen, np.exp(rho))
         final = stats.at(beta, fam) if work.rss(beta) < 1e-10 * work.zz else {**s, "dev": work.rss(beta)}
@@ -521,17 +540,16 @@ def fit_gam(df: DataFrame, target: str, terms: list[Term], fam: Family | str = "
     else:
         beta, rho, s, fam, score, phi, iterations = _iterate(stats, fam, pen, method, algorithm, fixed, opt, p, profile_shape)
         final = s
-        work = Working(s["g"], s["r"], s["zz"], s["n"])
+        work = select.working(s)
     lam = np.exp(rho)
-    a = select.ridged(work.g) + pen.total(lam)
-    edf = np.diag(linalg.solve(a, work.g))
+    edf = work.edf(pen, lam)
     scale = 1.0 if fam.known_scale else _reported_scale(fam, stats, beta, final, edf.sum())
     for part in reversed(held):  # what was made of others first
         if hasattr(part, "release"):
             part.release()
     kept = {"n": p.n, "mean": p.mean, "lo": p.lo, "hi": p.hi, "y_mean": p.y["mean"]}
     return GamModel(
-        terms=terms, fam=fam, target=target, weight=weight, beta=beta, vcov=scale * linalg.inverse(a), lam=lam, edf=edf, scale=scale, deviance=final["dev"], score_value=score,
+        terms=terms, fam=fam, target=target, weight=weight, beta=beta, vcov=scale * work.inverse(pen, lam), lam=lam, edf=edf, scale=scale, deviance=final["dev"], score_value=score,
         method=method, iterations=iterations, gram=work.g, rhs=work.r, zz=work.zz, rows=p.n, training=kept, reml_scale=phi,
     )
 
@@ -585,7 +603,7 @@ def _iterate(stats, fam, pen, method, algorithm, fixed, opt, p: Profile, profile
     old, it, log_phi = math.inf, 0, None
     joint = method == "fREML" and algorithm == "newton" and len(pen.blocks) > 0
     for it in range(1, opt.most_iterations + 1):
-        work = Working(s["g"], s["r"], s["zz"], s["n"])
+        work = select.working(s)
         if fixed is not None:
             new_rho = fixed
         elif joint:  # one step in smoothing parameters and scale for each step in the coefficients

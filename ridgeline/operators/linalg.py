@@ -57,11 +57,12 @@ def root(s: np.ndarray) -> np.ndarray:
 
 
 def stacked_r(blocks: list[np.ndarray]) -> np.ndarray:
-    """The triangular factor of stacked blocks, block by block: for designs whose Gram matrix is too ill-conditioned."""
-    r = None
+    """The triangular factor of stacked blocks, block by block: for designs whose Gram matrix is too ill-conditioned. Square, with rows
+    of zeros below where all blocks together have fewer rows than columns."""
+    r = np.zeros((0, blocks[0].shape[1]))
     for b in blocks:
-        r = np.linalg.qr(b if r is None else np.vstack([r, b]), mode="r")
-    return r
+        r = np.linalg.qr(np.vstack([r, b]), mode="r")
+    return np.vstack([r, np.zeros((max(r.shape[1] - len(r), 0), r.shape[1]))])
 
 
 def brent(f, lo: float, hi: float, tol: float = 1e-8, most: int = 100) -> tuple[float, float]:

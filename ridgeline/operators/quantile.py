@@ -18,7 +18,8 @@ from .diagnostics import coverage_shift
 from .fit import TARGET, WEIGHT, Design, Options, Statistics, fit_gam, pirls, pirls_each, prepared
 from .model import GamModel
 from .rows import SparkRows, located
-from .terms import Term
+from .select import Working
+from .terms import LEAST_K, Term
 
 
 def pinball_loss(y: np.ndarray, q: np.ndarray, tau: float) -> float:
@@ -93,12 +94,41 @@ class Tuner:
 
     def __init__(self, df: DataFrame, target: str, terms: list[Term], tau: float, weight: str | None = None, opt: Options | None = None):
         self.opt, self.tau = opt or Options(), tau
+        self.df, self.target, self.weight, self.terms = df, target, weight, terms
         self.pilot = fit_gam(df, target, copy.deepcopy(terms), "gaussian", weight, self.opt)
-        data = prepared(df, target, self.pilot.terms, weight, self.opt.na_action)
-        self.rows = located(data, [TARGET, WEIGHT, *dict.fromkeys(t.name for t in terms)], self.pilot.rows, self.opt.local_rows)
-        self.design = Design(self.pilot.terms)
         self.sd = math.sqrt(max(self.pilot.scale, 1e-12))
-        self.df, self.target, self.weight, self.terms = df, target, weight, terms
+        self.begin = self.pilot.beta
+        self.spread = df.agg(F.stddev_pop(F.col(target).cast("double"))).first()[0] or 1.0
+        self.place()
+
+    def place(self) -> None:
+        data = prepared(self.df, self.target, self.pilot.terms, self.weight, self.opt.na_action)
+        self.rows = located(data, [TARGET, WEIGHT, *dict.fromkeys(t.name for t in self.terms)], self.pilot.rows, self.opt.local_rows)
+        self.design = Design(self.pilot.terms)
+
+    def release(self) -> None:
+        """Gives back the rows kept between fits."""
+        if isinstance(self.rows, SparkRows):
+            self.rows.release()
+        if hasattr(self, "by_value"):
+            self.by_value.df.unpersist()
+
+    @staticmethod
+    def unit(cols) -> np.ndarray | float:
+        """What a row's residual is in units of, beside the response."""
+        return 1.0
+
+    def with_terms(self, terms: list[Term]) -> "Tuner":
+        return Tuner(self.df, self.target, terms, self.tau, self.weight, self.opt)
+
+    def auto(self) -> float:
+        """The scale at which the smoothing biases a normal response of deviation sd by a twentieth; wider towards the tails."""
+        return 0.05 * math.sqrt(2 * math.pi) * self.sd / (2 * math.log(2)) * max(1.0, 1 / (4 * self.tau * (1 - self.tau)))
+
+    def model(self, beta: np.ndarray, s: dict, sigma: float) -> GamModel:
+        a = s["g"] + self.design.penalties.total(self.lam)
+        edf = np.diag(linalg.solve(a, s["g"]))
+        return replace(self.pilot, fam=self.family(sigma), beta=beta, lam=self.lam, vcov=linalg.inverse(a), edf=edf, scale=1.0, deviance=s["dev"], gram=s["g"], rhs=s["r"], zz=s["zz"], method="FS")
 
     def family(self, sigma: float) -> Quantile:
         return Quantile(tau=self.tau, sigma=sigma, co=max(0.05 * self.sd, 0.2 * sigma))
@@ -108,19 +138,18 @@ class Tuner:
         fam, pen = self.family(sigma), self.design.penalties
         stats = Statistics(rows or self.rows, self.design, fam)
         lam_now = np.maximum(self.pilot.lam / max(self.pilot.scale, 1e-12), 1e-9) if lam is None else lam
-        beta = self.pilot.beta.copy()
+        beta = self.begin.copy()
         for _ in range(30):
             beta, s, _ = pirls(stats, fam, lam_now, beta, replace(self.opt, most_iterations=50))
             if lam is not None:
                 break
-            from .select import Working
-
             new = Working(s["g"], s["r"], s["zz"], s["n"]).fellner_schall(pen, lam_now, 1.0)
             done = np.abs(np.log(new / lam_now)).max(initial=0) < 1e-3
             lam_now = new
             if done:
                 break
-        self.lam = lam_now
+        if rows is None:
+            self.lam = lam_now
         return beta, s
 
     def counted(self, k: int) -> SparkRows:
@@ -141,32 +170,41 @@ class Tuner:
             yield type(self.rows)({c: v[~test] for c, v in self.rows.columns.items()}), {c: v[test] for c, v in self.rows.columns.items()}
 
     def cv_loss(self, sigma: float, k: int = 5) -> float:
+        return self.cv_losses([sigma], k)[0]
+
+    def cv_losses(self, sigmas: list[float], k: int = 5) -> list[float]:
+        """Held-out pinball loss at each sigma, averaged over folds, at the smoothing parameters of the last fit to all rows. Over rows in
+        Spark, all folds at all sigmas take their steps in the same jobs."""
+        if not hasattr(self, "lam"):
+            self.fit(sigmas[0])
         if isinstance(self.rows, SparkRows):
-            return self._cv_loss_in_spark(sigma, k)
-        total = 0.0
+            return self._cv_losses_in_spark(sigmas, k)
+        totals = [0.0] * len(sigmas)
         for train, test in self.split(k):
-            beta, _ = self.fit(sigma, train, self.lam if hasattr(self, "lam") else None)
-            total += pinball_loss(np.asarray(test[TARGET], float), self.design.matrix(test) @ beta, self.tau) / k
-        return total
+            unit = self.unit(test)
+            x, y = self.design.matrix(test), unit * np.asarray(test[TARGET], float)
+            for i, sigma in enumerate(sigmas):
+                totals[i] += pinball_loss(y, unit * (x @ self.fit(sigma, train, self.lam)[0]), self.tau) / k
+        return totals
 
-    def _cv_loss_in_spark(self, sigma: float, k: int) -> float:
-        """The same by hash folds; all folds are fitted in the same jobs."""
-        rows, design, tau = self.counted(k), self.design, self.tau
-        if not hasattr(self, "lam"):
-            self.fit(sigma)
+    def _cv_losses_in_spark(self, sigmas: list[float], k: int) -> list[float]:
+        """The same by hash folds."""
+        rows, design, tau, unit, many = self.counted(k), self.design, self.tau, self.unit, len(sigmas)
 
         def inside(cols):
-            return np.asarray(cols["__copies"], np.int64)[:, None] - fold_counts(cols["fold"], cols["__copies"], k)
+            return np.tile(np.asarray(cols["__copies"], np.int64)[:, None] - fold_counts(cols["fold"], cols["__copies"], k), many)
 
-        betas = np.array(pirls_each(Statistics(rows, design, self.family(sigma)), self.lam, self.pilot.beta, replace(self.opt, most_iterations=50), inside, k))
+        fams = [self.family(v) for v in sigmas for _ in range(k)]
+        betas = np.array(pirls_each(Statistics(rows, design, fams[0]), self.lam, self.begin, replace(self.opt, most_iterations=50), inside, len(fams), fams))
 
         def held_out(cols):
             r = np.asarray(cols[TARGET], np.float64)[:, None] - design.matrix(cols) @ betas.T
-            m = fold_counts(cols["fold"], cols["__copies"], k)
+            r *= np.reshape(unit(cols), (-1, 1))
+            m = np.tile(fold_counts(cols["fold"], cols["__copies"], k), many)
             return np.concatenate([(m * np.maximum(tau * r, (tau - 1) * r)).sum(0), m.sum(0)]), np.zeros(1)
 
-        s = rows.reduce(held_out)[0]
-        return float((s[:k] / np.maximum(s[k:], 1)).mean())
+        loss, count = np.split(rows.reduce(held_out)[0], 2)
+        return (loss / np.maximum(count, 1)).reshape(many, k).mean(1).tolist()
 
     def kl(self, sigma: float, replicates: int = 20, seed: int = 1) -> float:
         """Calibration loss: Poisson bootstrap weights stand for resampling rows."""
@@ -206,56 +244,180 @@ class Tuner:
         return float(total / n)
 
 
-def fit_quantile(df: DataFrame, target: str, terms: list[Term], tau: float, weight: str | None = None, preset: str = "fast_oos", sigma: float | None = None, opt: Options | None = None, calibrate: bool = True) -> QuantileFit:
+#: Share of k that the pilot of a search takes, by preset, and how far in log sigma the candidates at full k lie on either side of its result.
+PILOT, ASIDE = {"quality_oos": 0.5, "kl": 0.3}, 0.3
+
+
+def smaller(terms: list[Term], share: float, least: int = 3) -> list[Term]:
+    """Copies whose k is a share of theirs, not under `least` nor what their kind needs; knots are placed anew."""
+    out = [replace(t, z=None, s=None) for t in terms]
+    for t in out:
+        if t.kind in LEAST_K:
+            t.k = max(least, LEAST_K[t.kind], int(round(t.k * share)))
+            if hasattr(t, "knots"):
+                t.knots = np.zeros(0)
+    return out
+
+
+def searched_sigma(t: Tuner, pilot: Tuner | None, preset: str, trace: list, k: int = 5) -> float:
+    """The sigma of least loss within [0.05, 5] deviations of the response, by Brent's method on its log. With a pilot (the same model of
+    smaller k) the search is the pilot's, and the model itself only decides between three candidates around its result."""
+    def losses(tuner, sigmas):
+        v = tuner.cv_losses(sigmas, k) if preset == "quality_oos" else [tuner.kl(x) for x in sigmas]
+        trace.extend(zip(sigmas, v))
+        return v
+
+    coarse = pilot or t
+    coarse.fit(coarse.auto())
+    best = linalg.brent(lambda u: losses(coarse, [math.exp(u)])[0], math.log(0.05 * t.spread), math.log(5 * t.spread), tol=0.05, most=12)[0]
+    if pilot is None:
+        return math.exp(best)
+    sigmas = [math.exp(best + d) for d in (-ASIDE, 0.0, ASIDE)]
+    t.fit(sigmas[1])
+    return sigmas[int(np.argmin(losses(t, sigmas)))]
+
+
+def _checked(preset: str) -> None:
+    if preset not in ("fast_oos", *PILOT):
+        raise ValueError(f"unknown preset {preset!r}: fast_oos, {', '.join(PILOT)}")
+
+
+def _pilot(t: Tuner, preset: str, multifidelity: bool) -> Tuner | None:
+    """A tuner of smaller k; None if none is asked for or k can't be smaller."""
+    if not multifidelity:
+        return None
+    less = smaller(t.terms, PILOT[preset])
+    return t.with_terms(less) if [x.k for x in less] != [x.k for x in t.terms] else None
+
+
+def fit_quantile(df: DataFrame, target: str, terms: list[Term], tau: float, weight: str | None = None, preset: str = "fast_oos", sigma: float | None = None, opt: Options | None = None, calibrate: bool = True, multifidelity: bool = False) -> QuantileFit:
     """A smooth quantile. fast_oos takes the automatic scale; quality_oos searches log sigma for the least held-out pinball loss
-    within [0.05, 5] response deviations; kl for the best calibration. calibrate shifts the intercept to the nominal coverage."""
-    t = Tuner(df, target, terms, tau, weight, opt)
-    auto = 0.05 * math.sqrt(2 * math.pi) * t.sd / (2 * math.log(2)) * max(1.0, 1 / (4 * tau * (1 - tau)))
-    trace = []
-    if sigma is None:
-        sigma = auto
-        if preset in ("quality_oos", "kl"):
-            t.fit(sigma)
-            loss = t.cv_loss if preset == "quality_oos" else t.kl
-
-            def at(u):
-                v = loss(math.exp(u))
-                trace.append((math.exp(u), v))
-                return v
-
-            sigma = math.exp(linalg.brent(at, math.log(0.05 * t.sd), math.log(5 * t.sd), tol=0.05, most=12)[0])
-        elif preset != "fast_oos":
-            raise ValueError(f"unknown preset {preset!r}")
-    beta, s = t.fit(sigma)
-    a = s["g"] + t.design.penalties.total(t.lam)
-    model = replace(t.pilot, fam=t.family(sigma), beta=beta, lam=t.lam, vcov=linalg.inverse(a), edf=np.diag(linalg.solve(a, s["g"])), scale=1.0, deviance=s["dev"], gram=s["g"], rhs=s["r"], zz=s["zz"], method="FS")
-    out = QuantileFit(model, tau, sigma, trace=tuple(trace))
+    within [0.05, 5] response deviations; kl for the best calibration. multifidelity: the search is done with smaller k first.
+    calibrate shifts the intercept to the nominal coverage."""
+    _checked(preset)
+    t, trace = Tuner(df, target, terms, tau, weight, opt), []
+    held = [t]
+    try:
+        if sigma is None and preset == "fast_oos":
+            sigma = t.auto()
+        elif sigma is None:
+            held += [p] if (p := _pilot(t, preset, multifidelity)) else []
+            sigma = searched_sigma(t, p, preset, trace)
+        out = QuantileFit(t.model(*t.fit(sigma), sigma), tau, sigma, trace=tuple(trace))
+    finally:
+        for x in held:
+            x.release()
     if calibrate:
-        out.shift = coverage_shift(model.transform(df, column="__q"), target, "__q", tau)
+        out.shift = coverage_shift(out.model.transform(df, column="__q"), target, "__q", tau)
     return out
 
 
+# -- a scale for each row ---------------------------------------------------------------------------------------------------
+
+RATIO = "__ratio"
+#: What log |Z| of a standard normal Z falls short of 0 by, on average.
+LOG_ABS_NORMAL = (np.euler_gamma + math.log(2)) / 2
+
+
+class ScaledDesign(Design):
+    """A design whose rows are divided by their ratio."""
+
+    def matrix(self, cols: dict[str, np.ndarray]) -> np.ndarray:
+        return super().matrix(cols) / np.asarray(cols[RATIO], np.float64)[:, None]
+
+
+class ScaleTuner(Tuner):
+    """The same with a scale for each row, sigma_i = sigma * s_i / mean s. A residual over sigma_i is one over sigma once the row, response and
+    design alike, is divided by s_i / mean s; so rows are kept divided, and every step and search above works on them as it is.
+    log s is a Gaussian smooth of log |residual| from the Gaussian mean, each floored at a thousandth of the response's deviation."""
+
+    def __init__(self, df: DataFrame, target: str, terms: list[Term], tau: float, weight: str | None = None, opt: Options | None = None, scale_terms: list[Term] | None = None):
+        self.scale_terms = scale_terms
+        super().__init__(df, target, terms, tau, weight, opt)
+
+    def with_terms(self, terms: list[Term]) -> "ScaleTuner":
+        return ScaleTuner(self.df, self.target, terms, self.tau, self.weight, self.opt, self.scale_terms)
+
+    def place(self) -> None:
+        own = smaller(self.terms, 0.5) if self.scale_terms is None else copy.deepcopy(self.scale_terms)
+        data = prepared(self.df, self.target, [*self.pilot.terms, *own], self.weight, self.opt.na_action)
+        off = F.greatest(F.abs(F.col(TARGET) - F.col("__m")), F.lit(1e-3 * self.spread))
+        left = self.pilot.transform(data, column="__m").withColumn("__l", F.log(off) + F.lit(LOG_ABS_NORMAL)).drop("__m", TARGET)
+        self.log_scale = fit_gam(left, "__l", own, "gaussian", WEIGHT, self.opt)
+        scored = self.log_scale.transform(data, column="__s").withColumn(RATIO, F.greatest(F.exp("__s"), F.lit(1e-8)))
+        self.sd = max(scored.agg(F.avg(RATIO)).first()[0], 1e-8)
+        ratio, names = F.col(RATIO) / F.lit(self.sd), list(dict.fromkeys(t.name for t in self.terms))
+        self.rows = located(scored.select((F.col(TARGET) / ratio).alias(TARGET), WEIGHT, *names, ratio.alias(RATIO)), [TARGET, WEIGHT, *names, RATIO], self.pilot.rows, self.opt.local_rows)
+        self.design = ScaledDesign(self.pilot.terms)
+        self.begin = self.pilot.beta + self._to_quantile()
+
+    def _to_quantile(self) -> np.ndarray:
+        """A first step from the mean: the ratio times the quantile of divided residuals, projected on the terms."""
+        design, beta = self.design, self.pilot.beta
+
+        def residual(cols):
+            return np.asarray(cols[TARGET], np.float64) - design.matrix(cols) @ beta
+
+        def kernel(cols):
+            return design.matrix(cols).T @ (np.asarray(cols[WEIGHT], np.float64) * np.asarray(cols[RATIO], np.float64) ** 2), np.zeros(1)
+
+        if isinstance(self.rows, SparkRows):
+            q = (F.col(TARGET) - self.pilot.eta() / F.col(RATIO)).alias("r")
+            q = self.rows.df.select(q).agg(F.percentile_approx("r", self.tau)).first()[0]
+        else:
+            q = float(np.quantile(residual(self.rows.columns), self.tau, method="nearest"))
+        return linalg.solve(self.pilot.gram + design.penalties.total(self.pilot.lam), q * self.rows.reduce(kernel)[0])
+
+    def family(self, sigma: float) -> Quantile:
+        return Quantile(tau=self.tau, sigma=sigma, co=sigma)
+
+    @staticmethod
+    def unit(cols) -> np.ndarray:
+        return np.asarray(cols[RATIO], np.float64)
+
+
 @dataclass
 class LocationScaleFit:
     """A quantile with a scale of its own at each row: sigma_i = sigma * s_i / mean s."""
 
-    location: GamModel
-    log_scale: GamModel
     quantile: QuantileFit
-
-    def transform(self, df: DataFrame, column: str = "prediction") -> DataFrame:
-        scored = self.location.transform(df, column="__m")
-        scored = self.log_scale.transform(scored, column="__s")
-        return self.quantile.transform(scored, "__q").withColumn(column, F.col("__m") + F.exp("__s") * F.col("__q")).drop("__m", "__s", "__q")
-
-
-def fit_location_scale(df: DataFrame, target: str, terms: list[Term], tau: float, weight: str | None = None, opt: Options | None = None) -> LocationScaleFit:
-    """A Gaussian smooth of the mean, one of log |residual| + 0.6352 for the scale, and a quantile smooth of what is left."""
-    mean = fit_gam(df, target, copy.deepcopy(terms), "gaussian", weight, opt)
-    left = mean.transform(df, column="__m").withColumn("__l", F.log(F.greatest(F.abs(F.col(target) - F.col("__m")), F.lit(1e-8))) + F.lit(0.6352))
-    scale = fit_gam(left, "__l", copy.deepcopy(terms), "gaussian", weight, opt)
-    std = scale.transform(left, column="__s").withColumn("__z", (F.col(target) - F.col("__m")) * F.exp(-F.col("__s")))
-    return LocationScaleFit(mean, scale, fit_quantile(std, "__z", terms, tau, weight, opt=opt))
+    log_scale: GamModel
+    mean_scale: float
+
+    @property
+    def model(self) -> GamModel:
+        return self.quantile.model
+
+    @property
+    def sigma(self) -> float:
+        return self.quantile.sigma
+
+    def transform(self, df: DataFrame, column: str = "prediction", scale: str | None = None) -> DataFrame:
+        """df with the quantile, and under `scale` the rows' s_i = exp(log scale). Columns of df keep their names."""
+        out = self.quantile.transform(df, column)
+        return out if scale is None else self.log_scale.transform(out, column=scale).withColumn(scale, F.exp(scale))
+
+
+def fit_location_scale(
+    df: DataFrame, target: str, terms: list[Term], tau: float, weight: str | None = None, preset: str = "fast_oos", sigma: float | None = None, opt: Options | None = None, scale_terms: list[Term] | None = None, retune: bool = True, multifidelity: bool = False,
+) -> LocationScaleFit:
+    """A smooth quantile whose loss has a scale for each row: a Gaussian smooth of the mean, one of log |residual| for the scale (with
+    scale_terms; else the same terms of half the k), and the smoothed check loss at sigma * s_i / mean s. sigma, over all rows, is given,
+    automatic from mean s, or searched as by fit_quantile. retune: smoothing parameters follow that loss; else the mean's are kept."""
+    _checked(preset)
+    t, trace = ScaleTuner(df, target, terms, tau, weight, opt, scale_terms), []
+    held = [t]
+    try:
+        if sigma is None and preset == "fast_oos":
+            sigma = t.auto()
+        elif sigma is None:
+            held += [p] if (p := _pilot(t, preset, multifidelity)) else []
+            sigma = searched_sigma(t, p, preset, trace)
+        fit = t.fit(sigma, lam=None if retune else t.pilot.lam)
+        return LocationScaleFit(QuantileFit(t.model(*fit, sigma), tau, sigma, trace=tuple(trace)), t.log_scale, t.sd)
+    finally:
+        for x in held:
+            x.release()
 
 
 # -- sinh-arcsinh ---------------------------------------------------------------------------------------------------------

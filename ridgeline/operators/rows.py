@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Callable
 
 import numpy as np
@@ -15,19 +16,20 @@ LOCAL_ROWS = 200_000
 DIRECT = 256
 
 Kernel = Callable[[dict[str, np.ndarray]], tuple[np.ndarray, np.ndarray]]
+Merge = Callable[[np.ndarray, np.ndarray], np.ndarray]
 
 
 class LocalRows:
     def __init__(self, columns: dict[str, np.ndarray]):
         self.columns = columns
 
-    def reduce(self, kernel: Kernel) -> tuple[np.ndarray, np.ndarray]:
-        """Sums and maxima that the kernel gives over all rows, taken in slices so that designs stay small."""
+    def reduce(self, kernel: Kernel, merge: Merge = np.add) -> tuple[np.ndarray, np.ndarray]:
+        """Sums and maxima that the kernel gives over all rows, taken in slices so that designs stay small. merge: instead of sums."""
         n = len(next(iter(self.columns.values())))
         total = most = None
         for at in range(0, max(n, 1), 50_000):
             s, m = kernel({k: v[at : at + 50_000] for k, v in self.columns.items()})
-            total, most = (s, m) if total is None else (total + s, np.maximum(most, m))
+            total, most = (s, m) if total is None else (merge(total, s), np.maximum(most, m))
         return total, most
 
 
@@ -40,8 +42,8 @@ class SparkRows:
         if self.kept is not None:
             self.kept.unpersist()
 
-    def reduce(self, kernel: Kernel) -> tuple[np.ndarray, np.ndarray]:
-        """One job: a row of partial statistics for each partition, added up in partition order."""
+    def reduce(self, kernel: Kernel, merge: Merge = np.add) -> tuple[np.ndarray, np.ndarray]:
+        """One job: a row of partial statistics for each partition, added up (or merged) in partition order."""
         names = self.names
 
         def partial(batches):
@@ -51,14 +53,14 @@ class SparkRows:
             for b in batches:
                 if b.num_rows:
                     s, m = kernel({c: _numpy(b.column(i)) for i, c in enumerate(names)})
-                    total, most = (s, m) if total is None else (total + s, np.maximum(most, m))
+                    total, most = (s, m) if total is None else (merge(total, s), np.maximum(most, m))
             if total is not None:
                 yield _row(TaskContext.get().partitionId(), total, most)
 
         def merged(batches):
             found = sorted((r["part"], r["sums"], r["most"]) for b in batches for r in b.to_pylist())
             if found:
-                yield _row(found[0][0], _added([np.array(f[1]) for f in found]), np.max([f[2] for f in found], axis=0))
+                yield _row(found[0][0], functools.reduce(merge, [np.array(f[1]) for f in found]), np.max([f[2] for f in found], axis=0))
 
         out = self.df.mapInArrow(partial, "part int, sums array<double>, most array<double>")
         if self.parts is None:
@@ -69,14 +71,7 @@ class SparkRows:
         found = sorted(((r["part"], r["sums"], r["most"]) for r in out.collect()), key=lambda r: r[0])
         if not found:
             raise ValueError("there are no rows to fit")
-        return _added([np.array(f[1]) for f in found]), np.max([f[2] for f in found], axis=0)
-
-
-def _added(parts: list[np.ndarray]) -> np.ndarray:
-    total = parts[0].copy()
-    for p in parts[1:]:
-        total += p
-    return total
+        return functools.reduce(merge, [np.array(f[1]) for f in found]), np.max([f[2] for f in found], axis=0)
 
 
 def _row(part: int, total: np.ndarray, most: np.ndarray) -> pa.RecordBatch:

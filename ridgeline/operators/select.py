@@ -52,6 +52,13 @@ class Working:
     def beta(self, pen: Penalties, lam: np.ndarray) -> np.ndarray:
         return linalg.solve(ridged(self.g) + pen.total(lam), self.r)
 
+    def inverse(self, pen: Penalties, lam: np.ndarray) -> np.ndarray:
+        """Of the penalised system's matrix."""
+        return linalg.inverse(ridged(self.g) + pen.total(lam))
+
+    def logdet(self, pen: Penalties, lam: np.ndarray) -> float:
+        return linalg.logdet(ridged(self.g) + pen.total(lam))
+
     def rss(self, beta: np.ndarray) -> float:
         return max(self.zz - 2 * beta @ self.r + beta @ self.g @ beta, 0.0)
 
@@ -64,16 +71,15 @@ class Working:
         beta = self.beta(pen, lam)
         pdev = self.rss(beta) + lam @ pen.quadratic(beta)
         scale = phi if phi is not None else max(pdev / (self.n - pen.null), 1e-300)
-        half = 0.5 * (linalg.logdet(ridged(self.g) + pen.total(lam)) - pen.logdet(lam))
+        half = 0.5 * (self.logdet(pen, lam) - pen.logdet(lam))
         return pdev / (2 * scale) + (self.n - pen.null) / 2 * (LOG2PI + math.log(scale)) + half - 0.5 * log_weights
 
     def reml_slope(self, pen: Penalties, rho: np.ndarray, phi: float | None = None) -> np.ndarray:
         lam = np.exp(rho)
-        a = ridged(self.g) + pen.total(lam)
-        beta = linalg.solve(a, self.r)
+        beta = self.beta(pen, lam)
         quad = pen.quadratic(beta)
         scale = phi if phi is not None else max((self.rss(beta) + lam @ quad) / (self.n - pen.null), 1e-300)
-        inv = linalg.inverse(a)
+        inv = self.inverse(pen, lam)
         trace = np.array([np.sum(inv[at, at] * s) for at, s in pen.blocks])
         return lam * quad / (2 * scale) + 0.5 * lam * trace - 0.5 * np.array(pen.ranks)
 
@@ -81,9 +87,7 @@ class Working:
         """The restricted likelihood score at (log lambda, log scale), its slope and its curvature, from one factorisation of the
         penalised system. Coefficients follow log lambda: d beta / d rho_j = -A^-1 lambda_j S_j beta."""
         lam, m, phi = np.exp(rho), len(rho), math.exp(log_phi)
-        a = ridged(self.g) + pen.total(lam)
-        inv = linalg.inverse(a)
-        beta = inv @ self.r
+        inv, beta = self.inverse(pen, lam), self.beta(pen, lam)
         own = np.zeros((m, self.g.shape[0]))  # lambda_j S_j beta
         spread = []  # A^-1 lambda_j S_j, where it isn't 0
         for j, ((at, s), v) in enumerate(zip(pen.blocks, lam)):
@@ -93,7 +97,7 @@ class Working:
         trace = np.array([np.trace(x[at]) for x, (at, _) in zip(spread, pen.blocks)])
         pdev = self.rss(beta) + rough.sum()
         free = self.n - pen.null
-        score = pdev / (2 * phi) + free / 2 * (LOG2PI + log_phi) + 0.5 * (linalg.logdet(a) - pen.logdet(lam))
+        score = pdev / (2 * phi) + free / 2 * (LOG2PI + log_phi) + 0.5 * (self.logdet(pen, lam) - pen.logdet(lam))
         slope = np.append(rough / (2 * phi) + 0.5 * trace - 0.5 * np.array(pen.ranks), free / 2 - pdev / (2 * phi))
         curve = np.zeros((m + 1, m + 1))
         curve[:m, :m] = np.diag(rough / (2 * phi) + 0.5 * trace) - own @ inv @ own.T / phi
@@ -142,13 +146,59 @@ class Working:
 
     def fellner_schall(self, pen: Penalties, lam: np.ndarray, phi: float) -> np.ndarray:
         """One multiplicative update, by at most e^3, within [1e-9, 1e7]."""
-        inv = linalg.inverse(ridged(self.g) + pen.total(lam))
-        beta = inv @ self.r
+        inv, beta = self.inverse(pen, lam), self.beta(pen, lam)
         trace = np.array([np.sum(inv[at, at] * s) for at, s in pen.blocks])
         gain = np.maximum(np.array(pen.ranks) / lam - trace, 1e-12) * phi / np.maximum(pen.quadratic(beta), 1e-12)
         return np.clip(lam * np.exp(np.clip(np.log(gain * 1.0), -3, 3)), 1e-9, 1e7)
 
 
+class Triangular(Working):
+    """The same from the triangular factor R of [sqrt W X, sqrt W z], for columns so much alike that X'WX has lost their difference:
+    errors grow with the condition of X, not its square. Penalties are stacked below as roots, and no ridge is added."""
+
+    def __init__(self, factor: np.ndarray, n: float):
+        p = len(factor) - 1
+        self.x, self.z, self.left = factor[:p, :p], factor[:p, p], float(factor[p, p] ** 2)
+        super().__init__(self.x.T @ self.x, self.x.T @ self.z, float(self.z @ self.z) + self.left, n)
+
+    def _stacked(self, pen: Penalties, lam: np.ndarray) -> np.ndarray:
+        blocks = [self.x]
+        for (at, s), v in zip(pen.blocks, lam):
+            below = np.zeros((len(s), pen.p))
+            below[:, at] = np.sqrt(v) * linalg.root(s).T
+            blocks.append(below)
+        return np.vstack(blocks)
+
+    def _pseudo_inverse(self, pen: Penalties, lam: np.ndarray) -> np.ndarray:
+        a = self._stacked(pen, lam)
+        scale = np.maximum(np.linalg.norm(a, axis=0), 1e-300)
+        return np.linalg.pinv(a / scale, rcond=len(a) * np.finfo(float).eps) / scale[:, None]
+
+    def beta(self, pen: Penalties, lam: np.ndarray) -> np.ndarray:
+        a = self._stacked(pen, lam)
+        scale = np.maximum(np.linalg.norm(a, axis=0), 1e-300)
+        return np.linalg.lstsq(a / scale, np.concatenate([self.z, np.zeros(len(a) - len(self.z))]), rcond=len(a) * np.finfo(float).eps)[0] / scale
+
+    def inverse(self, pen: Penalties, lam: np.ndarray) -> np.ndarray:
+        a = self._pseudo_inverse(pen, lam)
+        return a @ a.T
+
+    def logdet(self, pen: Penalties, lam: np.ndarray) -> float:
+        return float(2 * np.log(np.maximum(np.abs(np.diag(np.linalg.qr(self._stacked(pen, lam), mode="r"))), 1e-150)).sum())
+
+    def edf(self, pen: Penalties, lam: np.ndarray) -> np.ndarray:
+        return np.diag(self._pseudo_inverse(pen, lam)[:, : len(self.x)] @ self.x)
+
+    def rss(self, beta: np.ndarray) -> float:
+        off = self.x @ beta - self.z
+        return float(off @ off) + self.left
+
+
+def working(s: dict) -> Working:
+    """The least-squares problem in the statistics of a step: by its factor, if they have one."""
+    return Triangular(s["factor"], s["n"]) if s.get("factor") is not None else Working(s["g"], s["r"], s["zz"], s["n"])
+
+
 RHO_MIN, RHO_MAX = math.log(1e-9), math.log(1e7) + 6
 
 

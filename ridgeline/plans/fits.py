@@ -11,7 +11,7 @@ from ..operators import binning
 from ..operators.diagnostics import coverage_shift, k_index
 from ..operators.fit import TARGET, WEIGHT, Design, Options, Statistics, constrain, distinct_values, fit_gam, prepared, profile, reml_at
 from ..operators.mixed import fit_mixed
-from ..operators.quantile import fit_quantile
+from ..operators.quantile import LOG_ABS_NORMAL, fit_location_scale, fit_quantile
 from ..operators.rows import SparkRows
 from ..operators.terms import BSpline, Cubic, Linear, RandomEffect, ThinPlate
 from .formulas import lines
@@ -349,6 +349,50 @@ def _glm_sql(y: str, x: str, mean: str, weight: str, start: str, rounds: int = 9
     return sql + f" SELECT round(a, 5) AS intercept, round(b, 5) AS slope FROM s{rounds}"
 
 
+ROW_SCALE, ROW_TAU = 10.0, 0.8
+
+
+def quantile_row_scale(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A linear 0.8 quantile of price by quantity whose loss has a scale for each row, log linear in the discount."""
+    df = lines(spark, sf_dir).withColumn("y", F.col("l_extendedprice") / 1000.0)
+    q = fit_location_scale(df, "y", [Linear("l_quantity")], ROW_TAU, sigma=ROW_SCALE, scale_terms=[Linear("l_discount")], opt=Options(local_rows=0))
+    found = {"intercept": q.model.beta[0], "slope": q.model.beta[1], "scale_intercept": q.log_scale.beta[0], "scale_slope": q.log_scale.beta[1], "mean_scale": q.mean_scale}
+    return spark.createDataFrame([tuple(float(v) for v in found.values())], ", ".join(f"{k} double" for k in found)).select(*[F.round(k, 4).alias(k) for k in found])
+
+
+def _row_scale_sql(rounds: int = 12) -> str:
+    """Both means by least squares, and Newton steps on the smoothed check loss from the first."""
+    sql = f"""WITH d AS (SELECT l_extendedprice / 1000.0 AS y, CAST(l_quantity AS DOUBLE) AS x, CAST(l_discount AS DOUBLE) AS v FROM lineitem),
+        m AS (SELECT regr_intercept(y, x) AS a, regr_slope(y, x) AS b, stddev_pop(y) / 1000 AS least FROM d),
+        l AS (SELECT y, x, v, ln(greatest(abs(y - a - b * x), least)) + {LOG_ABS_NORMAL!r} AS l FROM d, m),
+        c AS (SELECT regr_intercept(l, v) AS c0, regr_slope(l, v) AS c1 FROM l), r AS (SELECT avg(exp(c0 + c1 * v)) AS mean FROM l, c),
+        e AS (SELECT y, x, {ROW_SCALE} * exp(c0 + c1 * v) / mean AS s FROM l, c, r), s0 AS (SELECT a, b FROM m)"""
+    for i in range(rounds):
+        sql += f""", t{i} AS (SELECT x, s, a, b, 1 / (1 + exp((a + b * x - y) / s)) AS p FROM e, s{i}), u{i} AS (SELECT x, a, b, p * (1 - p) / (s * s) AS w, (p - {1 - ROW_TAU!r}) / s AS g FROM t{i}),
+            v{i} AS (SELECT any_value(a) AS a, any_value(b) AS b, sum(w) AS s, sum(w * x) AS sx, sum(w * x * x) AS sxx, sum(g) AS g, sum(g * x) AS gx FROM u{i}),
+            s{i + 1} AS (SELECT a + (sxx * g - sx * gx) / (s * sxx - sx * sx) AS a, b + (s * gx - sx * g) / (s * sxx - sx * sx) AS b FROM v{i})"""
+    return sql + f" SELECT round(a, 4) AS intercept, round(b, 4) AS slope, round(c0, 4) AS scale_intercept, round(c1, 4) AS scale_slope, round(mean, 4) AS mean_scale FROM s{rounds}, c, r"
+
+
+CLOSE = 1e-5
+
+
+def qr_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Price by quantity and by quantity plus a little of the discount: columns too much alike for X'X. Effects of the columns behind
+    them: what quantity and discount themselves add."""
+    df = lines(spark, sf_dir).withColumn("y", F.col("l_extendedprice") / 1000.0).withColumn("near", F.col("l_quantity") + F.lit(CLOSE) * F.col("l_discount"))
+    b = fit_gam(df, "y", [Linear("l_quantity"), Linear("near")], opt=Options(local_rows=0, qr=True)).beta
+    found = {"intercept": b[0], "quantity": b[1] + b[2], "discount": b[2] * CLOSE}
+    return spark.createDataFrame([tuple(float(v) for v in found.values())], ", ".join(f"{k} double" for k in found)).select(*[F.round(k, 4).alias(k) for k in found])
+
+
+QR_SQL = """WITH m AS (SELECT avg(l_quantity) AS q, avg(l_discount) AS d, avg(l_extendedprice / 1000.0) AS y FROM lineitem),
+    c AS (SELECT l_quantity - q AS a, l_discount - d AS b, l_extendedprice / 1000.0 - y AS y FROM lineitem, m),
+    s AS (SELECT sum(a * a) AS aa, sum(a * b) AS ab, sum(b * b) AS bb, sum(a * y) AS ay, sum(b * y) AS bz FROM c),
+    f AS (SELECT (bb * ay - ab * bz) / (aa * bb - ab * ab) AS fq, (aa * bz - ab * ay) / (aa * bb - ab * ab) AS fd FROM s)
+    SELECT round(y - fq * q - fd * d, 4) AS intercept, round(fq, 4) AS quantity, round(fd, 4) AS discount FROM f, m"""
+
+
 # -- binning, order statistics, k-index -----------------------------------------------------------------------------------
 
 
@@ -442,6 +486,7 @@ QUERIES = {
     "poisson_pirls": _glm("poisson", LINE, "l_discount"), "logit_pirls": _glm("binomial", RETURNED, "l_quantity"),
     **{f"gam_{k.replace('.', '_')}_fixed_fit": _fixed(k) for k in _LAWS}, **{f"gam_{k}_discrete_fixed_fit": _fixed(k, True) for k in ("poisson", "binomial", "gamma")},
     "bin_compress": bin_compress, "bin_gram": bin_gram, "k_index": k_index_query, "coverage_shift": coverage_query, "quantile_fit": quantile_fit,
+    "quantile_row_scale": quantile_row_scale, "qr_fit": qr_fit,
     "quantile_cv_fit": _tuned("quality_oos"), "quantile_kl_fit": _tuned("kl"),
     "gam_reml_fit": _fit(_smooths, lambda: family("gaussian")), "gam_gcv_fit": _fit(_smooths, lambda: family("gaussian"), method="GCV"), "gam_fellner_schall_fit": _fit(_smooths, lambda: family("gaussian"), algorithm="fellner-schall"),
     "gam_discrete_fit": _fit(lambda: [Cubic("l_quantity", 10), Cubic("l_tax", 5)], lambda: family("gaussian"), discrete=True),
@@ -459,4 +504,5 @@ ORACLES = {
     "logit_pirls": _glm_sql("CASE WHEN l_returnflag = 'R' THEN 1 ELSE 0 END", "l_quantity", "1 / (1 + exp(-(a + b * x)))", "m * (1 - m)", "ln(avg(y) / (1 - avg(y)))"),
     **{f"gam_{k.replace('.', '_')}_fixed_fit": _fixed_law_sql(k) for k in _LAWS}, **{f"gam_{k}_discrete_fixed_fit": _fixed_law_sql(k, True) for k in ("poisson", "binomial", "gamma")},
     "re_many_levels": RE_MANY_SQL, "reml_profile": _reml_profile_sql(), "bin_compress": BIN_SQL, "bin_gram": BIN_GRAM_SQL, "k_index": K_SQL, "coverage_shift": COVERAGE_SQL,
+    "quantile_row_scale": _row_scale_sql(), "qr_fit": QR_SQL,
 }

@@ -35,10 +35,85 @@ def test_tuned_quantile(noisy):
         fit_quantile(noisy, "y", [Cubic("x", 6)], 0.8, preset="no")
 
 
-def test_location_scale(noisy):
-    p = fit_location_scale(noisy, "y", [Cubic("x", 6)], 0.9).transform(noisy).toPandas()
-    for half in (p[p.x < 0.5], p[p.x >= 0.5]):
-        assert (half["y"] <= half["prediction"]).mean() == pytest.approx(0.9, abs=0.06)
+def _elf(beta, x, y, sigma, tau, s):
+    """Half the penalised deviance of the smoothed check loss with a scale for each row, and its slope."""
+    r = (y - x @ beta) / sigma
+    return (np.logaddexp(0, r) - (1 - tau) * r).sum() + 0.5 * beta @ s @ beta, x.T @ (((1 - tau) - 1 / (1 + np.exp(-r))) / sigma) + s @ beta
+
+
+@pytest.mark.parametrize("local_rows", [200_000, 10])
+def test_location_scale_solves_its_own_equations(noisy, local_rows):
+    """Kept smoothing parameters: the slope of the loss, written out with a scale for each row, vanishes; in memory and in Spark."""
+    opt = Options(local_rows=local_rows)
+    q = fit_location_scale(noisy, "y", [Cubic("x", 6)], 0.9, opt=opt, retune=False)
+    p = q.transform(noisy, scale="s").toPandas()
+    mean = fit_gam(noisy, "y", [Cubic("x", 6)], opt=opt)
+    assert q.model.lam == pytest.approx(mean.lam)
+    assert q.mean_scale == pytest.approx(p["s"].mean())
+    sigma = q.sigma * p["s"].to_numpy() / p["s"].mean()
+    x, s = q.model.design({"x": p["x"].to_numpy()}), np.zeros((6, 6))
+    s[1:, 1:] = q.model.lam[0] * q.model.terms[0].s
+    f, slope = _elf(q.model.beta, x, p["y"].to_numpy(), sigma, 0.9, s)
+    assert np.abs(slope).max() < 1e-3 * abs(f) and all(_elf(q.model.beta + d, x, p["y"].to_numpy(), sigma, 0.9, s)[0] >= f - 1e-6 for d in 1e-2 * np.eye(6))
+    assert p["prediction"].to_numpy() == pytest.approx(x @ q.model.beta)
+
+
+@pytest.fixture(scope="module")
+def uneven(spark):
+    """A scale of 0.1 + 0.4 |a| around sin 2a + b / 2."""
+    rng = np.random.default_rng(7)
+    a, b = rng.uniform(-1, 1, (2, 800))
+    s = 0.1 + 0.4 * np.abs(a)
+    return spark.createDataFrame(pd.DataFrame({"a": a, "b": b, "s_true": s, "y": np.sin(2 * a) + b / 2 + s * rng.standard_normal(800)})).cache()
+
+
+@pytest.mark.parametrize("tau", [0.1, 0.5, 0.9])
+def test_location_scale_covers_and_finds_the_scale(uneven, tau):
+    q = fit_location_scale(uneven, "y", [Cubic("a", 10), Cubic("b", 10)], tau, scale_terms=[Cubic("a", 5), Cubic("b", 5)])
+    p = q.transform(uneven, scale="s").toPandas()
+    assert (p["y"] < p["prediction"]).mean() == pytest.approx(tau, abs=0.05)
+    assert (p["s"] - p["s_true"]).abs().mean() / p["s_true"].mean() < 0.3 and p["s"].corr(p["s_true"]) > 0.85
+    one = q.sigma
+    assert fit_location_scale(uneven, "y", [Cubic("a", 10), Cubic("b", 10)], tau, sigma=2 * one).sigma == 2 * one
+
+
+def test_an_even_scale_is_found_even(spark):
+    rng = np.random.default_rng(11)
+    a, b = rng.uniform(-1, 1, (2, 800))
+    df = spark.createDataFrame(pd.DataFrame({"a": a, "b": b, "y": np.sin(2 * a) + b / 2 + 0.3 * rng.standard_normal(800)}))
+    s = fit_location_scale(df, "y", [Cubic("a", 10), Cubic("b", 10)], 0.5).transform(df, scale="s").toPandas()["s"]
+    assert (s.max() - s.min()) / s.mean() < 0.4
+
+
+@pytest.mark.parametrize("preset,local_rows", [("quality_oos", 200_000), ("quality_oos", 10), ("kl", 200_000)])
+def test_location_scale_is_tuned(uneven, preset, local_rows):
+    q = fit_location_scale(uneven, "y", [Cubic("a", 8), Cubic("b", 8)], 0.5, preset=preset, opt=Options(local_rows=local_rows), multifidelity=True)
+    p = q.transform(uneven).toPandas()
+    assert (p["y"] < p["prediction"]).mean() == pytest.approx(0.5, abs=0.05)
+    # The search's last three losses are the full model's, and the least of them decides.
+    tried = q.quantile.trace[-3:]
+    assert q.sigma == min(tried, key=lambda x: x[1])[0] and np.diff(np.log([x[0] for x in tried])) == pytest.approx(0.3)
+    with pytest.raises(ValueError, match="unknown preset"):
+        fit_location_scale(uneven, "y", [Cubic("a", 8)], 0.5, preset="unknown")
+
+
+def test_candidates_side_by_side_are_those_one_by_one(noisy):
+    for local_rows in (10, 200_000):
+        t = Tuner(noisy, "y", [Cubic("x", 5)], 0.8, opt=Options(local_rows=local_rows))
+        t.fit(0.2)
+        each = [t.cv_loss(v) for v in (0.1, 0.2, 0.4)]
+        assert t.cv_losses([0.1, 0.2, 0.4]) == pytest.approx(each, rel=1e-9)
+        t.release()
+
+
+def test_quantile_fits_give_back_their_caches(noisy, spark):
+    before = spark.sparkContext._jsc.getPersistentRDDs().size()
+    for fit in (fit_quantile, fit_location_scale):
+        fit(noisy, "y", [Cubic("x", 4)], 0.8, opt=Options(local_rows=10))
+    t = Tuner(noisy, "y", [Cubic("x", 4)], 0.8, opt=Options(local_rows=10))
+    t.cv_losses([0.3])
+    t.release()
+    assert spark.sparkContext._jsc.getPersistentRDDs().size() <= before
 
 
 def test_sinh_arcsinh(noisy):
