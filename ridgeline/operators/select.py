@@ -56,6 +56,9 @@ class Working:
         """Of the penalised system's matrix."""
         return linalg.inverse(ridged(self.g) + pen.total(lam))
 
+    def _solved(self, inverse: np.ndarray, pen: Penalties, lam: np.ndarray) -> np.ndarray:
+        return inverse @ self.r
+
     def logdet(self, pen: Penalties, lam: np.ndarray) -> float:
         return linalg.logdet(ridged(self.g) + pen.total(lam))
 
@@ -87,7 +90,8 @@ class Working:
         """The restricted likelihood score at (log lambda, log scale), its slope and its curvature, from one factorisation of the
         penalised system. Coefficients follow log lambda: d beta / d rho_j = -A^-1 lambda_j S_j beta."""
         lam, m, phi = np.exp(rho), len(rho), math.exp(log_phi)
-        inv, beta = self.inverse(pen, lam), self.beta(pen, lam)
+        inv = self.inverse(pen, lam)
+        beta = self._solved(inv, pen, lam)
         own = np.zeros((m, self.g.shape[0]))  # lambda_j S_j beta
         spread = []  # A^-1 lambda_j S_j, where it isn't 0
         for j, ((at, s), v) in enumerate(zip(pen.blocks, lam)):
@@ -146,7 +150,8 @@ class Working:
 
     def fellner_schall(self, pen: Penalties, lam: np.ndarray, phi: float) -> np.ndarray:
         """One multiplicative update, by at most e^3, within [1e-9, 1e7]."""
-        inv, beta = self.inverse(pen, lam), self.beta(pen, lam)
+        inv = self.inverse(pen, lam)
+        beta = self._solved(inv, pen, lam)
         trace = np.array([np.sum(inv[at, at] * s) for at, s in pen.blocks])
         gain = np.maximum(np.array(pen.ranks) / lam - trace, 1e-12) * phi / np.maximum(pen.quadratic(beta), 1e-12)
         return np.clip(lam * np.exp(np.clip(np.log(gain * 1.0), -3, 3)), 1e-9, 1e7)
@@ -183,6 +188,9 @@ class Triangular(Working):
         a = self._pseudo_inverse(pen, lam)
         return a @ a.T
 
+    def _solved(self, inverse: np.ndarray, pen: Penalties, lam: np.ndarray) -> np.ndarray:
+        return self.beta(pen, lam)
+
     def logdet(self, pen: Penalties, lam: np.ndarray) -> float:
         return float(2 * np.log(np.maximum(np.abs(np.diag(np.linalg.qr(self._stacked(pen, lam), mode="r"))), 1e-150)).sum())
 
@@ -221,6 +229,8 @@ def newton(score, slope, curvature, rho: np.ndarray, tol: float = 5e-7, most: in
         live = (np.abs(g) > 0.1 * tol * (abs(f) + 1)) | (np.abs(np.diag(h)) > 1e-8)
         move = np.zeros(len(rho))
         move[live] = downhill(g[live], h[np.ix_(live, live)])
+        if not np.isfinite(move).all():  # nothing is left over of the response, and the scale has run out
+            break
         a, better = 1.0, False
         while a > 1e-6:
             new = np.clip(rho + a * move, RHO_MIN, RHO_MAX)
