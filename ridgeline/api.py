@@ -14,7 +14,8 @@ from .functions.families import Family, Tweedie, family as make_family
 from .operators.diagnostics import k_index
 from .operators.fit import Options, fit_gam
 from .operators.model import GamModel
-from .operators.quantile import fit_quantile
+from .operators.predictor import Predictor
+from .operators.quantile import fit_location_scale, fit_quantile
 from .operators.terms import Term
 from .sources.formula import parse, term
 from .sources.frames import ingest, with_response
@@ -107,6 +108,10 @@ class Gam:
     def predict_diff(self, left, right, on: str | None = None) -> DataFrame:
         return self.model.diff(self._frame(left), self._frame(right), on)
 
+    def predict_change(self, start, end, on: str | None = None, broadcast: str = "none", level: float | None = None) -> DataFrame:
+        """prediction(end) - prediction(start); see GamModel.change."""
+        return self.model.change(self._frame(start), self._frame(end), on, broadcast, level)
+
     def partial_effect(self, name: str, n: int = 100) -> DataFrame:
         return self.model.partial_effect(SparkSession.getActiveSession(), name, n)
 
@@ -190,4 +195,4 @@ def grouped_fit(df: DataFrame, by: str, formula: str, family: str = "gaussian")
     return df.select(*names).groupBy(by).applyInPandas(run, f"`{by}` {kind}, model string, edf double")
 
 
-__all__ = ["GAM", "Gam", "GamModel", "Options", "fit_quantile", "grouped_fit"]
+__all__ = ["GAM", "Gam", "GamModel", "Options", "Predictor", "fit_location_scale", "fit_quantile", "grouped_fit"]

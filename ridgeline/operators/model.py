@@ -203,6 +203,38 @@ class GamModel:
             both = both.select(*left.columns, *[f"__r_{c}" for c in names])
         return both.mapInPandas(run, f"{schema}, diff double, se double, lower double, upper double")
 
+    def change(self, start: DataFrame, end: DataFrame, on: str | None = None, broadcast: str = "none", level: float | None = None) -> DataFrame:
+        """prediction(end) - prediction(start) for models with the identity link, as `diff`, and with a level its interval.
+
+        broadcast: none pairs rows by `on`, a key that each side has once for each of its rows, the same keys on both; from sets the one
+        row of start against every row of end; to the one row of end against every row of start. The columns are those of end, or of
+        start for to. Without a level, no Python runs: both predictions are expressions."""
+        if self.fam.link_name != "identity":
+            raise NotImplementedError(f"differences on the response scale need the identity link, not {self.fam.link_name}; diff() gives those on the link scale")
+        if broadcast not in ("none", "from", "to"):
+            raise ValueError(f"broadcast must be none, from or to, not {broadcast!r}")
+        if (on is None) == (broadcast == "none"):
+            raise ValueError("rows are paired by `on`, or one row is broadcast")
+        if level is not None and not 0 < level < 1:
+            raise ValueError("level must lie between 0 and 1")
+        self._check(start), self._check(end)
+        rows, other, sign = (start, end, -1.0) if broadcast == "to" else (end, start, 1.0)
+        if broadcast == "none":
+            keys = rows.groupBy(on).agg(F.count("*").alias("a")).join(other.groupBy(on).agg(F.count("*").alias("b")), on, "full")
+            bad = keys.where(~(F.col("a").eqNullSafe(1) & F.col("b").eqNullSafe(1)) | F.col(on).isNull()).count()
+            if bad:
+                raise ValueError(f"{bad} keys aren't on both sides exactly once")
+        elif (n := other.limit(2).count()) != 1:
+            raise ValueError(f"broadcast={broadcast!r} needs one row there, and there are {'none' if not n else 'several'}")
+        if level is None:
+            theirs = self.transform(other, column="__other").select(*([on] if on else []), "__other")
+            both = self.transform(rows, column="__own").join(theirs if on else F.broadcast(theirs), **({"on": on} if on else {}))
+            return both.select(*[both[c] for c in rows.columns], (F.lit(sign) * (F.col("__own") - F.col("__other"))).alias("diff"))
+        out = self.diff(rows, other, on, level)
+        if sign < 0:
+            out = out.withColumns({"diff": -F.col("diff"), "lower": -F.col("upper"), "upper": -F.col("lower")})
+        return out
+
     def partial_effect(self, spark: SparkSession, name: str, n: int = 100, level: float = 0.95) -> DataFrame:
         """The term over an even grid of its training range, the other columns at their means."""
         i = self.names.index(name)
