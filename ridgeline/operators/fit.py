@@ -29,6 +29,8 @@ WORTH = 4
 #: Shares of a step at which the deviance is taken beside the sums at its end, so that a step too long is shortened at once; the
 #: first is where the step began.
 SHARES = (0.0, 0.5, 0.25, 0.125, 2.0**-5, 2.0**-8, 2.0**-14)
+#: A longer step, whose deviance comes with theirs.
+LONGER = 4.0
 
 
 @dataclass
@@ -306,7 +308,7 @@ class Statistics:
 
     def at(self, beta: np.ndarray | None, fam: Family | None = None, newton: bool = False, extra=None, old: np.ndarray | None = None) -> dict:
         """beta None: from the starting values of the response. newton: with the observed curvature, which may fall below 0. extra: further sums of (y, eta, w). old: coefficients that
-        the step to beta began at; the deviance at SHARES of it comes as line."""
+        the step to beta began at; the deviance at SHARES of it, and at LONGER, comes as line."""
         fam, design, qr = fam or self.fam, self.design, self.qr and not newton
 
         def kernel(cols):
@@ -333,7 +335,7 @@ class Statistics:
             return np.concatenate(out), np.zeros(1)
 
         total, size = self.rows.reduce(kernel)[0], design.p * (design.p + 1) // 2 + design.p + 4
-        ends = np.cumsum([size + (len(SHARES) if betas[i][1] is not None else 0) for i in which])[:-1]
+        ends = np.cumsum([size + (len(SHARES) + 1 if betas[i][1] is not None else 0) for i in which])[:-1]
         return {i: self._unpacked(s, betas[i][1] is not None) for i, s in zip(which, np.split(total, ends))}
 
     def _unpacked(self, s: np.ndarray, line: bool = False) -> dict:
@@ -344,7 +346,7 @@ class Statistics:
         gram[tri] = s[:m]
         gram = gram + np.triu(gram, 1).T
         d, zz, n, lw = s[m + p : m + p + 4]
-        end = m + p + 4 + (len(SHARES) if line else 0)
+        end = m + p + 4 + (len(SHARES) + 1 if line else 0)
         return {"g": gram, "r": s[m : m + p], "dev": float(d), "zz": float(zz), "n": float(n), "log_weights": float(lw), "line": s[m + p + 4 : end], "extra": s[end:]}
 
     def leverage_slope(self, beta: np.ndarray, fam: Family, inverse: np.ndarray) -> np.ndarray:
@@ -400,7 +402,7 @@ def _sums_at(x, y, w0, beta, fam: Family, newton: bool = False, extra=None, grou
     line = np.zeros(0)
     if old is not None:
         begin, within = x @ old, grouped[WITHIN].sum() if grouped else 0.0
-        line = np.array([(w0 * fam.deviance_eta(NP, y, begin + a * (eta - begin))).sum() + within for a in SHARES])
+        line = np.array([(w0 * fam.deviance_eta(NP, y, begin + a * (eta - begin))).sum() + within for a in (*SHARES, LONGER)])
     gram = x.T @ (w[:, None] * x)
     more = extra(y, eta, w0) if extra else np.zeros(0)
     factor = linalg.stacked_r([np.sqrt(np.maximum(w, 0))[:, None] * np.column_stack([x, z])]).ravel() if qr else np.zeros(0)
@@ -418,7 +420,7 @@ def _merged_factors(side: int) -> Callable[[np.ndarray, np.ndarray], np.ndarray]
 
 def pirls(stats: Statistics, fam: Family, lam: np.ndarray, beta: np.ndarray | None, opt: Options) -> tuple[np.ndarray, dict, int]:
     """Penalised iteration at fixed smoothing parameters, one job a step; a step that raises the penalised deviance takes a second
-    job, at the largest of SHARES that doesn't."""
+    job, at the largest of SHARES that doesn't; one that is still far off takes it at LONGER."""
     run = _pirls_asks(stats.design.penalties, lam, beta, opt)
     asked = next(run)
     while True:
@@ -443,32 +445,55 @@ def pirls_each(stats: Statistics, lam: np.ndarray, beta: np.ndarray, opt: Option
 
 
 def _pirls_asks(pen: Penalties, lam: np.ndarray, beta: np.ndarray | None, opt: Options):
-    """The iteration itself: yields coefficients and those the step began at, and is sent the statistics there."""
+    """The iteration itself: yields coefficients and those the step began at, and is sent the statistics there. A search from given
+    coefficients that comes to a halt far off (see _halted) begins again, once, at the response's starting values, with one job in
+    place of the shortened step's; the better end of both counts. A step is lengthened where that halves the penalised deviance."""
     s = yield beta, None
     total = pen.total(lam)
-    old = math.inf if beta is None else s["dev"] + beta @ total @ beta
+    given, left = beta is not None, None
+    old = s["dev"] + beta @ total @ beta if given else math.inf
     for it in range(1, opt.most_iterations + 1):
         new = select.working(s).beta(pen, lam)
         after = yield new, beta
         value = after["dev"] + new @ total @ new
         if beta is not None and not value <= old + 10 * (0.1 + abs(old)) * np.finfo(float).eps ** 0.5:
-            new = _shortened(beta, new, after["line"], lambda b: b @ total @ b, old)
+            short, reached, share = _shortened(beta, new, after["line"], lambda b: b @ total @ b, old)
+            if given and left is None and _halted(share, reached, old):
+                left = old, beta, s
+                beta, s, old = None, (yield None, None), math.inf
+                continue
+            new = short
             after = yield new, None
             value = after["dev"] + new @ total @ new
+        elif beta is not None:
+            far = beta + LONGER * (new - beta)
+            if value > 1e-6 * after["n"] and after["line"][-1] + far @ total @ far < 0.5 * value:  # separable rows: the optimum is far off
+                new = far
+                after = yield new, None
+                value = after["dev"] + new @ total @ new
         done = beta is not None and (np.abs(new - beta).max() < 1e-9 * (1 + np.abs(new).max()) or abs(old - value) < 1e-12 * (abs(value) + 0.1))
         beta, s, old = new, after, value
         if done:
             break
+    if left is not None and (beta is None or not old <= left[0]):
+        old, beta, s = left
     return beta, s, it
 
 
-def _shortened(beta: np.ndarray, new: np.ndarray, line: np.ndarray, penalty, before: float) -> np.ndarray:
-    """The largest share of a step that doesn't raise the penalised deviance; the smallest, if all do."""
+def _shortened(beta: np.ndarray, new: np.ndarray, line: np.ndarray, penalty, before: float) -> tuple[np.ndarray, float, float]:
+    """The largest share of a step that doesn't raise the penalised deviance (the smallest, if all do): coefficients, what they reach, share."""
     for a, dev in zip(SHARES[1:], line[1:]):
         at = beta + a * (new - beta)
-        if dev + penalty(at) <= before + 1e-8 * (abs(before) + 1):
+        reached = dev + penalty(at)
+        if reached <= before + 1e-8 * (abs(before) + 1):
             break
-    return at
+    return at, reached, a
+
+
+def _halted(share: float, reached: float, before: float) -> bool:
+    """Whether only the smallest share of a step is left, where the penalised deviance still changes: working weights have all but
+    vanished, so steps are of no sound length. At an optimum rounding shortens steps too, but little changes there."""
+    return share == SHARES[-1] and abs(reached - before) > 1e-6 * (abs(before) + 1)
 
 
 def laplace(fam: Family, pen: Penalties, rho: np.ndarray, beta: np.ndarray, s: dict, sums: np.ndarray, curvature: np.ndarray) -> tuple[float, float]:
@@ -621,7 +646,7 @@ def _iterate(stats, fam, pen, method, algorithm, fixed, opt, p: Profile, profile
         value = after["dev"] + rough(new)
         base = math.inf if beta is None else after["line"][0] + rough(beta)
         if beta is not None and not value <= base + 1e-6 * (abs(base) + 1):
-            new = _shortened(beta, new, after["line"], rough, base)
+            new = _shortened(beta, new, after["line"], rough, base)[0]
             after = stats.at(new, fam, extra=extra)
             value = after["dev"] + rough(new)
         moved = math.inf if beta is None else np.abs(new - beta).max() / (1e-8 + np.abs(new).max())
