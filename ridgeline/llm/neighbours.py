@@ -16,8 +16,10 @@ from .common import written
 SAMPLE, PER_LIST, MOST_LISTS = 16_384, 16, 4_096
 #: Vectors of a list that are scanned together, and queries of a list that are answered together.
 CHUNK, BLOCK = 4_096, 1_024
-#: Candidates of a list chunk that are reranked exactly, for each asked neighbour.
+#: Candidates of a list chunk that are reranked exactly first, for each asked neighbour; all that their quantisation error may put before these follow.
 RERANK = 8
+#: Queries, those of least hash, by which the number of probed lists is set.
+ASKED = 512
 
 
 @dataclass
@@ -70,9 +72,9 @@ def wanted_lists(rows: int) -> int:
     return int(min(max(1, 2 * rows**0.5), MOST_LISTS))
 
 
-def fit(sample: np.ndarray, rows: int, neighbours: int = 5, slices: int = 16, codes: int = 256, recall: float = 0.98, seed: int = 6) -> Index:
-    """An index for `rows` vectors from a sample of unit vectors. Lists follow the root of rows. A query probes as many lists as
-    `recall` of the sample's own nearest neighbours need, and a quarter more."""
+def fit(sample: np.ndarray, rows: int, asked: np.ndarray, neighbours: int = 5, slices: int = 16, codes: int = 256, recall: float = 0.98, seed: int = 6) -> Index:
+    """An index for `rows` vectors from a sample of unit vectors. Lists follow the root of rows. A query probes as many lists as `recall`
+    of the nearest neighbours in the sample of `asked`, unit queries, need, and a quarter more: queries may lie apart from most rows."""
     rng, dim = np.random.default_rng(seed), sample.shape[1]
     slices = max(s for s in range(1, min(slices, dim) + 1) if dim % s == 0)
     lists = max(1, min(wanted_lists(rows), len(sample) // PER_LIST))
@@ -80,11 +82,13 @@ def fit(sample: np.ndarray, rows: int, neighbours: int = 5, slices: int = 16, co
     residual = sample - coarse[np.argmax(sample @ coarse.T, axis=1)]
     w = dim // slices
     books = np.stack([_kmeans(residual[:, j * w : (j + 1) * w], min(codes, 256), 6, rng, unit=False) for j in range(slices)])
-    asked = sample[rng.choice(len(sample), min(256, len(sample)), replace=False)]
-    near = np.argsort(-(asked @ sample.T), axis=1)[:, 1 : neighbours + 1]
+    like = asked @ sample.T
+    like[like > 1 - 1e-12] = -2.0  # the query itself, and its copies, which lie in the list that it probes first
+    near = np.argsort(-like, axis=1)[:, :neighbours]
     place = np.argsort(np.argsort(-(asked @ coarse.T), axis=1, kind="stable"), axis=1)
     home = np.argmax(sample @ coarse.T, axis=1)
-    need = np.sort(np.take_along_axis(place, home[near], axis=1).ravel()) + 1
+    found = np.take_along_axis(like, near, axis=1) > -2.0
+    need = np.sort(np.take_along_axis(place, home[near], axis=1)[found]) + 1
     probes = int(need[min(len(need) - 1, int(np.ceil(recall * len(need))))]) if len(need) else 1
     return Index(coarse, books, min(lists, max(1, probes + probes // 4 + 1)))
 
@@ -114,7 +118,10 @@ def search(vectors: DataFrame, is_query: Column, neighbours: int = 5, key: str =
     seen = _of_least_hash(good, sample, rows)
     if not len(seen):
         return empty
-    index = fit(_unit(np.stack(seen["v"].to_numpy())), rows, neighbours)
+    asking = _of_least_hash(good.where("asks"), ASKED, rows)
+    if not len(asking):
+        return empty
+    index = fit(_unit(np.stack(seen["v"].to_numpy())), rows, _unit(np.stack(asking["v"].to_numpy())), neighbours)
     shipped = vectors.sparkSession.sparkContext.broadcast(index)
 
     def assign(it):
@@ -151,22 +158,27 @@ def search(vectors: DataFrame, is_query: Column, neighbours: int = 5, key: str =
             have = have.sort_values("id", kind="stable")
             ids, v = have["id"].to_numpy(), np.stack(have["v"].to_numpy())
             codes = np.frombuffer(b"".join(have["codes"]), np.uint8).reshape(len(have), -1)
-            norm = np.linalg.norm(v, axis=1)
+            u, norm = _unit(v), np.linalg.norm(v, axis=1)
             centre = ix.coarse[int(have["list"].iloc[0])]
-            # The quantised unit vectors aren't of length 1: estimates are cosines with them.
-            length = np.sqrt(((centre.reshape(codes.shape[1], -1) + ix.books[np.arange(codes.shape[1]), codes]) ** 2).sum((1, 2)))
+            # The quantised unit vectors aren't of length 1: guesses are cosines with them. No inner product is off by more than the error's length.
+            stored = (centre.reshape(codes.shape[1], -1) + ix.books[np.arange(codes.shape[1]), codes]).reshape(len(u), -1)
+            length, error = np.maximum(np.linalg.norm(stored, axis=1), 1e-9), np.linalg.norm(u - stored, axis=1) + 1e-12
             for at in range(0, len(ask), BLOCK):
                 part = ask.iloc[at : at + BLOCK]
                 q = np.stack(part["v"].to_numpy())
-                table, near = ix.tables(_unit(q)), _unit(q) @ centre
+                unit = _unit(q)
+                table, near = ix.tables(unit), unit @ centre
                 for i, qid in enumerate(part["id"].to_numpy()):
-                    guess = (near[i] + table[i][np.arange(codes.shape[1]), codes].sum(1)) / np.maximum(length, 1e-9)
-                    guess[ids == qid] = -np.inf
-                    if len(guess) > take:  # all that tie with the last are cut by key, as ids ascend
-                        best = np.argsort(-guess, kind="stable")[:take]
-                    else:
-                        best = np.arange(len(guess))
-                    best = best[ids[best] != qid]
+                    inner = near[i] + table[i][np.arange(codes.shape[1]), codes].sum(1)
+                    others = np.flatnonzero(ids != qid)
+                    best = others
+                    if len(others) > take:
+                        first = others[np.argpartition(-(inner / length)[others], take - 1)[:take]]
+                        least = np.partition(u[first] @ unit[i], -neighbours)[-neighbours]
+                        best = others[(inner + error)[others] >= least]  # whatever may be as near as those
+                        exact = u @ unit[i] if 4 * len(best) > len(u) else None
+                        exact = u[best] @ unit[i] if exact is None else exact[best]
+                        best = best[exact >= np.partition(exact, -neighbours)[-neighbours] - 1e-12]  # ties by key follow on the measure itself
                     score = (v[best] * q[i]).sum(1) / (norm[best] * np.sqrt((q[i] * q[i]).sum()))
                     order = np.lexsort((ids[best], -score))[:neighbours]
                     out.append((np.full(len(order), qid), ids[best][order], score[order]))

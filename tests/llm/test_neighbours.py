@@ -63,3 +63,23 @@ def test_few_and_no_rows(spark):
     assert got == {0: [1, 2]}
     assert run(spark, [(0, [1.0, 0.0], 0, 0.0)])[0] == {}
     assert neighbours.search(spark.createDataFrame([], SCHEMA), F.lit(True)).count() == 0
+
+
+@pytest.mark.parametrize("kind", ["queries apart", "tight groups"])
+def test_recall_where_queries_or_groups_are_unlike_the_rest(spark, kind):
+    """Queries away from all clusters need more lists than rows within them; in tight groups codes can't tell neighbours apart."""
+    rng, n, dim = np.random.default_rng(2), 6000, 64
+    if kind == "queries apart":
+        x = rng.normal(size=(30, dim))[rng.integers(30, size=n)] + 0.2 * rng.normal(size=(n, dim))
+        x[::50] = rng.normal(size=(len(x[::50]), dim))
+    else:
+        centres, at = rng.normal(size=(2000, dim)), np.minimum(rng.zipf(1.3, n), 2000) - 1
+        x = centres[at] + 0.01 * rng.normal(size=(n, dim))
+    x = x.astype(np.float32).astype(float)
+    got, _ = run(spark, [(i, v.tolist(), 0, 0.0) for i, v in enumerate(x)])
+    u, hits = x / np.linalg.norm(x, axis=1, keepdims=True), 0
+    for q in range(0, n, 50):
+        near = u @ u[q]
+        near[q] = -2
+        hits += sum(near[v] >= np.sort(near)[-5] - 1e-12 for v in got[q])
+    assert hits >= 0.97 * 5 * len(got)
