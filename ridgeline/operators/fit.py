@@ -15,6 +15,7 @@ from pyspark.sql.types import NumericType
 from ..functions.families import Binomial, Gamma, Gaussian, InverseGaussian, NegBin, OrderedCategorical, Poisson, Quantile, StudentT, Tweedie, Family, family as make_family
 from ..functions.ops import NP, SP
 from . import linalg, select
+from .diagnostics import order_statistics
 from .model import GamModel
 from .rows import LOCAL_ROWS, SparkRows, located
 from .select import Penalties, Working
@@ -722,7 +723,8 @@ def _first(stats, fam, p: Profile) -> np.ndarray:
             values = np.sort(np.asarray(stats.rows.columns[TARGET], np.float64))
             beta[0] = values[int(round((len(values) - 1) * fam.tau))]
         else:
-            beta[0] = stats.rows.df.agg(F.percentile(TARGET, fam.tau)).first()[0]
+            ends = lambda n: [math.floor((n - 1) * fam.tau), math.ceil((n - 1) * fam.tau)]
+            beta[0] = np.mean(order_statistics(stats.rows.df, F.col(TARGET), ends))
     elif isinstance(fam, StudentT):
         beta[0] = p.y["mean"]
     return beta

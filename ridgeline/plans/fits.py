@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from ..functions.families import family
 from ..operators import binning
-from ..operators.diagnostics import coverage_shift, k_index
+from ..operators.diagnostics import coverage_shifts, k_index
 from ..operators.fit import TARGET, WEIGHT, Design, Options, Statistics, constrain, distinct_values, fit_gam, prepared, profile, reml_at
 from ..operators.mixed import fit_mixed
 from ..operators.quantile import LOG_ABS_NORMAL, fit_location_scale, fit_quantile
@@ -435,7 +435,8 @@ K_SQL = """WITH o AS (SELECT l_quantity - 25 AS r, lag(l_quantity - 25) OVER (OR
 
 def coverage_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     df = lines(spark, sf_dir).select(F.col("l_extendedprice").alias("y"), (F.col("l_quantity") * 1500).alias("q"))
-    return spark.createDataFrame([(t, round(coverage_shift(df, "y", "q", t), 4)) for t in (0.1, 0.5, 0.95)], "tau double, shift double")
+    taus = (0.1, 0.5, 0.95)
+    return spark.createDataFrame([(t, round(v, 4)) for t, v in zip(taus, coverage_shifts(df, "y", "q", taus))], "tau double, shift double")
 
 
 COVERAGE_SQL = """WITH r AS (SELECT l_extendedprice - l_quantity * 1500 AS r, row_number() OVER (ORDER BY l_extendedprice - l_quantity * 1500) - 1 AS k, count(*) OVER () AS n FROM lineitem)

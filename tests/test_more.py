@@ -138,6 +138,20 @@ def test_order_statistics(spark):
     assert coverage_shift(two, "y", "q", 0.5) == 2
 
 
+def test_order_statistics_leave_no_task_all_values(spark, monkeypatch):
+    """Exact ranks by brackets, several in the same jobs, with outliers and heavy ties; no aggregate holds every distinct value."""
+    from ridgeline.operators import diagnostics
+
+    monkeypatch.setattr(diagnostics.F, "percentile", None)
+    monkeypatch.setattr(diagnostics, "ACCURACY", 50, raising=False)
+    v = np.random.default_rng(4).standard_cauchy(20_000)
+    v[::3], v[:2] = 0.25, (-1e300, 1e300)
+    df, taus = spark.createDataFrame([(float(x), 0.0) for x in v], "y double, q double").repartition(7), (0.0, 0.1, 0.5, 0.6, 0.95, 1.0)
+    want = np.sort(v)[[int((len(v) - 1) * t) for t in taus]].tolist()
+    assert [coverage_shift(df, "y", "q", t) for t in taus] == want
+    assert diagnostics.coverage_shifts(df, "y", "q", taus) == want
+
+
 def test_k_index_over_ranges(noisy, monkeypatch):
     from ridgeline.operators import diagnostics
 
