@@ -104,3 +104,23 @@ def test_scores_against_walking_the_trees():
     want = [2 ** (-np.mean([path(t, r) for t in forest.trees]) / forest.expected) for r in probes]
     got = forest.score(probes)
     assert np.allclose(got, want) and got[-2:].min() > got[:50].max()
+
+
+def test_forest_and_threshold_come_from_all_labelled_rows(spark, monkeypatch):
+    """However rows are dealt, the forest is that of all rows at hand, the threshold that of all scores, and no bound on labelled rows matters."""
+    rng = np.random.default_rng(6)
+    score, good = rng.integers(0, 400, 3000) / 400.0, (rng.random(3000) < 0.7).astype(int)
+    scored = spark.createDataFrame([(float(s + 0.2 * (1 - g)), int(g)) for s, g in zip(score, good)], "score double, good int").repartition(5)
+    pdf = scored.toPandas()
+    for keep in (0.9, 0.985, 0.0):
+        assert quality.calibrate_over(scored, keep, 1.0) == quality.calibrate(pdf["score"].to_numpy(), pdf["good"].to_numpy(), keep, 1.0)
+    words = lambda junk: " ".join("".join(rng.choice(list("abcdefghij"), rng.integers(2, 9))) + "#" * junk for _ in range(40))
+    df = spark.createDataFrame([(i, words(i % 10 == 0)) for i in range(400)], "doc_id long, text string").repartition(6)
+    stats = quality.with_statistics(df, [df["doc_id"]])
+    x, box = quality.features(stats.toPandas()[list(quality.STATS)].to_numpy()), quality.feature_box(stats)
+    for a, b in zip(quality.grow_over(stats, box).trees, quality.IsolationForest.grow(x, box).trees):
+        assert all(np.array_equal(p, q) for p, q in zip(a, b))
+    labels = spark.createDataFrame([(i, int(i % 10 > 0)) for i in range(400)], "doc_id long, quality int")
+    monkeypatch.setattr(quality, "LABELLED", 3, raising=False)
+    got = quality.judge_quality(df, labels).toPandas()
+    assert (got["kept"] == (got["doc_id"] % 10 > 0)).mean() > 0.97
