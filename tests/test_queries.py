@@ -5,6 +5,7 @@ import os
 import duckdb
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
 from ridgeline.operators.model import DRAWS
@@ -49,3 +50,11 @@ def test_entry(spark):
 def test_posterior_has_the_default_number_of_draws(spark):
     got = catalog.QUERIES["posterior_samples"](spark, SF)
     assert got.selectExpr("min(size(samples)) AS a", "max(size(samples)) AS b").first() == (DRAWS, DRAWS)
+
+
+def test_posterior_rows_of_equal_covariates_follow_each_other(spark):
+    """Equal rows' draws lie side by side in files; every line keeps its own."""
+    got = catalog.QUERIES["posterior_samples"](spark, SF).select("l_orderkey", "l_linenumber", F.hash("samples").alias("h")).toPandas()
+    assert len(got) == spark.read.parquet(f"{SF}/lineitem.parquet").count()
+    parts = max(1, spark.read.parquet(f"{SF}/lineitem.parquet").rdd.getNumPartitions())
+    assert (got["h"] != got["h"].shift()).sum() <= parts * got["h"].nunique()
