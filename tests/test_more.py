@@ -251,3 +251,15 @@ def test_diff_refuses_several_rows(spark):
     for right in (left, left.limit(0)):
         with pytest.raises(ValueError, match="one row"):
             given_model().diff(left, right)
+
+
+def test_a_quantile_begins_at_the_responses_own_over_rows_in_spark(spark):
+    """The starting value, between two ranks, is the one that rows in memory give within a step of ranks."""
+    from ridgeline.functions.families import Quantile
+    from ridgeline.operators import fit as fitting
+
+    y = np.random.default_rng(8).normal(size=501)
+    rows = fitting.SparkRows(spark.createDataFrame([(float(v),) for v in y], f"{fitting.TARGET} double"), [fitting.TARGET])
+    design = type("D", (), {"p": 2, "penalties": None})()
+    start = fitting._first(fitting.Statistics(rows, design, Quantile(tau=0.9)), Quantile(tau=0.9), type("P", (), {"y": {"mean": 0.0}})())
+    assert start[0] == np.quantile(y, 0.9)
