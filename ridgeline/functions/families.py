@@ -465,7 +465,8 @@ class Quantile(Family):
         return 2.0 * big / s, -2.0 * (p - 1.0 + t) / s, 2.0 * q / (lam * s), 2.0 * q * (2.0 * p - 1.0) / (lam * lam * s), -2.0 * big / s
 
     def deviance(self, o, y, mu):
-        return self.parts(o, y, mu)[0]
+        t, lam, r = self.tau, self.co, y - mu
+        return 2.0 * ((1 - t) * lam * math.log(1 - t) + lam * t * math.log(t) - (1 - t) * r + lam * softplus(o, r / lam)) / self.sigma
 
     def working(self, o, y, eta, newton=False):
         _, d1, d2, _, _ = self.parts(o, y, eta)

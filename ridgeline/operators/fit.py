@@ -329,10 +329,11 @@ class Statistics:
 
         def kernel(cols):
             x, y, w0, m = design.matrix(cols), np.asarray(cols[TARGET], np.float64), np.asarray(cols[WEIGHT], np.float64), times(cols)
-            out = []
+            out, grouped = [], _grouped(cols)
             for i in which:
-                on = m[:, i] > 0
-                out.append(_sums_at(x[on], y[on], w0[on] * m[on, i], betas[i][0], fams[i], old=betas[i][1]))
+                on = m[:, i] != 0
+                more = grouped and {k: v[on] for k, v in grouped.items()}
+                out.append(_sums_at(x[on], y[on], w0[on] * m[on, i], betas[i][0], fams[i], grouped=more, old=betas[i][1]))
             return np.concatenate(out), np.zeros(1)
 
         total, size = self.rows.reduce(kernel)[0], design.p * (design.p + 1) // 2 + design.p + 4
