@@ -19,14 +19,16 @@ from __future__ import annotations
 
 import hashlib
 import math
+from collections.abc import Iterable, Iterator
 from functools import lru_cache
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import map_rows, release, remove, text_bytes, working_tables, written
+from .common import arrow_schema, map_rows, release, remove, text_bytes, working_tables, written
 from .shingles import mix, overlap, shingle_sets
 
 #: Members up to which a region is joined in itself, and pivots that one round takes of a larger one.
@@ -169,7 +171,7 @@ def _classes(docs: DataFrame, key: str, text: str, shingle: int, percent: int) -
     spark = docs.sparkSession
     slim = docs.select(docs[key].alias("id"), text_bytes(docs[text]).alias("raw"))
     kind = slim.schema["id"].dataType.simpleString()
-    every = written(map_rows(slim, _set_rows(shingle, percent), f"id {kind}, n bigint, digest binary, cid bigint, keys array<bigint>"), "sets")
+    every = written(map_rows(slim, _set_rows(shingle, percent), f"id {kind}, n bigint, digest binary, cid bigint, keys array<bigint>", carry=["id"]), "sets")
     sets = written(every.select("id", "n", "digest", "cid"), "sets-slim")
     classes = sets.where("n > 0").groupBy("digest").agg(F.min("id").alias("least"), F.first("n").alias("n"), F.first("cid").alias("cid"))
     classes = written(classes.withColumn("vid", F.monotonically_increasing_id()), "classes")
@@ -264,19 +266,25 @@ def _cool_here(rows: DataFrame, hot: DataFrame) -> DataFrame:
     """cid, digest, n, p, known (elements at hand) and keys, the first p of them that aren't hot."""
     shipped = _shipped(hot)
 
-    def make():
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bad = shipped.value
-
-        def f(part):
-            keys = []
-            for p, own in zip(part["p"], part["keys"]):
-                x = np.array(own, np.int64)
-                keys.append(x[~_held(x, bad)][:p])
-            return {c: part[c] for c in ("cid", "digest", "n", "p")} | {"known": [len(k) for k in part["keys"]], "keys": keys}
-
-        return f
-
-    return map_rows(rows.select("cid", "digest", "n", "p", "keys"), make, "cid bigint, digest binary, n bigint, p int, known int, keys array<bigint>")
+        for batch in batches:
+            known = np.diff(batch.column("keys").offsets.to_numpy())
+            x = batch.column("keys").flatten().to_numpy(zero_copy_only=False)
+            row = np.repeat(np.arange(batch.num_rows), known)
+            cool = ~_held(x, bad)
+            upto = np.concatenate([[0], np.cumsum(cool)])
+            nth = upto[1:] - upto[np.concatenate([[0], np.cumsum(known)])][row]
+            cool &= nth <= batch.column("p").to_numpy()[row]
+            ends = np.concatenate([[0], np.cumsum(np.bincount(row[cool], minlength=batch.num_rows))])
+            keys = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(x[cool], pa.int64()), type=arrow.field("keys").type)
+            same = [batch.column(c) for c in ("cid", "digest", "n", "p")]
+            yield pa.RecordBatch.from_arrays([*same, pa.array(known, pa.int32()), keys], schema=arrow)
+        release()
+
+    schema = "cid bigint, digest binary, n bigint, p int, known int, keys array<bigint>"
+    arrow = arrow_schema(schema)
+    return rows.select("cid", "digest", "n", "p", "keys").mapInArrow(run, schema)
 
 
 def _cool_by_join(rows: DataFrame, hot: DataFrame) -> DataFrame:

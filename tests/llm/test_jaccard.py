@@ -4,7 +4,7 @@ import re
 import numpy as np
 import pytest
 
-from ridgeline.llm import jaccard
+from ridgeline.llm import jaccard, shingles
 from ridgeline.llm.shingles import overlap, shingle_sets
 
 
@@ -144,6 +144,22 @@ def test_sets_of_words():
     assert np.array_equal(a, b) and len(a) == 1 and len(c) == 0 and len(d) == 2
 
 
+def test_sets_of_many_texts_are_made_together(monkeypatch):
+    """Against sets of tuples, across pieces; words of up to 64 bytes are hashed in arrays, and no worker keeps any."""
+    rng = random.Random(11)
+    word = lambda: bytes(rng.choice(b"abAB\x00\xff") for _ in range(rng.choice([1, 2, 7, 8, 9, 16, 17, 64])))
+    texts = [b" ".join(word() for _ in range(rng.randint(0, 12))) for _ in range(500)] + [b"", b" \t", b"a a\x00 a", b"x\x1cy \xc2\xa0 z"]
+    monkeypatch.setattr(shingles, "PIECE", 2000)
+    monkeypatch.setattr(shingles, "xxhash", None)
+    for k in (1, 4):
+        hashed, plain = {}, {}
+        for t, s in zip(texts, shingle_sets(texts, k), strict=True):
+            w = t.lower().split()
+            own = frozenset(tuple(w[i : i + k]) for i in range(len(w) - k + 1)) if len(w) >= k else frozenset({tuple(w)} if w else ())
+            assert len(own) == len(s) and (s[1:] > s[:-1]).all()
+            assert hashed.setdefault(own, s.tobytes()) == s.tobytes() and plain.setdefault(s.tobytes(), own) == own
+
+
 def test_components_of_a_chain(spark):
     links = spark.createDataFrame([(i, i + 1) for i in range(60)] + [(100, 101)], "a long, b long")
     assert {r["label"] for r in jaccard.components(spark, links).where("v <= 60").collect()} == {0}
