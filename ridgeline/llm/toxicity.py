@@ -4,13 +4,14 @@ from __future__ import annotations
 
 import math
 from dataclasses import dataclass, field
+from functools import lru_cache
 
 import ahocorasick
 import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import blank, map_rows, remove, written
+from .common import blank, map_rows, remove, small_batches, written
 
 #: Fixed folds: letters that look like Latin ones, and digits and signs that stand for letters. l, 1 and | all fold to i.
 LOOKALIKES = {
@@ -25,20 +26,44 @@ FOLD |= {0xFF01 + i: chr(0x21 + i).lower().translate(FOLD) for i in range(94)}
 LABELLED = 60_000
 #: A folded word enters the lexicon if it occurs in LEAST toxic rows and its log odds reach WEIGHT; MOST words at most.
 LEAST, WEIGHT, MOST = 4, 2.5, 20_000
+#: Labelled rows whose words a worker holds at once: each gives some hundreds.
+TOGETHER = 64
 
 
 def folded(text: str) -> str:
-    return text.lower().translate(FOLD)
+    low = text.lower()
+    return low.translate(FOLD) if low.isascii() else _text(_folded_codes(low))
 
 
 def tokens(text: str) -> list[str]:
     """Words of a folded text: maximal runs of letters, digits and marks."""
-    return "".join(c if c.isalnum() else " " for c in folded(text)).split() if not text.isascii() else folded(text).translate(_ASCII_GAPS).split()
+    if text.isascii():
+        return folded(text).translate(_ASCII_GAPS).split()
+    x = _folded_codes(text.lower())
+    return _text(np.where(_tables()[1][x], x, np.uint32(32))).split()
 
 
 _ASCII_GAPS = {c: " " for c in range(128) if not chr(c).isalnum()}
 
 
+@lru_cache(maxsize=1)
+def _tables() -> tuple[np.ndarray, np.ndarray]:
+    """By code point: what it folds to, itself if nothing, 0x110000 if it goes; and whether it is a letter, digit or mark."""
+    to = np.arange(0x110000, dtype=np.uint32)
+    for c, x in FOLD.items():
+        to[c] = 0x110000 if x is None else ord(x) if isinstance(x, str) else x
+    return to, np.fromiter((chr(c).isalnum() for c in range(0x110000)), bool, 0x110000)
+
+
+def _folded_codes(low: str) -> np.ndarray:
+    x = _tables()[0][np.frombuffer(low.encode("utf-32-le", "surrogatepass"), "<u4")]
+    return x[x < 0x110000]
+
+
+def _text(codes: np.ndarray) -> str:
+    return codes.astype("<u4").tobytes().decode("utf-32-le", "surrogatepass")
+
+
 #: Beside whole words, the lexicon has beginnings of these lengths, marked by a star, for families of one stem.
 STEMS = (4, 5, 6, 7)
 
@@ -127,7 +152,8 @@ def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "te
     told = told.where(~held_out(F.col("key"))).orderBy(F.xxhash64("key"), "key").limit(LABELLED)
     # Keys and labels only, LABELLED at most, are broadcast; the texts stay on the executors, and are picked out once.
     rows = written(docs.select(docs[key].alias("key"), blank(docs[text]).alias("text")).join(F.broadcast(told), "key").select("y", "text"), "labelled")
-    lexicon = learn(rows)
+    with small_batches(rows.sparkSession):
+        lexicon = learn(rows)
     remove(rows)
     return lexicon
 
@@ -145,7 +171,7 @@ def learn(rows: DataFrame) -> Lexicon:
     n = {r["y"]: r["n"] for r in rows.groupBy((F.col("y") > 0).cast("int").alias("y")).agg(F.count("*").alias("n")).collect()}
     if not n.get(0) or not n.get(1):
         return Lexicon()
-    words = map_rows(rows.select("y", "text"), count, "y int, words array<string>").select("y", F.explode("words").alias("w"))
+    words = map_rows(rows.select("y", "text"), count, "y int, words array<string>", rows=TOGETHER).select("y", F.explode("words").alias("w"))
     per = words.groupBy("w").agg(F.sum("y").alias("toxic"), F.sum(1 - F.col("y")).alias("clean"))
     odds = F.log((F.col("toxic") + 0.1) / (n[1] + 0.2)) - F.log((F.col("clean") + 0.1) / (n[0] + 0.2))
     best = per.where((F.col("toxic") >= LEAST) & (odds >= WEIGHT)).select("w", odds.alias("x")).orderBy(F.desc("x"), "w").limit(MOST).collect()
@@ -167,7 +193,7 @@ def learn(rows: DataFrame) -> Lexicon:
 
         return f
 
-    said = map_rows(rows.select("y", "text"), phrase, "y int, words array<string>").select("y", F.explode("words").alias("w"))
+    said = map_rows(rows.select("y", "text"), phrase, "y int, words array<string>", rows=TOGETHER).select("y", F.explode("words").alias("w"))
     per = said.groupBy("w").agg(F.sum("y").alias("toxic"), F.sum(1 - F.col("y")).alias("clean"))
     spared = per.where((F.col("clean") >= LEAST) & (F.col("toxic") * n[0] < F.col("clean") * n[1])).orderBy(F.desc("clean"), "w").limit(MOST).collect()
     out = Lexicon(weights, frozenset(r["w"] for r in spared))
@@ -203,5 +229,6 @@ def score_toxicity(docs: DataFrame, lexicon: Lexicon, carry: list[Column], text:
 
         return f
 
-    return map_rows(slim, make, f"{schema}, score double, hits int")
+    carried = [c for c in slim.columns if c != "__text"]
+    return map_rows(slim, make, f"{schema}, score double, hits int", carry=carried)
 

@@ -110,3 +110,27 @@ def test_held_out_rows_of_the_tables(spark):
     got = registry.op7_toxicity(spark, sf).join(spark.read.parquet(f"{sf}/labels.parquet"), "doc_id").where("held_out")
     r = got.agg(F.avg((F.col("predicted") == F.col("toxic")).cast("double")).alias("acc"), F.avg(F.when(F.col("toxic") == 1, F.col("predicted"))).alias("recall")).first()
     assert r["acc"] > 0.98 and r["recall"] > 0.9
+
+
+def test_texts_beyond_ascii_fold_in_arrays(monkeypatch):
+    texts = ["".join(map(chr, range(0x110000))), "\u0130 \uff21b\u200bc \U0001d400 4", "", "plain TEXT 1|"]
+    want = [t.lower().translate(toxicity.FOLD) for t in texts]
+    words = ["".join(c if c.isalnum() else " " for c in t).split() for t in want]
+    toxicity._tables()
+    monkeypatch.setattr(toxicity, "FOLD", None)  # no look-up for each character
+    assert [toxicity.folded(t) for t in texts[:2]] == want[:2] and [toxicity.tokens(t) for t in texts[:2]] == words[:2]
+    monkeypatch.undo()
+    assert [toxicity.folded(t) for t in texts] == want and [toxicity.tokens(t) for t in texts] == words
+
+
+def test_learning_moves_texts_in_small_batches(spark, monkeypatch, learned):
+    _, docs, labels, _ = learned
+    seen, plain = [], toxicity.map_rows
+
+    def noted(df, make, schema, rows=512, **more):
+        seen.append(("array" in schema, rows, int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch"))))
+        return plain(df, make, schema, rows=rows, **more)
+
+    monkeypatch.setattr(toxicity, "map_rows", noted)
+    toxicity.fit(docs, labels)
+    assert len(seen) == 3 and all(batch <= 2000 and (rows <= 64 or not words) for words, rows, batch in seen)
