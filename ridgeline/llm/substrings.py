@@ -1,7 +1,7 @@
 """Exact removal of repeated byte strings by suffix arrays of shards.
 
 1. Anchors. A window's anchors are its least-hashed grams, so equal windows have equal anchors at equal offsets. Every document
-   gives its anchors, each with a digest of its context, the bytes that windows holding the gram can reach.
+   gives its anchors, each with a digest of its context, the bytes of the windows whose least-hashed gram it is.
 2. Anchors whose gram occurs once take no further part. Where all contexts of a gram are equal, all its windows repeat.
 3. Contexts of the other grams go to shards by gram, equal contexts as one. A shard's suffix array, by induced sorting, and its
    permuted common prefixes show which windows repeat. A gram with more contexts than a shard should hold is split by where in
@@ -59,12 +59,13 @@ def _slide(x: np.ndarray, width: int, best: np.ufunc) -> np.ndarray:
     return best(out[: len(x) - width + 1], out[width - have : width - have + len(x) - width + 1]) if have < width else out
 
 
-def anchors(raw: np.ndarray, ends: np.ndarray, window: int = WINDOW, gram: int = GRAM) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Positions, gram hashes and context digests of the anchors of documents that end at `ends` in raw."""
+def anchors(raw: np.ndarray, ends: np.ndarray, window: int = WINDOW, gram: int = GRAM) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Positions, gram hashes and context digests of the anchors of documents that end at `ends` in raw; and how far before each its
+    windows begin, greatest << 16 | least."""
     n, reach = len(raw), window - gram
     none = np.zeros(0, np.int64)
     if n < window:
-        return none, none.astype(np.uint64), none.astype(np.uint64)
+        return none, none.astype(np.uint64), none.astype(np.uint64), none
     grow, shrink = _power(n + 1)
     upto = np.zeros(n + 1, np.uint64)
     np.cumsum(_TABLE[raw] * grow[:n], out=upto[1:])
@@ -77,11 +78,13 @@ def anchors(raw: np.ndarray, ends: np.ndarray, window: int = WINDOW, gram: int =
     # A gram is an anchor if it is the least of some window that holds it: the greatest of those least ones is its own.
     padded = np.concatenate([np.zeros(reach, np.uint32), least, np.zeros(reach, np.uint32)])
     at = np.flatnonzero((_slide(padded, reach + 1, np.maximum) == top) & (top > 0))
-    doc = np.searchsorted(ends, at, "right")
-    lo, hi = np.maximum(at - reach, starts[doc]), np.minimum(at + window, ends[doc])
+    own = np.lib.stride_tricks.sliding_window_view(padded, reach + 1)[at] == top[at, None]  # these windows follow each other
+    first = at - reach + own.argmax(1)
+    last = first + np.count_nonzero(own, 1) - 1
+    lo, hi = first, last + window
     context = (upto[hi] - upto[lo]) * shrink[lo]
     d = _mix(context + (at - lo).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93) + (hi - lo).astype(np.uint64) * np.uint64(0xA0761D6478BD642F))
-    return at, h[at], d
+    return at, h[at], d, (at - first) << 16 | (at - last)
 
 
 def _pieces(lengths: list[int]) -> Iterator[tuple[int, int]]:
@@ -96,21 +99,22 @@ def _pieces(lengths: list[int]) -> Iterator[tuple[int, int]]:
         yield at, len(lengths)
 
 
-def _document_anchors(texts: list[bytes], window: int, gram: int) -> Iterator[tuple[int, int, int, int]]:
-    """(document, position, hash, digest) over all texts; one longer than a piece is read in overlapping parts."""
+def _document_anchors(texts: list[bytes], window: int, gram: int) -> Iterator[tuple[np.ndarray, ...]]:
+    """(document, position << 32 | where its windows begin, hash, digest) over all texts; one longer than a piece is read in
+    overlapping parts."""
     for a, b in _pieces([len(t) for t in texts]):
         if b - a == 1 and len(texts[a]) > 2 * PIECE:
             raw, margin = np.frombuffer(texts[a], np.uint8), 2 * window
             for s in range(0, len(raw), PIECE):
                 lo, hi = max(0, s - margin), min(len(raw), s + PIECE + margin)
-                at, h, d = anchors(raw[lo:hi], np.array([hi - lo]), window, gram)
+                at, h, d, around = anchors(raw[lo:hi], np.array([hi - lo]), window, gram)
                 own = (at + lo >= s) & (at + lo < s + PIECE)
-                yield np.full(int(own.sum()), a), at[own] + lo, h[own], d[own]
+                yield np.full(int(own.sum()), a), at[own] + lo << 32 | around[own], h[own], d[own]
         else:
             ends = np.cumsum([len(t) for t in texts[a:b]])
-            at, h, d = anchors(np.frombuffer(b"".join(texts[a:b]), np.uint8), ends, window, gram)
+            at, h, d, around = anchors(np.frombuffer(b"".join(texts[a:b]), np.uint8), ends, window, gram)
             doc = np.searchsorted(ends, at, "right")
-            yield doc + a, at - np.concatenate([[0], ends])[doc], h, d
+            yield doc + a, at - np.concatenate([[0], ends])[doc] << 32 | around, h, d
 
 
 def _repeated(rows: list[tuple[bytes, int, int, int, int, int]], window: int) -> list[list[tuple[int, int]]]:
@@ -254,8 +258,10 @@ def repeated_spans(docs: DataFrame, key: list[str], window: int = WINDOW, gram:
     """The columns of key, and spans: array of start << 32 | end of bytes that windows occurring elsewhere cover; unmerged, and not
     yet cut to the document's end. No row for documents without any. docs: the columns of key, and raw (binary, no nulls). Rows with equal keys must have equal raw."""
     reach = window - gram
+    if not 0 <= reach < 1 << 16:
+        raise ValueError("a window is at least as long as its gram, and less than 65,536 bytes longer")
     types = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in docs.select(*key).schema)
-    schema = f"{types}, pos int, h bigint, d bigint"
+    schema = f"{types}, pos bigint, h bigint, d bigint"
 
     def make():
         def f(part):
@@ -271,7 +277,9 @@ def repeated_spans(docs: DataFrame, key: list[str], window: int = WINDOW, gram:
     grams = written(grams, "grams")  # as a table of its own, so that Spark can split a hot gram's rows in the join
     again = written(every.join(grams.hint("shuffle_hash"), "h"), "anchors-again")
     remove(every)
-    plain = again.where("not mixed").select(*key, "pos", F.array(F.struct(F.lit(-reach).alias("lo"), F.lit(0).alias("hi"))).alias("runs"))
+    position = F.shiftright("pos", 32).cast("int").alias("pos")
+    first, last = (F.shiftright("pos", 16).bitwiseAND(F.lit(0xFFFF)), F.col("pos").bitwiseAND(F.lit(0xFFFF)))
+    plain = again.where("not mixed").select(*key, position, F.array(F.struct((-first).cast("int").alias("lo"), (-last).cast("int").alias("hi"))).alias("runs"))
 
     # The bytes of one context for each that differs.
     mixed = again.where("mixed")
@@ -285,8 +293,8 @@ def repeated_spans(docs: DataFrame, key: list[str], window: int = WINDOW, gram:
             out: dict[str, list] = {c: [] for c in ("h", "d", "n", "off", "content")}
             for raw, asked in zip(part["raw"], part["asked"]):
                 for x in asked:
-                    begin = max(0, x["pos"] - reach)
-                    for c, v in zip(out, (x["h"], x["d"], x["n"], x["pos"] - begin, raw[begin : x["pos"] + window])):
+                    at, first, last = x["pos"] >> 32, x["pos"] >> 16 & 0xFFFF, x["pos"] & 0xFFFF
+                    for c, v in zip(out, (x["h"], x["d"], x["n"], first, raw[at - first : at - last + window])):
                         out[c].append(v)
             return out
 
@@ -329,7 +337,7 @@ def repeated_spans(docs: DataFrame, key: list[str], window: int = WINDOW, gram:
     mixed = mixed.withColumn("root", F.concat(_bytes("h"), _bytes("d")))
     # One row for each context, however many runs it has, before its occurrences come in.
     runs = written(repeats.groupBy("root").agg(F.collect_set(F.struct("lo", "hi")).alias("runs")), "runs")
-    found = mixed.join(runs.hint("shuffle_hash"), "root").select(*key, "pos", "runs").unionByName(plain)
+    found = mixed.join(runs.hint("shuffle_hash"), "root").select(*key, position, "runs").unionByName(plain)
     # Start and end of each span in one number, so that documents' spans move and are read as plain arrays.
     spans = F.flatten(F.transform(F.collect_set(F.struct("pos", "runs")), lambda s: F.transform(s["runs"], lambda r: _packed(s["pos"] + r["lo"], s["pos"] + r["hi"] + window))))
     return found.groupBy(*key).agg(spans.alias("spans"))

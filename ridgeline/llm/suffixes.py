@@ -20,11 +20,12 @@ def suffix_array(text: np.ndarray) -> np.ndarray:
         return np.arange(n, dtype=np.int64)
     if text.dtype == np.uint8:
         number = np.cumsum(np.bincount(text, minlength=256) > 0)
-        t, symbols = number[text], int(number[-1])
+        symbols = int(number[-1])
+        t = number.astype(np.uint8 if symbols < 256 else np.uint16)[text]  # narrow, so that gathers stay in the cache
     else:
         kinds, t = np.unique(text, return_inverse=True)
         t, symbols = t.astype(np.int64) + 1, len(kinds)
-    return _induced(np.concatenate([t, [0]]), symbols + 1)[1:]  # 0 ends the text
+    return _induced(np.append(t, t.dtype.type(0)), symbols + 1)[1:]  # 0 ends the text
 
 
 def _induced(t: np.ndarray, sigma: int) -> np.ndarray:
@@ -81,9 +82,11 @@ def _names(kind: np.ndarray, lms: np.ndarray) -> tuple[np.ndarray, int]:
     k = 1
     live = np.flatnonzero((np.bincount(rank)[rank] > 1) & (length > 1))
     rank = rank * (len(lms) + 1)  # room for the ranks within a tie
+    top = int(kind.max()) + 1
+    joint = (len(lms) + 1) ** 2 * top < 1 << 62
     while len(live):
         then = kind[lms[live] + k]
-        by = np.lexsort((then, rank[live]))
+        by = np.argsort(rank[live] * top + then) if joint else np.lexsort((then, rank[live]))
         live, then = live[by], then[by]
         own = rank[live]
         first = np.concatenate([[True], own[1:] != own[:-1]])
@@ -109,35 +112,46 @@ def _types(t: np.ndarray) -> np.ndarray:
 def _place(out: np.ndarray, t: np.ndarray, items: np.ndarray, free: np.ndarray, step: int) -> None:
     """Puts items, in order, at the free ends of their buckets."""
     c = t[items]
-    order = np.argsort(c.astype(np.uint16) if len(free) < 65536 else c, kind="stable")  # 16 bits are sorted by radix
+    order = _by_symbol(c, len(free)).argsort(kind="stable")
     c = c[order]
-    first = np.flatnonzero(np.concatenate([[True], c[1:] != c[:-1]]))
-    size = np.diff(np.append(first, len(c)))
-    within = np.arange(len(c)) - np.repeat(first, size)
-    out[free[c] + step * within] = items[order]
-    free[c[first]] += step * size
+    first = np.concatenate([_ZERO, np.flatnonzero(c[1:] != c[:-1]) + 1])
+    size = np.empty_like(first)
+    size[:-1] = first[1:] - first[:-1]
+    size[-1] = len(c) - first[-1]
+    kinds = c[first]
+    out[np.repeat(free[kinds] - step * first, size) + np.arange(0, step * len(c), step)] = items[order]
+    free[kinds] += step * size
+
+
+_ZERO = np.zeros(1, np.int64)
+
+
+def _by_symbol(c: np.ndarray, sigma: int) -> np.ndarray:
+    """Symbols below sigma as numbers of 16 bits at most, if they fit, which are sorted by radix."""
+    return c.astype(np.uint16) if sigma < 65536 and c.dtype.itemsize > 2 else c
 
 
 def _induce(t: np.ndarray, smaller: np.ndarray, lms: np.ndarray, heads: np.ndarray) -> np.ndarray:
     """The order of all suffixes from the leftmost-smaller ones in the order given: larger types rightwards, then smaller types leftwards."""
     n, sigma = len(t), len(heads) - 1
     own = t[lms]
-    by_bucket = lms[np.argsort(own.astype(np.uint16) if sigma < 65536 else own, kind="stable")]
+    by_bucket = lms[np.argsort(_by_symbol(own, sigma), kind="stable")]
     cut = np.searchsorted(t[by_bucket], np.arange(sigma + 1))
     out = np.full(n, -1, np.int64)
+    # What stands before position 0 is the last, empty suffix here, which neither mask takes.
+    larger, smaller = ~smaller, smaller.copy()
+    larger[-1] = smaller[-1] = False
     free = heads[:-1].copy()
     for c in range(sigma):
         at = heads[c]
         while at < free[c]:  # those of this bucket, and then those that they bring to it
             upto = free[c]
             before = out[at:upto] - 1
-            before = before[before >= 0]
-            before = before[~smaller[before]]
+            before = before[larger[before]]
             at = upto
             if len(before):
                 _place(out, t, before, free, 1)
         before = by_bucket[cut[c] : cut[c + 1]] - 1
-        before = before[before >= 0]
         if len(before):
             _place(out, t, before, free, 1)
     ends = free.copy()  # each bucket's larger types end here
@@ -148,7 +162,6 @@ def _induce(t: np.ndarray, smaller: np.ndarray, lms: np.ndarray, heads: np.ndarr
         while at > free[c]:
             downto = free[c]
             before = out[downto + 1 : at + 1][::-1] - 1
-            before = before[before >= 0]
             before = before[smaller[before]]
             at = downto
             if len(before):
@@ -156,7 +169,6 @@ def _induce(t: np.ndarray, smaller: np.ndarray, lms: np.ndarray, heads: np.ndarr
         before = out[heads[c] : ends[c]][::-1] - 1
         if c == 0:
             before = np.array([n - 2], np.int64)
-        before = before[before >= 0]
         before = before[smaller[before]]
         if len(before):
             _place(out, t, before, free, -1)

@@ -112,3 +112,12 @@ def test_a_gram_whose_hash_is_least_of_all_is_an_anchor(spark, monkeypatch):
 
 def test_no_rows(spark):
     assert substrings.remove_repeats(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+def test_each_window_has_one_anchor():
+    """Contexts reach no further than the windows whose least-hashed gram an anchor is, and so each window is looked at once."""
+    texts = [np.random.default_rng(i).integers(0, 256, n, dtype=np.uint8) for i, n in enumerate((199, 200, 5000, 1234))]
+    ends = np.cumsum([len(t) for t in texts])
+    at, _, _, around = substrings.anchors(np.concatenate(texts), ends, 200, 96)
+    first, last = at - (around >> 16), at - (around & 0xFFFF)
+    assert sorted(w for a, b in zip(first.tolist(), last.tolist()) for w in range(a, b + 1)) == [w for t, e in zip(texts, ends.tolist()) for w in range(e - len(t), e - 199)]
