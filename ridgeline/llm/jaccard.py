@@ -10,9 +10,9 @@ share a key that any linked pair must share:
   of that size can differ in, so linked sets agree on a whole part, which for other than near copies is most unlikely.
 
 Small regions are joined in themselves, after filters that lose nothing. Larger ones that overlap make up one cell. In a cell
-pivots are taken, every member's distance to them is computed, members within r are linked, and what is left, members of other
-classes than the cell's largest and whoever lies in their windows |d(x, p) - d(y, p)| <= r, is gone through again. A cell of
-up to CELL members is one task's work; a larger one is worked region by region over all tasks, each round leaving smaller regions.
+members become pivots in turn: members of a pivot's regions that are of other classes and in its windows |d(x, p) - d(y, p)| <= r of
+earlier pivots are measured, and those within r are linked. A cell of up to CELL members is one task's work; a larger one is cut into
+chunks of half that size, worked first each in itself and then, where a region still has several classes, two by two over all tasks.
 """
 
 from __future__ import annotations
@@ -31,12 +31,12 @@ from pyspark.sql import functions as F
 from .common import arrow_schema, map_rows, release, remove, text_bytes, working_tables, written
 from .shingles import mix, overlap, shingle_sets
 
-#: Members up to which a region is joined in itself, and pivots that one round takes of a larger one.
+#: Members up to which a region is joined in itself, and pivots whose windows a cell keeps.
 FEW, PIVOTS = 16, 16
 #: Documents asked for, up to which their keys are broadcast; more are joined by shuffle.
 FEW_KEYS = 100_000
 #: Hot keys up to which they are broadcast; more are taken out by a join.
-HOT_KEYS = 200_000
+HOT_KEYS = 2_000_000
 #: Members, and bytes of text, that a cell may have to be joined by one task.
 CELL, CELL_BYTES = 4096, 32 << 20
 #: Percent below which linked sets can differ in so many parts that most stay empty; there regions come from prefixes alone.
@@ -255,7 +255,7 @@ def _lists(rows: DataFrame, by: str) -> DataFrame:
 
 def _shipped(hot: DataFrame):
     """At most HOT_KEYS elements, ascending."""
-    return hot.sparkSession.sparkContext.broadcast(np.sort(np.array([r["k"] for r in hot.collect()], np.int64)))
+    return hot.sparkSession.sparkContext.broadcast(np.sort(hot.toArrow().column("k").to_numpy()))
 
 
 def _held(x: np.ndarray, those: np.ndarray) -> np.ndarray:
@@ -341,15 +341,21 @@ def _links(spark: SparkSession, pairs: DataFrame, crowded: DataFrame, classes: D
         least = led.groupBy("vid").agg(F.min("lead").alias("m"))
         edges = least.select(F.col("vid").alias("a"), F.col("m").alias("b")).union(led.join(least, "vid").select("lead", "m").distinct())
         cells = components(spark, edges)
-        sizes = texts.select("vid", F.length("raw").alias("size")).join(cells.withColumnRenamed("v", "vid"), "vid").groupBy("label").agg(F.count("*").alias("members"), F.sum("size").alias("bytes"))
-        small = (F.col("members") <= CELL) & (F.col("bytes") <= CELL_BYTES)
-        cells = written(cells.join(sizes.select("label", small.alias("small")), "label").select(F.col("v").alias("vid"), "label", "small"), "cells")
+        sizes = written(texts.select("vid", F.length("raw").alias("size")).join(cells.withColumnRenamed("v", "vid"), "vid").join(least, "vid"), "sizes")
+        small = (F.count("*") <= CELL) & (F.sum("size") <= CELL_BYTES)
+        cells = written(sizes.join(sizes.groupBy("label").agg(small.alias("small")), "label"), "cells")
+        # A large cell is cut into chunks, neighbours by region together, so that any two of them make up a small one.
+        share = F.greatest(2 / F.lit(CELL), 2 * F.col("size") / F.lit(CELL_BYTES))
+        upto = F.sum(share).over(Window.partitionBy("label").orderBy("m", "vid").rowsBetween(Window.unboundedPreceding, Window.currentRow))
+        chunks = cells.where("not small").select("vid", "label", F.floor(upto).alias("chunk"))
+        chunks = written(cells.where("small").select("vid", "label", F.lit(0).cast("long").alias("chunk")).unionByName(chunks), "chunks")
         of = crowds.groupBy("vid").agg(F.collect_set("k").alias("ks"))
-        at_once = texts.join(cells.where("small"), "vid").join(of, "vid").select("label", "vid", "raw", "ks").groupBy("label")
+        at_once = texts.join(chunks, "vid").join(of, "vid").select("label", "chunk", "vid", "raw", "ks").groupBy("label", "chunk")
         links = links.union(at_once.applyInPandas(lambda pdf: _cell_links(pdf, shingle, percent), "a bigint, b bigint"))
         links = written(links, "links")
-        links = _large_regions(spark, crowds.join(cells.where("not small").select("vid"), "vid").select("k", "vid"), texts, links, shingle, percent)
-
+        large = chunks.join(cells.where("not small").select("vid"), "vid", "left_semi")
+        if not large.isEmpty():
+            links = written(links.union(_across_chunks(spark, crowds.join(large, "vid"), texts, links, shingle, percent)), "links")
     return links
 
 
@@ -387,7 +393,8 @@ def _measured(pairs: DataFrame, texts: DataFrame, shingle: int) -> DataFrame:
 def _cell_links(pdf: pd.DataFrame, shingle: int, percent: int) -> pd.DataFrame:
     """Links enough to connect what is connected in a cell. Members become pivots in turn, those of most regions first. A pivot
     meets the members of its regions that are of another class and no pivots yet, but for those that the windows of the first
-    PIVOTS pivots keep from it."""
+    PIVOTS pivots keep from it. Of two chunks (columns chunk and class, if there), members meet those of the other alone, and classes
+    begin as they are known."""
     pdf = pdf.sort_values("vid")
     ids, sets, r = pdf["vid"].to_numpy(), list(shingle_sets([bytes(t) for t in pdf["raw"]], shingle)), (100 - percent) / 100
     n, size = len(ids), np.array([len(s) for s in sets])
@@ -400,14 +407,17 @@ def _cell_links(pdf: pd.DataFrame, shingle: int, percent: int) -> pd.DataFrame:
     by = np.argsort(region, kind="stable")
     members = np.split(owner[by], np.flatnonzero(np.diff(region[by])) + 1)
     own = np.split(region, np.cumsum(degree)[:-1])
-    label, links, met = np.arange(n), [], np.zeros(n, bool)
+    label, links, met, side = np.arange(n), [], np.zeros(n, bool), None
+    if "class" in pdf:
+        label, side = np.unique(pdf["class"].to_numpy(), return_inverse=True)[1], pdf["chunk"].to_numpy()
     away, used = np.full((PIVOTS, n), np.nan), 0
     for x in np.argsort(-degree, kind="stable").tolist():
         met[x] = True
         near = np.zeros(n, bool)
         for k in own[x]:
             near[members[k]] = True
-        others = np.flatnonzero(near & ~met & (label != label[x]))
+        near &= ~met & (label != label[x])
+        others = np.flatnonzero(near if side is None else near & (side != side[x]))
         others = others[~(np.abs(away[:used, others] - away[:used, x : x + 1]) > r + 1e-9).any(0)]
         if not len(others):
             continue
@@ -429,39 +439,16 @@ def _cell_links(pdf: pd.DataFrame, shingle: int, percent: int) -> pd.DataFrame:
     return pd.DataFrame(links, columns=["a", "b"], dtype=np.int64)
 
 
-def _large_regions(spark: SparkSession, region: DataFrame, texts: DataFrame, links: DataFrame, shingle: int, percent: int) -> DataFrame:
-    """links and those that large regions (k, vid) add to their classes."""
-    r = (100 - percent) / 100
-    region = written(region, "large-regions")
-    while not region.isEmpty():
-        # The least hashes of a region's members are its pivots; minima are taken before rows move.
-        picked = written(_pivots(region), "pivots")
-        met = region.join(picked, "k").where("vid <> p")
-        measured = written(_measured(met.select(F.col("vid").alias("a"), F.col("p").alias("b")).distinct(), texts, shingle), "to-pivots")
-        links = written(links.union(measured.where(_linked(percent)).select(F.least("a", "b"), F.greatest("a", "b"))).distinct(), "links")
-        labels = components(spark, links)
-        away = measured.select(F.col("a").alias("vid"), F.col("b").alias("p"), (1 - F.col("shared") / (F.col("na") + F.col("nb") - F.col("shared"))).alias("d"))
-        lead = picked.groupBy("k").agg(F.min("p").alias("p"))
-        member = region.join(labels.withColumnRenamed("v", "vid"), "vid", "left").select("k", "vid", F.coalesce("label", "vid").alias("label"))
-        member = member.join(picked.select("k", F.col("p").alias("vid")), ["k", "vid"], "left_anti")  # pivots have met everyone
-        member = written(member.join(lead, "k").join(away, ["vid", "p"]).select("k", "vid", "label", "d"), "members")
-        count = member.groupBy("k", "label").agg(F.count("*").alias("c"))
-        main = count.groupBy("k").agg(F.max_by("label", F.struct("c", "label")).alias("main"), F.count("*").alias("classes")).where("classes > 1")
-        member = member.join(main, "k")
-        window = member.where("label <> main").groupBy("k").agg(F.min("d").alias("lo"), F.max("d").alias("hi"))
-        member = written(member.join(window, "k").where((F.col("label") != F.col("main")) | F.col("d").between(F.col("lo") - r - 1e-9, F.col("hi") + r + 1e-9)).select("k", "vid", "label", "d"), "members")
-        times = member.groupBy("k").agg(F.count("*").alias("times"))
-        few = member.join(times.where(F.col("times") <= FEW), "k")
-        x, y = (few.select("k", *[F.col(c).alias(f"{c}_{s}") for c in ("vid", "label", "d")]) for s in "xy")
-        near = x.join(y, "k").where((F.col("vid_x") < F.col("vid_y")) & (F.col("label_x") != F.col("label_y")) & (F.abs(F.col("d_x") - F.col("d_y")) <= r + 1e-9))
-        near = near.select(F.col("vid_x").alias("a"), F.col("vid_y").alias("b")).distinct()
-        links = written(links.union(_measured(near, texts, shingle).where(_linked(percent)).select("a", "b")), "links")
-        region = written(member.join(times.where(F.col("times") > FEW), "k").select("k", "vid"), "large-regions")
-    return links
-
-
-def _pivots(region: DataFrame) -> DataFrame:
-    """k, p: members of least hash. Each of PIVOTS salts of the members gives one, by a minimum that is taken in parts."""
-    salted = region.groupBy("k", F.pmod(F.xxhash64("vid", F.lit(1)), F.lit(PIVOTS)).alias("salt")).agg(F.min_by("vid", F.xxhash64("vid")).alias("p"))
-    return salted.select("k", "p")
-
+def _across_chunks(spark: SparkSession, region: DataFrame, texts: DataFrame, links: DataFrame, shingle: int, percent: int) -> DataFrame:
+    """a, b: links enough to connect what large cells connect between chunks. region: k, vid, label of the cell, chunk; links: those
+    known, the ones within chunks among them. Two chunks meet in one task, if a region of several classes lies in both."""
+    classes = components(spark, links).select(F.col("v").alias("vid"), F.col("label").alias("class"))
+    region = region.join(classes, "vid", "left").withColumn("class", F.coalesce("class", "vid"))
+    several = region.groupBy("k").agg(F.min("class").alias("lo"), F.max("class").alias("hi")).where("lo < hi").select("k")
+    region = written(region.join(several, "k"), "regions-of-several")
+    parts = region.select("k", "label", "chunk").distinct()
+    pairs = parts.withColumnRenamed("chunk", "x").join(parts.withColumnRenamed("chunk", "y"), ["k", "label"]).where("x < y")
+    meetings = pairs.select("label", "x", "y").distinct().withColumn("chunk", F.explode(F.array("x", "y")))
+    member = region.groupBy("vid", "label", "chunk", "class").agg(F.collect_set("k").alias("ks"))
+    rows = member.join(texts, "vid").join(meetings, ["label", "chunk"]).select("label", "x", "y", "vid", "raw", "ks", "chunk", "class")
+    return rows.groupBy("label", "x", "y").applyInPandas(lambda pdf: _cell_links(pdf, shingle, percent), "a bigint, b bigint")

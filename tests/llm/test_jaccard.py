@@ -98,6 +98,24 @@ def test_links_across_regions(spark, monkeypatch, few, cell, members):
     assert sorted(str(tuple(r)) for r in jaccard.jaccard_classes(df).collect()) == by_hand(rows)
 
 
+def test_a_large_cell_takes_no_rounds(spark, monkeypatch):
+    """Near copies, most of them unlinked, in cells of more members than one task joins: chunks meet two by two, at once."""
+    rows, tables, kept = near_copies(300, 12, 8), [], jaccard.written
+    monkeypatch.setattr(jaccard, "FEW", 4)
+    monkeypatch.setattr(jaccard, "CELL", 60)
+    monkeypatch.setattr(jaccard, "written", lambda df, name: tables.append(name) or kept(df, name))
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    assert sorted(str(tuple(r)) for r in jaccard.jaccard_classes(df).collect()) == by_hand(rows)
+    assert "regions-of-several" in tables and "to-pivots" not in tables and len(tables) < 60
+
+
+def test_hot_elements_beyond_the_old_bound_are_shipped(spark):
+    assert jaccard.HOT_KEYS >= 1_000_000
+    hot = spark.range(1000).selectExpr("1000 - id * 2 AS k")
+    assert jaccard._shipped(hot).value.tolist() == list(range(-998, 1001, 2))
+    assert jaccard._shipped(hot.where("k > 5000")).value.tolist() == []
+
+
 @pytest.mark.parametrize("percent", [30, 95])
 def test_other_thresholds(spark, percent):
     rows = near_copies(60, 12, 5) + corpus()[:200:4]
