@@ -8,8 +8,10 @@ import pytest
 from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
-from ridgeline.operators.model import DRAWS
+from ridgeline.operators import model
+from ridgeline.operators.model import DRAWS, GamModel
 from ridgeline.plans import catalog
+from ridgeline.plans.scoring import given_model
 
 SF = "/root/testdata/sf0.001"
 pytestmark = pytest.mark.skipif(not os.path.isdir(SF), reason="no test tables")
@@ -58,3 +60,20 @@ def test_posterior_rows_of_equal_covariates_follow_each_other(spark):
     assert len(got) == spark.read.parquet(f"{SF}/lineitem.parquet").count()
     parts = max(1, spark.read.parquet(f"{SF}/lineitem.parquet").rdd.getNumPartitions())
     assert (got["h"] != got["h"].shift()).sum() <= parts * got["h"].nunique()
+
+
+def test_posterior_draws_are_computed_once_a_tuple(spark, monkeypatch):
+    """Few tuples of covariates, null and NaN among them, are joined to their rows; else each row's draws are computed, to the same end."""
+    rows = [(i, float(i % 3) if i % 5 else None, float("nan") if i % 7 == 0 else 0.1, "AN"[i % 2] if i % 4 else None) for i in range(200)]
+    df = spark.createDataFrame(rows, "id long, l_quantity double, l_discount double, l_returnflag string").repartition(3)
+    seen, arrow = [], GamModel._arrow
+    monkeypatch.setattr(GamModel, "_arrow", lambda self, df, f, added: seen.append(df.count()) or arrow(self, df, f, added))
+
+    def draws():
+        got = {r["id"]: r["samples"] for r in given_model().posterior(df, n=50).collect()}
+        return np.array([got[i] for i in range(200)], np.float64)
+
+    few = draws()
+    monkeypatch.setattr(model, "SHIPPED", 0)
+    assert np.allclose(few, draws(), rtol=0, atol=1e-12, equal_nan=True) and np.isfinite(few).any()
+    assert seen == [df.select("l_quantity", "l_discount", "l_returnflag").distinct().count(), 200] and seen[0] < 100
